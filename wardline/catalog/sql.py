@@ -140,7 +140,7 @@ def reason_sql(prefix: str = "") -> str:
         if high is not None:
             branches.append(f"WHEN {v} > {high} THEN {txt('Elevated')}")
         parts.append("CASE " + " ".join(branches) + " END")
-    arr = "list_filter([" + ", ".join(parts) + "], x -> x IS NOT NULL)"
+    arr = "list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL)"
     return f"array_to_string({arr}[1:{vocab.MAX_FINDINGS}], ', ')"
 
 
