@@ -100,7 +100,7 @@ def display_time(ts_text: Column) -> Column:
 
 def one_decimal(x: Column) -> Column:
     """One decimal place, '--' when missing (round half to even first, Q4)."""
-    return F.coalesce(F.format_string("%.1f", F.bround(x, 1)), F.lit("--"))
+    return F.when(x.isNull(), F.lit("--")).otherwise(F.format_string("%.1f", F.bround(x, 1)))
 
 
 def direction(contribution: Column) -> Column:

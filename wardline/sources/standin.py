@@ -129,3 +129,67 @@ def scored_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(y, score) for ranking metrics: y = returned line, score = discount (heavy ties)."""
     li = table(spark, sf_dir, "lineitem")
     return li.select((F.col("l_returnflag") == "R").cast("int").alias("y"), F.col("l_discount").alias("score"))
+
+
+def _json_str(c: Column) -> Column:
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw vitals message per event (message_id, topic, value, arrival_ts).
+
+    Messages are corrupted deterministically by ``event_id % 20`` so that every
+    validation rule fires; every event still yields exactly one message.
+    """
+    ev = table(spark, sf_dir, "events")
+    pid = F.col("user_id").cast("string")
+    ts = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    val = F.col("value").cast("string")
+    ch = F.col("event_type")
+
+    def msg(pid_part, ts_part, src, channels, extra=F.lit("")):
+        return F.concat(F.lit("{"), pid_part, F.lit('"timestamp": '), _json_str(ts_part), F.lit(', "source": '), _json_str(F.lit(src)),
+                        F.lit(', "channels": '), channels, extra, F.lit("}"))
+
+    pid_part = F.concat(F.lit('"patient_id": '), _json_str(pid), F.lit(", "))
+    obj = F.concat(F.lit("{"), _json_str(ch), F.lit(": "), val, F.lit("}"))
+    valid = msg(pid_part, ts, "iot_sensor", obj)
+    k = F.col("event_id") % 20
+    raw = (F.when(k == 0, F.expr("substring(_valid, 1, length(_valid) - 1)"))
+           .when(k == 1, msg(F.lit(""), ts, "iot_sensor", obj))
+           .when(k == 2, msg(pid_part, ts, "bogus", obj))
+           .when(k == 3, msg(pid_part, ts, "iot_sensor", F.concat(F.lit("{"), _json_str(ch), F.lit(": "), _json_str(val), F.lit("}"))))
+           .when(k == 4, msg(pid_part, ts, "iot_sensor", obj, F.concat(F.lit(', "note": '), _json_str(F.repeat(F.lit("x"), 5000)))))
+           .when(k == 5, msg(pid_part, ts, "iot_sensor", F.concat(F.lit("["), val, F.lit("]"))))
+           .when(k == 6, msg(pid_part, F.lit(""), "iot_sensor", obj))
+           .when(k == 7, F.concat(F.lit("["), F.col("_valid"), F.lit("]")))
+           .when(k == 8, msg(pid_part, ts, "iot_sensor", F.concat(F.lit("{"), _json_str(ch), F.lit(": true}"))))
+           .when(k == 9, msg(F.concat(F.lit('"patient_id": "", ')), ts, "iot_sensor", obj))
+           .otherwise(F.col("_valid")))
+    return ev.withColumn("_valid", valid).select(
+        F.col("event_id").alias("message_id"), F.concat(F.lit("icu/"), pid, F.lit("/vitals")).alias("topic"),
+        raw.alias("value"), F.col("ts").alias("arrival_ts"))
+
+
+def audit_logs(spark: SparkSession, sf_dir: str, alerts: DataFrame) -> DataFrame:
+    """Audit rows derived from predictions, raised alerts and acknowledgements.
+
+    Acknowledgements of Critical alerts are made by the owner named after the
+    patient's region, so some rows are visible through the actor match only.
+    """
+    preds = predictions(spark, sf_dir)
+    pr = preds.select(F.concat(F.lit("prediction:"), F.col("id").cast("string")).alias("id"), F.lit("system").alias("actor"),
+                      F.lit("prediction_run").alias("action"), F.col("patient_id").alias("details_patient_id"),
+                      F.col("created_at").alias("timestamp"))
+    al = alerts.select(F.concat(F.lit("alert:"), F.col("id").cast("string")).alias("id"), F.lit("system").alias("actor"),
+                       F.lit("alert_dispatched").alias("action"), F.col("patient_id").alias("details_patient_id"),
+                       F.col("created_at").alias("timestamp"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    region = c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").alias("patient_id"), "n_regionkey")
+    ack = alerts.filter(F.col("risk_level") == "Critical").join(region, "patient_id").select(
+        F.concat(F.lit("ack:"), F.col("id").cast("string")).alias("id"),
+        F.concat(F.lit("owner_"), F.col("n_regionkey").cast("string")).alias("actor"),
+        F.lit("alert_acknowledged").alias("action"), F.col("patient_id").alias("details_patient_id"),
+        (F.col("created_at") + F.expr("INTERVAL 10 MINUTES")).alias("timestamp"))
+    return pr.unionByName(al).unionByName(ack)

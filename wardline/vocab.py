@@ -57,5 +57,13 @@ FOCAL_GAMMA = 2.0
 FOCAL_EPSILON = 1e-7
 
 VITALS_TOPIC_FILTER_REGEX = r"^icu/[^/]+/vitals$"
+REJECT_TOO_LARGE = "payload exceeds 4096 bytes"
+REJECT_NOT_JSON = "payload is not valid JSON"
+REJECT_NO_PATIENT = "missing required field: patient_id"
+REJECT_NO_TIMESTAMP = "missing required field: timestamp"
+REJECT_BAD_SOURCE = "source must be one of ['iot_sensor', 'mimic_replay', 'physionet_sim']"
+REJECT_CHANNELS_NOT_OBJECT = "channels must be an object"
+REJECT_CHANNEL_TYPE = "channel '{name}' must be a number or null, got {type}"
+INGEST_ACTOR = "ingestion_service"
 FAHRENHEIT_LABEL = "Temperature Fahrenheit"
 # --- end of fixed values ----------------------------------------------------
