@@ -193,3 +193,11 @@ def audit_logs(spark: SparkSession, sf_dir: str, alerts: DataFrame) -> DataFrame
         F.lit("alert_acknowledged").alias("action"), F.col("patient_id").alias("details_patient_id"),
         (F.col("created_at") + F.expr("INTERVAL 10 MINUTES")).alias("timestamp"))
     return pr.unionByName(al).unionByName(ack)
+
+
+# Stand-in candidate labels for the coded-event source (item labels are part
+# types). Lower/upper case differ on purpose (case-insensitive match); the
+# exact label "STANDARD" plays the Fahrenheit item.
+CHART_CANDIDATES = {"HR": ["economy"], "Temp": ["standard", "large"], "SBP": ["promo"], "MAP": ["no such label"]}
+LAB_CANDIDATES = {"Glucose": ["medium"], "Lactate": ["small"], "HR": ["large"], "WBC": ["no such label"]}
+FAHRENHEIT_STANDIN = "STANDARD"

@@ -66,4 +66,47 @@ REJECT_CHANNELS_NOT_OBJECT = "channels must be an object"
 REJECT_CHANNEL_TYPE = "channel '{name}' must be a number or null, got {type}"
 INGEST_ACTOR = "ingestion_service"
 FAHRENHEIT_LABEL = "Temperature Fahrenheit"
+
+# Candidate dictionary labels per channel (matched case-insensitively; the
+# item with the most events wins, ties to the lowest item id).
+CHART_LABEL_CANDIDATES = {
+    "HR": ["Heart Rate"],
+    "O2Sat": ["O2 saturation pulseoxymetry"],
+    "Temp": ["Temperature Celsius", "Temperature Fahrenheit"],
+    "SBP": ["Non Invasive Blood Pressure systolic", "Arterial Blood Pressure systolic"],
+    "MAP": ["Non Invasive Blood Pressure mean", "Arterial Blood Pressure mean"],
+    "DBP": ["Non Invasive Blood Pressure diastolic", "Arterial Blood Pressure diastolic"],
+    "Resp": ["Respiratory Rate"],
+    "EtCO2": ["EtCO2", "End Tidal CO2"],
+    "SaO2": ["Arterial O2 Saturation"],
+}
+LAB_LABEL_CANDIDATES = {
+    "BaseExcess": ["Base Excess"],
+    "HCO3": ["Bicarbonate"],
+    "FiO2": ["Inspired O2 Fraction", "Oxygen"],
+    "pH": ["pH"],
+    "PaCO2": ["pCO2"],
+    "AST": ["Asparate Aminotransferase (AST)"],
+    "BUN": ["Urea Nitrogen"],
+    "Alkalinephos": ["Alkaline Phosphatase"],
+    "Calcium": ["Calcium, Total"],
+    "Chloride": ["Chloride"],
+    "Creatinine": ["Creatinine"],
+    "Bilirubin_direct": ["Bilirubin, Direct"],
+    "Glucose": ["Glucose"],
+    "Lactate": ["Lactate"],
+    "Magnesium": ["Magnesium"],
+    "Phosphate": ["Phosphate"],
+    "Potassium": ["Potassium"],
+    "Bilirubin_total": ["Bilirubin, Total"],
+    "TroponinI": ["Troponin I"],
+    "Hct": ["Hematocrit"],
+    "Hgb": ["Hemoglobin"],
+    "PTT": ["PTT"],
+    "WBC": ["White Blood Cells"],
+    "Fibrinogen": ["Fibrinogen, Functional", "Fibrinogen"],
+    "Platelets": ["Platelet Count"],
+}
+CHART_SOURCE_KIND = "chartevents"   # d_items.linksto value for chart items
+LAB_FLUID = "Blood"                 # d_labitems.fluid value for lab items
 # --- end of fixed values ----------------------------------------------------
