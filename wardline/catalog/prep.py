@@ -73,7 +73,8 @@ def zscore(spark, d):
 def _windows(spark, d, w, s):
     p = preprocess.prepare(_rw(spark, d), CH, window_size=w, stride=s)
     t = win.explode_steps(p.windows, CH, [KEY, "split", "window_end_idx", "window_end_time", "y"])
-    return t.select(KEY, "split", "window_end_idx", "window_end_time", "y", "step", *[r6(c).alias(c) for c in CH])
+    # cells are float32: their double value is exact on both engines, no rounding needed
+    return t.select(KEY, "split", "window_end_idx", "window_end_time", "y", "step", *[F.col(c).cast("double").alias(c) for c in CH])
 
 
 def _windows_sql(w, s):
@@ -101,7 +102,7 @@ def windows_stride(spark, d):
 def last_timestep(spark, d):
     p = preprocess.prepare(_rw(spark, d), CH)
     lt = p.windows.select(KEY, "window_end_idx", "y", win.last_timestep(F.col("X")).alias("_v"))
-    return lt.select(KEY, "window_end_idx", "y", *[r6(F.col("_v")[i]).alias(c) for i, c in enumerate(CH)])
+    return lt.select(KEY, "window_end_idx", "y", *[F.col("_v")[i].cast("double").alias(c) for i, c in enumerate(CH)])
 
 
 @register("patient_split", S.with_(*S.SPLIT) + "SELECT patient_id, ever_positive, split FROM sp")

@@ -90,7 +90,7 @@ def windows_sql(src: str, w: int, stride: int, extra_select: str = "") -> list[s
         f"steps AS (SELECT e.*, s.step FROM ends e CROSS JOIN range({w}) s(step))",
         f"wx AS (SELECT e.patient_id, e.split, CAST(e.rn_e - 1 + greatest({w} - e.n, 0) AS BIGINT) AS window_end_idx, "
         f"e.window_end_time, CAST(e.y AS BIGINT) AS y, CAST(e.step AS INTEGER) AS step, "
-        + ", ".join(f"round(CAST(CAST(z.{q(c)} AS FLOAT) AS DOUBLE), 6) AS {q(c)}" for c in CH)
+        + ", ".join(f"CAST(CAST(z.{q(c)} AS FLOAT) AS DOUBLE) AS {q(c)}" for c in CH)
         + f" FROM steps e JOIN wz z ON z.patient_id = e.patient_id AND z.rn = greatest(1, e.rn_e - {w - 1} + e.step))",
     ]
 

@@ -31,8 +31,7 @@ def _train_stats(spark, d):
     rw = standin.readings_wide(spark, d)
     sp = splitting.split_entities(rw, "patient_id", "SepsisLabel")
     filled = fill.ffill_bfill(splitting.attach_split(rw, sp, "patient_id"), CH, "patient_id", "ICULOS")
-    med = impute.fit_medians(filled, CH)
-    scaler = impute.fit_scaler(impute.fill_with(filled, med, CH), CH)
+    med, scaler = impute.fit_medians_and_scaler(filled, CH)
     return med, {c: v[0] for c, v in scaler.items()}, {c: v[1] for c, v in scaler.items()}
 
 
@@ -53,7 +52,7 @@ STREAM_WIN_SQL = S.with_(*S.SCALER, (
     + " FROM sr, med, sc)",
     f"se AS (SELECT patient_id, message_id, ts AS window_end, rn FROM sz WHERE rn >= {W})",
 ) + ("SELECT e.patient_id, e.message_id, e.window_end, CAST(s.step AS INTEGER) AS step, "
-     + ", ".join(f"round(CAST(CAST(z.{S.q(c)} AS FLOAT) AS DOUBLE), 6) AS {S.q(c)}" for c in CH)
+     + ", ".join(f"CAST(CAST(z.{S.q(c)} AS FLOAT) AS DOUBLE) AS {S.q(c)}" for c in CH)
      + f" FROM se e CROSS JOIN range({W}) s(step) JOIN sz z ON z.patient_id = e.patient_id AND z.rn = e.rn - {W - 1} + s.step")
 
 
@@ -66,7 +65,7 @@ def stream_windows(spark, d):
     t = landed.select("patient_id", "message_id", F.col("window_end").cast("timestamp_ntz").alias("window_end"),
                       F.posexplode("X").alias("step", "_v"))
     return t.select("patient_id", "message_id", "window_end", F.col("step").cast("int").alias("step"),
-                    *[r6(F.col("_v")[i]).alias(c) for i, c in enumerate(CH)])
+                    *[F.col("_v")[i].cast("float").cast("double").alias(c) for i, c in enumerate(CH)])
 
 
 @register("stream_alerts", S.with_recursive(*S.PRED, *cooldown_sql(30)) + "SELECT patient_id, id, created_at, risk_level FROM fold WHERE raised")

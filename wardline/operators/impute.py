@@ -47,6 +47,42 @@ def fit_scaler(df: DataFrame, channels: Sequence[str], split_col: str = "split")
     return {r["channel"]: (r["mean"], r["std"]) for r in scaler_frame(df, channels, split_col).collect()}
 
 
+def fit_medians_and_scaler(df: DataFrame, channels: Sequence[str], split_col: str = "split", fit_split: str = "train",
+                           exact: bool = True) -> tuple[dict[str, float], dict[str, tuple[float, float]]]:
+    """F11 + F12 in one pass over the train rows.
+
+    The scaler is fitted on the median-filled values, which are the observed
+    values plus (n_total - n_observed) copies of the median; their mean and
+    variance follow exactly from the observed count, mean and sum of squared
+    deviations with the pairwise (Chan et al.) combination, so no second pass
+    over the filled data is needed.
+    """
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for c in channels:
+        aggs += [_median(c, exact).alias(f"{c}__med"), F.count(c).alias(f"{c}__k"), F.avg(c).alias(f"{c}__m"),
+                 F.var_pop(c).alias(f"{c}__vp")]
+    row = df.filter(F.col(split_col) == fit_split).agg(*aggs).collect()[0]
+    n = row["_n"]
+    medians, scaler = {}, {}
+    for c in channels:
+        fillv = float(row[f"{c}__med"]) if row[f"{c}__med"] is not None else 0.0
+        medians[c] = fillv
+        k = row[f"{c}__k"] or 0
+        if n == 0:
+            scaler[c] = (None, 1.0)
+            continue
+        if k == 0:
+            mean, m2 = fillv, 0.0
+        else:
+            m_obs, m2_obs = float(row[f"{c}__m"]), float(row[f"{c}__vp"]) * k
+            delta = fillv - m_obs
+            mean = m_obs + delta * (n - k) / n
+            m2 = m2_obs + delta * delta * k * (n - k) / n
+        std = (m2 / (n - 1)) ** 0.5 if n > 1 else None
+        scaler[c] = (mean, 1.0 if (std is None or std == 0 or std != std) else std)
+    return medians, scaler
+
+
 def fill_with(df: DataFrame, values: Mapping[str, float], channels: Sequence[str]) -> DataFrame:
     """Remaining gaps take the fitted value (0.0 when a channel has none)."""
     chans = set(channels)

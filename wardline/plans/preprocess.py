@@ -30,16 +30,15 @@ class Prepared:
 def prepare(readings: DataFrame, channels: Sequence[str], key: str = "patient_id", order: str = "ICULOS",
             label: str = "SepsisLabel", val_size: float = 0.15, test_size: float = 0.15, seed: int = 42,
             window_size: int = 8, stride: int = 1, cell_type: str = "float", exact_median: bool = True,
-            materialize: bool = False) -> Prepared:
+            materialize: bool = True) -> Prepared:
     sp = splitting.split_entities(readings, key, label, val_size, test_size, seed)
     with_split = splitting.attach_split(readings, sp, key)
     filled = fill.ffill_bfill(with_split, channels, key, order)
     if materialize:
         # H-4: the filled frame feeds two statistics and the windows; cut lineage once.
         filled = reliable_checkpoint(filled)
-    medians = impute.fit_medians(filled, channels, exact=exact_median)
+    medians, scaler = impute.fit_medians_and_scaler(filled, channels, exact=exact_median)
     imputed = impute.fill_with(filled, medians, channels)
-    scaler = impute.fit_scaler(imputed, channels)
     normalized = impute.apply_scaler(imputed, scaler, channels)
     windows = win.build_windows(normalized, channels, window_size, stride, key, order, label,
                                 cell_type=cell_type, extra=["split"])
