@@ -9,7 +9,8 @@ from wardline.catalog import sql as S
 from wardline.catalog.alerts import cooldown_sql
 from wardline.catalog.registry import r6, register, round_doubles
 from wardline.functions import clinical
-from wardline.operators import alerts as alerting, messages, tables
+from wardline.operators import alerts as alerting, messages, series, tables
+from wardline.plans import report
 from wardline.sources import standin
 from wardline.sources.standin import CHANNELS as CH
 
@@ -292,21 +293,79 @@ def _report_sql():
 @register("patient_report", _report_sql())
 def patient_report(spark, d):
     """One row per patient; every side pre-aggregated to one row per patient, then left-joined."""
-    pat = standin.patients(spark, d).select(KEY, "current_status", "created_by")
-    pr = standin.predictions(spark, d).select(KEY, "id", "created_at", "sepsis_probability", "risk_level")
-    lp = pr.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("n_predictions"), F.max("sepsis_probability").alias("max_probability"),
-        F.max_by(F.struct("sepsis_probability", "risk_level", "created_at"), F.struct("created_at", "id")).alias("_l"))
-    recent = tables.last_n_per_key(pr, KEY, ["created_at", "id"], 12).groupBy(KEY).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "risk_level"))), lambda x: x["risk_level"]), ",")
-        .alias("recent_risk_levels"))
-    la = _alerts(spark, d).groupBy(KEY).agg(F.count(F.lit(1)).alias("n_alerts"), F.max("created_at").alias("last_alert_at"))
-    lv = tables.latest_per_key(_vitals_flat(spark, d), KEY, ["ts", "id"])
-    j = pat.join(lp, KEY, "left").join(la, KEY, "left").join(recent, KEY, "left").join(lv, KEY, "left")
-    show = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm"), F.lit("--"))
-    return j.select(
-        KEY, "current_status", "created_by", F.coalesce("n_predictions", F.lit(0)).alias("n_predictions"),
-        r6("_l.sepsis_probability").alias("latest_probability"), F.col("_l.risk_level").alias("latest_risk_level"),
-        show(F.col("_l.created_at")).alias("latest_at_text"), r6("max_probability").alias("max_probability"),
-        F.coalesce("n_alerts", F.lit(0)).alias("n_alerts"), show(F.col("last_alert_at")).alias("last_alert_at_text"),
-        "recent_risk_levels", *[clinical.one_decimal(F.col(c)).alias(f"{c}_text") for c in VIT])
+    return report.patient_report(standin.patients(spark, d), standin.predictions(spark, d), _alerts(spark, d),
+                                 _vitals_flat(spark, d), VIT, 12)
+
+
+@register("urgent_alerts", S.with_recursive(*ALERTS30) + (
+    "SELECT id, patient_id, created_at, risk_level FROM al WHERE risk_level IN ('High', 'Critical') "
+    "ORDER BY created_at DESC, id DESC LIMIT 15"))
+def urgent_alerts(spark, d):
+    """D12 + H6: the 15 newest urgent, unacknowledged alerts (a bounded list is the feature)."""
+    al = alerting.enrich_alerts(_alerts(spark, d), F.lit(""))
+    _, urgent = report.unit_overview(standin.patients(spark, d), al, 15)
+    return urgent.select("id", KEY, "created_at", "risk_level")
+
+
+@register("probability_trend", S.with_(*S.PRED) + (
+    "SELECT patient_id, id, created_at, round(sepsis_probability, 6) AS sepsis_probability, risk_level, "
+    "round(sepsis_probability - lag(sepsis_probability) OVER (PARTITION BY patient_id ORDER BY created_at, id), 6) AS delta FROM preds"))
+def probability_trend(spark, d):
+    """Ascending probability trend per patient with the step change."""
+    p = standin.predictions(spark, d).select(KEY, "id", "created_at", "sepsis_probability", "risk_level")
+    return round_doubles(series.probability_trend(p))
+
+
+@register("patient_timeseries", S.with_(*S.RW, "prof AS (SELECT patient_id, count(*) AS n_rows, max(\"SepsisLabel\") AS ever_positive FROM rw GROUP BY 1)",
+                                        "ex AS (SELECT patient_id FROM (SELECT *, row_number() OVER (PARTITION BY ever_positive ORDER BY patient_id) AS rk "
+                                        "FROM prof WHERE n_rows >= 20) WHERE rk <= 2)") + (
+    "SELECT patient_id, \"ICULOS\", channel, value FROM (UNPIVOT (SELECT patient_id, \"ICULOS\", " + ", ".join(S.q(c) for c in CH)
+    + " FROM rw WHERE patient_id IN (SELECT patient_id FROM ex)) ON " + ", ".join(S.q(c) for c in CH) + " INTO NAME channel VALUE value)"))
+def patient_timeseries(spark, d):
+    """G14 (+ G8 selection): tall, time-ordered series of the example patients."""
+    from wardline.operators import eda
+    rw = standin.readings_wide(spark, d)
+    ex = eda.example_entities(rw, KEY, "SepsisLabel", 2, 20)
+    return series.timeseries(rw, ex, KEY, "ICULOS", CH)
+
+
+@register("unit_overview", S.with_recursive(*ALERTS30, *S.PATIENTS) + (
+    "SELECT 'n_patients' AS metric, count(*) AS value FROM pat "
+    "UNION ALL SELECT 'n_active', count(*) FILTER (WHERE current_status = 'active') FROM pat "
+    "UNION ALL SELECT 'n_alerts', count(*) FROM al "
+    "UNION ALL SELECT 'n_urgent_unacknowledged', count(*) FILTER (WHERE risk_level IN ('High', 'Critical')) FROM al "
+    "UNION ALL SELECT 'n_patients_with_alerts', count(DISTINCT patient_id) FROM al "
+    "UNION ALL SELECT 'n_owners', count(DISTINCT created_by) FROM pat"))
+def unit_overview(spark, d):
+    """M8 KPI row set."""
+    pat = standin.patients(spark, d)
+    al = alerting.enrich_alerts(_alerts(spark, d), F.lit(""))
+    p = pat.agg(F.count(F.lit(1)).alias("n_patients"), F.count_if(F.col("current_status") == "active").alias("n_active"),
+                F.countDistinct("created_by").alias("n_owners"))
+    urgent = F.col("risk_level").isin("High", "Critical") & ~F.col("acknowledged")
+    a = al.agg(F.count(F.lit(1)).alias("n_alerts"), F.count_if(urgent).alias("n_urgent_unacknowledged"),
+               F.countDistinct(KEY).alias("n_patients_with_alerts"))
+    stack = lambda df, names: df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("long").alias("value")) for n in names])))
+    return stack(p, ["n_patients", "n_active", "n_owners"]).unionByName(stack(a, ["n_alerts", "n_urgent_unacknowledged", "n_patients_with_alerts"]))
+
+
+USERS_SQL = [*S.PATIENTS, "usr AS (SELECT DISTINCT created_by AS username FROM pat)"]
+
+
+@register("users_listing", S.with_(*USERS_SQL) + "SELECT username FROM usr ORDER BY username LIMIT 10")
+def users_listing(spark, d):
+    """H5: users by username ascending, limited (users = patient owners)."""
+    u = standin.patients(spark, d).select(F.col("created_by").alias("username")).distinct()
+    return u.orderBy("username").limit(10)
+
+
+@register("user_last_login", S.with_(*USERS_SQL, *S.PRED[0:2]) + (
+    "SELECT u.username, max(pr.created_at) AS last_login FROM usr u LEFT JOIN pat p ON p.created_by = u.username "
+    "LEFT JOIN preds pr ON pr.patient_id = p.patient_id GROUP BY 1"))
+def user_last_login(spark, d):
+    """Last activity per user (latest prediction on an owned patient) patched onto the users table."""
+    pat = standin.patients(spark, d)
+    users = pat.select(F.col("created_by").alias("username")).distinct()
+    act = standin.predictions(spark, d).join(pat.select(KEY, F.col("created_by").alias("username")), KEY) \
+        .select("username", F.col("created_at").alias("ts"))
+    return series.touch_last_login(users, act)
