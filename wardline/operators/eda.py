@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.operators.quantiles import exact_quantiles
+
 
 def _stack(row: DataFrame, channels: Sequence[str], fields: dict) -> DataFrame:
     """Turn a one-row wide aggregate into one row per channel."""
@@ -19,7 +21,24 @@ def _stack(row: DataFrame, channels: Sequence[str], fields: dict) -> DataFrame:
 
 
 def descriptive_stats(df: DataFrame, channels: Sequence[str], exact: bool = True) -> DataFrame:
-    """count, mean, std (ddof 1), min, 25/50/75 % (linear), max, pct_missing per channel."""
+    """count, mean, std (ddof 1), min, 25/50/75 % (linear), max, pct_missing per channel.
+
+    Exact quartiles use the two-pass bracketed method (no column is ever held
+    in one task); the result is one small row per channel.
+    """
+    if exact:
+        extra = [F.count(F.lit(1)).alias("_n")]
+        for c in channels:
+            extra += [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"),
+                      F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max")]
+        qv, r = exact_quantiles(df, channels, [0.25, 0.5, 0.75], extra=extra)
+        rows = []
+        for c in channels:
+            k = r[f"{c}__count"]
+            rows.append((c, k, r[f"{c}__mean"], r[f"{c}__std"], r[f"{c}__min"], qv[(c, 0.25)], qv[(c, 0.5)], qv[(c, 0.75)],
+                         r[f"{c}__max"], 100.0 * (1.0 - k / r["_n"]) if r["_n"] else None))
+        return df.sparkSession.createDataFrame(rows, "channel string, count long, mean double, std double, min double, "
+                                                     "p25 double, p50 double, p75 double, max double, pct_missing double")
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in channels:
         q = (F.percentile(c, [0.25, 0.5, 0.75]) if exact else F.percentile_approx(c, [0.25, 0.5, 0.75], 100000))

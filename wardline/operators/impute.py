@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.operators.quantiles import exact_quantiles
+
 
 def _median(c: str, exact: bool):
     return F.median(c) if exact else F.percentile_approx(c, 0.5, 100000)
@@ -15,7 +17,12 @@ def _median(c: str, exact: bool):
 def median_frame(df: DataFrame, channels: Sequence[str], split_col: str = "split",
                  fit_split: str = "train", exact: bool = True) -> DataFrame:
     """F11 as a table: (channel, median), train rows only, all-missing → 0.0."""
-    row = df.filter(F.col(split_col) == fit_split).agg(*[_median(c, exact).alias(c) for c in channels])
+    train = df.filter(F.col(split_col) == fit_split)
+    if exact:
+        med, _ = exact_quantiles(train, channels, [0.5])
+        rows = [(c, float(med[(c, 0.5)]) if med[(c, 0.5)] is not None else 0.0) for c in channels]
+        return df.sparkSession.createDataFrame(rows, "channel string, median double")
+    row = train.agg(*[_median(c, exact).alias(c) for c in channels])
     return row.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("channel"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("median"))
         for c in channels])))
@@ -59,13 +66,19 @@ def fit_medians_and_scaler(df: DataFrame, channels: Sequence[str], split_col: st
     """
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in channels:
-        aggs += [_median(c, exact).alias(f"{c}__med"), F.count(c).alias(f"{c}__k"), F.avg(c).alias(f"{c}__m"),
-                 F.var_pop(c).alias(f"{c}__vp")]
-    row = df.filter(F.col(split_col) == fit_split).agg(*aggs).collect()[0]
+        aggs += [F.count(c).alias(f"{c}__k"), F.avg(c).alias(f"{c}__m"), F.var_pop(c).alias(f"{c}__vp")]
+    train = df.filter(F.col(split_col) == fit_split)
+    if exact:
+        # two distributed passes; the moments ride along in the first one
+        med, row = exact_quantiles(train, channels, [0.5], extra=aggs)
+        med = {c: med[(c, 0.5)] for c in channels}
+    else:
+        row = train.agg(*aggs, *[_median(c, False).alias(f"{c}__med") for c in channels]).collect()[0]
+        med = {c: row[f"{c}__med"] for c in channels}
     n = row["_n"]
     medians, scaler = {}, {}
     for c in channels:
-        fillv = float(row[f"{c}__med"]) if row[f"{c}__med"] is not None else 0.0
+        fillv = float(med[c]) if med[c] is not None else 0.0
         medians[c] = fillv
         k = row[f"{c}__k"] or 0
         if n == 0:
