@@ -233,3 +233,27 @@ def validate(df: DataFrame, rules: Sequence[Rule], unique_key: str | None = None
 def unknown_channels(channels_map: Column, vocabulary: Sequence[str]) -> Column:
     """Channel names outside the vocabulary."""
     return F.array_except(F.map_keys(channels_map), F.array(*[F.lit(v) for v in vocabulary]))
+
+
+def latest_with_explanation(predictions: DataFrame, history: DataFrame, key: str = "patient_id") -> DataFrame:
+    """Each patient's latest prediction joined to its explanation row (by prediction id)."""
+    latest = latest_per_key(predictions, key, ["created_at", "id"])
+    h = history.select(F.col("prediction_id").alias("id"), *[F.col(c).alias(f"explanation_{c}") for c in history.columns
+                                                            if c not in ("prediction_id", key)])
+    return latest.join(h, "id", "left")
+
+
+def audit_rows(df: DataFrame, actor: Column | str, action: str, target_type: str, target_id: str,
+               details: dict[str, Column], ts: str) -> DataFrame:
+    """Append-only audit rows derived from an operator's output (one per row)."""
+    a = actor if isinstance(actor, Column) else F.lit(actor)
+    return df.select(F.concat(F.lit(f"{action}:"), F.col(target_id).cast("string")).alias("id"), a.alias("actor"),
+                     F.lit(action).alias("action"), F.lit(target_type).alias("target_type"),
+                     F.col(target_id).cast("string").alias("target_id"),
+                     F.create_map(*[x for k, v in details.items() for x in (F.lit(k), v.cast("string"))]).alias("details"),
+                     F.col(ts).alias("timestamp"))
+
+
+def row_count(df: DataFrame) -> DataFrame:
+    """F27."""
+    return df.agg(F.count(F.lit(1)).alias("n"))
