@@ -97,3 +97,44 @@ def test_reason_and_message(spark):
     # strict bounds, nulls ignored, at most three findings, half-even rounding
     edge = spark.createDataFrame([(100.0, 38.3, 90.0, 91.5, 64.0, 23.0)], "HR double, Temp double, SBP double, O2Sat double, MAP double, Resp double")
     assert edge.select(clinical.abnormal_reason(cols)).first()[0] == "Low Oxygen saturation (92%), Low MAP (64mmHg), Elevated Respiratory rate (23breaths/min)"
+
+
+def _python_fold(rows, cd_min):
+    out, state = set(), {}
+    for rid, pid, minute, lvl in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        if lvl not in ("High", "Critical"):
+            continue
+        r = vocab.RISK_RANK[lvl]
+        last = state.get(pid)
+        if last is None or r > last[1] or minute - last[0] >= cd_min:
+            out.add(rid)
+            state[pid] = (minute, r)
+    return out
+
+
+def test_cooldown_matches_python_fold_on_both_paths(spark):
+    import random
+    rnd = random.Random(7)
+    rows, rid = [], 0
+    for pid in ("a", "b", "c"):
+        m = 0
+        for _ in range(150):
+            m += rnd.choice([1, 2, 5, 10, 29, 30, 31, 45, 200])
+            rows.append((rid, pid, m, rnd.choice(["High", "High", "Critical", "Medium"])))
+            rid += 1
+    df = spark.createDataFrame([(i, p, T0 + dt.timedelta(minutes=m), lvl, 0.5) for i, p, m, lvl in rows],
+                               "id long, patient_id string, created_at timestamp, risk_level string, sepsis_probability double")
+    exp = _python_fold(rows, 30)
+    assert {r.id for r in alerts.cooldown_alerts(df, 30).collect()} == exp
+    assert {r.id for r in alerts.cooldown_alerts(df, 30, max_fold=0).collect()} == exp  # pointer-doubling path
+
+
+def test_asof_carries_across_days(spark):
+    day = dt.timedelta(days=1)
+    vit = spark.createDataFrame([(1, "p", T0, 70.0), (2, "p", T0 + dt.timedelta(hours=2), 71.0), (3, "q", T0, 50.0)],
+                                "id long, patient_id string, ts timestamp, HR double")
+    left = spark.createDataFrame([(10, "p", T0 + dt.timedelta(hours=1)), (11, "p", T0 + dt.timedelta(hours=5)),
+                                  (12, "p", T0 + 2 * day), (13, "q", T0 - day), (14, "p", T0 + dt.timedelta(hours=2))],
+                                 "pid long, patient_id string, created_at timestamp")
+    got = {r.pid: r.v_id for r in alerts.asof_latest(left, vit, "patient_id", "created_at", "ts", "id", ["HR"]).collect()}
+    assert got == {10: 1, 11: 2, 12: 2, 13: None, 14: 2}

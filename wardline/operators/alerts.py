@@ -1,12 +1,8 @@
 """Alert engine in batch.
 
 Cooldown (J8) is a fold: whether a prediction raises an alert depends on the
-alerts raised before it. The fold is split exactly into independent pieces:
-when a triggered row comes at least ``cooldown`` after the previous
-triggered row of the same entity, it is raised whatever came before (the last
-alert is no later than that previous row), so the state resets there. Each
-piece is folded with the SQL ``aggregate`` higher-order function over its
-time-sorted rows — JVM-side, no Python.
+alerts raised before it; ``wardline.operators.cooldown`` evaluates it exactly
+without grouping an entity's history in one task.
 """
 
 from __future__ import annotations
@@ -18,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wardline import vocab
 from wardline.functions import clinical
+from wardline.operators import cooldown
 
 
 def triggered(preds: DataFrame, levels: Sequence[str] = vocab.ALERT_TRIGGER_LEVELS, risk: str = "risk_level") -> DataFrame:
@@ -28,48 +25,16 @@ def triggered(preds: DataFrame, levels: Sequence[str] = vocab.ALERT_TRIGGER_LEVE
 def cooldown_alerts(preds: DataFrame, cooldown_minutes: float = vocab.ALERT_COOLDOWN_MINUTES,
                     levels: Sequence[str] = vocab.ALERT_TRIGGER_LEVELS, key: str = "patient_id",
                     ts: str = "created_at", id_col: str = "id", risk: str = "risk_level",
-                    existing: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
+                    existing: DataFrame | None = None, carry: Sequence[str] = (), max_fold: int = cooldown.MAX_FOLD) -> DataFrame:
     """Raised alerts: (key, id, ts, risk, *carry) for each triggered prediction that is not suppressed.
 
     A prediction is raised if the entity has no earlier alert, if its rank is
     strictly above the last alert's rank, or if the last alert is at least
     ``cooldown_minutes`` old. Suppressed predictions do not change the state.
     ``existing`` alerts (key, ts, risk; e.g. manual ones) take part in the
-    state but are not emitted (Q17).
+    state but are not emitted (Q17). See ``wardline.operators.cooldown``.
     """
-    cd_us = int(round(cooldown_minutes * 60 * 1_000_000))
-    trig = triggered(preds, levels, risk).select(
-        F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.col(id_col).alias("_id"), F.col(risk).alias("_risk"),
-        *[F.col(c).alias(f"_c_{c}") for c in carry], F.lit(False).alias("_manual"))
-    rows = trig
-    if existing is not None:
-        ex = existing.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.lit(None).cast(trig.schema["_id"].dataType).alias("_id"),
-                             F.col(risk).alias("_risk"), *[F.lit(None).cast(trig.schema[f"_c_{c}"].dataType).alias(f"_c_{c}") for c in carry],
-                             F.lit(True).alias("_manual"))
-        rows = rows.unionByName(ex)
-    us = F.unix_micros(F.col("_ts").cast("timestamp"))
-    rows = rows.withColumn("_us", us).withColumn("_rank", clinical.risk_rank(F.col("_risk")))
-    order = Window.partitionBy("_k").orderBy("_us", F.col("_manual").desc(), "_id")
-    gap = F.col("_us") - F.lag("_us").over(order)
-    start = F.when(gap.isNull() | (gap >= cd_us), 1).otherwise(0)
-    rows = rows.withColumn("_start", start)
-    rows = rows.withColumn("_piece", F.sum("_start").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    item = F.struct("_us", F.col("_manual").cast("int").alias("_m"), "_id", "_rank", "_risk", "_ts",
-                    *[f"_c_{c}" for c in carry])
-    pieces = rows.groupBy("_k", "_piece").agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    empty = F.array().cast(pieces.schema["_items"].dataType)
-    init = F.struct(F.lit(None).cast("long").alias("last_us"), F.lit(-1).alias("last_rank"), empty.alias("out"))
-
-    def step(acc, x):
-        raise_ = (acc["last_us"].isNull() | (x["_rank"] > acc["last_rank"]) | ((x["_us"] - acc["last_us"]) >= cd_us))
-        keep = (x["_m"] == 1) | raise_
-        emitted = F.when(x["_m"] == 1, acc["out"]).otherwise(F.concat(acc["out"], F.array(x)))
-        return F.when(keep, F.struct(x["_us"].alias("last_us"), x["_rank"].alias("last_rank"), emitted.alias("out"))) \
-            .otherwise(acc)
-
-    folded = pieces.select("_k", F.explode(F.aggregate("_items", init, step)["out"]).alias("a"))
-    return folded.select(F.col("_k").alias(key), F.col("a._id").alias(id_col), F.col("a._ts").alias(ts),
-                         F.col("a._risk").alias(risk), *[F.col(f"a._c_{c}").alias(c) for c in carry])
+    return cooldown.cooldown_alerts(preds, cooldown_minutes, levels, key, ts, id_col, risk, existing, carry, max_fold)
 
 
 def asof_latest(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, right_id: str,
@@ -96,7 +61,10 @@ def asof_latest(left: DataFrame, right: DataFrame, key: str, left_ts: str, right
     both = rt.unionByName(lt)
     inner = Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = both.withColumn("_m", F.last("_r", ignorenulls=True).over(inner)).filter(F.col("_side") == 1)
-    per_bucket = both.groupBy("_k", "_b").agg(F.max_by("_r", F.struct("_t", "_rid")).alias("_br"))
+    # per-bucket table: latest right row of each bucket, plus every bucket that holds left rows
+    right_last = rt.groupBy("_k", "_b").agg(F.max_by("_r", F.struct("_t", "_rid")).alias("_br"))
+    left_buckets = lt.select("_k", "_b").distinct().withColumn("_br", F.lit(None).cast(rt.schema["_r"].dataType))
+    per_bucket = right_last.unionByName(left_buckets).groupBy("_k", "_b").agg(F.first("_br", ignorenulls=True).alias("_br"))
     prev = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_bucket.select("_k", "_b", F.last("_br", ignorenulls=True).over(prev).alias("_carry"))
     j = within.join(carried, ["_k", "_b"], "left")
