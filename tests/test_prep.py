@@ -105,3 +105,16 @@ def test_exact_rank_matches_global_order(spark):
         last_g = r.g
         exp[r.k] = i
     assert got == exp
+
+
+def test_bucketed_fill_equals_window_fill(spark):
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for p in ("a", "b", "c"):
+        for t in range(1, 300):
+            rows.append((p, t, rnd.choice([None, None, None, float(t)]), rnd.choice([None] * 9 + [float(-t)])))
+    df = spark.createDataFrame(rows, "patient_id string, ICULOS int, HR double, Glucose double")
+    a = sorted(fill.ffill_bfill(df, ["HR", "Glucose"]).collect())
+    b = sorted(fill.ffill_bfill(df, ["HR", "Glucose"], bucket_width=17).collect())
+    assert a == b

@@ -7,6 +7,8 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.session import reliable_checkpoint
+
 
 def ever_positive(df: DataFrame, key: str = "patient_id", label: str = "SepsisLabel") -> DataFrame:
     """one row per entity with max(label) (partial aggregation, skew-safe)."""
@@ -49,7 +51,8 @@ def split_entities(df: DataFrame, key: str = "patient_id", label: str = "SepsisL
     train. If a class has fewer than two members the split is unstratified.
     The only driver round trip is the per-class entity count (two numbers).
     """
-    per = ever_positive(df, key, label)
+    # one row per entity; cut lineage so the readings are not recomputed by the later jobs
+    per = reliable_checkpoint(ever_positive(df, key, label))
     class_counts = {r["ever_positive"]: r["n"] for r in per.groupBy("ever_positive").agg(F.count(F.lit(1)).alias("n")).collect()}
     stratified = bool(class_counts) and min(class_counts.values()) >= 2
     if stratified:
