@@ -87,3 +87,18 @@ def test_rules(spark):
                              tables.in_range_rule("prob", 0.0, 1.0)], unique_key="patient_id").collect()
     got = sorted(tuple(sorted(r.violations)) for r in v)
     assert got == [("enum:current_status", "range:prob", "unique:patient_id"), ("required:patient_id",), ("unique:patient_id",)]
+
+
+def test_cohort_pick_fixture(spark):
+    labels = {"p000001": 1, "p000002": 0, "p000003": 0, "p000004": 1, "p000005": 0}
+    rows = [(p, t, 1 if (lab and t == 3) else 0) for p, lab in labels.items() for t in range(1, 4)]
+    df = spark.createDataFrame(rows, "patient_id string, ICULOS int, SepsisLabel int")
+    got = {r.patient_id for r in eda.cohort_pick(df, "patient_id", "SepsisLabel", 2, 2, 300).collect()}
+    assert {"p000001", "p000004", "p000002"} <= got and len(got) == 4
+
+
+def test_patch_applies_explicit_null(spark):
+    base = spark.createDataFrame([("p1", "active", 60.0)], "patient_id string, current_status string, age double")
+    patch = spark.createDataFrame([("p1", ["age"], None, None)], "patient_id string, set_fields array<string>, current_status string, age double")
+    r = tables.apply_patch(base, patch, "patient_id", ["current_status", "age"]).first()
+    assert r.age is None and r.current_status == "active"

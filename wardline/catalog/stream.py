@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from wardline.catalog import sql as S
 from wardline.catalog.alerts import cooldown_sql
-from wardline.catalog.registry import r6, register
+from wardline.catalog.registry import register
 from wardline.operators import fill, impute, split as splitting
 from wardline.session import scratch_path
 from wardline.sources import standin
 from wardline.sources.standin import CHANNELS as CH
+from wardline.functions import clinical
 from wardline.streaming import jobs, state
 
 W = 8
@@ -73,7 +74,6 @@ def stream_alerts(spark, d):
     """J8 as a stateful stream: per-patient (last alert time, rank); equals the batch fold."""
     ev = _events_stream(spark, d)
     p = standin.prob_expr(F.col("value"))
-    from wardline.functions import clinical
     preds = ev.select(F.col("event_id").alias("id"), F.col("user_id").alias("patient_id"), F.col("ts").alias("created_at"),
                       p.alias("sepsis_probability"), clinical.risk_level(p).alias("risk_level"))
     landed = _land(spark, state.stream_alerts(preds, 30), "stream_alerts")

@@ -8,7 +8,6 @@ from wardline import vocab
 from wardline.catalog import sql as S
 from wardline.catalog.alerts import cooldown_sql
 from wardline.catalog.registry import r6, register, round_doubles
-from wardline.functions import clinical
 from wardline.operators import alerts as alerting, messages, series, tables
 from wardline.plans import report
 from wardline.sources import standin

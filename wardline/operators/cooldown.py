@@ -38,10 +38,6 @@ from wardline.session import reliable_checkpoint
 MAX_FOLD = 100_000
 
 
-def _order_key() -> Column:
-    return F.struct("_us", "_seq")
-
-
 def prepare_rows(preds: DataFrame, cd_us: int, levels: Sequence[str], key: str, ts: str, id_col: str, risk: str,
                  carry: Sequence[str], existing: DataFrame | None) -> DataFrame:
     trig = preds.filter(F.col(risk).isin(list(levels))).select(

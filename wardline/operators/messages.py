@@ -102,13 +102,13 @@ def dead_letters(validated: DataFrame, id_col: str = "message_id", topic: str =
 
 
 def encode_payloads(readings: DataFrame, channels: Sequence[str], key: str = "patient_id", order: str = "ICULOS",
-                    admission: Column | None = None, source: str = "physionet_sim") -> DataFrame:
+                    admission: Column | None = None, source: str = "physionet_sim", time_col: str = "hr") -> DataFrame:
     """One JSON payload per reading row; timestamp = admission + row index hours; missing → explicit null.
 
-    ``admission`` defaults to the entity's first reading time (column ``hr``).
+    ``admission`` defaults to the entity's first reading time (``time_col``).
     """
     w = Window.partitionBy(key).orderBy(order)
-    adm = admission if admission is not None else F.first("hr").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    adm = admission if admission is not None else F.first(time_col).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     idx = F.row_number().over(w) - 1
     staged = readings.select(key, order, adm.alias("_adm"), idx.alias("_idx"), *channels)
     ts = F.col("_adm") + F.make_interval(hours=F.col("_idx").cast("int"))

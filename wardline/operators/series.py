@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline import vocab
 
 
 def sequence_index(df: DataFrame, key: str, order: Sequence[str], name: str = "ingest_seq") -> DataFrame:
@@ -67,7 +66,3 @@ def touch_last_login(users: DataFrame, events: DataFrame, user: str = "username"
     j = users.join(last, user, "left")
     return j.withColumn("last_login", F.coalesce(F.col("_last"), F.col("last_login")) if "last_login" in users.columns
                         else F.col("_last")).drop("_last")
-
-
-def risk_domain() -> Sequence[str]:
-    return vocab.RISK_LEVELS

@@ -16,7 +16,6 @@ from wardline import vocab
 from wardline.functions import clinical
 from wardline.operators import messages, tables
 from wardline.session import checkpoint_dir
-from wardline.streaming import state
 
 
 def run_available(query_df: DataFrame, out_path: str, ckpt: str, fmt: str = "parquet", mode: str = "append") -> None:
@@ -54,7 +53,8 @@ def validated_sink(accepted_path: str, rejected_path: str, patients_path: str |
                 spark = batch.sparkSession
                 ids = ok.select(F.col("topic_patient").alias("patient_id"), F.col("arrival_ts").alias("created_at"), "message_id")
                 try:
-                    existing = spark.read.parquet(patients_path).select("patient_id")
+                    # only earlier batches count: a replayed batch must reproduce its own output
+                    existing = spark.read.parquet(patients_path).filter(F.col("batch_id") < batch_id).select("patient_id")
                 except Exception:  # noqa: BLE001 - first batch: no table yet
                     existing = spark.createDataFrame([], "patient_id string")
                 res = tables.insert_if_absent(ids, existing, "patient_id", ["created_at", "message_id"])
@@ -67,9 +67,9 @@ def validated_sink(accepted_path: str, rejected_path: str, patients_path: str |
     return sink
 
 
-def ingest(spark: SparkSession, messages_df: DataFrame, name: str = "ingest") -> dict:
+def ingest(spark: SparkSession, messages_df: DataFrame, name: str = "ingest", base: str | None = None) -> dict:
     """Validate a message stream and land accepted / rejected rows."""
-    base = os.path.join(checkpoint_dir(spark), "streams", name)
+    base = base or os.path.join(checkpoint_dir(spark), "streams", name)
     v = messages.validate_messages(messages_df, "value", "topic") \
         .withColumn("topic_patient", clinical.topic_patient(F.col("topic")))
     paths = {k: os.path.join(base, k) for k in ("accepted", "rejected", "patients")}
