@@ -118,3 +118,27 @@ def test_bucketed_fill_equals_window_fill(spark):
     a = sorted(fill.ffill_bfill(df, ["HR", "Glucose"]).collect())
     b = sorted(fill.ffill_bfill(df, ["HR", "Glucose"], bucket_width=17).collect())
     assert a == b
+
+
+def test_bucketed_windows_equal_window_version(spark):
+    import random
+    rnd = random.Random(11)
+    rows = []
+    for p, n in (("a", 300), ("b", 5), ("c", 41)):
+        for t in range(1, n + 1):
+            rows.append((p, t * 3, float(rnd.randint(0, 9)), float(t), rnd.choice([0, 1]), "train"))
+    df = spark.createDataFrame(rows, "patient_id string, ICULOS int, HR double, Glucose double, SepsisLabel int, split string")
+    for w, s in ((8, 1), (4, 3), (64, 1)):
+        a = sorted(win.build_windows(df, ["HR", "Glucose"], w, s, extra=["split"]).collect())
+        b = sorted(win.build_windows(df, ["HR", "Glucose"], w, s, extra=["split"], bucket_width=20).collect())
+        assert a == b
+
+
+def test_prepare_bucketed_mode_equals_default(spark):
+    from wardline.plans import preprocess
+    from wardline.sources import standin
+    rw = standin.readings_wide(spark, "/root/testdata/sf0.001")
+    a = preprocess.prepare(rw, standin.CHANNELS)
+    b = preprocess.prepare(rw, standin.CHANNELS, bucket_width=24)
+    assert a.medians == b.medians and a.scaler == b.scaler
+    assert sorted(a.windows.collect()) == sorted(b.windows.collect())

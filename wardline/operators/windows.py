@@ -19,15 +19,19 @@ def _row_vector(channels: Sequence[str], cell_type: str) -> Column:
 
 def build_windows(df: DataFrame, channels: Sequence[str], window_size: int = 8, stride: int = 1,
                   key: str = "patient_id", order: str = "ICULOS", label: str = "SepsisLabel",
-                  cell_type: str = "float", extra: Sequence[str] = ()) -> DataFrame:
+                  cell_type: str = "float", extra: Sequence[str] = (), bucket_width: int | None = None) -> DataFrame:
     """One row per window: X (window_size x channels), label at the window's end row.
 
     Windows count rows, not hours. Entities with fewer rows than the window
     yield one window left-padded with their first row. ``window_end_idx`` is
     the 0-based end row in the (padded) sequence; ``window_end_time`` is the
     ``order`` value of the end row. One shuffle on ``key`` and one sort serve
-    the row number, the entity size and the sliding frame.
+    the row number, the entity size and the sliding frame; on the hourly grid
+    an entity is bounded by its stay in hours. ``bucket_width`` switches to
+    ``build_windows_bucketed`` for unbounded entities.
     """
+    if bucket_width is not None:
+        return build_windows_bucketed(df, channels, window_size, stride, key, order, label, cell_type, extra, bucket_width)
     w = int(window_size)
     ordered = Window.partitionBy(key).orderBy(order)
     frame = ordered.rowsBetween(-(w - 1), Window.currentRow)
@@ -82,3 +86,49 @@ def mask_channels(X: Column, keep_mask: Column, fill: Column) -> Column:
 def flatten_window(X: Column) -> Column:
     """Window → flat feature array (row-major, timestep then channel)."""
     return F.flatten(X)
+
+
+def row_index_bucketed(df: DataFrame, key: str, order: str, bucket_width: int) -> DataFrame:
+    """Exact 1-based row index per entity and the entity size, without an entity-wide window.
+
+    Rows are grouped by (entity, order // bucket_width); a running sum over the
+    per-bucket counts (one row per entity and bucket) gives each bucket's
+    offset; row_number runs inside a bucket.
+    """
+    d = df.withColumn("_b", F.floor(F.col(order) / F.lit(bucket_width)).cast("long"))
+    counts = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(key, "_b", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    sizes = counts.groupBy(key).agg(F.sum("_cnt").alias("_n"))
+    inner = Window.partitionBy(key, "_b").orderBy(order)
+    return d.withColumn("_rn", F.row_number().over(inner)).join(offs, [key, "_b"]).join(sizes, key) \
+        .withColumn("_rn", (F.col("_off") + F.col("_rn")).cast("long")).drop("_b", "_off")
+
+
+def build_windows_bucketed(df: DataFrame, channels: Sequence[str], window_size: int = 8, stride: int = 1,
+                           key: str = "patient_id", order: str = "ICULOS", label: str = "SepsisLabel",
+                           cell_type: str = "float", extra: Sequence[str] = (), bucket_width: int = 24 * 7) -> DataFrame:
+    """Same output as ``build_windows`` for entities of any size.
+
+    Each row is sent to every window it belongs to (at most ``window_size``
+    end positions), then one group-by on (entity, end position) assembles the
+    window from exactly ``window_size`` rows; no task holds an entity.
+    """
+    w = int(window_size)
+    idx = row_index_bucketed(df, key, order, bucket_width)
+    staged = idx.select(key, order, "_rn", "_n", F.col(label).alias("_label"), *[F.col(c) for c in extra],
+                        _row_vector(channels, cell_type).alias("_row"))
+    full = F.filter(F.sequence(F.col("_rn"), F.col("_rn") + (w - 1)),
+                    lambda e: (e >= w) & (e <= F.col("_n")) & (((e - w) % stride) == 0))
+    ends = F.when(F.col("_n") < w, F.array(F.col("_n"))).otherwise(full)
+    exploded = staged.select("*", F.explode(ends).alias("_end"))
+    g = exploded.groupBy(key, "_end").agg(
+        F.array_sort(F.collect_list(F.struct("_rn", "_row"))).alias("_items"),
+        F.max_by(F.struct(F.col(order).alias("t"), F.col("_label").alias("y"), *[F.col(c).alias(c) for c in extra]), F.col("_rn")).alias("_last"),
+        F.first("_n").alias("_n"))
+    rows = F.transform("_items", lambda x: x["_row"])
+    X = F.when(F.col("_n") < w, F.concat(F.array_repeat(F.element_at(rows, 1), (F.lit(w) - F.col("_n")).cast("int")), rows)).otherwise(rows)
+    pad = F.greatest(F.lit(w) - F.col("_n"), F.lit(0))
+    return g.select(F.col(key), *[F.col(f"_last.{c}").alias(c) for c in extra],
+                    (F.col("_end") - 1 + pad).cast("long").alias("window_end_idx"),
+                    F.col("_last.t").alias("window_end_time"), X.alias("X"), F.col("_last.y").cast("long").alias("y"))

@@ -30,10 +30,12 @@ class Prepared:
 def prepare(readings: DataFrame, channels: Sequence[str], key: str = "patient_id", order: str = "ICULOS",
             label: str = "SepsisLabel", val_size: float = 0.15, test_size: float = 0.15, seed: int = 42,
             window_size: int = 8, stride: int = 1, cell_type: str = "float", exact_median: bool = True,
-            materialize: bool = True) -> Prepared:
+            materialize: bool = True, bucket_width: int | None = None) -> Prepared:
+    """``bucket_width`` (in ``order`` units) switches fill and windows to their
+    bucketed forms for tables where one entity can hold unbounded rows."""
     sp = splitting.split_entities(readings, key, label, val_size, test_size, seed)
     with_split = splitting.attach_split(readings, sp, key)
-    filled = fill.ffill_bfill(with_split, channels, key, order)
+    filled = fill.ffill_bfill(with_split, channels, key, order, bucket_width=bucket_width)
     if materialize:
         # H-4: the filled frame feeds two statistics and the windows; cut lineage once.
         filled = reliable_checkpoint(filled)
@@ -41,7 +43,7 @@ def prepare(readings: DataFrame, channels: Sequence[str], key: str = "patient_id
     imputed = impute.fill_with(filled, medians, channels)
     normalized = impute.apply_scaler(imputed, scaler, channels)
     windows = win.build_windows(normalized, channels, window_size, stride, key, order, label,
-                                cell_type=cell_type, extra=["split"])
+                                cell_type=cell_type, extra=["split"], bucket_width=bucket_width)
     return Prepared(sp, filled, medians, imputed, scaler, normalized, windows)
 
 
