@@ -78,3 +78,19 @@ def stream_alerts(spark, d):
                       p.alias("sepsis_probability"), clinical.risk_level(p).alias("risk_level"))
     landed = _land(spark, state.stream_alerts(preds, 30), "stream_alerts")
     return landed.select("patient_id", "id", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "risk_level")
+
+
+@register("stream_scored_alerts")
+def stream_scored_alerts(spark, d):
+    """M6: messages → validation → keyed windows → Spark ML scoring → keyed cooldown → alerts (rows-only check)."""
+    from wardline.operators import ml
+    from wardline.plans import preprocess
+    p = preprocess.prepare(standin.readings_wide(spark, d), CH)
+    model, _ = ml.train_window_classifier(p.windows, reg=(0.01,))
+    mean = {c: v[0] for c, v in p.scaler.items()}
+    std = {c: v[1] for c, v in p.scaler.items()}
+    base = scratch_path(spark, "realtime")
+    msgs = standin.messages_from(_events_stream(spark, d))
+    paths = jobs.realtime(spark, msgs, CH, p.medians, mean, std, model, base)
+    return spark.read.parquet(paths["alerts"]).select("patient_id", "id", F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+                                                       "risk_level", "message")

@@ -83,13 +83,14 @@ def validate_messages(msgs: DataFrame, raw: str = "value", topic: str | None = "
 def decode_accepted(validated: DataFrame, channels: Sequence[str], raw: str = "value") -> DataFrame:
     """Typed reading rows from accepted messages (channels as doubles; booleans as 1/0)."""
     v = F.parse_json(F.col(raw))
-    return validated.filter("accepted").select(
+    base = validated.drop("patient_id", "timestamp", "source", "channels", "topic_patient")
+    return base.filter("accepted").select(
         "*",
         F.variant_get(v, "$.patient_id", "string").alias("patient_id"),
         F.try_to_timestamp(F.variant_get(v, "$.timestamp", "string")).alias("timestamp"),
         F.variant_get(v, "$.source", "string").alias("source"),
         F.struct(*[F.try_variant_get(v, f"$.channels.{c}", "double").alias(c) for c in channels]).alias("channels"),
-        clinical.topic_patient(F.col("topic")).alias("topic_patient") if "topic" in validated.columns else F.lit(None).alias("topic_patient"),
+        clinical.topic_patient(F.col("topic")).alias("topic_patient") if "topic" in base.columns else F.lit(None).alias("topic_patient"),
     )
 
 

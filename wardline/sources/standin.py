@@ -141,7 +141,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Messages are corrupted deterministically by ``event_id % 20`` so that every
     validation rule fires; every event still yields exactly one message.
     """
-    ev = table(spark, sf_dir, "events")
+    return messages_from(table(spark, sf_dir, "events"))
+
+
+def messages_from(ev: DataFrame) -> DataFrame:
+    """``messages`` over any events frame, batch or streaming."""
     pid = F.col("user_id").cast("string")
     ts = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
     val = F.col("value").cast("string")
