@@ -111,3 +111,20 @@ def focal_loss(spark, d):
                            "(SELECT CAST(l_returnflag = 'R' AS INTEGER) AS label, count(*) AS n FROM lineitem GROUP BY 1)")
 def class_weights(spark, d):
     return round_doubles(ranking.class_weights(_scored(spark, d), "y"))
+
+
+EVENT_SCORED = (S.RW[0] + ",\n" + "esc AS (SELECT CAST(r.\"SepsisLabel\" AS INTEGER) AS y, least(e.value / 500.0, 1.0) AS score FROM events e "
+                "JOIN rw0 r ON r.patient_id = e.user_id AND r.hr = CAST(date_trunc('hour', e.ts) AS TIMESTAMP))")
+
+
+@register("event_metrics", "WITH " + EVENT_SCORED + ",\n" + ",\n".join(h.replace("FROM sc GROUP BY 1", "FROM esc GROUP BY 1") for h in HIST[1:])
+          + "\nSELECT count(*) AS n, round(avg(y), 6) AS positive_rate, "
+            "(SELECT round(sum(neg * (cum_pos + cum_pos - pos) / 2.0) / (max(P) * max(N)), 6) FROM cum) AS auroc, "
+            "(SELECT round(sum(CASE WHEN pos > 0 THEN pos / P * (cum_pos / (cum_pos + cum_neg)) ELSE 0.0 END), 6) FROM cum) AS auprc FROM esc")
+def event_metrics(spark, d):
+    """F14/F15 on the event stream: y = the hour's label, score = the event's probability."""
+    ev = standin.table(spark, d, "events").select("user_id", "ts", "value")
+    rw = standin.readings_wide(spark, d).select("patient_id", "hr", "SepsisLabel")
+    j = ev.join(rw, (ev.user_id == rw.patient_id) & (F.date_trunc("hour", ev.ts).cast("timestamp_ntz") == rw.hr))
+    s = j.select(F.col("SepsisLabel").cast("int").alias("y"), standin.prob_expr(F.col("value")).alias("score"))
+    return round_doubles(ranking.score_summary(ranking.cumulative_desc(ranking.score_histogram(s))))

@@ -55,6 +55,17 @@ def auroc_auprc(cum: DataFrame) -> DataFrame:
     return cum.agg((F.sum(area) / pn).alias("auroc"), F.sum(ap).alias("auprc"))
 
 
+def score_summary(cum: DataFrame) -> DataFrame:
+    """n, positive rate, AUROC and average precision in one pass over the cumulative histogram."""
+    prev_pos = F.col("cum_pos") - F.col("pos")
+    area = F.col("neg") * (F.col("cum_pos") + prev_pos) / 2.0
+    prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    ap = F.when(F.col("pos") > 0, F.col("pos") / F.col("P") * prec).otherwise(F.lit(0.0))
+    p, n = F.first("P").cast("double"), F.first("N").cast("double")
+    return cum.agg((F.first("P") + F.first("N")).alias("n"), (p / (p + n)).alias("positive_rate"),
+                   (F.sum(area) / (p * n)).alias("auroc"), F.sum(ap).alias("auprc"))
+
+
 def roc_points(cum: DataFrame) -> DataFrame:
     """F16: (fpr, tpr, threshold) for every distinct score plus the (0, 0, +inf) start."""
     pts = cum.select((F.col("cum_neg") / F.col("N")).alias("fpr"), (F.col("cum_pos") / F.col("P")).alias("tpr"),
