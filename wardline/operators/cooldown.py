@@ -35,7 +35,7 @@ from wardline import vocab
 from wardline.functions import clinical
 from wardline.session import reliable_checkpoint
 
-MAX_FOLD = 100_000
+MAX_FOLD = 10_000  # the fold appends to an immutable array: keep k^2 copies small
 
 
 def prepare_rows(preds: DataFrame, cd_us: int, levels: Sequence[str], key: str, ts: str, id_col: str, risk: str,

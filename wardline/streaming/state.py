@@ -36,29 +36,30 @@ def window_processor(channels: Sequence[str], medians: Mapping[str, float], mean
         if state.exists:
             last_known, recent = state.get
             last = np.array([np.nan if v is None else v for v in last_known], dtype=float)
-            recent = [list(r) for r in recent]
+            recent = np.array(recent, dtype=float).reshape(-1, n)
         else:
             last = np.full(n, np.nan)
-            recent = []
+            recent = np.zeros((0, n))
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["timestamp", "message_id"], kind="stable")
         vals = batch[list(channels)].to_numpy(dtype=float)
-        out_ids, out_ts, out_x = [], [], []
-        for i in range(len(batch)):
-            row = vals[i]
-            seen = ~np.isnan(row)
-            last[seen] = row[seen]
-            raw = np.where(np.isnan(last), med, last)
-            recent.append(((raw - mu) / sd).astype(np.float32).astype(float).tolist())
-            if len(recent) > window_size:
-                recent = recent[-window_size:]
-            if len(recent) == window_size:
-                out_ids.append(int(batch["message_id"].iloc[i]))
-                out_ts.append(batch["timestamp"].iloc[i])
-                out_x.append([list(r) for r in recent])
-        state.update(([None if np.isnan(v) else float(v) for v in last], recent[-(window_size - 1):] if window_size > 1 else []))
-        if out_ids:
-            yield pd.DataFrame({"patient_id": [key[0]] * len(out_ids), "message_id": out_ids,
-                                "window_end": out_ts, "X": out_x})
+        # causal fill, vectorised: carried last-known values first, then forward fill, then medians
+        filled = pd.DataFrame(np.vstack([last[None, :], vals])).ffill().to_numpy()[1:]
+        raw = np.where(np.isnan(filled), med, filled)
+        z = ((raw - mu) / sd).astype(np.float32).astype(float)
+        seq = np.vstack([recent, z])
+        k = len(recent)
+        out = {}
+        if len(seq) >= window_size:
+            wins = np.lib.stride_tricks.sliding_window_view(seq, (window_size, n))[:, 0]  # (len-w+1, w, n)
+            ends = np.arange(window_size - 1, len(seq))  # end positions in seq
+            keep = ends >= k  # windows that end on a reading of this batch
+            idx = ends[keep] - k
+            out = {"message_id": batch["message_id"].to_numpy()[idx], "window_end": batch["timestamp"].to_numpy()[idx],
+                   "X": [w.tolist() for w in wins[keep]]}
+        new_last = filled[-1] if len(filled) else last
+        state.update(([None if np.isnan(v) else float(v) for v in new_last], seq[-(window_size - 1):].tolist() if window_size > 1 else []))
+        if out and len(out["message_id"]):
+            yield pd.DataFrame({"patient_id": [key[0]] * len(out["message_id"]), **out})
 
     return fn
 
