@@ -38,7 +38,7 @@ def cooldown_alerts(preds: DataFrame, cooldown_minutes: float = vocab.ALERT_COOL
 
 
 def asof_latest(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, right_id: str,
-                payload: Sequence[str], bucket: str = "day", prefix: str = "v_") -> DataFrame:
+                payload: Sequence[str], bucket: str = "hour", prefix: str = "v_") -> DataFrame:
     """Attach to each left row the latest right row with right_ts <= left_ts (tie → highest id).
 
     Rows are grouped by (key, time bucket) so that no task has to hold an
