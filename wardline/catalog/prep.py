@@ -144,3 +144,23 @@ def prevalence(spark, d):
     e = splitting.ever_positive(_rw(spark, d), KEY, LABEL)
     return e.agg(F.count(F.lit(1)).alias("n_patients"), F.sum("ever_positive").cast("long").alias("n_positive"),
                  r6(F.avg("ever_positive")).alias("prevalence"))
+
+
+@register("background_fill", S.with_(*S.SCALER, *S.windows_sql("z", 8, 1)) + "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS channel, round(avg({S.q(c)}), 6) AS fill FROM wx WHERE split = 'train'" for c in CH) + ")")
+def background_fill(spark, d):
+    """mean over train windows and timesteps per channel (the attribution background)."""
+    from wardline.operators import ml
+    p = preprocess.prepare(_rw(spark, d), CH)
+    row = ml.background_fill(p.windows.filter(F.col("split") == "train"), len(CH))
+    return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.round(F.col("fill")[i], 6).alias("fill"))
+                                         for i, c in enumerate(CH)])))
+
+
+@register("channel_means", S.with_(*S.SCALER, *S.windows_sql("z", 8, 1)) + "SELECT patient_id, window_end_idx, "
+          + ", ".join(f"round(avg({S.q(c)}), 6) AS {S.q(c)}" for c in CH) + " FROM wx GROUP BY 1, 2")
+def channel_means(spark, d):
+    """Per-window mean of each channel over the window's timesteps (in-row, no shuffle)."""
+    p = preprocess.prepare(_rw(spark, d), CH)
+    m = p.windows.select(KEY, "window_end_idx", win.channel_means(F.col("X"), len(CH)).alias("_m"))
+    return m.select(KEY, "window_end_idx", *[r6(F.col("_m")[i]).alias(c) for i, c in enumerate(CH)])

@@ -368,3 +368,33 @@ def user_last_login(spark, d):
     act = standin.predictions(spark, d).join(pat.select(KEY, F.col("created_by").alias("username")), KEY) \
         .select("username", F.col("created_at").alias("ts"))
     return series.touch_last_login(users, act)
+
+
+@register("ingest_sequence", S.with_(*S.VITALS) + "SELECT id, patient_id, "
+          "CAST(row_number() OVER (PARTITION BY patient_id ORDER BY ts, id) - 1 AS BIGINT) AS ingest_seq FROM vit")
+def ingest_sequence(spark, d):
+    """0-based monotone sequence per patient over the stored readings."""
+    v = _vitals_flat(spark, d).select("id", KEY, "ts")
+    return series.sequence_index(v, KEY, ["ts", "id"]).select("id", KEY, "ingest_seq")
+
+
+_VOCAB_SQL = ", ".join(f"'{c}'" for c in vocab.CLINICAL_CHANNELS)
+
+
+@register("unknown_channels", S.with_(*MSGS) + (
+    "SELECT channel, count(*) AS n_messages FROM (SELECT unnest(json_keys(raw, '$.channels')) AS channel FROM msgs "
+    "WHERE json_valid(raw) AND json_type(raw) = 'OBJECT' AND json_type(raw, '$.channels') = 'OBJECT') "
+    f"WHERE channel NOT IN ({_VOCAB_SQL}) GROUP BY 1"))
+def unknown_channels(spark, d):
+    """Channel names outside the canonical vocabulary, counted over all messages."""
+    m = standin.messages(spark, d)
+    keys = F.map_keys(F.try_variant_get(F.try_parse_json(F.col("value")), "$.channels", "map<string,variant>"))
+    unk = tables.unknown_channels(F.map_from_arrays(keys, keys), vocab.CLINICAL_CHANNELS)
+    return m.select(F.explode(unk).alias("channel")).groupBy("channel").agg(F.count(F.lit(1)).alias("n_messages"))
+
+
+@register("patients_listing", S.with_(*S.PATIENTS) + (
+    "SELECT patient_id, created_by FROM pat WHERE current_status = 'active' ORDER BY patient_id LIMIT 20"))
+def patients_listing(spark, d):
+    """Patients by status (ordered for determinism), limited — the bounded list is the feature."""
+    return tables.list_patients(standin.patients(spark, d), status="active", limit=20).select(KEY, "created_by")
