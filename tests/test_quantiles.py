@@ -10,8 +10,12 @@ def test_exact_quantiles_match_numpy_with_ties_and_coarse_bracket(spark):
     rows = [(float(x), float(y) if i % 7 else None) for i, (x, y) in enumerate(zip(a, b))]
     df = spark.createDataFrame(rows, "a double, b double")
     qs = [0.1, 0.25, 0.5, 0.75, 0.99]
-    got, _ = exact_quantiles(df, ["a", "b"], qs, accuracy=50)
     bb = np.array([r[1] for r in rows if r[1] is not None])
+    for small_total in (0, 10**9):  # bracketed path, then the small-input exact path
+        got, _ = exact_quantiles(df, ["a", "b"], qs, accuracy=50, small_total=small_total)
+        for q in qs:
+            assert abs(got[("a", q)] - np.quantile(a, q)) < 1e-12
+            assert abs(got[("b", q)] - np.quantile(bb, q)) < 1e-12
+    got, _ = exact_quantiles(df, ["a"], qs, small_total=0)  # default accuracy: a narrow bracket
     for q in qs:
         assert abs(got[("a", q)] - np.quantile(a, q)) < 1e-12
-        assert abs(got[("b", q)] - np.quantile(bb, q)) < 1e-12

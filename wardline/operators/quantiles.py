@@ -10,7 +10,9 @@ global statistic that is the whole column in one task. Here:
    n/accuracy values, whatever the ties.
 
 The k-th order statistic is then read from the bracket on the driver. Both
-passes are single distributed aggregations over all columns at once.
+passes are single distributed aggregations over all columns at once. When the
+first pass finds few values in total (``small_total``), the exact in-memory
+percentile finishes the job in one more pass instead.
 """
 
 from __future__ import annotations
@@ -21,7 +23,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.session import reliable_checkpoint
+
 ACCURACY = 1_000_000
+# below this many values (all columns together) the exact in-memory percentile is used:
+# one more pass, and its buffers stay small enough for one task
+SMALL_TOTAL = 2_000_000
 
 
 def _bounds(q: float, accuracy: int) -> tuple[float, float]:
@@ -30,8 +37,13 @@ def _bounds(q: float, accuracy: int) -> tuple[float, float]:
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], accuracy: int = ACCURACY,
-                    extra: Sequence = ()) -> tuple[dict, object]:
-    """({(col, q): value or None}, first-pass row). ``extra`` aggregates ride along in the first pass."""
+                    extra: Sequence = (), materialize: bool = True, small_total: int = SMALL_TOTAL) -> tuple[dict, object]:
+    """({(col, q): value or None}, first-pass row).
+
+    ``extra`` aggregates ride along in the first pass and may reference only
+    ``cols``. With ``materialize`` the projected columns are checkpointed once,
+    so the passes do not recompute an expensive input lineage.
+    """
     probs = []
     for q in qs:
         probs += list(_bounds(q, accuracy))
@@ -39,7 +51,14 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], acc
     for c in cols:
         aggs += [F.count(c).alias(f"{c}__n"), F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(f"{c}__b")]
     r1 = df.agg(*aggs, *extra).collect()[0]
-    aggs2, plan = [], {}
+    total = sum(r1[f"{c}__n"] or 0 for c in cols)
+    if total <= small_total:
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), list(qs)).alias(c) for c in cols]).collect()[0]
+        return {(c, q): (row[c][i] if row[c] is not None else None) for c in cols for i, q in enumerate(qs)}, r1
+    if materialize:
+        # the bracket passes read the projected columns once written, not the input lineage
+        df = reliable_checkpoint(df.select(*[F.col(c) for c in cols]))
+    aggs2, plan, mids = [], {}, []
     for c in cols:
         n = r1[f"{c}__n"]
         if not n:
@@ -50,22 +69,38 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], acc
             key = f"{c}__{i}"
             plan[(c, q)] = (n, key)
             x = F.col(c).cast("double")
+            mids.append(F.when((x > lo) & (x < hi), F.struct(F.lit(key).alias("k"), x.alias("v"))))
             aggs2 += [F.count_if(x < lo).alias(f"{key}__lt"), F.count_if(x == lo).alias(f"{key}__eqlo"),
                       F.count_if(x == hi).alias(f"{key}__eqhi"),
-                      F.array_sort(F.collect_list(F.when((x > lo) & (x < hi), x))).alias(f"{key}__mid"),
-                      F.lit(lo).alias(f"{key}__lo"), F.lit(hi).alias(f"{key}__hi")]
+                      F.lit(lo).alias(f"{key}__lo"), F.lit(hi).alias(f"{key}__hi"),
+                      # nearest distinct values just outside the bracket: interpolation needs two adjacent
+                      # order statistics, and a narrow bracket (few values) may hold only one of them
+                      F.max(F.when(x < lo, x)).alias(f"{key}__below"), F.min(F.when(x > hi, x)).alias(f"{key}__above")]
     out = {(c, q): None for c in cols for q in qs}
     if not aggs2:
         return out, r1
+    # counts and neighbours: plain aggregates (code-generated); the values strictly inside the
+    # brackets: a filtered projection whose output is bounded by the bracket sizes
     r2 = df.agg(*aggs2).collect()[0]
+    inside: dict[str, list[float]] = {}
+    for row in df.select(F.inline(F.filter(F.array(*mids), lambda m: m.isNotNull()))).collect():
+        inside.setdefault(row["k"], []).append(row["v"])
     for (c, q), (n, key) in plan.items():
-        lt, eqlo, eqhi, mid = r2[f"{key}__lt"], r2[f"{key}__eqlo"], r2[f"{key}__eqhi"], r2[f"{key}__mid"]
+        lt, eqlo, eqhi = r2[f"{key}__lt"], r2[f"{key}__eqlo"], r2[f"{key}__eqhi"]
+        mid = sorted(inside.get(key, []))
         lo, hi = r2[f"{key}__lo"], r2[f"{key}__hi"]
         eqhi = 0 if hi == lo else eqhi
 
+        # the largest value below the bracket is exactly the order statistic at rank lt - 1, the
+        # smallest value above it the one right after the bracket; further out is a miss
+        below, above = r2[f"{key}__below"], r2[f"{key}__above"]
+        nbelow, nabove = int(below is not None), int(above is not None)
+
         def kth(k):
-            if k < lt:
+            if k < lt - nbelow:
                 return None
+            if k < lt:
+                return below
             k -= lt
             if k < eqlo:
                 return lo
@@ -73,7 +108,10 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], acc
             if k < len(mid):
                 return mid[k]
             k -= len(mid)
-            return hi if k < eqhi else None
+            if k < eqhi:
+                return hi
+            k -= eqhi
+            return above if k < nabove else None
 
         pos = q * (n - 1)
         k0, k1 = math.floor(pos), math.ceil(pos)
@@ -83,7 +121,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], acc
             # retry once with a ten times wider (still bounded) bracket rather than collecting the column
             if accuracy <= 1000:
                 raise RuntimeError(f"quantile bracket missed for {c} at {q}")
-            again, _ = exact_quantiles(df.select(c), [c], [q], accuracy // 10)
+            again, _ = exact_quantiles(df.select(c), [c], [q], accuracy // 10, materialize=False, small_total=0)
             out[(c, q)] = again[(c, q)]
             continue
         out[(c, q)] = v0 if k0 == k1 else v0 + (pos - k0) * (v1 - v0)
