@@ -167,12 +167,13 @@ def cooldown_alerts(preds: DataFrame, cooldown_minutes: float = vocab.ALERT_COOL
     cd_us = int(round(cooldown_minutes * 60 * 1_000_000))
     rows = piece_ids(prepare_rows(preds, cd_us, levels, key, ts, id_col, risk, carry, existing), cd_us)
     sizes = rows.groupBy("_k", "_piece").agg(F.count(F.lit(1)).alias("_size"))
-    rows = reliable_checkpoint(rows.join(sizes, ["_k", "_piece"]))
-    small = rows.filter(F.col("_size") <= max_fold)
-    raised = _fold(small, cd_us)
-    big = rows.filter(F.col("_size") > max_fold)
-    if not big.isEmpty():
-        raised = raised.unionByName(_pointer_chain(big, cd_us))
+    largest = sizes.agg(F.max("_size")).collect()[0][0] or 0  # one number decides the plan
+    if largest <= max_fold:
+        raised = _fold(rows, cd_us)
+    else:
+        rows = reliable_checkpoint(rows.join(sizes, ["_k", "_piece"]))
+        raised = _fold(rows.filter(F.col("_size") <= max_fold), cd_us) \
+            .unionByName(_pointer_chain(rows.filter(F.col("_size") > max_fold), cd_us))
     out = rows.filter(F.col("_m") == 0).join(raised, "_rid", "left_semi")
     return out.select(F.col("_k").alias(key), F.col("_id").alias(id_col), F.col("_ts").alias(ts), F.col("_risk").alias(risk),
                       *[F.col(f"_c_{c}").alias(c) for c in carry])
