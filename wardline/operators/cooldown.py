@@ -78,19 +78,22 @@ def piece_ids(rows: DataFrame, cd_us: int) -> DataFrame:
     return r.withColumn("_piece", F.coalesce("_piece_in", "_carry")).drop("_piece_in", "_carry", "_pos")
 
 
-def _fold(rows: DataFrame, cd_us: int) -> DataFrame:
-    item = F.struct("_us", "_seq", "_m", "_rid", "_rank")
+def _fold(rows: DataFrame, cd_us: int, payload: Sequence[str] = ()) -> DataFrame:
+    """Raised rows of each piece, with ``payload`` columns carried through the fold (no join back)."""
+    item = F.struct("_us", "_seq", "_m", "_rid", "_rank", *payload)
     pieces = rows.groupBy("_k", "_piece").agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    empty = F.array().cast("array<" + rows.schema["_rid"].dataType.simpleString() + ">")
+    out_type = F.struct("_rid", *payload)
+    empty = F.array().cast("array<" + rows.select(out_type.alias("o")).schema["o"].dataType.simpleString() + ">")
     init = F.struct(F.lit(None).cast("long").alias("last_us"), F.lit(-1).alias("last_rank"), empty.alias("out"))
 
     def step(acc, x):
         raise_ = acc["last_us"].isNull() | (x["_rank"] > acc["last_rank"]) | ((x["_us"] - acc["last_us"]) >= cd_us)
         keep = (x["_m"] == 1) | raise_
-        emitted = F.when(x["_m"] == 1, acc["out"]).otherwise(F.concat(acc["out"], F.array(x["_rid"])))
+        emitted = F.when(x["_m"] == 1, acc["out"]).otherwise(
+            F.concat(acc["out"], F.array(F.struct(x["_rid"].alias("_rid"), *[x[c].alias(c) for c in payload]))))
         return F.when(keep, F.struct(x["_us"].alias("last_us"), x["_rank"].alias("last_rank"), emitted.alias("out"))).otherwise(acc)
 
-    return pieces.select(F.explode(F.aggregate("_items", init, step)["out"]).alias("_rid"))
+    return pieces.select(F.inline(F.aggregate("_items", init, step)["out"]))
 
 
 def _first_after(rows: DataFrame, queries: DataFrame, qbucket: Column, qtime: Column, strict_after: bool,
@@ -168,11 +171,14 @@ def cooldown_alerts(preds: DataFrame, cooldown_minutes: float = vocab.ALERT_COOL
     rows = piece_ids(prepare_rows(preds, cd_us, levels, key, ts, id_col, risk, carry, existing), cd_us)
     sizes = rows.groupBy("_k", "_piece").agg(F.count(F.lit(1)).alias("_size"))
     largest = sizes.agg(F.max("_size")).collect()[0][0] or 0  # one number decides the plan
+    payload = ["_k", "_id", "_ts", "_risk", *[f"_c_{c}" for c in carry]]
     if largest <= max_fold:
-        raised = _fold(rows, cd_us)
+        out = _fold(rows, cd_us, payload)
+        return out.select(F.col("_k").alias(key), F.col("_id").alias(id_col), F.col("_ts").alias(ts), F.col("_risk").alias(risk),
+                          *[F.col(f"_c_{c}").alias(c) for c in carry])
     else:
         rows = reliable_checkpoint(rows.join(sizes, ["_k", "_piece"]))
-        raised = _fold(rows.filter(F.col("_size") <= max_fold), cd_us) \
+        raised = _fold(rows.filter(F.col("_size") <= max_fold), cd_us).select("_rid") \
             .unionByName(_pointer_chain(rows.filter(F.col("_size") > max_fold), cd_us))
     out = rows.filter(F.col("_m") == 0).join(raised, "_rid", "left_semi")
     return out.select(F.col("_k").alias(key), F.col("_id").alias(id_col), F.col("_ts").alias(ts), F.col("_risk").alias(risk),
