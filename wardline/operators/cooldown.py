@@ -168,9 +168,15 @@ def cooldown_alerts(preds: DataFrame, cooldown_minutes: float = vocab.ALERT_COOL
                     ts: str = "created_at", id_col: str = "id", risk: str = "risk_level",
                     existing: DataFrame | None = None, carry: Sequence[str] = (), max_fold: int = MAX_FOLD) -> DataFrame:
     cd_us = int(round(cooldown_minutes * 60 * 1_000_000))
-    rows = piece_ids(prepare_rows(preds, cd_us, levels, key, ts, id_col, risk, carry, existing), cd_us)
+    prepared = prepare_rows(preds, cd_us, levels, key, ts, id_col, risk, carry, existing)
+    rows = piece_ids(prepared, cd_us)
+    # one number decides the plan: a piece never holds more rows than its entity, so the
+    # per-entity maximum (one aggregation) settles the common case; piece sizes are only
+    # computed when some entity is larger than the fold limit
+    largest = prepared.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).collect()[0][0] or 0
     sizes = rows.groupBy("_k", "_piece").agg(F.count(F.lit(1)).alias("_size"))
-    largest = sizes.agg(F.max("_size")).collect()[0][0] or 0  # one number decides the plan
+    if largest > max_fold:
+        largest = sizes.agg(F.max("_size")).collect()[0][0] or 0
     payload = ["_k", "_id", "_ts", "_risk", *[f"_c_{c}" for c in carry]]
     if largest <= max_fold:
         out = _fold(rows, cd_us, payload)
