@@ -134,7 +134,8 @@ def test_asof_carries_across_days(spark):
     vit = spark.createDataFrame([(1, "p", T0, 70.0), (2, "p", T0 + dt.timedelta(hours=2), 71.0), (3, "q", T0, 50.0)],
                                 "id long, patient_id string, ts timestamp, HR double")
     left = spark.createDataFrame([(10, "p", T0 + dt.timedelta(hours=1)), (11, "p", T0 + dt.timedelta(hours=5)),
-                                  (12, "p", T0 + 2 * day), (13, "q", T0 - day), (14, "p", T0 + dt.timedelta(hours=2))],
+                                  (12, "p", T0 + 2 * day), (13, "q", T0 - day), (14, "p", T0 + dt.timedelta(hours=2)),
+                                  (15, None, T0 + dt.timedelta(hours=3))],
                                  "pid long, patient_id string, created_at timestamp")
     got = {r.pid: r.v_id for r in alerts.asof_latest(left, vit, "patient_id", "created_at", "ts", "id", ["HR"]).collect()}
-    assert got == {10: 1, 11: 2, 12: 2, 13: None, 14: 2}
+    assert got == {10: 1, 11: 2, 12: 2, 13: None, 14: 2, 15: None}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from wardline import vocab
 from wardline.functions import clinical
 from wardline.operators import cooldown
+from wardline.session import reliable_checkpoint
 
 
 def triggered(preds: DataFrame, levels: Sequence[str] = vocab.ALERT_TRIGGER_LEVELS, risk: str = "risk_level") -> DataFrame:
@@ -48,6 +49,8 @@ def asof_latest(left: DataFrame, right: DataFrame, key: str, left_ts: str, right
     entity and bucket), joined back on (key, bucket).
     """
     fields = [right_ts, right_id, *payload]
+    # a right row with a null key never matches; a left row with a null key finds no right row
+    right = right.filter(F.col(key).isNotNull())
     rt = right.select(F.col(key).alias("_k"), F.date_trunc(bucket, F.col(right_ts).cast("timestamp")).alias("_b"),
                       F.col(right_ts).cast("timestamp").alias("_t"), F.lit(0).alias("_side"), F.col(right_id).alias("_rid"),
                       F.struct(*[F.col(c).alias(c) for c in fields]).alias("_r"))
@@ -58,13 +61,15 @@ def asof_latest(left: DataFrame, right: DataFrame, key: str, left_ts: str, right
                      F.lit(None).cast(rt.schema["_r"].dataType).alias("_r"),
                      F.struct(*[F.col(c) for c in lt_cols]).alias("_l"))
     rt = rt.withColumn("_l", F.lit(None).cast(lt.schema["_l"].dataType))
-    both = rt.unionByName(lt)
+    # the union feeds two consumers (in-bucket match, per-bucket carry): write it once rather than
+    # computing both inputs twice
+    both = reliable_checkpoint(rt.unionByName(lt))
     inner = Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = both.withColumn("_m", F.last("_r", ignorenulls=True).over(inner)).filter(F.col("_side") == 1)
-    # per-bucket table: latest right row of each bucket, plus every bucket that holds left rows
-    right_last = rt.groupBy("_k", "_b").agg(F.max_by("_r", F.struct("_t", "_rid")).alias("_br"))
-    left_buckets = lt.select("_k", "_b").distinct().withColumn("_br", F.lit(None).cast(rt.schema["_r"].dataType))
-    per_bucket = right_last.unionByName(left_buckets).groupBy("_k", "_b").agg(F.first("_br", ignorenulls=True).alias("_br"))
+    ran = both.withColumn("_m", F.last("_r", ignorenulls=True).over(inner))
+    within = ran.filter(F.col("_side") == 1)
+    # per-bucket table from the same windowed rows (one shuffle of each side): the running value
+    # at a bucket's last row is the bucket's latest right row; buckets holding only left rows stay null
+    per_bucket = ran.groupBy("_k", "_b").agg(F.max_by("_m", F.struct("_t", "_side", "_rid")).alias("_br"))
     prev = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_bucket.select("_k", "_b", F.last("_br", ignorenulls=True).over(prev).alias("_carry"))
     j = within.join(carried, ["_k", "_b"], "left")

@@ -168,7 +168,8 @@ def cooldown_alerts(preds: DataFrame, cooldown_minutes: float = vocab.ALERT_COOL
                     ts: str = "created_at", id_col: str = "id", risk: str = "risk_level",
                     existing: DataFrame | None = None, carry: Sequence[str] = (), max_fold: int = MAX_FOLD) -> DataFrame:
     cd_us = int(round(cooldown_minutes * 60 * 1_000_000))
-    prepared = prepare_rows(preds, cd_us, levels, key, ts, id_col, risk, carry, existing)
+    # the triggered rows feed several self-joins below: write them once instead of rescanning the input
+    prepared = reliable_checkpoint(prepare_rows(preds, cd_us, levels, key, ts, id_col, risk, carry, existing))
     rows = piece_ids(prepared, cd_us)
     # one number decides the plan: a piece never holds more rows than its entity, so the
     # per-entity maximum (one aggregation) settles the common case; piece sizes are only
