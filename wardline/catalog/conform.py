@@ -38,11 +38,9 @@ CONF_SQL = MAP_SQL + [
 def _mapping(spark, d):
     dic = standin.dictionary(spark, d)
     counts = conform.item_counts(standin.table(spark, d, "lineitem").select(F.col("l_partkey").alias("itemid")))
-    chart = conform.resolve_source(dic.filter(F.col("kind") == "chart"), counts,
-                                   conform.candidates_frame(spark, standin.CHART_CANDIDATES, "chart"), [standin.FAHRENHEIT_STANDIN])
-    lab = conform.resolve_source(dic.filter(F.col("kind") == "lab"), counts,
-                                 conform.candidates_frame(spark, standin.LAB_CANDIDATES, "lab"))
-    return conform.combine_mappings(chart, lab)
+    cands = conform.candidates_frame(spark, standin.CHART_CANDIDATES, "chart").unionByName(
+        conform.candidates_frame(spark, standin.LAB_CANDIDATES, "lab"))
+    return conform.resolve_mapping(dic, counts, cands, ["chart", "lab"], {"chart": [standin.FAHRENHEIT_STANDIN]})
 
 
 def _conformed(spark, d):

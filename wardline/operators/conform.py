@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline import vocab
+from wardline.session import reliable_checkpoint
 
 
 def candidates_frame(spark: SparkSession, candidates: Mapping[str, Sequence[str]], source: str) -> DataFrame:
@@ -37,6 +38,28 @@ def resolve_source(dictionary: DataFrame, counts: DataFrame, cands: DataFrame,
     return out.withColumn("is_fahrenheit", F.col("label").isin(list(fahrenheit_labels)) if fahrenheit_labels else F.lit(False))
 
 
+def resolve_mapping(dictionary: DataFrame, counts: DataFrame, cands: DataFrame, priority: Sequence[str],
+                    fahrenheit: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """G7 + E2 + E4 in one pass: ``dictionary`` (itemid, label, kind) against candidates
+    (channel, source, cand) with ``kind == source``; one event count for all sources; per
+    channel the earliest source in ``priority`` wins. The result (at most one row per
+    channel) is checkpointed so every consumer reads it instead of recomputing it.
+    """
+    m = dictionary.join(F.broadcast(cands), (F.col("kind") == F.col("source")) & (F.lower(F.col("label")) == F.col("cand"))) \
+        .join(counts, "itemid", "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
+    best = m.groupBy("channel", "source").agg(
+        F.max_by(F.struct("itemid", "label", "n"), F.struct(F.col("n"), -F.col("itemid"))).alias("b")) \
+        .filter(F.col("b.n") > 0)
+    rank = F.create_map(*[x for i, src in enumerate(priority) for x in (F.lit(src), F.lit(-i))])
+    pick = best.groupBy("channel").agg(F.max_by(F.struct("source", "b"), rank[F.col("source")]).alias("p"))
+    fahr = F.lit(False)
+    for src, labels in (fahrenheit or {}).items():
+        fahr = fahr | ((F.col("p.source") == src) & F.col("p.b.label").isin(list(labels)))
+    out = pick.select("channel", F.col("p.source").alias("source"), F.col("p.b.itemid").alias("itemid"),
+                      F.col("p.b.label").alias("label"), F.col("p.b.n").alias("n_events"), fahr.alias("is_fahrenheit"))
+    return reliable_checkpoint(out)
+
+
 def combine_mappings(chart: DataFrame, lab: DataFrame) -> DataFrame:
     """Chart mapping wins over lab mapping for the same channel."""
     return chart.unionByName(lab.join(chart.select("channel"), "channel", "left_anti"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.operators.quantiles import exact_quantiles
+from wardline.session import reliable_checkpoint
 
 
 def _stack(row: DataFrame, channels: Sequence[str], fields: dict) -> DataFrame:
@@ -135,6 +136,8 @@ def demographics(stays: DataFrame, key: str = "patient_id") -> DataFrame:
     Age mean/std and unit counts weigh entities by stays; sex counts use one
     row per entity (the first stay by stay order, deterministic).
     """
+    # three statistics read the stays: write the narrow projection once instead of re-joining three times
+    stays = reliable_checkpoint(stays.select(key, "stay_id", "age", "sex", "unit_admitted"))
     scalars = stays.agg(F.countDistinct(key).alias("n_patients"), F.avg("age").alias("age_mean"),
                         F.stddev_samp("age").alias("age_std"))
     scal = scalars.select(F.inline(F.array(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wardline import vocab
 from wardline.operators import conform
+from wardline.session import reliable_checkpoint
 from wardline.sources import files
 
 
@@ -25,7 +26,8 @@ def run_conform(spark: SparkSession, chart_items: DataFrame, lab_items: DataFram
                                        conform.candidates_frame(spark, chart_candidates, "chartevents"), [vocab.FAHRENHEIT_LABEL])
     lab_map = conform.resolve_source(lab_dict, conform.item_counts(lab_events.select("itemid")),
                                      conform.candidates_frame(spark, lab_candidates, "labevents"))
-    mapping = conform.combine_mappings(chart_map, lab_map)
+    # at most one row per channel, read by every step below: materialise once
+    mapping = reliable_checkpoint(conform.combine_mappings(chart_map, lab_map))
     readings = conform.conform_events(chart_events, mapping.filter(F.col("source") == "chartevents")).unionByName(
         conform.conform_events(lab_events, mapping.filter(F.col("source") == "labevents")))
     out = {"mapping": mapping, "readings": readings, "report": conform.mapping_report(readings, mapping),
