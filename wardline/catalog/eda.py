@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wardline.catalog import sql as S
 from wardline.catalog.registry import r6, register, round_doubles
 from wardline.operators import eda
+from wardline.session import reliable_checkpoint
 from wardline.sources import standin
 from wardline.sources.standin import CHANNELS as CH
 
@@ -103,7 +104,8 @@ def demographics(spark, d):
 
 def _tall_labeled(spark, d):
     rw = _rw(spark, d)
-    return rw.unpivot([KEY, LABEL], list(CH), "channel", "value").filter(F.col("value").isNotNull())
+    # read twice (channel ranges, then bins): materialise the tall rows once
+    return reliable_checkpoint(rw.unpivot([KEY, LABEL], list(CH), "channel", "value").filter(F.col("value").isNotNull()))
 
 
 HIST_CTE = [
@@ -154,7 +156,7 @@ MISS_CTE = "mr AS (SELECT * FROM (" + _union([
     "ORDER BY abs(correlation) DESC, " + POS.format(x='feature_a') + ", " + POS.format(x='feature_b') + " LIMIT 1)"))
 def eda_summary(spark, d):
     """F25 as a tall table (metric, num, text)."""
-    rw = _rw(spark, d)
+    rw = reliable_checkpoint(_rw(spark, d))  # three statistics read the same readings
     prof = eda.entity_profile(rw, KEY, LABEL)
     base = prof.agg(F.sum("n_rows").cast("double").alias("n_rows"), F.count(F.lit(1)).cast("double").alias("n_patients"),
                     r6(F.avg("ever_positive")).alias("positive_rate"))

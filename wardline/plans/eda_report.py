@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators import eda, ml, windows as win
+from wardline.session import reliable_checkpoint
 from wardline.sources import files
 
 
 def run_eda(readings: DataFrame, channels: Sequence[str], key: str = "patient_id", label: str = "SepsisLabel",
             windows: DataFrame | None = None, out_dir: str | None = None, exact: bool = True) -> dict[str, DataFrame]:
+    # every statistic below reads the same readings: materialise them once
+    readings = reliable_checkpoint(readings)
     res = {
         "descriptive_statistics": eda.descriptive_stats(readings, channels, exact),
         "label_group_statistics": eda.label_group_stats(readings, channels, label),
