@@ -10,6 +10,7 @@ from wardline.catalog.alerts import cooldown_sql
 from wardline.catalog.registry import r6, register, round_doubles
 from wardline.operators import alerts as alerting, messages, series, tables
 from wardline.plans import report
+from wardline.session import reliable_checkpoint
 from wardline.sources import standin
 from wardline.sources.standin import CHANNELS as CH
 
@@ -24,7 +25,8 @@ def _vitals_flat(spark, d):
 
 
 def _alerts(spark, d):
-    return alerting.cooldown_alerts(standin.predictions(spark, d), 30, carry=["sepsis_probability"])
+    # raised alerts are small and read by several branches (audit rows, acknowledgements, counts)
+    return reliable_checkpoint(alerting.cooldown_alerts(standin.predictions(spark, d), 30, carry=["sepsis_probability"]))
 
 
 @register("latest_vitals", S.with_(*S.VITALS) + "SELECT patient_id, id, ts, " + ", ".join(S.q(c) for c in VIT)
