@@ -139,3 +139,38 @@ def test_asof_carries_across_days(spark):
                                  "pid long, patient_id string, created_at timestamp")
     got = {r.pid: r.v_id for r in alerts.asof_latest(left, vit, "patient_id", "created_at", "ts", "id", ["HR"]).collect()}
     assert got == {10: 1, 11: 2, 12: 2, 13: None, 14: 2, 15: None}
+
+
+def test_cooldown_with_existing_alerts_matches_python_fold(spark):
+    import random
+    rnd = random.Random(13)
+    preds, manual, rid = [], [], 0
+    for pid in ("a", "b"):
+        m = 0
+        for _ in range(120):
+            m += rnd.choice([1, 3, 7, 15, 29, 31, 60])
+            if rnd.random() < 0.1:
+                manual.append((pid, m, rnd.choice(["Low", "High", "Critical"])))
+            else:
+                preds.append((rid, pid, m, rnd.choice(["High", "Critical", "Low"])))
+                rid += 1
+    # reference fold over the merged sequence; existing alerts update the state and come first at equal times
+    events = [(p, m, 0, lvl, None) for p, m, lvl in manual] + [(p, m, 1, lvl, i) for i, p, m, lvl in preds]
+    exp, state = set(), {}
+    for p, m, kind, lvl, i in sorted(events, key=lambda e: (e[0], e[1], e[2], e[4] if e[4] is not None else -1)):
+        r = vocab.RISK_RANK.get(lvl, 0)
+        if kind == 0:
+            state[p] = (m, r)
+            continue
+        if lvl not in ("High", "Critical"):
+            continue
+        last = state.get(p)
+        if last is None or r > last[1] or m - last[0] >= 30:
+            exp.add(i)
+            state[p] = (m, r)
+    df = spark.createDataFrame([(i, p, T0 + dt.timedelta(minutes=m), lvl, 0.5) for i, p, m, lvl in preds],
+                               "id long, patient_id string, created_at timestamp, risk_level string, sepsis_probability double")
+    ex = spark.createDataFrame([(p, T0 + dt.timedelta(minutes=m), lvl) for p, m, lvl in manual],
+                               "patient_id string, created_at timestamp, risk_level string")
+    assert {r.id for r in alerts.cooldown_alerts(df, 30, existing=ex).collect()} == exp
+    assert {r.id for r in alerts.cooldown_alerts(df, 30, existing=ex, max_fold=0).collect()} == exp
