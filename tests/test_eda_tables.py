@@ -102,3 +102,16 @@ def test_patch_applies_explicit_null(spark):
     patch = spark.createDataFrame([("p1", ["age"], None, None)], "patient_id string, set_fields array<string>, current_status string, age double")
     r = tables.apply_patch(base, patch, "patient_id", ["current_status", "age"]).first()
     assert r.age is None and r.current_status == "active"
+
+
+def test_latest_explanation_audit_rows_and_count(spark):
+    preds = spark.createDataFrame([(1, "p", T0, 0.2), (2, "p", T0 + dt.timedelta(hours=1), 0.7), (3, "q", T0, 0.4)],
+                                  "id long, patient_id string, created_at timestamp, sepsis_probability double")
+    hist = spark.createDataFrame([(2, "p", {"HR": 0.3}), (1, "p", {"HR": -0.1})],
+                                 "prediction_id long, patient_id string, shap_values map<string,double>")
+    got = {r.patient_id: (r.id, r.explanation_shap_values) for r in tables.latest_with_explanation(preds, hist).collect()}
+    assert got == {"p": (2, {"HR": 0.3}), "q": (3, None)}
+    audit = tables.audit_rows(preds, "system", "prediction_run", "prediction", "id", {"patient_id": F.col("patient_id")}, "created_at")
+    r = audit.filter("target_id = '2'").first()
+    assert r.id == "prediction_run:2" and r.details == {"patient_id": "p"} and r.actor == "system"
+    assert tables.row_count(preds).first().n == 3
