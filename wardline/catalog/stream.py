@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from wardline.catalog import sql as S
 from wardline.catalog.alerts import cooldown_sql
 from wardline.catalog.registry import register
-from wardline.operators import fill, impute, split as splitting
 from wardline.session import scratch_path
 from wardline.sources import standin
 from wardline.sources.standin import CHANNELS as CH
@@ -28,12 +27,11 @@ def _events_stream(spark, d):
 
 
 def _train_stats(spark, d):
-    """M1 statistics (train split only): medians after fill, then mean/std after median fill."""
-    rw = standin.readings_wide(spark, d)
-    sp = splitting.split_entities(rw, "patient_id", "SepsisLabel")
-    filled = fill.ffill_bfill(splitting.attach_split(rw, sp, "patient_id"), CH, "patient_id", "ICULOS")
-    med, scaler = impute.fit_medians_and_scaler(filled, CH)
-    return med, {c: v[0] for c, v in scaler.items()}, {c: v[1] for c, v in scaler.items()}
+    """M1 statistics (train split only): medians after fill, then mean/std after median fill.
+    ``prepare`` materialises the filled frame once; its windows are never computed here."""
+    from wardline.plans import preprocess
+    p = preprocess.prepare(standin.readings_wide(spark, d), CH)
+    return p.medians, {c: v[0] for c, v in p.scaler.items()}, {c: v[1] for c, v in p.scaler.items()}
 
 
 def _land(spark, df, name):
