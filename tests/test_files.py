@@ -50,3 +50,20 @@ def test_threshold_sidecar(spark):
         json.dump({"metrics_at_best_f1_threshold": {"threshold": 0.31}}, f)
     assert files.load_threshold(spark, p) == 0.31
     assert files.load_threshold(spark, os.path.join(d, "absent.json")) == vocab.FALLBACK_THRESHOLD
+
+
+def test_csv_table_and_topic_stream(spark):
+    d = tempfile.mkdtemp(prefix="wl-csv-")
+    with open(os.path.join(d, "d_items.csv"), "w") as f:
+        f.write("itemid,label,linksto,extra\n220045,Heart Rate,chartevents,x\n223761,Temperature Fahrenheit,chartevents,y\n")
+    t = files.read_csv_table(spark, d, "itemid long, label string, linksto string, extra string", ["itemid", "label"])
+    assert t.columns == ["itemid", "label"] and t.count() == 2
+    src = os.path.join(d, "msgs")
+    os.makedirs(src)
+    with open(os.path.join(src, "m.json"), "w") as f:
+        for topic in ("icu/p1/vitals", "icu/p1/status", "icu/p2/vitals", "icu/a/b/vitals"):
+            f.write(json.dumps({"topic": topic, "value": "{}", "arrival_ts": "2024-01-01T00:00:00Z"}) + "\n")
+    from wardline.streaming import jobs
+    jobs.run_available(files.topic_source(spark, src), os.path.join(d, "out"), os.path.join(d, "ckpt"))
+    got = sorted(r.topic for r in spark.read.parquet(os.path.join(d, "out")).collect())
+    assert got == ["icu/p1/vitals", "icu/p2/vitals"]
