@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from wardline.llm.common import Landed, ascii_lower, broadcast_if_small, let
 
 WINDOW = 10
-GRAM = 4
+GRAM = 6
 # Fixed pattern: everything but ASCII letters, digits and non-ASCII characters separates words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The same on text that is not lower-cased yet.
@@ -51,8 +51,9 @@ def loose_lower(text: Column) -> Column:
     return F.lower(F.replace(text, F.lit("Σ"), F.lit("σ")))
 
 
-def _tail(a: Column, k: int) -> Column:
-    return F.slice(a, k + 1, F.lit(1 << 30))
+def _with_shifted(a: Column, by: int, combine) -> Column:
+    """Combine each entry with the one ``by`` places on (null past the end)."""
+    return let(a, lambda g: F.zip_with(g, F.slice(g, by + 1, F.lit(1 << 30)), combine))
 
 
 def grams(hashes: Column, size: int) -> Column:
@@ -61,7 +62,7 @@ def grams(hashes: Column, size: int) -> Column:
     while have < size:
         step = min(have, size - have)
         # overlapping halves cover the gram: (have words) + (have words, shifted by step)
-        out = let(out, lambda g, s=step: F.zip_with(g, _tail(g, s), lambda x, y: F.xxhash64(x, y)))
+        out = _with_shifted(out, step, lambda x, y: F.xxhash64(x, y))
         have += step
     return out
 
@@ -71,7 +72,7 @@ def window_min(values: Column, width: int) -> Column:
     out, have = values, 1
     while have < width:
         step = min(have, width - have)
-        out = let(out, lambda g, s=step: F.zip_with(g, _tail(g, s), lambda x, y: F.least(x, y)))
+        out = _with_shifted(out, step, lambda x, y: F.least(x, y))
         have += step
     return out
 
@@ -85,6 +86,10 @@ def fingerprints(w: Column) -> Column:
     return F.array_distinct(window_min(grams(word_hashes(w), GRAM), WINDOW - GRAM + 1))
 
 
+def _of_kind(kind: int, values: Column) -> Column:
+    return F.transform(values, lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("fp")))
+
+
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Distinct items with words: ikey, item_id, exact words (iw), loosely folded words (lw)."""
     t = F.coalesce(F.col(text_col), F.lit(""))
@@ -127,12 +132,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     in_full = F.slice(window_min(grams(hashes, GRAM), WINDOW - GRAM + 1), F.lit(1), F.col("size") - WINDOW + 1)
     wanted = [items.df.filter(F.col("size") >= WINDOW).select(
         F.lit(0).alias("kind"), "ikey", F.explode(F.array_distinct(in_full)).alias("fp"))]
-    prints = [F.transform(fingerprints(loose), lambda h: F.struct(F.lit(0).alias("kind"), h.alias("fp")))]
+    prints = [_of_kind(0, fingerprints(loose))]
     for g in sorted({min(s, GRAM) for s in short}):
         part = items.df.filter((F.col("size") < WINDOW) & (F.least(F.col("size"), F.lit(GRAM)) == g))
         wanted.append(part.select(F.lit(g).alias("kind"), "ikey", F.get(grams(hashes, g), F.lit(0)).alias("fp")))
-        prints.append(F.transform(F.array_distinct(grams(word_hashes(loose), g)),
-                                  lambda h, k=g: F.struct(F.lit(k).alias("kind"), h.alias("fp"))))
+        prints.append(_of_kind(g, F.array_distinct(grams(word_hashes(loose), g))))
     wanted = Landed(reduce(DataFrame.unionByName, wanted).distinct(), "bench-prints")
     hits = (base.select("k1", "k2", F.explode(prints[0] if len(prints) == 1 else F.concat(*prints)).alias("f"))
             .select("k1", "k2", "f.kind", "f.fp")
