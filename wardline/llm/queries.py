@@ -68,3 +68,28 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@_register("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from wardline.llm.token_counts import token_counts
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, model).select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
+        (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@_register("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.common import crc32_mod3
+    from wardline.llm.toxicity import toxicity, train
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc32_mod3(F.col("doc_id")) == 1
+    weights = train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    scored = toxicity(docs, weights)
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
