@@ -93,3 +93,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(docs, weights)
     return scored.select("doc_id", held_out.alias("held_out"), "score",
                          F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@_register("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.common import crc32_mod3
+    from wardline.llm.language_id import language, train
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc32_mod3(F.col("doc_id")) == 1
+    net = train(docs.filter(~held_out))
+    return language(docs.select("doc_id", "text"), net).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
