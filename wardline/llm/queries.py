@@ -104,3 +104,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = train(docs.filter(~held_out))
     return language(docs.select("doc_id", "text"), net).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@_register("op3_simhash")
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.simhash import hex_fingerprint, near_groups
+    found = near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
