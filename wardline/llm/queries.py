@@ -111,3 +111,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardline.llm.simhash import hex_fingerprint, near_groups
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@_register("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.pii_crf import find_personal_data
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "pii.n_email", "pii.n_ip", "pii.n_card", "pii.n_phone",
+                        F.sha2("pii.base", 256).alias("base_sha256"), "pii.spans")
