@@ -23,6 +23,7 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -302,6 +303,7 @@ def find_batch(texts: list[str | None], field: Field) -> list[tuple[dict, list[t
     scores = [field.scores([texts[i][s:e] for s, e in run]) for i, run in runs]
     added: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     taken = [sorted(s for spans in b.values() for s in spans) for b in base]
+    reach = [list(accumulate((e for _, e in spans), max)) for spans in taken]  # furthest end so far
     for (i, run), score, labels in zip(runs, scores, viterbi(field, scores), strict=True):
         edges = np.flatnonzero(np.diff(labels)) + 1
         for part in np.split(np.arange(len(labels)), edges):
@@ -313,7 +315,8 @@ def find_batch(texts: list[str | None], field: Field) -> list[tuple[dict, list[t
             # several numbers side by side are spans of their own
             spans = [whole] if _plausible(kind, texts[i][slice(*whole)]) else [_trim(texts[i], *run[j]) for j in part]
             for s, e in spans:
-                touched = bisect_left(taken[i], (e,)) and max(b for _, b in taken[i][:bisect_left(taken[i], (e,))]) > s
+                before = bisect_left(taken[i], (e,))
+                touched = before and reach[i][before - 1] > s
                 if e > s and not touched and _plausible(kind, texts[i][s:e]):
                     added[i].append((kind, s, e))
     out = []

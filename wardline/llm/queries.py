@@ -119,3 +119,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "pii.n_email", "pii.n_ip", "pii.n_card", "pii.n_phone",
                         F.sha2("pii.base", 256).alias("base_sha256"), "pii.spans")
+
+
+@_register("op8_sharding")
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.sharding import balanced_shards, equal_text_links
+    docs = table(spark, sf_dir, "documents")
+    placed = balanced_shards(docs, equal_text_links(docs))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
