@@ -144,3 +144,11 @@ def op4_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "scores", "others",
                        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == text).alias("round_trip"))
+
+
+@_register("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.suffix_dedup import repeated_spans
+    found = repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
