@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEGMENT = re.compile(r" +[^ \n]*|\n[^ \n]*")
-BUCKETS = 256
-TOP = 64
-TRACKED = 512
+# Fewer buckets than the number of groups at which hash aggregation of sketches turns to sorting its input.
+BUCKETS = 64
+TOP = 256
+TRACKED = 2048
 MAX_KEY = 24
 CACHE_ENTRIES = 300_000
 
