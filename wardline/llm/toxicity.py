@@ -30,7 +30,7 @@ from wardline.llm.words_np import hashed_blocks, mix
 
 BITS = 22
 DIMENSIONS = 1 << BITS
-SAMPLE_TOXIC = 5_000
+SAMPLE_TOXIC = 3_000
 CLEAN_PER_TOXIC = 2
 SAMPLE_BYTES = 20_000
 EPOCHS = 4
@@ -76,9 +76,9 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, al
         return np.where(np.abs(zi) <= penalty, 0.0,
                         -(zi - np.sign(zi) * penalty) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
-    rows = [np.append(x, DIMENSIONS) for x in examples]
     for _ in range(epochs):
-        for i, y in zip(rows, labels, strict=True):
+        for x, y in zip(examples, labels, strict=True):
+            i = np.append(x, DIMENSIONS).astype(np.int64)
             w = weight(i)
             g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             ni = n[i]
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     y = rows["y"].to_numpy().astype(float)
     lists = rows["x"].combine_chunks()
     values, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
-    return fit([values[a:b].astype(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], y)
+    return fit([values[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], y)
 
 
 def toxicity(docs: DataFrame, weights: Weights | None, text_col: str = "text", out: str = "score") -> DataFrame:
