@@ -1,18 +1,18 @@
-"""Exact quantiles (linear interpolation) without holding a column in one task.
+"""Exact quantiles (linear interpolation) by counting, without gathering values.
 
-``percentile`` keeps every value of a group in one aggregation buffer; for a
-global statistic that is the whole column in one task. Here:
+The order statistics that a quantile needs are found by narrowing intervals:
 
-1. one pass computes ``percentile_approx`` at ranks q ± 2/accuracy, giving a
-   bracket [lo, hi] around each needed order statistic, plus the count;
-2. a second pass counts values below lo, counts values equal to lo and hi,
-   and collects only the values strictly inside the bracket — at most a few
-   n/accuracy values, whatever the ties.
+1. one pass takes count, minimum and maximum of every column;
+2. each further pass cuts every open interval into BUCKETS equal parts and
+   counts values per part (with the part's own minimum and maximum), by partial
+   aggregation; the part that holds the wanted rank is the next interval;
+3. an interval is closed when its minimum equals its maximum.
 
-The k-th order statistic is then read from the bracket on the driver. Both
-passes are single distributed aggregations over all columns at once. When the
-first pass finds few values in total (``small_total``), the exact in-memory
-percentile finishes the job in one more pass instead.
+A pass shuffles and returns at most (open intervals) x BUCKETS rows per task,
+whatever the number of rows; no value is collected and no sketch is built. At
+least two parts hold values in each pass (those of the minimum and maximum), so
+every pass narrows every open interval; five or six passes close intervals of
+64-bit doubles unless the values span hundreds of orders of magnitude.
 """
 
 from __future__ import annotations
@@ -20,109 +20,79 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.session import reliable_checkpoint
+from wardline.session import write_scratch
 
-ACCURACY = 1_000_000
-# below this many values (all columns together) the exact in-memory percentile is used:
-# one more pass, and its buffers stay small enough for one task
-SMALL_TOTAL = 2_000_000
+BUCKETS = 1024
 
 
-def _bounds(q: float, accuracy: int) -> tuple[float, float]:
-    d = 2.0 / accuracy
-    return max(0.0, q - d), min(1.0, q + d)
+def _part(x: Column, lo: float, hi: float) -> Column:
+    """Number of the equal part of [lo, hi] that holds ``x``."""
+    if math.isinf(hi - lo):  # halves, so that the width does not overflow
+        x, lo, hi = x * 0.5, lo * 0.5, hi * 0.5
+    return F.least(F.floor((x - lo) / F.lit(hi - lo) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], accuracy: int = ACCURACY,
-                    extra: Sequence = (), materialize: bool = True, small_total: int = SMALL_TOTAL) -> tuple[dict, object]:
-    """({(col, q): value or None}, first-pass row).
+def _narrow(df: DataFrame, intervals: list[tuple[str, float, float]]) -> dict[int, list[tuple[int, float, float]]]:
+    """(count, least, greatest) of the non-empty parts, in order, by interval number."""
+    hits = []
+    for k, (c, lo, hi) in enumerate(intervals):
+        x = F.col(c).cast("double")
+        hits.append(F.when((x >= lo) & (x <= hi), F.struct(F.lit(k).alias("k"), _part(x, lo, hi).alias("part"), x.alias("x"))))
+    tall = df.select(F.inline(F.filter(F.array(*hits), lambda h: h.isNotNull())))
+    rows = tall.groupBy("k", "part").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+    out: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r["k"], r["part"])):
+        out.setdefault(r["k"], []).append((r["n"], r["lo"], r["hi"]))
+    return out
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], extra: Sequence = ()) -> tuple[dict, object]:
+    """({(col, q): value or None}, first-pass row). NULL and NaN are no values.
 
     ``extra`` aggregates ride along in the first pass and may reference only
-    ``cols``. With ``materialize`` the projected columns are checkpointed once,
-    so the passes do not recompute an expensive input lineage.
+    ``cols``. The projected columns are written once, so that the passes do not
+    recompute the input's lineage.
     """
-    probs = []
-    for q in qs:
-        probs += list(_bounds(q, accuracy))
+    stored = write_scratch(df.select(*[F.col(c) for c in cols]), "quantiles")
+    clean = stored.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
     aggs = []
     for c in cols:
-        aggs += [F.count(c).alias(f"{c}__n"), F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(f"{c}__b")]
-    r1 = df.agg(*aggs, *extra).collect()[0]
-    total = sum(r1[f"{c}__n"] or 0 for c in cols)
-    if total <= small_total:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), list(qs)).alias(c) for c in cols]).collect()[0]
-        return {(c, q): (row[c][i] if row[c] is not None else None) for c in cols for i, q in enumerate(qs)}, r1
-    if materialize:
-        # the bracket passes read the projected columns once written, not the input lineage
-        df = reliable_checkpoint(df.select(*[F.col(c) for c in cols]))
-    aggs2, plan, mids = [], {}, []
+        aggs += [F.count(c).alias(f"{c}__n"), F.min(c).alias(f"{c}__lo"), F.max(c).alias(f"{c}__hi")]
+    first = clean.agg(*aggs).collect()[0]
+    row = stored.agg(*extra).collect()[0] if extra else first
+
+    # rank -> (interval, rank within it); a closed interval is a value
+    want: dict[tuple[str, int], tuple[float, float, int]] = {}
+    for c in cols:
+        n = first[f"{c}__n"]
+        for q in qs if n else ():
+            for k in (math.floor(q * (n - 1)), math.ceil(q * (n - 1))):
+                want[c, k] = (first[f"{c}__lo"], first[f"{c}__hi"], k)
+    while True:
+        open_ = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in want.items() if lo != hi})
+        if not open_:
+            break
+        parts = _narrow(clean, open_)
+        number = {interval: k for k, interval in enumerate(open_)}
+        for (c, k), (lo, hi, rank) in want.items():
+            if lo == hi:
+                continue
+            for n, least, greatest in parts[number[c, lo, hi]]:
+                if rank < n:
+                    want[c, k] = (least, greatest, rank)
+                    break
+                rank -= n
+    out: dict = {}
     for c in cols:
-        n = r1[f"{c}__n"]
-        if not n:
-            continue
-        b = r1[f"{c}__b"]
-        for i, q in enumerate(qs):
-            lo, hi = b[2 * i], b[2 * i + 1]
-            key = f"{c}__{i}"
-            plan[(c, q)] = (n, key)
-            x = F.col(c).cast("double")
-            mids.append(F.when((x > lo) & (x < hi), F.struct(F.lit(key).alias("k"), x.alias("v"))))
-            aggs2 += [F.count_if(x < lo).alias(f"{key}__lt"), F.count_if(x == lo).alias(f"{key}__eqlo"),
-                      F.count_if(x == hi).alias(f"{key}__eqhi"),
-                      F.lit(lo).alias(f"{key}__lo"), F.lit(hi).alias(f"{key}__hi"),
-                      # nearest distinct values just outside the bracket: interpolation needs two adjacent
-                      # order statistics, and a narrow bracket (few values) may hold only one of them
-                      F.max(F.when(x < lo, x)).alias(f"{key}__below"), F.min(F.when(x > hi, x)).alias(f"{key}__above")]
-    out = {(c, q): None for c in cols for q in qs}
-    if not aggs2:
-        return out, r1
-    # counts and neighbours: plain aggregates (code-generated); the values strictly inside the
-    # brackets: a filtered projection whose output is bounded by the bracket sizes
-    r2 = df.agg(*aggs2).collect()[0]
-    inside: dict[str, list[float]] = {}
-    for row in df.select(F.inline(F.filter(F.array(*mids), lambda m: m.isNotNull()))).collect():
-        inside.setdefault(row["k"], []).append(row["v"])
-    for (c, q), (n, key) in plan.items():
-        lt, eqlo, eqhi = r2[f"{key}__lt"], r2[f"{key}__eqlo"], r2[f"{key}__eqhi"]
-        mid = sorted(inside.get(key, []))
-        lo, hi = r2[f"{key}__lo"], r2[f"{key}__hi"]
-        eqhi = 0 if hi == lo else eqhi
-
-        # the largest value below the bracket is exactly the order statistic at rank lt - 1, the
-        # smallest value above it the one right after the bracket; further out is a miss
-        below, above = r2[f"{key}__below"], r2[f"{key}__above"]
-        nbelow, nabove = int(below is not None), int(above is not None)
-
-        def kth(k):
-            if k < lt - nbelow:
-                return None
-            if k < lt:
-                return below
-            k -= lt
-            if k < eqlo:
-                return lo
-            k -= eqlo
-            if k < len(mid):
-                return mid[k]
-            k -= len(mid)
-            if k < eqhi:
-                return hi
-            k -= eqhi
-            return above if k < nabove else None
-
-        pos = q * (n - 1)
-        k0, k1 = math.floor(pos), math.ceil(pos)
-        v0, v1 = kth(k0), kth(k1)
-        if v0 is None or v1 is None:
-            # the approximate ranks are guaranteed within n/accuracy, so a miss is not expected;
-            # retry once with a ten times wider (still bounded) bracket rather than collecting the column
-            if accuracy <= 1000:
-                raise RuntimeError(f"quantile bracket missed for {c} at {q}")
-            again, _ = exact_quantiles(df.select(c), [c], [q], accuracy // 10, materialize=False, small_total=0)
-            out[(c, q)] = again[(c, q)]
-            continue
-        out[(c, q)] = v0 if k0 == k1 else v0 + (pos - k0) * (v1 - v0)
-    return out, r1
+        n = first[f"{c}__n"]
+        for q in qs:
+            if not n:
+                out[c, q] = None
+                continue
+            pos = q * (n - 1)
+            v0, v1 = want[c, math.floor(pos)][0], want[c, math.ceil(pos)][0]
+            out[c, q] = v0 if v0 == v1 else v0 + (pos - math.floor(pos)) * (v1 - v0)
+    return out, row

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 
@@ -77,7 +78,33 @@ def _counter_gen():
 _counter = _counter_gen()
 
 
+_written: list[str] = []
+
+
+def write_scratch(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder (survives executor loss, reads prune columns).
+
+    ``drop_scratch`` deletes the tables written so far; it also runs when the driver exits.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    if not _written:
+        atexit.register(drop_scratch)
+    _written.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch() -> None:
+    """Delete every table of ``write_scratch`` whose session still lives."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a written table, without a name of its own."""
+    return write_scratch(df, "step")
