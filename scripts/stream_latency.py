@@ -49,10 +49,10 @@ def measure(spark: SparkSession, base: str, channels, medians, mean, std, model,
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 10).json(src)
     v = messages.validate_messages(stream, "value", "topic")
     readings = messages.decode_accepted(v, channels).select(
-        F.col("topic_patient").alias("patient_id"), "message_id", F.col("timestamp").cast("timestamp").alias("timestamp"),
+        "patient_id", "message_id", F.col("timestamp").cast("timestamp").alias("timestamp"),
         *[F.col(f"channels.{c}").alias(c) for c in channels])
     windows = state.stream_windows(readings, channels, medians, mean, std, window_size)
-    feats = windows.withColumn("features", array_to_vector(F.transform(F.flatten("X"), lambda x: x.cast("double"))))
+    feats = windows.withColumn("features", array_to_vector(F.transform("X", lambda x: x.cast("double"))))
     p = vector_to_array(F.col("probability"))[1]
     scored = model.transform(feats).select("patient_id", "message_id", "window_end", p.alias("sepsis_probability"),
                                            clinical.risk_level(p).alias("risk_level"))

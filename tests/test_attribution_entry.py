@@ -14,11 +14,39 @@ def test_attribution_is_additive(spark):
         return 1 / (1 + np.exp(-(m[:, 0] * m[:, 1] + np.sin(m[:, 2]) - m[:, 3] ** 2)))
 
     fill = F.array(*[F.lit(float(v)) for v in [0.1, -0.2, 0.3, 0.0]])
-    expl = attribution.explain_windows(w, ["a", "b", "c", "d"], fill, ["wid"], lambda df: ml.score(df, predict))
+    expl = attribution.explain_windows(w, ["a", "b", "c", "d"], fill, ["wid"], predict)
     gaps = [abs(r.additivity_gap) for r in attribution.additivity_gap(expl).collect()]
     assert len(gaps) == 50 and max(gaps) < 1e-9
-    top = attribution.top_contributions(expl, 2).first().top_contributing_features
+    r = attribution.top_contributions(expl, 2, ["a", "b", "c", "d"]).first()
+    top = r.top_contributing_features
     assert len(top) == 2 and abs(top[0].contribution) >= abs(top[1].contribution)
+    last = dict(rows)[r.wid][-1]
+    assert [t.observed_value for t in top] == [last["abcd".index(t.feature)] for t in top]
+
+
+def test_walks_match_scoring_each_coalition_alone():
+    rng = np.random.default_rng(5)
+    x, fill, order = rng.normal(size=(3, 4)), rng.normal(size=4), np.array([2, 0, 3, 1])
+
+    def predict(X):
+        return np.tanh(X.sum(axis=1)[:, 0] * X[:, -1, 1] + X[:, 0, 2] - X[:, 1, 3])
+
+    want = np.zeros(4)
+    for walk in (order, order[::-1]):
+        now = np.tile(fill, (3, 1))
+        for c in walk:
+            before = predict(now[None])[0]
+            now = now.copy()
+            now[:, c] = x[:, c]
+            want[c] += (predict(now[None])[0] - before) / 2
+    base, full, got = attribution.score_walks(x, order, fill, predict)
+    assert np.allclose(got, want) and np.isclose(base, predict(np.tile(fill, (1, 3, 1)))[0]) and np.isclose(full, predict(x[None])[0])
+
+
+def test_ties_go_by_channel_position(spark):
+    df = spark.createDataFrame([({"b": 0.5, "a": -0.5, "c": 0.1},)], "shap_values map<string,double>")
+    top = attribution.top_contributions(df, 2, ["c", "b", "a"]).first().top_contributing_features
+    assert [t.feature for t in top] == ["b", "a"]
 
 
 def test_rf_importance_ranks_informative_first(spark):

@@ -115,3 +115,21 @@ def test_latest_explanation_audit_rows_and_count(spark):
     r = audit.filter("target_id = '2'").first()
     assert r.id == "prediction_run:2" and r.details == {"patient_id": "p"} and r.actor == "system"
     assert tables.row_count(preds).first().n == 3
+
+
+def test_several_patches_of_a_key_act_in_order(spark):
+    base = spark.createDataFrame([("p", "active", 50, 0), ("q", "active", 60, 0)], "patient_id string, current_status string, age int, updated_at int")
+    patch = spark.createDataFrame([("p", ["current_status"], "left", None, 1), ("p", ["current_status", "age"], "back", None, 2),
+                                   ("p", ["age"], "ignored", 51, 3)],
+                                  "patient_id string, set_fields array<string>, current_status string, age int, ts int")
+    out = {r.patient_id: tuple(r) for r in tables.apply_patch(base, patch, "patient_id", ["current_status", "age"],
+                                                               updated_at=F.col("ts"), order=["ts"]).collect()}
+    assert out == {"p": ("p", "back", 51, 3), "q": ("q", "active", 60, 0)}
+
+
+def test_acknowledgement_audit(spark):
+    alerts = spark.createDataFrame([(1,), (2,)], "id long")
+    acks = spark.createDataFrame([(1, "nurse", 10), (1, "doctor", 5), (9, "x", 1)], "id long, acknowledged_by string, acknowledged_at int")
+    rows = tables.acknowledge_audit(alerts, acks).collect()
+    assert [(r.actor, r.target_id, r.action) for r in rows] == [("doctor", "1", "alert_acknowledged")]
+    assert [r.id for r in tables.unmatched(acks, alerts, "id").collect()] == [9]

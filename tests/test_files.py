@@ -52,6 +52,30 @@ def test_threshold_sidecar(spark):
     assert files.load_threshold(spark, os.path.join(d, "absent.json")) == vocab.FALLBACK_THRESHOLD
 
 
+def test_threshold_is_read_from_what_evaluation_writes(spark):
+    from wardline.plans import evaluate
+    rows = [(int(k % 3 == 0), 0.9 - k / 100 if k % 3 == 0 else 0.5 - k / 200) for k in range(60)]
+    scored = spark.createDataFrame(rows, "y int, score double")
+    d = tempfile.mkdtemp(prefix="wl-metrics-")
+    files.write_json(evaluate.metrics_row(scored), os.path.join(d, "metrics"))
+    row = evaluate.metrics_row(scored).first()
+    assert files.load_threshold(spark, os.path.join(d, "metrics")) == row.metrics_at_best_f1_threshold.threshold
+    assert row.n_samples == 60 and abs(row.positive_rate - 1 / 3) < 1e-12 and row["metrics_at_0_5"].threshold == 0.5
+    lines = [r.value.split() for r in evaluate.text_report(scored, 0.5).collect()]
+    assert lines[0][0] == "label" and {x[0] for x in lines[1:]} == {"0", "1", "accuracy", "macro", "weighted"}
+    with open(os.path.join(d, "bad.json"), "w") as f:
+        f.write("no json")
+    assert files.load_threshold(spark, os.path.join(d, "bad.json")) == vocab.FALLBACK_THRESHOLD
+
+
+def test_limit_goes_by_full_path(spark):
+    root = tempfile.mkdtemp(prefix="wl-limit-")
+    _write(os.path.join(root, "setA", "p000009.psv"), CANON, _rows(2))
+    _write(os.path.join(root, "setB", "p000001.psv"), CANON, _rows(2))
+    got = files.read_patient_files(spark, root, ["setA", "setB"], limit=1)
+    assert {r.patient_id for r in got.collect()} == {"p000009"}
+
+
 def test_csv_table_and_topic_stream(spark):
     d = tempfile.mkdtemp(prefix="wl-csv-")
     with open(os.path.join(d, "d_items.csv"), "w") as f:

@@ -9,9 +9,12 @@ from wardline.operators import series
 def test_display_helpers(spark):
     df = spark.createDataFrame([("2024-01-02T03:04:05Z",), ("2024-01-02T03:04:05.123456",), ("not a time",), (None,)], "t string")
     got = [r[0] for r in df.select(clinical.display_time(F.col("t"))).collect()]
-    assert got == ["2024-01-02 03:04", "2024-01-02 03:04", "not a time", "--"]
-    nums = spark.createDataFrame([(82.25,), (82.35,), (None,), (7.0,)], "x double")
-    assert [r[0] for r in nums.select(clinical.one_decimal(F.col("x"))).collect()] == ["82.2", "82.4", "--", "7.0"]
+    assert got == ["2024-01-02 03:04 UTC", "2024-01-02 03:04 UTC", "not a time", "--"]
+    values = [82.25, 82.35, 36.45, 0.15, 98.65, 7.0, 0.25, 0.35, -0.05, -12.34, 0.0, 99.95, 1e18, 123456789.25]
+    values += [k / 100 for k in range(3500, 4300)]
+    nums = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+    got = [r[0] for r in nums.select(clinical.one_decimal(F.col("x"))).collect()]
+    assert got == [f"{v:.1f}" for v in values] + ["--"]
 
 
 def test_topics_window_start_and_channels(spark):

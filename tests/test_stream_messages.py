@@ -28,6 +28,29 @@ def test_message_rules(spark):
     assert _reason(spark, json.dumps({**good, "channels": {"HR": True}})) is None
 
 
+def test_unknown_channels_are_rejected(spark):
+    rows = [(1, "icu/p/vitals", json.dumps({"patient_id": "p", "timestamp": "t", "source": "iot_sensor", "channels": c}))
+            for c in ({"HR": 1}, {"HR": 1, "Zz": 2, "Aa": None}, {"HR": "x", "Zz": 1})]
+    df = spark.createDataFrame(rows, "message_id long, topic string, value string")
+    got = [r.reason for r in messages.validate_messages(df, vocabulary=["HR"]).collect()]
+    assert got == [None, "unknown channel 'Aa'", "channel 'HR' must be a number or null, got str"]
+
+
+def test_cooldown_jumps_match_a_plain_fold():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n = int(rng.integers(0, 40))
+        us, rank = np.sort(rng.integers(0, 100, n)), rng.integers(1, 4, n)
+        last = (None, None) if rng.random() < 0.5 else (int(rng.integers(-20, 60)), int(rng.integers(1, 4)))
+        want, (t, r) = [], last
+        for i in range(n):
+            if t is None or rank[i] > r or us[i] - t >= 15:
+                want.append(i)
+                t, r = us[i], rank[i]
+        assert state.raised_positions(us, rank, 15, *last) == want
+
+
 def _write_events(path, rows):
     os.makedirs(path, exist_ok=True)
     pd.DataFrame(rows, columns=["patient_id", "message_id", "timestamp", "HR", "Temp"]).to_parquet(
@@ -54,8 +77,9 @@ def test_stream_window_state_survives_restart(spark):
     got = run().orderBy("message_id").collect()
     assert [r.message_id for r in got] == [7, 8, 9]  # state carried across the restart
     first = got[0].X
-    assert len(first) == 8 and abs(first[0][0] - 1.0) < 1e-6 and abs(first[-1][0] - 1.0) < 1e-6  # (101-84)/17, carried forward
-    assert abs(first[0][1] - 0.0) < 1e-6  # never seen → median 37 → (37-37)/1
+    assert len(first) == 16 and abs(first[0] - 1.0) < 1e-6 and abs(first[-2] - 1.0) < 1e-6  # (101-84)/17, carried forward
+    assert abs(first[1] - 0.0) < 1e-6  # never seen → median 37 → (37-37)/1
+    assert [r.reading for r in got] == [[None, None]] * 3  # the readings' own values
 
 
 def test_ingest_lands_accepted_rejected_and_provisions_once(spark):
@@ -64,8 +88,9 @@ def test_ingest_lands_accepted_rejected_and_provisions_once(spark):
     src = os.path.join(base, "src")
     os.makedirs(src)
     good = lambda pid, ts: json.dumps({"patient_id": pid, "timestamp": ts, "source": "iot_sensor", "channels": {"HR": 80}})
+    # the payload names the patient: the second batch's first message stands on another patient's topic
     batches = [[("icu/p1/vitals", good("p1", "2024-01-01T00:00:00Z")), ("icu/p1/vitals", "{bad"), ("icu/p2/status", good("p2", "x"))],
-               [("icu/p1/vitals", good("p1", "2024-01-01T01:00:00Z")), ("icu/p3/vitals", good("p3", "2024-01-01T01:00:00Z"))]]
+               [("icu/p9/vitals", good("p1", "2024-01-01T01:00:00Z")), ("icu/p3/vitals", good("p3", "2024-01-01T01:00:00Z"))]]
     for i, rows in enumerate(batches):
         with open(os.path.join(src, f"m{i}.json"), "w") as f:
             for j, (topic, value) in enumerate(rows):
@@ -78,12 +103,13 @@ def test_ingest_lands_accepted_rejected_and_provisions_once(spark):
     assert [r.reason for r in rej] == [vocab.REJECT_NOT_JSON]
     pats = sorted(r.patient_id for r in spark.read.parquet(paths["patients"]).collect())
     assert pats == ["p1", "p3"]  # p1 provisioned once, p2 never subscribed
-    from wardline.streaming.jobs import validated_sink
+    assert {r.patient_id for r in spark.read.parquet(paths["accepted"]).collect()} == {"p1", "p3"}
+    from wardline.streaming.jobs import rejected_sink
     # replaying batch 1 reproduces its own output instead of dropping it
     replay = messages.validate_messages(spark.read.schema("message_id long, topic string, value string, arrival_ts timestamp")
                                         .json(os.path.join(src, "m1.json")), "value", "topic") \
-        .withColumn("topic_patient", F.regexp_extract("topic", "^icu/([^/]+)/", 1))
-    validated_sink(paths["accepted"], paths["rejected"], paths["patients"])(replay, 1)
+        .withColumn("patient_id", messages.payload_patient(F.col("value")))
+    rejected_sink(paths["rejected"], paths["patients"])(replay, 1)
     assert sorted(r.patient_id for r in spark.read.parquet(paths["patients"]).collect()) == ["p1", "p3"]
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wardline.catalog import sql as S
 from wardline.catalog.alerts import cooldown_sql
 from wardline.catalog.registry import register
+from wardline.catalog.tables import VALID
 from wardline.session import scratch_path
 from wardline.sources import standin
 from wardline.sources.standin import CHANNELS as CH
@@ -20,10 +21,10 @@ from wardline.streaming import jobs, state
 W = 8
 
 
-def _events_stream(spark, d):
+def _events_stream(spark, d, files_per_batch: int = 1):
     schema = standin.table(spark, d, "events").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(d))
+    # the pattern reads a single file and a folder of part files alike
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(os.path.join(d, "events.parque[t]"))
 
 
 def _train_stats(spark, d):
@@ -62,9 +63,9 @@ def stream_windows(spark, d):
     readings = jobs.events_as_readings(_events_stream(spark, d), CH)
     landed = _land(spark, state.stream_windows(readings, CH, med, mean, std, W), "stream_windows")
     t = landed.select("patient_id", "message_id", F.col("window_end").cast("timestamp_ntz").alias("window_end"),
-                      F.posexplode("X").alias("step", "_v"))
-    return t.select("patient_id", "message_id", "window_end", F.col("step").cast("int").alias("step"),
-                    *[F.col("_v")[i].cast("float").cast("double").alias(c) for i, c in enumerate(CH)])
+                      F.explode(F.sequence(F.lit(0), F.lit(W - 1))).alias("step"), "X")
+    return t.select("patient_id", "message_id", "window_end", "step",
+                    *[F.get("X", F.col("step") * len(CH) + i).cast("double").alias(c) for i, c in enumerate(CH)])
 
 
 @register("stream_alerts", S.with_recursive(*S.PRED, *cooldown_sql(30)) + "SELECT patient_id, id, created_at, risk_level FROM fold WHERE raised")
@@ -80,15 +81,101 @@ def stream_alerts(spark, d):
 
 @register("stream_scored_alerts")
 def stream_scored_alerts(spark, d):
-    """M6: messages → validation → keyed windows → Spark ML scoring → keyed cooldown → alerts (rows-only check)."""
-    from wardline.operators import ml
-    from wardline.plans import preprocess
-    p = preprocess.prepare(standin.readings_wide(spark, d), CH)
-    model, _ = ml.train_window_classifier(p.windows, reg=(0.01,))
-    mean = {c: v[0] for c, v in p.scaler.items()}
-    std = {c: v[1] for c, v in p.scaler.items()}
-    base = scratch_path(spark, "realtime")
-    msgs = standin.messages_from(_events_stream(spark, d))
-    paths = jobs.realtime(spark, msgs, CH, p.medians, mean, std, model, base)
+    """M6 with the selected Spark ML model: messages → … → alerts (rows-only check)."""
+    from wardline.catalog import ml as ml_catalog
+    p, model = ml_catalog._fit(spark, d)
+    paths = _realtime(spark, standin.messages_from(_events_stream(spark, d)), CH, p.medians, _part(p.scaler, 0), _part(p.scaler, 1),
+                      jobs.model_probability(model), "selected_logistic_regression")
     return spark.read.parquet(paths["alerts"]).select("patient_id", "id", F.col("created_at").cast("timestamp_ntz").alias("created_at"),
                                                        "risk_level", "message")
+
+
+def _part(scaler, i):
+    return {c: v[i] for c, v in scaler.items()}
+
+
+# A declared linear scorer on the last step, so that SQL can repeat the whole chain. "error" readings
+# are outside its vocabulary, so that their messages are rejected as unknown channels.
+LINEAR_CHANNELS = [c for c in CH if c != "error"]
+LINEAR_WEIGHTS = [round(0.9 - 0.35 * i, 2) for i in range(len(LINEAR_CHANNELS))]
+LINEAR_INTERCEPT = -0.6
+VITAL_CHANNELS = {v: c for v, c in standin.VITAL_STANDIN.items() if c in LINEAR_CHANNELS}
+
+
+def _realtime(spark, messages, channels, medians, mean, std, score, version):
+    return jobs.realtime(spark, messages, channels, medians, mean, std, score, scratch_path(spark, "realtime"), version,
+                         cooldown_minutes=30, vital_names=standin.VITAL_STANDIN)
+
+
+def _linear_alerts(spark, d, messages):
+    med, mean, std = _train_stats(spark, d)
+    return _realtime(spark, messages, LINEAR_CHANNELS, med, mean, std,
+                     jobs.linear_probability(LINEAR_WEIGHTS, LINEAR_INTERCEPT), "declared_linear")
+
+
+def _linear_sql() -> str:
+    known = ", ".join(f"'{c}'" for c in LINEAR_CHANNELS)
+    value = "CASE WHEN event_id % 20 = 8 THEN 1.0 ELSE value END"  # a JSON true counts as 1
+    order = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    zs = [f"CAST(CAST((coalesce(lr.{S.q(c)}, med.{S.q(c)}) - sc.{S.q(c + '__m')}) / sc.{S.q(c + '__s')} AS FLOAT) AS DOUBLE)"
+          for c in LINEAR_CHANNELS]
+    score = " + ".join([repr(LINEAR_INTERCEPT), *(f"{w!r} * {z}" for w, z in zip(LINEAR_WEIGHTS, zs, strict=True))])
+    ctes = [
+        *VALID,
+        f"le AS (SELECT e.user_id, e.event_id, e.ts, e.event_type, {value} AS val FROM events e JOIN vr ON vr.message_id = e.event_id "
+        f"WHERE vr.reason IS NULL AND e.event_type IN ({known}))",
+        "lr AS (SELECT user_id, event_id, ts, " + ", ".join(
+            f"last_value(CASE WHEN event_type = '{c}' THEN val END IGNORE NULLS) {order} AS {S.q(c)}" for c in LINEAR_CHANNELS)
+        + f", row_number() {order} AS rn FROM le)",
+        f"pred AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS patient_id, ts AS created_at, 1.0 / (1.0 + exp(-({score}))) AS p "
+        f"FROM lr, med, sc WHERE rn >= {W})",
+        S.PRED[1], *cooldown_sql(30),
+        "vit AS (SELECT event_id, " + ", ".join(f"CASE WHEN event_type = '{c}' THEN val END AS {S.q(v)}" for v, c in standin.VITAL_STANDIN.items())
+        + " FROM le)",
+    ]
+    return S.with_recursive(*S.SCALER, *ctes) + (
+        "SELECT a.patient_id, a.id, a.created_at, a.risk_level, "
+        + S.message_sql("a.risk_level", "a.patient_id", "a.sepsis_probability", S.reason_sql("v."))
+        + " AS message FROM (SELECT * FROM fold WHERE raised) a JOIN vit v ON v.event_id = a.id")
+
+
+def _alert_rows(spark, paths):
+    return spark.read.parquet(paths["alerts"]).select("patient_id", "id", F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+                                                       "risk_level", "message")
+
+
+@register("stream_messages_alerts", _linear_sql())
+def stream_messages_alerts(spark, d):
+    """M6 with the declared linear scorer: messages → validation → windows → score → cooldown → reason and message."""
+    return _alert_rows(spark, _linear_alerts(spark, d, standin.messages_from(_events_stream(spark, d, 1000))))
+
+
+@register("stream_messages_alerts_batches", _linear_sql())
+def stream_messages_alerts_batches(spark, d):
+    """The same over micro-batches: the messages arrive in five files, one after the other."""
+    msgs = standin.messages(spark, d)
+    lo, hi = msgs.agg(F.min("arrival_ts").alias("lo"), F.max("arrival_ts").alias("hi")).first()
+    src = scratch_path(spark, "arrivals")
+    cuts = [lo + (hi - lo) * k / 5 for k in range(1, 5)]
+    for k in range(5):
+        part = msgs
+        if k:
+            part = part.filter(F.col("arrival_ts") >= F.lit(cuts[k - 1]).cast("timestamp_ntz"))
+        if k < 4:
+            part = part.filter(F.col("arrival_ts") < F.lit(cuts[k]).cast("timestamp_ntz"))
+        part.coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(msgs.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    return _alert_rows(spark, _linear_alerts(spark, d, stream))
+
+
+_AUDIT_SQL = _linear_sql().rsplit("SELECT a.patient_id", 1)[0] + (
+    "SELECT 'alert_dispatched:' || CAST(id AS VARCHAR) AS id, 'system' AS actor, 'alert_dispatched' AS action, "
+    "CAST(id AS VARCHAR) AS target_id, patient_id, risk_level FROM fold WHERE raised")
+
+
+@register("stream_alert_audit", _AUDIT_SQL)
+def stream_alert_audit(spark, d):
+    """L5 in the stream: one audit row per dispatched alert."""
+    paths = _linear_alerts(spark, d, standin.messages_from(_events_stream(spark, d, 1000)))
+    return spark.read.parquet(paths["audit"]).select("id", "actor", "action", "target_id", F.col("details")["patient_id"].alias("patient_id"),
+                                                     F.col("details")["risk_level"].alias("risk_level"))

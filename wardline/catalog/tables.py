@@ -281,12 +281,12 @@ def _report_sql():
             "(SELECT * FROM preds QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY created_at DESC, id DESC) <= 12) GROUP BY 1)",
             "la AS (SELECT patient_id, count(*) AS n_alerts, max(created_at) AS last_alert_at FROM al GROUP BY 1)",
             "lv AS (SELECT * FROM vit QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY ts DESC, id DESC) = 1)"]
-    vit_txt = ", ".join(f"coalesce(printf('%.1f', round_even(lv.{S.q(c)}, 1)), '--') AS {S.q(c + '_text')}" for c in VIT)
+    vit_txt = ", ".join(f"coalesce(printf('%.1f', lv.{S.q(c)}), '--') AS {S.q(c + '_text')}" for c in VIT)
     return S.with_recursive(*ctes) + (
         "SELECT p.patient_id, p.current_status, p.created_by, coalesce(lp.n_predictions, 0) AS n_predictions, "
         "round(lp.latest_probability, 6) AS latest_probability, lp.latest_risk_level, "
-        "coalesce(strftime(lp.latest_at, '%Y-%m-%d %H:%M'), '--') AS latest_at_text, round(lp.max_probability, 6) AS max_probability, "
-        "coalesce(la.n_alerts, 0) AS n_alerts, coalesce(strftime(la.last_alert_at, '%Y-%m-%d %H:%M'), '--') AS last_alert_at_text, "
+        "coalesce(strftime(lp.latest_at, '%Y-%m-%d %H:%M UTC'), '--') AS latest_at_text, round(lp.max_probability, 6) AS max_probability, "
+        "coalesce(la.n_alerts, 0) AS n_alerts, coalesce(strftime(la.last_alert_at, '%Y-%m-%d %H:%M UTC'), '--') AS last_alert_at_text, "
         f"rr.recent_risk_levels, {vit_txt} "
         "FROM pat p LEFT JOIN lp USING (patient_id) LEFT JOIN la USING (patient_id) LEFT JOIN rr USING (patient_id) LEFT JOIN lv USING (patient_id)")
 

@@ -90,17 +90,31 @@ def topic_patient(topic: Column) -> Column:
 
 
 def display_time(ts_text: Column) -> Column:
-    """C14: ISO text (with 'Z') → 'yyyy-MM-dd HH:mm'; unparsable text passes through; null → '--'."""
+    """C14: ISO text (with 'Z') → 'yyyy-MM-dd HH:mm UTC'; unparsable text passes through; null → '--'."""
     parsed = F.coalesce(F.try_to_timestamp(ts_text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]X")),
                         F.try_to_timestamp(ts_text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")),
                         F.try_to_timestamp(ts_text, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]")))
     return F.when(ts_text.isNull(), F.lit("--")).when(parsed.isNull(), ts_text) \
-        .otherwise(F.date_format(parsed, "yyyy-MM-dd HH:mm"))
+        .otherwise(F.date_format(parsed, "yyyy-MM-dd HH:mm 'UTC'"))
 
 
 def one_decimal(x: Column) -> Column:
-    """One decimal place, '--' when missing (round half to even first, Q4)."""
-    return F.when(x.isNull(), F.lit("--")).otherwise(F.format_string("%.1f", F.bround(x, 1)))
+    """One decimal place of the exact binary value, ties to even (Q4), '--' when missing.
+
+    Ten times the value is the exact sum of two products (the value is split
+    into two halves of its digits), so its distance from the nearest half is exact.
+    """
+    a = F.abs(x)
+    big = a * F.lit(134217729.0)  # 2**27 + 1
+    high = big - (big - a)
+    up, low = high * 10, (a - high) * 10
+    below = F.floor(up + low)
+    past_half = (up - (below + 0.5)) + low
+    tenths = below + F.when((past_half > 0) | ((past_half == 0) & (below % 2 == 1)), 1).otherwise(0)
+    text = F.concat(F.when(x < 0, F.lit("-")).otherwise(""), F.floor(tenths / 10).cast("string"), F.lit("."),
+                    (tenths % 10).cast("string"))
+    # beyond 2**49 a double has no tenths to round
+    return F.when(x.isNull(), F.lit("--")).when(a < 2.0 ** 49, text).otherwise(F.format_string("%.1f", x))
 
 
 def direction(contribution: Column) -> Column:

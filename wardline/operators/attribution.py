@@ -8,62 +8,70 @@ difference when it joins, averaged over the two walks. The walks start from
 the all-background window and end at the real window, so
 base + sum(contributions) = prediction exactly.
 
-Work per window is 2 x (C + 1) scored rows; all of it is explode / lag /
-group-by on Spark, with the model applied to Arrow batches or as a Spark ML
-transformer.
+Work per window is 2 x (C + 1) scored variants, one array per window inside
+an Arrow batch; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import clinical
-from wardline.operators.windows import mask_channels
 
 
-def coalitions(windows: DataFrame, n_channels: int, fill, id_cols: Sequence[str], seed: int = 0) -> DataFrame:
-    """Explode each window into its 2 x (C + 1) masked variants.
+def explain_windows(windows: DataFrame, channels: Sequence[str], fill, id_cols: Sequence[str],
+                    predict: Callable[[np.ndarray], np.ndarray], seed: int = 0) -> DataFrame:
+    """K5 and K7: one row per window with base value, prediction, contributions and observed values by channel.
 
-    ``fill`` is a Column holding an array of C background values.
+    All coalitions of a window are one array, scored in the Arrow batch that
+    holds the window; contributions are differences inside the row. Nothing is
+    shuffled. ``predict`` maps (n, steps, channels) to n probabilities.
     """
-    C = n_channels
+    C = len(channels)
     wid = F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed))
-    order = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(C - 1)),
-                                                 lambda j: F.struct(F.xxhash64(wid, j).alias("h"), j.alias("j")))),
-                        lambda s: s["j"])
-    base = windows.select(*id_cols, "X", order.alias("_order"), fill.alias("_fill"))
-    walks = base.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("walk"))
-    walks = walks.withColumn("_perm", F.when(F.col("walk") == 0, F.col("_order")).otherwise(F.reverse("_order")))
-    steps = walks.select("*", F.explode(F.sequence(F.lit(0), F.lit(C))).alias("k"))
-    # position of each channel inside the walk's order; channel kept iff position < k
-    pos = F.transform(F.sequence(F.lit(0), F.lit(C - 1)), lambda j: F.array_position(F.col("_perm"), j) - 1)
-    keep = F.transform(pos, lambda p: p < F.col("k"))
-    added = F.when(F.col("k") > 0, F.element_at(F.col("_perm"), F.col("k").cast("int")))
-    return steps.select(*id_cols, "walk", "k", added.alias("channel_idx"),
-                        mask_channels(F.col("X"), keep, F.col("_fill")).alias("X"))
-
-
-def attribute(scored: DataFrame, id_cols: Sequence[str], channels: Sequence[str], prob: str = "probability") -> DataFrame:
-    """Contributions from scored coalitions: one row per window with base, prediction and a map channel → value."""
-    w = Window.partitionBy(*id_cols, "walk").orderBy("k")
-    d = scored.withColumn("_delta", F.col(prob) - F.lag(prob).over(w))
-    ends = scored.groupBy(*id_cols).agg(F.avg(F.when(F.col("k") == 0, F.col(prob))).alias("base_value"),
-                                        F.avg(F.when(F.col("k") == len(channels), F.col(prob))).alias("prediction"))
-    per = d.filter(F.col("k") > 0).groupBy(*id_cols, "channel_idx").agg(F.avg("_delta").alias("contribution"))
+    order = channel_order(wid, C)
+    rows = windows.select(*id_cols, "X", order.alias("_order"), fill.alias("_fill"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.select(*id_cols).schema.fields)
+
+    def run(batches):
+        for pdf in batches:
+            out = [score_walks(np.stack([np.asarray(r, float) for r in x]), np.asarray(o, int), np.asarray(f, float), predict)
+                   for x, o, f in zip(pdf["X"], pdf["_order"], pdf["_fill"], strict=True)]
+            keep = pdf[list(id_cols)].reset_index(drop=True)
+            yield keep.assign(base_value=[r[0] for r in out], prediction=[r[1] for r in out], _c=[r[2] for r in out],
+                              observed=[[float(v) for v in x[-1]] for x in pdf["X"]])
+
+    scored = rows.mapInPandas(run, f"{schema}, base_value double, prediction double, _c array<double>, observed array<double>")
     names = F.array(*[F.lit(c) for c in channels])
-    per = per.select(*id_cols, F.element_at(names, F.col("channel_idx") + 1).alias("channel"), "contribution")
-    maps = per.groupBy(*id_cols).agg(F.map_from_entries(F.collect_list(F.struct("channel", "contribution"))).alias("shap_values"))
-    return ends.join(maps, list(id_cols))
+    return scored.select(*id_cols, "base_value", "prediction", F.map_from_arrays(names, "_c").alias("shap_values"),
+                         F.map_from_arrays(names, "observed").alias("observed_values"))
 
 
-def explain_windows(windows: DataFrame, channels: Sequence[str], fill, id_cols: Sequence[str],
-                    scorer: Callable[[DataFrame], DataFrame], seed: int = 0) -> DataFrame:
-    """K5 end to end: coalitions → scorer (adds ``probability``) → contributions."""
-    co = coalitions(windows, len(channels), fill, id_cols, seed)
-    return attribute(scorer(co), id_cols, channels)
+def channel_order(wid: Column, n_channels: int) -> Column:
+    """Seeded permutation of the channels of a window: channels in the order of a hash with the window's id."""
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(n_channels - 1)), lambda j: F.struct(F.xxhash64(wid, j).alias("h"), j.alias("j")))
+    return F.transform(F.array_sort(hashed), lambda s: s["j"])
+
+
+def score_walks(x: np.ndarray, order: np.ndarray, fill: np.ndarray, predict) -> tuple[float, float, list[float]]:
+    """(base, prediction, contribution by channel) of one window (steps, channels)."""
+    C = len(order)
+    walks = np.stack([order, order[::-1]])
+    keep = np.zeros((2, C + 1, C), bool)
+    for w in range(2):
+        for k in range(C):
+            keep[w, k + 1:, walks[w, k]] = True
+    variants = np.where(keep[:, :, None, :], x[None, None], fill[None, None, None])
+    p = np.asarray(predict(variants.reshape(-1, *x.shape)), float).reshape(2, C + 1)
+    joined = np.diff(p, axis=1)
+    contribution = np.zeros(C)
+    for w in range(2):
+        contribution[walks[w]] += joined[w] / 2
+    return float(p[:, 0].mean()), float(p[:, -1].mean()), contribution.tolist()
 
 
 def additivity_gap(expl: DataFrame) -> DataFrame:
@@ -72,14 +80,19 @@ def additivity_gap(expl: DataFrame) -> DataFrame:
     return expl.withColumn("additivity_gap", F.col("prediction") - (F.col("base_value") + total))
 
 
-def top_contributions(expl: DataFrame, top_n: int = 10, values: str | None = None) -> DataFrame:
-    """G12 + C16: top-N entries by |contribution|, all inside the row (no shuffle)."""
-    entries = F.map_entries("shap_values")
-    ranked = F.array_sort(entries, lambda a, b: F.when(F.abs(a["value"]) > F.abs(b["value"]), -1)
-                          .when(F.abs(a["value"]) < F.abs(b["value"]), 1).otherwise(0))
-    top = F.slice(ranked, 1, top_n)
+def top_contributions(expl: DataFrame, top_n: int = 10, channels: Sequence[str] | None = None) -> DataFrame:
+    """G12 + C16 + K7: top-N entries by |contribution| with the observed value, all inside the row (no shuffle).
+
+    Ties go by channel position (``channels``; by name without it).
+    """
+    place = (lambda e: F.array_position(F.array(*[F.lit(c) for c in channels]), e["key"])) if channels else (lambda e: e["key"])
+    keyed = F.transform(F.map_entries("shap_values"), lambda e: F.struct(
+        (-F.abs(e["value"])).alias("size"), place(e).alias("place"), e["key"].alias("key"), e["value"].alias("value")))
+    top = F.slice(F.array_sort(keyed), 1, top_n)
+    observed = (lambda e: F.col("observed_values")[e["key"]]) if "observed_values" in expl.columns else (lambda e: F.lit(None).cast("double"))
     return expl.withColumn("top_contributing_features", F.transform(top, lambda e: F.struct(
-        e["key"].alias("feature"), e["value"].alias("contribution"), clinical.direction(e["value"]).alias("direction"))))
+        e["key"].alias("feature"), e["value"].alias("contribution"), observed(e).alias("observed_value"),
+        clinical.direction(e["value"]).alias("direction"))))
 
 
 def global_importance(expl: DataFrame, top_n: int | None = None) -> DataFrame:

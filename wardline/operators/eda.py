@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,36 +86,43 @@ def missingness_by_entity(df: DataFrame, channels: Sequence[str], key: str) -> D
     return _stack(row, channels, {"avg_per_patient_missing_rate": lambda c: F.col(c)})
 
 
-def _pairs(channels: Sequence[str], upper_only: bool):
-    for i, a in enumerate(channels):
-        for j, b in enumerate(channels):
-            if upper_only and j <= i:
-                continue
-            yield a, b
-
-
 def correlation_matrix(df: DataFrame, channels: Sequence[str], min_periods: int = 30) -> DataFrame:
     """pairwise-complete Pearson, null when fewer than ``min_periods`` joint observations.
 
-    One pass computes every pair (corr skips rows where either side is null);
-    output is tall (channel_a, channel_b, corr) for every ordered pair.
+    Sufficient statistics of all pairs are matrix products within an Arrow batch
+    (values less their column's mean, so that squares do not cancel); batches add
+    up by pair with map-side combine. Output is tall (channel_a, channel_b, corr)
+    for every ordered pair.
     """
-    aggs = []
-    for i, a in enumerate(channels):
-        for b in channels[i:]:
-            joint = F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1))
-            aggs.append(F.when(joint >= min_periods, F.corr(a, b)).alias(f"{a}__{b}"))
-    row = df.agg(*aggs)
-    idx = {c: i for i, c in enumerate(channels)}
-
-    def cell(a, b):
-        x, y = (a, b) if idx[a] <= idx[b] else (b, a)
-        v = F.col(f"{x}__{y}")
-        return F.when(F.isnan(v), F.lit(None)).otherwise(v)
-
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("channel_a"), F.lit(b).alias("channel_b"), cell(a, b).alias("corr"))
-        for a, b in _pairs(channels, False)])))
+    channels = list(channels)
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in channels])
+    means = values.agg(*[F.coalesce(F.avg(F.nanvl(c, F.lit(None).cast("double"))), F.lit(0.0)).alias(c) for c in channels]).first()
+    centre = np.array([means[c] for c in channels])
+    upper = np.triu_indices(len(channels))
+
+    def products(batches):
+        for pdf in batches:
+            x = pdf.to_numpy(float) - centre
+            m = np.isfinite(x)
+            x = np.where(m, x, 0.0)
+            m = m.astype(float)
+            sums = {"n": m.T @ m, "sx": x.T @ m, "sy": m.T @ x, "sxx": (x * x).T @ m, "syy": m.T @ (x * x), "sxy": x.T @ x}
+            yield pd.DataFrame({"a": upper[0], "b": upper[1], **{k: v[upper] for k, v in sums.items()}})
+
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    part = values.mapInPandas(products, "a int, b int, " + ", ".join(f"{k} double" for k in names))
+    s = part.groupBy("a", "b").agg(*[F.sum(k).alias(k) for k in names])
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    vx, vy, cov = F.col("sxx") - sx * sx / n, F.col("syy") - sy * sy / n, F.col("sxy") - sx * sy / n
+    # a variance that is rounding error of its own sum of squares is none
+    varies = (n > 0) & (vx > F.col("sxx") * 1e-14) & (vy > F.col("syy") * 1e-14)
+    r = F.when((n >= min_periods) & varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(vx * vy))))
+    label = F.array(*[F.lit(c) for c in channels])
+    pairs = s.select(label[F.col("a")].alias("x"), label[F.col("b")].alias("y"), r.alias("corr"))
+    both = F.when(F.col("x") == F.col("y"), F.array(F.struct("x", "y"))).otherwise(
+        F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
+    return pairs.select(F.explode(both).alias("p"), "corr").select(
+        F.col("p.x").alias("channel_a"), F.col("p.y").alias("channel_b"), "corr")
 
 
 def top_pairs(corr: DataFrame, channels: Sequence[str], top_n: int = 15) -> DataFrame:

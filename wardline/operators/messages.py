@@ -75,16 +75,11 @@ def rejection_reason(raw: Column, max_bytes: int = vocab.MAX_PAYLOAD_BYTES,
     return _reason_from(F.try_parse_json(raw), F.octet_length(raw), max_bytes, sources)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy row-local work every core when the input has fewer
-    partitions than the cluster's parallelism (a no-op on large inputs)."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
 def validate_messages(msgs: DataFrame, raw: str = "value", topic: str | None = "topic",
-                      max_bytes: int = vocab.MAX_PAYLOAD_BYTES, sources: Sequence[str] = vocab.VITALS_SOURCES) -> DataFrame:
+                      max_bytes: int = vocab.MAX_PAYLOAD_BYTES, sources: Sequence[str] = vocab.VITALS_SOURCES,
+                      vocabulary: Sequence[str] | None = None) -> DataFrame:
     """Adds ``reason`` and ``accepted``; topics outside ``icu/+/vitals`` are not subscribed.
+    With ``vocabulary`` a message with an unknown channel is rejected as well (D9).
 
     The payload is parsed once into a staged column that every rule reads
     (rules inside CASE branches would otherwise parse it again).
@@ -92,13 +87,22 @@ def validate_messages(msgs: DataFrame, raw: str = "value", topic: str | None = "
     df = msgs
     if topic is not None:
         df = df.filter(F.col(topic).rlike(vocab.VITALS_TOPIC_FILTER_REGEX))
-    if not df.isStreaming:
-        df = spread(df)
     staged = df.withColumn("_v", F.try_parse_json(F.col(raw)))
-    out = staged.withColumn("reason", _reason_from(F.col("_v"), F.octet_length(F.col(raw)), max_bytes, sources)).drop("_v")
+    reason = _reason_from(F.col("_v"), F.octet_length(F.col(raw)), max_bytes, sources)
+    if vocabulary is not None:
+        names = F.map_keys(F.try_variant_get(F.col("_v"), "$.channels", "map<string,variant>"))
+        unknown = F.array_sort(F.array_except(names, F.array(*[F.lit(c) for c in vocabulary])))
+        reason = F.coalesce(reason, F.when(F.size(unknown) > 0, F.concat(
+            F.lit("unknown channel '"), F.get(unknown, F.lit(0)), F.lit("'"))))
+    out = staged.withColumn("reason", reason).drop("_v")
     return out.withColumn("accepted", F.col("reason").isNull())
 
 
+def payload_patient(raw: Column) -> Column:
+    """The patient id inside a message, null when the message can't be read."""
+    return F.try_variant_get(F.try_parse_json(raw), "$.patient_id", "string")
+
+
 def decode_accepted(validated: DataFrame, channels: Sequence[str], raw: str = "value") -> DataFrame:
     """Typed reading rows from accepted messages (channels as doubles; booleans as 1/0)."""
     v = F.parse_json(F.col(raw))

@@ -33,14 +33,14 @@ def with_balanced_weights(df: DataFrame, label: str = "y", weight: str = "w") ->
 def rf_importance(df: DataFrame, channels: Sequence[str], label: str = "y", num_trees: int = 200, max_depth: int = 12,
                   balanced: bool = True, seed: int = 42) -> DataFrame:
     """K2: random-forest importance on per-channel features; empty input is an error."""
-    if df.isEmpty():
-        raise ValueError("no training rows for feature importance")
     data = df.select(array_to_vector(F.array(*[F.col(c).cast("double") for c in channels])).alias("features"),
                      F.col(label).cast("double").alias("label"))
     kw = {}
     if balanced:
         data = with_balanced_weights(data, "label", "w")
         kw["weightCol"] = "w"
+    if data.limit(1).count() == 0:
+        raise ValueError("no training rows for feature importance")
     model = RandomForestClassifier(numTrees=num_trees, maxDepth=max_depth, seed=seed, **kw).fit(data)
     imp = model.featureImportances.toArray().tolist()
     spark = df.sparkSession
@@ -69,6 +69,17 @@ def train_window_classifier(windows: DataFrame, label: str = "y", reg: Sequence[
     return best[0], spark.createDataFrame(rows, "reg_param double, val_auroc double")
 
 
+def logistic_predictor(model) -> Callable[[np.ndarray], np.ndarray]:
+    """A fitted logistic model as a plain function of windows (n, steps, channels), for scoring inside Arrow batches."""
+    weights, intercept = model.coefficients.toArray(), float(model.intercept)
+
+    def predict(x: np.ndarray) -> np.ndarray:
+        z = x.reshape(len(x), -1) @ weights + intercept
+        return 1.0 / (1.0 + np.exp(-z))
+
+    return predict
+
+
 def probability(scored: DataFrame) -> Column:
     return vector_to_array(F.col("probability"))[1]
 
@@ -76,7 +87,7 @@ def probability(scored: DataFrame) -> Column:
 def auroc_of(scored: DataFrame) -> float | None:
     """Validation AUROC for model selection: Spark ML's evaluator (one distributed pass, exact
     with numBins=0); the reported held-out metrics use the histogram operators below."""
-    if scored.isEmpty():
+    if scored.limit(1).count() == 0:
         return None
     ev = BinaryClassificationEvaluator(rawPredictionCol="probability", labelCol="label", metricName="areaUnderROC", numBins=0)
     return float(ev.evaluate(scored))
@@ -119,12 +130,14 @@ def background_fill(windows: DataFrame, n_channels: int) -> DataFrame:
     return steps.agg(F.array(*[F.avg(F.col("r")[j].cast("double")) for j in range(n_channels)]).alias("fill"))
 
 
-def example_windows(scored: DataFrame, prob: str = "probability", label: str = "y", idx: str = "window_end_idx") -> DataFrame:
+def example_windows(scored: DataFrame, prob: str = "probability", label: str = "y", idx: str = "window_end_idx",
+                    entity: str = "patient_id") -> DataFrame:
     """Highest-probability positive, lowest-probability positive, lowest-probability negative; first index on ties."""
     pos = F.col(label) == 1
-    tie = F.struct(F.col(prob), -F.col(idx))
-    tie_min = F.struct(F.col(prob), F.col(idx))
+    # ties: smallest index, then smallest patient (the least of a maximum is the least by -probability)
+    tie = F.struct(-F.col(prob), F.col(idx), F.col(entity))
+    tie_min = F.struct(F.col(prob), F.col(idx), F.col(entity))
     row = F.struct(*scored.columns)
-    return scored.agg(F.max_by(F.when(pos, row), F.when(pos, tie)).alias("max_prob_positive"),
+    return scored.agg(F.min_by(F.when(pos, row), F.when(pos, tie)).alias("max_prob_positive"),
                       F.min_by(F.when(pos, row), F.when(pos, tie_min)).alias("min_prob_positive"),
                       F.min_by(F.when(~pos, row), F.when(~pos, tie_min)).alias("min_prob_negative"))

@@ -146,13 +146,18 @@ def first_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def apply_patch(base: DataFrame, patch: DataFrame, key: str, fields: Sequence[str],
-                set_fields: str = "set_fields", updated_at: Column | None = None) -> DataFrame:
+                set_fields: str = "set_fields", updated_at: Column | None = None, order: Sequence[str] = ()) -> DataFrame:
     """L2: only fields listed in the patch row's ``set_fields`` change (an
     explicit null is applied; an unset field keeps the base value);
     ``updated_at`` is bumped on matched rows; unmatched patch keys are ignored;
-    an empty patch changes nothing."""
-    p = patch.select(key, set_fields, *[F.col(c).alias(f"_p_{c}") for c in fields],
-                     *([updated_at.alias("_p_updated_at")] if updated_at is not None else []))
+    an empty patch changes nothing. Several patches of a key act as if applied
+    in ``order`` (by default ``updated_at``, then the field values): each field
+    takes the last value set."""
+    last = F.struct(*[F.col(c) for c in order], *([updated_at] if updated_at is not None else []), *[F.col(c) for c in fields])
+    p = patch.groupBy(key).agg(
+        F.array_distinct(F.flatten(F.collect_set(set_fields))).alias(set_fields),
+        *[F.max_by(c, F.when(F.array_contains(set_fields, c), last)).alias(f"_p_{c}") for c in fields],
+        *([F.max(updated_at).alias("_p_updated_at")] if updated_at is not None else []))
     j = base.join(p, key, "left")
     matched = F.col(set_fields).isNotNull() & (F.size(F.col(set_fields)) > 0)
     out = []
@@ -177,7 +182,9 @@ def delete_by_key(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def acknowledge(alerts: DataFrame, acks: DataFrame, id_col: str = "id") -> DataFrame:
-    """L4: set acknowledged / by / at for matched alert ids; one ack per id (earliest wins)."""
+    """L4: set acknowledged / by / at for matched alert ids; one ack per id (earliest wins).
+
+    ``unmatched`` gives the acknowledgements of unknown alerts, ``acknowledge_audit`` the audit rows."""
     a = first_per_key(acks.select(id_col, "acknowledged_by", "acknowledged_at"), id_col, ["acknowledged_at", "acknowledged_by"])
     base = alerts.drop("acknowledged_by", "acknowledged_at")
     j = base.join(a, id_col, "left")
@@ -185,6 +192,13 @@ def acknowledge(alerts: DataFrame, acks: DataFrame, id_col: str = "id") -> DataF
     return j.withColumn("acknowledged", F.coalesce(F.col("acknowledged"), F.lit(False)) | hit)
 
 
+def acknowledge_audit(alerts: DataFrame, acks: DataFrame, id_col: str = "id") -> DataFrame:
+    """L4 + L5: one audit row per acknowledgement that met its alert (the earliest of each)."""
+    hit = first_per_key(acks.select(id_col, "acknowledged_by", "acknowledged_at"), id_col, ["acknowledged_at", "acknowledged_by"])
+    hit = hit.join(alerts.select(id_col), id_col, "left_semi")
+    return audit_rows(hit, F.col("acknowledged_by"), "alert_acknowledged", "alert", id_col, {}, "acknowledged_at")
+
+
 # --- write-time rules ---------------------------------------------------------------
 
 @dataclass(frozen=True)

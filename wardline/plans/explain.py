@@ -11,22 +11,20 @@ from wardline.operators import attribution, ml
 
 
 def explain(model, windows: DataFrame, channels: Sequence[str], id_cols: Sequence[str] = ("patient_id", "window_end_idx"),
-            n_background: int = 100, n_explain: int | None = None, top_n: int = 10, seed: int = 42) -> dict[str, DataFrame]:
+            n_background: int | None = None, n_explain: int | None = None, top_n: int = 10, seed: int = 42) -> dict[str, DataFrame]:
     train = windows.filter(F.col("split") == "train")
-    background = ml.sample_windows(train, n_background, seed, id_cols)  # K6 (sampling is the feature)
+    # all train windows, as in the registered query; a sample (K6) only when asked for
+    background = train if n_background is None else ml.sample_windows(train, n_background, seed, id_cols)
     fill = ml.background_fill(background, len(channels)).first()["fill"]
     target = windows.filter(F.col("split") == "test")
     if n_explain is not None:
         target = ml.sample_windows(target, n_explain, seed + 1, id_cols)
 
-    def scorer(df):
-        s = model.transform(df.withColumn("features", ml.flat_features(F.col("X"))))
-        return s.withColumn("probability", ml.probability(s)).drop("features", "rawPrediction", "prediction")
-
-    scored = scorer(target.select(*id_cols, "y", "X"))
+    scored = model.transform(target.select(*id_cols, "y", ml.flat_features(F.col("X")).alias("features")))
+    scored = scored.select(*id_cols, "y", ml.probability(scored).alias("probability"))
     expl = attribution.explain_windows(target.select(*id_cols, "X"), channels, F.array(*[F.lit(float(v)) for v in fill]),
-                                       list(id_cols), scorer, seed)
-    records = attribution.top_contributions(attribution.additivity_gap(expl), top_n) \
+                                       list(id_cols), ml.logistic_predictor(model), seed)
+    records = attribution.top_contributions(attribution.additivity_gap(expl), top_n, channels) \
         .withColumn("explanation_method", F.lit("shap"))
     return {"examples": ml.example_windows(scored), "explanations": records,
             "global_importance": attribution.global_importance(expl)}

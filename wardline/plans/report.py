@@ -34,7 +34,7 @@ def patient_report(patients: DataFrame, predictions: DataFrame, alerts: DataFram
     lv = tables.latest_per_key(vitals.select("id", KEY, "ts", *vital_channels), KEY, ["ts", "id"])
     j = patients.select(KEY, "current_status", "created_by").join(lp, KEY, "left").join(la, KEY, "left") \
         .join(recent, KEY, "left").join(lv, KEY, "left")
-    show = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm"), F.lit("--"))
+    show = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm 'UTC'"), F.lit("--"))
     return j.select(
         KEY, "current_status", "created_by", F.coalesce("n_predictions", F.lit(0)).alias("n_predictions"),
         F.round("_l.sepsis_probability", 6).alias("latest_probability"), F.col("_l.risk_level").alias("latest_risk_level"),

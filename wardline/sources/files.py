@@ -30,15 +30,15 @@ def read_patient_files(spark: SparkSession, root: str, set_names: Sequence[str],
     """A1-A3 + I1: every ``root/<set>/*.psv`` file, patient_id = file stem, bound by header name.
 
     A missing set folder or an empty input is an error; so is an expected
-    column absent from every file. ``limit`` keeps the first N patients in
-    sorted id order (A2). NaN text becomes NULL (C1).
+    column absent from every file. ``limit`` keeps the first N files in the
+    order of their full paths (A2). NaN text becomes NULL (C1).
     """
     paths = [os.path.join(root, s) for s in set_names]
     raw = spark.read.text(paths, wholetext=True, pathGlobFilter=f"*{suffix}") \
         .select(F.col("value"), F.col("_metadata.file_path").alias("_path"))
     stem = F.regexp_extract(F.col("_path"), r"([^/]+)" + suffix.replace(".", r"\.") + "$", 1)
     lines = F.filter(F.split(F.regexp_replace(F.col("value"), "\r", ""), "\n"), lambda s: F.trim(s) != "")
-    files = raw.select(stem.alias(key), F.split(lines[0], r"\|").alias("_header"), F.slice(lines, 2, 1 << 30).alias("_rows"))
+    files = raw.select(stem.alias(key), F.split(lines[0], r"\|").alias("_header"), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))).alias("_rows"), "_path")
     present = files.agg(F.array_distinct(F.flatten(F.collect_set("_header"))).alias("h")).collect()
     if not present or present[0]["h"] is None:
         raise FileNotFoundError(f"no {suffix} files under {paths}")
@@ -47,8 +47,8 @@ def read_patient_files(spark: SparkSession, root: str, set_names: Sequence[str],
     if missing:
         raise ValueError(f"missing expected columns: {missing}")
     if limit is not None:
-        keep = files.select(key).distinct().orderBy(key).limit(limit)
-        files = files.join(keep, key, "left_semi")
+        keep = files.select("_path").distinct().orderBy("_path").limit(limit)
+        files = files.join(keep, "_path", "left_semi")
     rows = files.select(key, "_header", F.explode("_rows").alias("_line"))
     m = F.map_from_arrays(F.col("_header"), F.split(F.col("_line"), r"\|"))
     out = rows.select(key, m.alias("_m"))
@@ -77,11 +77,18 @@ def read_windows(spark: SparkSession, path: str, split: str | None = None) -> Da
 
 def load_threshold(spark: SparkSession, path: str, fallback: float = vocab.FALLBACK_THRESHOLD) -> float:
     """Best-F1 threshold from a metrics sidecar, else the fallback constant."""
-    try:
-        row = spark.read.option("multiLine", True).json(path).select("metrics_at_best_f1_threshold.threshold").first()
-        return float(row[0]) if row is not None and row[0] is not None else fallback
-    except Exception:  # noqa: BLE001 - missing or malformed sidecar
+    if not path_exists(spark, path):
         return fallback
+    # a sidecar that is no JSON, or has another shape, gives a null field
+    schema = "metrics_at_best_f1_threshold struct<threshold: double>"
+    row = spark.read.option("multiLine", True).schema(schema).json(path).select("metrics_at_best_f1_threshold.threshold").first()
+    return float(row[0]) if row is not None and row[0] is not None else fallback
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
 def topic_source(spark: SparkSession, path: str, schema: str = "topic string, value string, arrival_ts timestamp",

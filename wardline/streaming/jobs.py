@@ -7,7 +7,7 @@ re-executed micro-batch overwrites its own output instead of duplicating it.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from wardline import vocab
 from wardline.functions import clinical
 from wardline.operators import messages, tables
 from wardline.session import checkpoint_dir
+from wardline.sources import files
 
 
 def run_available(query_df: DataFrame, out_path: str, ckpt: str, fmt: str = "parquet", mode: str = "append") -> None:
@@ -39,72 +40,53 @@ def events_as_readings(events: DataFrame, channels: Sequence[str]) -> DataFrame:
                          *[F.when(F.col("event_type") == c, F.col("value")).alias(c) for c in channels])
 
 
-def validated_sink(accepted_path: str, rejected_path: str, patients_path: str | None = None) -> Callable:
-    """J1-J3 foreachBatch sink: accepted readings, dead letters, auto-provisioned patients."""
+def rejected_sink(rejected_path: str, patients_path: str | None = None) -> Callable:
+    """J2 + J3 foreachBatch sink: dead letters and auto-provisioned patients (payload ids)."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            ok = batch.filter("accepted")
-            ok.write.mode("overwrite").parquet(os.path.join(accepted_path, f"batch_id={batch_id}"))
-            messages.dead_letters(batch, "message_id").write.mode("overwrite").parquet(
-                os.path.join(rejected_path, f"batch_id={batch_id}"))
-            if patients_path is not None:
-                spark = batch.sparkSession
-                ids = ok.select(F.col("topic_patient").alias("patient_id"), F.col("arrival_ts").alias("created_at"), "message_id")
-                try:
-                    # only earlier batches count: a replayed batch must reproduce its own output
-                    existing = spark.read.parquet(patients_path).filter(F.col("batch_id") < batch_id).select("patient_id")
-                except Exception:  # noqa: BLE001 - first batch: no table yet
-                    existing = spark.createDataFrame([], "patient_id string")
-                res = tables.insert_if_absent(ids, existing, "patient_id", ["created_at", "message_id"])
-                res.inserted.select("patient_id", "created_at", F.lit("live").alias("source_dataset"),
-                                    F.lit("active").alias("current_status"), F.lit(vocab.INGEST_ACTOR).alias("created_by")) \
-                    .write.mode("overwrite").parquet(os.path.join(patients_path, f"batch_id={batch_id}"))
-        finally:
-            batch.unpersist()
+        files.append_batch(messages.dead_letters(batch, "message_id"), rejected_path, batch_id)
+        if patients_path is None:
+            return
+        spark = batch.sparkSession
+        ids = batch.filter("accepted").select("patient_id", F.col("arrival_ts").alias("created_at"), "message_id")
+        if files.path_exists(spark, patients_path):
+            # only earlier batches count: a replayed batch must reproduce its own output
+            existing = spark.read.parquet(patients_path).filter(F.col("batch_id") < batch_id).select("patient_id")
+        else:
+            existing = spark.createDataFrame([], "patient_id string")
+        res = tables.insert_if_absent(ids, existing, "patient_id", ["created_at", "message_id"])
+        new = res.inserted.select("patient_id", "created_at", F.lit("live").alias("source_dataset"),
+                                  F.lit("active").alias("current_status"), F.lit(vocab.INGEST_ACTOR).alias("created_by"))
+        files.append_batch(new, patients_path, batch_id)
 
     return sink
 
 
-def ingest(spark: SparkSession, messages_df: DataFrame, name: str = "ingest", base: str | None = None) -> dict:
-    """Validate a message stream and land accepted / rejected rows."""
+def ingest(spark: SparkSession, messages_df: DataFrame, name: str = "ingest", base: str | None = None,
+           vocabulary: Sequence[str] | None = None) -> dict:
+    """Validate a message stream and land accepted / rejected rows and new patients.
+
+    The patient is the payload's, as in the reference; the topic only
+    subscribes. Accepted rows go through Spark's file sink, whose log makes a
+    replayed batch invisible to the stages that read them as a stream.
+    """
     base = base or os.path.join(checkpoint_dir(spark), "streams", name)
-    v = messages.validate_messages(messages_df, "value", "topic") \
-        .withColumn("topic_patient", clinical.topic_patient(F.col("topic")))
+    v = messages.validate_messages(messages_df, "value", "topic", vocabulary=vocabulary) \
+        .withColumn("patient_id", messages.payload_patient(F.col("value")))
     paths = {k: os.path.join(base, k) for k in ("accepted", "rejected", "patients")}
-    q = (v.writeStream.foreachBatch(validated_sink(paths["accepted"], paths["rejected"], paths["patients"]))
+    run_available(v.filter("accepted"), paths["accepted"], os.path.join(base, "checkpoint_accepted"))
+    q = (v.writeStream.foreachBatch(rejected_sink(paths["rejected"], paths["patients"]))
          .option("checkpointLocation", os.path.join(base, "checkpoint")).trigger(availableNow=True).start())
     q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
     return paths
 
 
-def score_windows(windows: DataFrame, predict: Callable, threshold: float = vocab.FALLBACK_THRESHOLD) -> DataFrame:
-    """J6 + J7: score full windows with a pluggable model (Arrow batches), then derive label and risk.
-
-    ``predict`` maps a numpy array (n, window, channels) to n probabilities.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def run(it):
-        for pdf in it:
-            X = np.stack([np.stack(x) for x in pdf["X"]]) if len(pdf) else np.zeros((0, 1, 1))
-            yield pdf.drop(columns=["X"]).assign(sepsis_probability=np.asarray(predict(X), dtype=float) if len(pdf) else pd.Series(dtype=float))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in windows.schema.fields if f.name != "X") + ", sepsis_probability double"
-    scored = windows.mapInPandas(run, schema)
-    p = F.col("sepsis_probability")
-    return scored.withColumn("predicted_label", clinical.predicted_label(p, threshold)) \
-        .withColumn("risk_level", clinical.risk_level(p, threshold)) \
-        .withColumn("model_version", F.lit(vocab.MODEL_VERSION)) \
-        .withColumn("window_start", clinical.window_start(F.col("window_end")))
-
-
 def publish_frames(scored: DataFrame) -> DataFrame:
-    """(topic, value) rows for a prediction topic (Kafka or file sink)."""
-    payload = F.struct("patient_id", "sepsis_probability", "risk_level", "predicted_label",
-                       F.date_format("window_end", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"))
+    """(topic, value) rows for a prediction topic (Kafka or file sink); the time is that of the prediction."""
+    payload = F.struct("sepsis_probability", "risk_level",
+                       F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"))
     return scored.select(clinical.prediction_topic(F.col("patient_id")).alias("topic"), F.to_json(payload).alias("value"))
 
 
@@ -114,56 +96,93 @@ def alert_frames(alerts: DataFrame) -> DataFrame:
     return alerts.select(clinical.alert_topic(F.col("patient_id")).alias("topic"), F.to_json(payload).alias("value"))
 
 
-def dedup_alert_ids(alerts: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Seen-id de-duplication with bounded state (watermark on created_at)."""
+def dedup_alert_ids(alerts: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Seen-id de-duplication. Late rows are accepted, so every id is remembered; a caller that
+    may lose rows later than ``watermark`` gets bounded state instead."""
+    if watermark is None:
+        return alerts.dropDuplicates(["id"])
     return alerts.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["id"])
 
 
-def dedup_readings(readings: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Optional at-least-once duplicate removal on (patient_id, timestamp)."""
+def dedup_readings(readings: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Optional at-least-once duplicate removal on (patient_id, timestamp); ``watermark`` as in J10."""
+    if watermark is None:
+        return readings.dropDuplicates(["patient_id", "timestamp"])
     return readings.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(["patient_id", "timestamp"])
 
 
-def live_view(readings: DataFrame, key: str = "patient_id", n: int = 50) -> DataFrame:
-    """J11 over a landed table: latest reading and the last ``n`` readings per patient."""
-    last_n = tables.last_n_per_key(readings, key, ["timestamp", "message_id"], n)
-    return last_n.groupBy(key).agg(F.max_by(F.struct(*[c for c in readings.columns if c != key]), F.struct("timestamp", "message_id")).alias("latest"),
-                                   F.count(F.lit(1)).alias("n_recent"))
+def linear_probability(weights: Sequence[float], intercept: float) -> Callable[[DataFrame], DataFrame]:
+    """A declared scorer: logistic function of a weighted sum of the last step's channels (flat ``X``)."""
+    n = len(weights)
 
+    def score(windows: DataFrame) -> DataFrame:
+        last = F.slice("X", F.size("X") - n + 1, n)
+        z = sum((F.get(last, F.lit(i)).cast("double") * F.lit(float(w)) for i, w in enumerate(weights)), F.lit(float(intercept)))
+        return windows.withColumn("sepsis_probability", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
 
-def realtime(spark: SparkSession, messages_df: DataFrame, channels: Sequence[str], medians, mean, std, model,
-             base: str, window_size: int = vocab.STREAM_WINDOW_SIZE, threshold: float = vocab.FALLBACK_THRESHOLD,
-             cooldown_minutes: float = vocab.ALERT_COOLDOWN_MINUTES) -> dict:
-    """M6 end to end as three checkpointed streams chained through landed tables.
+    return score
 
-    1. messages → validation → accepted / dead letters / provisioned patients (J1-J3)
-    2. accepted readings → keyed causal impute + count windows (J4, J5) → Spark ML
-       scoring as a stateless transform (J6) → label and risk (J7) → predictions (B6)
-    3. predictions → keyed cooldown state (J8) → message and alert frames (J9, B8)
-    """
+
+def model_probability(model) -> Callable[[DataFrame], DataFrame]:
+    """A fitted Spark ML classifier as a scorer of flat windows."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    def score(windows: DataFrame) -> DataFrame:
+        scored = model.transform(windows.withColumn("features", array_to_vector(F.transform("X", lambda v: v.cast("double")))))
+        return scored.withColumn("sepsis_probability", vector_to_array(F.col("probability"))[1]).drop(
+            "features", "rawPrediction", "probability", "prediction")
+
+    return score
+
+
+def realtime(spark: SparkSession, messages_df: DataFrame, channels: Sequence[str], medians, mean, std,
+             score: Callable[[DataFrame], DataFrame], base: str, model_version: str,
+             window_size: int = vocab.STREAM_WINDOW_SIZE, threshold: float = vocab.FALLBACK_THRESHOLD,
+             cooldown_minutes: float = vocab.ALERT_COOLDOWN_MINUTES, vital_names: Mapping[str, str] | None = None,
+             idle_ms: int | None = None) -> dict:
+    """M6 end to end as checkpointed streams chained through landed tables.
+
+    1. messages → validation (unknown channels too, D9) → accepted / dead letters / provisioned patients (J1-J3)
+    2. accepted readings → keyed causal impute + count windows (J4, J5) → ``score`` (J6) → label and
+       risk (J7) → predictions (B6) and their published frames (B7)
+    3. predictions → keyed cooldown state (J8) → reason of the reading, message, dispatch (J9) → alerts,
+       alert frames (B8) and audit rows (L5)
+
+    The clock is arrival: within a patient readings and predictions are taken
+    in the order (arrival_ts, message_id), and a source must deliver micro-batches
+    in that order (a partitioned log does); results then don't depend on how the
+    messages are dealt to files. ``vital_names`` maps the names of the reason
+    rules to channels (by default their own names).
+    """
+    from wardline.operators import alerts as alerting
     from wardline.streaming import state
 
-    paths = ingest(spark, messages_df, base=os.path.join(base, "ingest"))
-    acc_schema = spark.read.parquet(paths["accepted"]).schema
-    acc = spark.readStream.schema(acc_schema).parquet(paths["accepted"])
+    paths = ingest(spark, messages_df, base=os.path.join(base, "ingest"), vocabulary=channels)
+    acc = spark.readStream.schema(spark.read.parquet(paths["accepted"]).schema).parquet(paths["accepted"])
     readings = messages.decode_accepted(acc, channels).select(
-        F.col("topic_patient").alias("patient_id"), "message_id", "timestamp", *[F.col(f"channels.{c}").alias(c) for c in channels])
-    windows = state.stream_windows(readings, channels, medians, mean, std, window_size)
-    feats = windows.withColumn("features", array_to_vector(F.transform(F.flatten("X"), lambda v: v.cast("double"))))
-    scored = model.transform(feats).select(
-        "patient_id", F.col("message_id").alias("id"), F.col("window_end").alias("created_at"),
-        vector_to_array(F.col("probability"))[1].alias("sepsis_probability"))
+        "patient_id", "message_id", "timestamp", "arrival_ts", *[F.col(f"channels.{c}").alias(c) for c in channels])
+    windows = state.stream_windows(readings, channels, medians, mean, std, window_size, order=("arrival_ts", "message_id"),
+                                   idle_ms=idle_ms)
     p = F.col("sepsis_probability")
-    preds = scored.withColumn("predicted_label", clinical.predicted_label(p, threshold)) \
-        .withColumn("risk_level", clinical.risk_level(p, threshold)) \
-        .withColumn("model_version", F.lit(vocab.MODEL_VERSION))
-    pred_path = os.path.join(base, "predictions")
-    run_available(preds, pred_path, os.path.join(base, "ckpt_predictions"))
-    pred_stream = spark.readStream.schema(spark.read.parquet(pred_path).schema).parquet(pred_path)
-    raised = state.stream_alerts(pred_stream, cooldown_minutes)
-    alerts = raised.withColumn("message", clinical.alert_message(F.col("risk_level"), F.col("patient_id"),
-                                                                 F.col("sepsis_probability"), F.lit("")))
-    alert_path = os.path.join(base, "alerts")
-    run_available(alerts, alert_path, os.path.join(base, "ckpt_alerts"))
-    return {**paths, "predictions": pred_path, "alerts": alert_path}
+    preds = score(windows).select(
+        "patient_id", F.col("message_id").alias("id"), "created_at", "window_end",
+        clinical.window_start(F.col("window_end"), window_size).alias("window_start"), "sepsis_probability", "reading",
+        clinical.predicted_label(p, threshold).alias("predicted_label"), clinical.risk_level(p, threshold).alias("risk_level"),
+        F.lit(model_version).alias("model_version"))
+    out = {k: os.path.join(base, k) for k in ("predictions", "published", "alerts", "alert_frames", "audit")}
+
+    def land(df: DataFrame, name: str) -> DataFrame:
+        run_available(df, out[name], os.path.join(base, f"ckpt_{name}"))
+        return spark.readStream.schema(spark.read.parquet(out[name]).schema).parquet(out[name])
+
+    pred_stream = land(preds, "predictions")
+    land(publish_frames(pred_stream), "published")
+    raised = state.stream_alerts(pred_stream, cooldown_minutes, carry=["reading"], idle_ms=idle_ms)
+    named = vital_names or {c: c for c in channels}
+    reason = clinical.abnormal_reason({v: F.col("reading")[channels.index(c)] for v, c in named.items() if c in channels})
+    alert_stream = land(alerting.enrich_alerts(raised, reason), "alerts")
+    land(alert_frames(alert_stream), "alert_frames")
+    land(tables.audit_rows(alert_stream, "system", "alert_dispatched", "alert", "id",
+                           {"patient_id": F.col("patient_id"), "risk_level": F.col("risk_level"),
+                            "dispatch_status": F.to_json("dispatch_status")}, "created_at"), "audit")
+    return {**paths, **out}

@@ -2,7 +2,7 @@
 
 State lives in Spark's state store and is checkpointed, so a restarted query
 resumes where it stopped. Rows of one key inside one micro-batch are ordered
-by (timestamp, id) before they are applied (Q12); the micro-batch size is
+by the job's clock before they are applied (Q12); the micro-batch size is
 bounded by the source's ``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``.
 """
 
@@ -22,17 +22,27 @@ WINDOW_STATE = "last_known array<double>, recent array<array<double>>"
 COOLDOWN_STATE = "last_us long, last_rank int"
 
 
+def _rows(pdfs: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
+    """A key's rows of one micro-batch in the order of the job's clock."""
+    return pd.concat(list(pdfs), ignore_index=True).sort_values(list(order), kind="stable")
+
+
 def window_processor(channels: Sequence[str], medians: Mapping[str, float], mean: Mapping[str, float],
-                     std: Mapping[str, float], window_size: int = vocab.STREAM_WINDOW_SIZE):
+                     std: Mapping[str, float], window_size: int = vocab.STREAM_WINDOW_SIZE,
+                     order: Sequence[str] = ("timestamp", "message_id"), idle_ms: int | None = None):
     """J4 + J5: causal impute (last known value, else train median) + z-score;
     emits one full window per reading once ``window_size`` readings are held.
-    No back-fill and no padding: the first ``window_size - 1`` readings give no window (Q13)."""
+    No back-fill and no padding: the first ``window_size - 1`` readings give no window (Q13).
+    With a window go the reading's own values, for the alert's reason (E10)."""
     n = len(channels)
     med = np.array([float(medians.get(c, 0.0) or 0.0) for c in channels])
     mu = np.array([float(mean[c] or 0.0) for c in channels])
     sd = np.array([float(std[c]) for c in channels])
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         if state.exists:
             last_known, recent = state.get
             last = np.array([np.nan if v is None else v for v in last_known], dtype=float)
@@ -40,13 +50,13 @@ def window_processor(channels: Sequence[str], medians: Mapping[str, float], mean
         else:
             last = np.full(n, np.nan)
             recent = np.zeros((0, n))
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["timestamp", "message_id"], kind="stable")
+        batch = _rows(pdfs, order)
         vals = batch[list(channels)].to_numpy(dtype=float)
         # causal fill, vectorised: carried last-known values first, then forward fill, then medians
         filled = pd.DataFrame(np.vstack([last[None, :], vals])).ffill().to_numpy()[1:]
         raw = np.where(np.isnan(filled), med, filled)
-        z = ((raw - mu) / sd).astype(np.float32).astype(float)
-        seq = np.vstack([recent, z])
+        z = ((raw - mu) / sd).astype(np.float32)
+        seq = np.vstack([recent.astype(np.float32), z])
         k = len(recent)
         out = {}
         if len(seq) >= window_size:
@@ -55,9 +65,14 @@ def window_processor(channels: Sequence[str], medians: Mapping[str, float], mean
             keep = ends >= k  # windows that end on a reading of this batch
             idx = ends[keep] - k
             out = {"message_id": batch["message_id"].to_numpy()[idx], "window_end": batch["timestamp"].to_numpy()[idx],
-                   "X": [w.tolist() for w in wins[keep]]}
+                   "created_at": batch[order[0]].to_numpy()[idx],
+                   "X": list(wins[keep].reshape(-1, window_size * n)),
+                   "reading": [[None if np.isnan(v) else float(v) for v in r] for r in vals[idx]]}
         new_last = filled[-1] if len(filled) else last
-        state.update(([None if np.isnan(v) else float(v) for v in new_last], seq[-(window_size - 1):].tolist() if window_size > 1 else []))
+        held = seq[-(window_size - 1):].astype(float).tolist() if window_size > 1 else []
+        state.update(([None if np.isnan(v) else float(v) for v in new_last], held))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         if out and len(out["message_id"]):
             yield pd.DataFrame({"patient_id": [key[0]] * len(out["message_id"]), **out})
 
@@ -65,47 +80,83 @@ def window_processor(channels: Sequence[str], medians: Mapping[str, float], mean
 
 
 def stream_windows(readings: DataFrame, channels: Sequence[str], medians, mean, std,
-                   window_size: int = vocab.STREAM_WINDOW_SIZE, key: str = "patient_id") -> DataFrame:
-    """Readings (patient_id, message_id, timestamp, one column per channel) → full windows."""
-    schema = f"{key} {readings.schema[key].dataType.simpleString()}, message_id long, window_end timestamp, X array<array<double>>"
-    fn = window_processor(channels, medians, mean, std, window_size)
-    return readings.groupBy(key).applyInPandasWithState(fn, schema, WINDOW_STATE, "append", GroupStateTimeout.NoTimeout)
+                   window_size: int = vocab.STREAM_WINDOW_SIZE, key: str = "patient_id",
+                   order: Sequence[str] = ("timestamp", "message_id"), idle_ms: int | None = None) -> DataFrame:
+    """Readings (patient_id, message_id, timestamp, one column per channel) → full windows.
+
+    ``X`` is the flat window (step by step), ``created_at`` the first column of
+    ``order``, the job's clock. With ``idle_ms`` the state of a patient without
+    readings for so long is dropped.
+    """
+    schema = (f"{key} {readings.schema[key].dataType.simpleString()}, message_id long, window_end timestamp, "
+              "created_at timestamp, X array<float>, reading array<double>")
+    fn = window_processor(channels, medians, mean, std, window_size, order, idle_ms)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return readings.groupBy(key).applyInPandasWithState(fn, schema, WINDOW_STATE, "append", timeout)
+
+
+def raised_positions(us: np.ndarray, rank: np.ndarray, cd_us: int, last_us: int | None, last_rank: int | None) -> list[int]:
+    """Positions that raise an alert, for times in ascending order: from each alert the next is the first
+    row of higher rank or the first one a cooldown later, both found by binary search."""
+    higher = {r: np.flatnonzero(rank > r) for r in np.unique(rank).tolist()}
+    if last_rank is not None:
+        higher[last_rank] = np.flatnonzero(rank > last_rank)
+    keep, i = [], 0
+    while i < len(us):
+        if last_us is not None:
+            above = higher[last_rank]
+            at = int(np.searchsorted(above, i))
+            i = min(int(above[at]) if at < len(above) else len(us), max(i, int(np.searchsorted(us, last_us + cd_us))))
+            if i >= len(us):
+                break
+        keep.append(i)
+        last_us, last_rank = int(us[i]), int(rank[i])
+        i += 1
+    return keep
 
 
 def cooldown_processor(cooldown_minutes: float = vocab.ALERT_COOLDOWN_MINUTES,
-                       levels: Sequence[str] = vocab.ALERT_TRIGGER_LEVELS):
-    """J8 in streaming form: state = (time, rank) of the entity's last alert."""
+                       levels: Sequence[str] = vocab.ALERT_TRIGGER_LEVELS, carry: Sequence[str] = (), idle_ms: int | None = None):
+    """J8 in streaming form: state = (time, rank) of the entity's last alert.
+
+    The clock is ``created_at``, the time a prediction was made, which only
+    grows from one micro-batch to the next: how rows are dealt to micro-batches
+    then does not matter. A row that is older than the last alert is inside its
+    cooldown unless its rank is higher.
+    """
     cd_us = int(round(cooldown_minutes * 60 * 1_000_000))
     rank = vocab.RISK_RANK
     trig = set(levels)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last_us, last_rank = state.get if state.exists else (None, None)
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["created_at", "id"], kind="stable")
+        batch = _rows(pdfs, ["created_at", "id"])
         batch = batch[batch["risk_level"].isin(trig)]
-        keep = []
-        us = (batch["created_at"].astype("datetime64[us]").astype("int64")).to_numpy()
-        for i, (lvl, t) in enumerate(zip(batch["risk_level"].to_numpy(), us)):
-            r = rank.get(lvl, 0)
-            if last_us is None or r > last_rank or t - last_us >= cd_us:
-                keep.append(i)
-                last_us, last_rank = int(t), int(r)
+        us = batch["created_at"].astype("datetime64[us]").astype("int64").to_numpy()
+        ranks = np.array([rank.get(level, 0) for level in batch["risk_level"]], dtype=int)
+        keep = raised_positions(us, ranks, cd_us, last_us, last_rank)
+        if keep:
+            last_us, last_rank = int(us[keep[-1]]), int(ranks[keep[-1]])
         if last_us is not None:
             state.update((last_us, last_rank))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         if keep:
-            out = batch.iloc[keep]
-            yield pd.DataFrame({"patient_id": out["patient_id"].to_numpy(), "id": out["id"].to_numpy(),
-                                "created_at": out["created_at"].to_numpy(), "risk_level": out["risk_level"].to_numpy(),
-                                "sepsis_probability": out["sepsis_probability"].to_numpy()})
+            yield batch.iloc[keep][["patient_id", "id", "created_at", "risk_level", "sepsis_probability", *carry]]
 
     return fn
 
 
 def stream_alerts(preds: DataFrame, cooldown_minutes: float = vocab.ALERT_COOLDOWN_MINUTES,
-                  levels: Sequence[str] = vocab.ALERT_TRIGGER_LEVELS) -> DataFrame:
-    """Predictions stream → raised alerts (same rule as the batch fold)."""
-    p = preds.select("patient_id", "id", F.col("created_at").cast("timestamp").alias("created_at"), "risk_level", "sepsis_probability")
-    schema = (f"patient_id {p.schema['patient_id'].dataType.simpleString()}, id {p.schema['id'].dataType.simpleString()}, "
-              "created_at timestamp, risk_level string, sepsis_probability double")
-    return p.groupBy("patient_id").applyInPandasWithState(cooldown_processor(cooldown_minutes, levels), schema, COOLDOWN_STATE,
-                                                         "append", GroupStateTimeout.NoTimeout)
+                  levels: Sequence[str] = vocab.ALERT_TRIGGER_LEVELS, carry: Sequence[str] = (),
+                  idle_ms: int | None = None) -> DataFrame:
+    """Predictions stream → raised alerts (same rule as the batch fold), with the columns in ``carry``."""
+    p = preds.select("patient_id", "id", F.col("created_at").cast("timestamp").alias("created_at"), "risk_level",
+                     "sepsis_probability", *carry)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.schema.fields)
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return p.groupBy("patient_id").applyInPandasWithState(cooldown_processor(cooldown_minutes, levels, carry, idle_ms), schema,
+                                                         COOLDOWN_STATE, "append", timeout)
