@@ -32,8 +32,7 @@ def explain_windows(windows: DataFrame, channels: Sequence[str], fill, id_cols:
     shuffled. ``predict`` maps (n, steps, channels) to n probabilities.
     """
     C = len(channels)
-    wid = F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed))
-    order = channel_order(wid, C)
+    order = channel_order(F.concat_ws(":", *[F.col(c).cast("string") for c in id_cols], F.lit(str(seed))), C)
     rows = windows.select(*id_cols, "X", order.alias("_order"), fill.alias("_fill"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.select(*id_cols).schema.fields)
 
@@ -52,8 +51,9 @@ def explain_windows(windows: DataFrame, channels: Sequence[str], fill, id_cols:
 
 
 def channel_order(wid: Column, n_channels: int) -> Column:
-    """Seeded permutation of the channels of a window: channels in the order of a hash with the window's id."""
-    hashed = F.transform(F.sequence(F.lit(0), F.lit(n_channels - 1)), lambda j: F.struct(F.xxhash64(wid, j).alias("h"), j.alias("j")))
+    """Seeded permutation of the channels of a window: channels in the order of the md5 of window, seed and position."""
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(n_channels - 1)),
+                         lambda j: F.struct(F.md5(F.concat_ws(":", wid, j.cast("string"))).alias("h"), j.alias("j")))
     return F.transform(F.array_sort(hashed), lambda s: s["j"])
 
 

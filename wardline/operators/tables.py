@@ -33,6 +33,14 @@ def last_n_per_key(df: DataFrame, key: str, order: Sequence[str], n: int, rank_c
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
 
 
+def live_view(readings: DataFrame, key: str = "patient_id", order: Sequence[str] = ("timestamp", "id"), n: int = 50) -> DataFrame:
+    """Per patient the newest reading and the list of the last ``n``, newest first."""
+    rows = last_n_per_key(readings, key, order, n)
+    fields = F.struct(*[c for c in readings.columns if c != key])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", fields.alias("r")))), lambda x: x["r"])
+    return rows.groupBy(key).agg(listed.alias("recent")).select(key, F.get("recent", F.lit(0)).alias("latest"), "recent")
+
+
 def in_range(df: DataFrame, ts: str, start=None, end=None) -> DataFrame:
     """D1 range part: optional inclusive bounds."""
     if start is not None:
