@@ -92,6 +92,13 @@ def row_blocks(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[
         lo = hi
 
 
+def blocks_of(limit: int, texts: pa.Array, *others: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
+    """Slices of an Arrow batch with at most ``limit`` bytes of text each, so that what is made of them stays small."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    for lo, hi in row_blocks(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), limit):
+        yield tuple(a.slice(lo, hi - lo) for a in (texts, *others))
+
+
 def crc32_mod3(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3 (null id: 0, that of no text at all)."""
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % 3

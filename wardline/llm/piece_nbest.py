@@ -38,15 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import row_blocks
+from wardline.llm.common import blocks_of, row_blocks
 
 SEGMENT = re.compile(r" +[^ \n]*|\n[^ \n]*")
 SPACE = "▁"
 N_BEST = 4
 UNKNOWN_PENALTY = 10.0
 LONGEST_BATCHED = 48
-CACHE_ENTRIES = 400_000
-BLOCK_BYTES = 2 << 20
+CACHE_ENTRIES = 200_000
+BLOCK_BYTES = 1 << 20
 _SLOTS_BITS = 18
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0x100000001B3)
@@ -347,18 +347,13 @@ def encode_pieces(docs: DataFrame, model: bytes, text_col: str = "text", out: st
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = _segment_table(shared.value)
-        for texts in batches:
-            bytes_of = np.concatenate([[0], np.cumsum([len(t.as_py() or "") for t in texts])]).astype(np.int64)
-            ids, ends, scores, others = [np.zeros(0, np.int32)], [0], [], []
-            for lo, hi in row_blocks(bytes_of, BLOCK_BYTES):
-                i, e, s, o = encode_block(table, texts.slice(lo, hi - lo).to_pylist(), n)
-                ends += (e + ends[-1]).tolist()
-                ids.append(i)
-                scores += s
-                others += o
-            yield pa.StructArray.from_arrays(
-                [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids))),
-                 pa.array(scores, pa.list_(pa.float64())), pa.array(others, _OTHERS)], ["ids", "scores", "others"])
+        for batch in batches:
+            for (texts,) in blocks_of(BLOCK_BYTES, batch):
+                ids, ends, scores, others = encode_block(table, texts.to_pylist(), n)
+                offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+                yield pa.StructArray.from_arrays(
+                    [pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(scores, pa.list_(pa.float64())),
+                     pa.array(others, _OTHERS)], ["ids", "scores", "others"])
 
     encode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return docs.withColumn(out, F.arrow_udf(encode, SCHEMA)(F.col(text_col)))
@@ -371,12 +366,12 @@ def decode_pieces(df: DataFrame, model: bytes, ids_col: str = "ids", out: str =
     def spell(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = _segment_table(shared.value).vocab
         for lists in batches:
-            offsets, out = lists.offsets.to_numpy().astype(np.int64), []
-            values = lists.values.to_numpy()
+            offsets, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+            valid = lists.is_valid().to_pylist()
             for lo, hi in row_blocks(offsets - offsets[0], BLOCK_BYTES):
                 ids = values[offsets[lo]:offsets[hi]].astype(np.int64)
-                out += decode(vocab, ids, offsets[lo + 1:hi + 1] - offsets[lo])
-            yield pa.array([t if ok else None for t, ok in zip(out, lists.is_valid().to_pylist(), strict=True)], pa.string())
+                texts = decode(vocab, ids, offsets[lo + 1:hi + 1] - offsets[lo])
+                yield pa.array([t if ok else None for t, ok in zip(texts, valid[lo:hi], strict=True)], pa.string())
 
     spell.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return df.withColumn(out, F.arrow_udf(spell, "string")(ids_col))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import Landed, row_blocks, string_buffers
+from wardline.llm.common import Landed, blocks_of, row_blocks, string_buffers
 from wardline.llm.words_np import mix
 
 SPAN = 50
@@ -118,9 +118,9 @@ _CONTEXT = pa.struct([("h", pa.int64()), ("at", pa.int32()), ("place", pa.int32(
 
 def _contexts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Contexts of the wanted anchors of each text: string start, place of the anchor in it, bytes."""
-    for texts, wanted in batches:
+    for texts, wanted in (part for batch in batches for part in blocks_of(_PIECE, *batch)):
         data, offsets = string_buffers(texts)
-        w_off, w = wanted.offsets.to_numpy(), wanted.values.to_numpy()
+        w_off, w = wanted.offsets.to_numpy(), wanted.values.to_numpy()  # offsets of a slice point into all values
         parts = []
         for rows, h, place, first, last in _blocks(offsets, data):
             signed = h.view(np.int64)
@@ -245,7 +245,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _keep(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for texts, repeats in batches:
+    for texts, repeats in (part for batch in batches for part in blocks_of(_PIECE, *batch)):
         spans, kept = [], []
         raw = texts.cast(pa.binary())
         for k in range(len(raw)):
