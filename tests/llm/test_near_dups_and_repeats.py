@@ -158,7 +158,7 @@ def test_anchor_groups_cut_between_batches_or_too_large(monkeypatch):
             if rnd.random() < 0.5:
                 rows.append((h, f"{h}-{k}b", rnd.randrange(30), rows[-1][3], body[:58] + b"q" * (len(body) - 58 if len(body) > 58 else 0)))
     rows.sort(key=lambda r: r[0])
-    names = ["h", "context", "first", "place", "bytes"]
+    names = ["h", "c", "first", "place", "bytes"]
     whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [
         pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.binary()], strict=True)], names)
     want = pa.Table.from_batches(suffix_dedup._mask_batches(iter([whole]))).to_pylist()

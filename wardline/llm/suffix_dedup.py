@@ -4,14 +4,15 @@ A byte goes when a string of SPAN bytes that covers it also starts in a
 document with a smaller id. No task can hold the suffix array of a corpus, so
 suffixes are dealt out by an anchor that equal strings share: the smallest hash
 among the GRAM-byte grams of the SPAN-byte string (its leftmost place). One
-anchor serves a run of neighbouring string starts, about 20 bytes.
+anchor serves a run of neighbouring string starts, about 16 of them.
 
 1. Anchors: (anchor hash, id) of every document; hashes of two or more
    documents are kept (aggregates with map-side combine).
 2. Contexts: the bytes around each kept anchor, i.e. all SPAN-byte strings that
-   it serves; equal contexts are one row with its smallest id, so a passage
-   that stands in a third of all documents is a few rows.
-3. Within an anchor hash the suffixes of all contexts are sorted. Between
+   it serves, named by a hash; equal contexts are one row with its smallest id,
+   so a passage that stands in a third of all documents is a few rows.
+3. Anchors with several contexts bring these contexts' bytes together. Within an
+   anchor hash the suffixes of all contexts are sorted. Between
    neighbours with a common prefix of SPAN bytes, the previous and next smaller
    id in suffix order tell whether the longest previous factor reaches SPAN.
    Occurrences in later documents than a context's first are repeats as a whole.
@@ -36,22 +37,23 @@ from wardline.llm.common import Landed, blocks_of, row_blocks, string_buffers
 from wardline.llm.words_np import mix
 
 SPAN = 50
-GRAM = 12
+GRAM = 20
 WIDTH = SPAN - GRAM + 1
 _PLACE_BITS = np.uint64(22)
 _PLACE = np.uint64((1 << 22) - 1)
 _PIECE = 1 << 20
-_BASE, _BASE2, _BASE4 = (np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4))
+_BASE, _BASE2, _BASE4, _BASE8 = (np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8))
 WORDS = -(-SPAN // 8)
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Mixed hash of the GRAM (12) bytes at each place."""
+    """Mixed hash of the GRAM (20) bytes at each place."""
     one = data.astype(np.uint64) + np.uint64(1)
     two = one[:-1] * _BASE + one[1:]
     four = two[:-2] * _BASE2 + two[2:]
     eight = four[:-4] * _BASE4 + four[4:]
-    return mix(eight[:-4] * _BASE4 + four[8:])
+    sixteen = eight[:-8] * _BASE8 + eight[8:]
+    return mix(sixteen[:-4] * _BASE4 + four[16:])
 
 
 def _anchors_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -206,12 +208,12 @@ def _masks(batch: pa.RecordBatch) -> pa.Array:
 
 def _mask_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by anchor hash come in batches; a group that is cut is finished with the next batch."""
-    names = ["h", "context", "first", "mask"]
+    names = ["h", "c", "first", "mask"]
     held: list[pa.RecordBatch] = []
 
     def finish(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        return pa.RecordBatch.from_arrays([batch.column("h"), batch.column("context"), batch.column("first"), _masks(batch)], names)
+        return pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), batch.column("first"), _masks(batch)], names)
 
     for batch in batches:
         if not batch.num_rows:
@@ -276,26 +278,31 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = anchors.join(shared.df, "h", "left_semi").groupBy("id").agg(F.collect_list("h").alias("wanted"))
     wanted = Landed(wanted, "suffix-wanted")
     shared.drop()
-    found = (long_rows.join(wanted.df, "id")
-             .select("id", F.xxhash64("t").alias("th"), F.explode(F.arrow_udf(_contexts, CONTEXT)("t", "wanted")).alias("c"))
-             .select("id", "th", "c.*"))
+
+    def contexts(asked: DataFrame) -> DataFrame:
+        """Contexts of the asked anchors (id, wanted); ``c`` names a context by its bytes and the anchor's place."""
+        rows = long_rows.join(asked, "id").select(
+            "id", F.xxhash64("t").alias("th"), F.explode(F.arrow_udf(_contexts, CONTEXT)("t", "wanted")).alias("x"))
+        return rows.select("id", "th", "x.*", F.xxhash64("x.place", "x.bytes").alias("c"))
+
+    found = contexts(wanted.df).select("id", "th", "h", "c", "at", (F.octet_length("bytes") - SPAN + 1).alias("served"))
     found = Landed(found, "suffix-contexts")
     wanted.drop()
-    # the context's name: its bytes and the place of the anchor
-    named = found.df.withColumn("context", F.md5(F.concat("bytes", F.encode(F.col("place").cast("string"), "utf-8"))))
-    distinct = named.groupBy("h", "context").agg(F.min("id").alias("first"), F.any_value("place").alias("place"),
-                                                 F.any_value("bytes").alias("bytes"))
-    masks = (distinct.repartition("h").sortWithinPartitions("h")
-             .mapInArrow(_mask_batches, "h long, context string, first long, mask long"))
-    masks = Landed(masks, "suffix-masks")
-    served = F.octet_length("bytes") - SPAN + 1
-    repeats = (named.select("id", "th", "at", "h", "context", served.alias("served"))
-               .join(masks.df, ["h", "context"])
-               .withColumn("mask", F.when(F.col("id") > F.col("first"), F.expr("(1L << served) - 1")).otherwise(F.col("mask")))
+    names = Landed(found.df.groupBy("h", "c").agg(F.min("id").alias("first")), "suffix-names")
+    # only anchors with several contexts need the bytes, once more from the documents that have them first
+    several = names.df.groupBy("h").count().filter("count > 1").select("h")
+    asked = (names.df.join(several, "h", "left_semi").groupBy(F.col("first").alias("id"))
+             .agg(F.collect_set("h").alias("wanted")))
+    masks = (contexts(asked).select("h", "c", F.col("id").alias("first"), "place", "bytes")
+             .repartition("h").sortWithinPartitions("h").mapInArrow(_mask_batches, "h long, c long, first long, mask long"))
+    masks = Landed(masks.filter("mask != 0").distinct(), "suffix-masks")
+    known = names.df.join(masks.df, ["h", "c", "first"], "left")
+    mask = F.when(F.col("id") > F.col("first"), F.expr("shiftleft(1L, served) - 1")).otherwise(F.col("mask"))
+    repeats = (found.df.join(known, ["h", "c"]).select("id", "th", "at", mask.alias("mask"))
                .filter("mask != 0").groupBy("id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("repeats")))
     repeats = Landed(repeats, "suffix-repeats")
-    found.drop()
-    masks.drop()
+    for table in (found, names, masks):
+        table.drop()
     keyed = rows.withColumn("th", F.xxhash64("t"))
     out = keyed.join(repeats.df, ["id", "th"], "left").withColumn("x", F.arrow_udf(_keep, KEPT)("t", "repeats"))
     return out.select(F.col("id").alias(id_col), F.octet_length("t").cast("long").alias("n_bytes"), "x.spans", "x.kept")
