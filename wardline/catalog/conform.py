@@ -30,7 +30,7 @@ CONF_SQL = MAP_SQL + [
     "ev AS (SELECT o_custkey AS subject_id, l_shipdate AS charttime, l_partkey AS itemid, l_quantity AS valuenum "
     "FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
     "cr AS (SELECT CAST(subject_id AS VARCHAR) AS patient_id, charttime, m.channel, "
-    "CASE WHEN m.is_fahrenheit THEN (valuenum - 32) * 5 / 9 ELSE valuenum END AS value, m.source FROM ev JOIN map m USING (itemid) "
+    "CASE WHEN m.is_fahrenheit THEN (valuenum - 32) * 5 / 9 ELSE valuenum END AS value, 'mimic_iv_demo' AS source FROM ev JOIN map m USING (itemid) "
     "WHERE valuenum IS NOT NULL)",
 ]
 
@@ -69,6 +69,30 @@ def stays_joined(spark, d):
     return standin.stays(spark, d)
 
 
+@register("stays_two_key", "SELECT CAST(o.o_custkey AS VARCHAR) AS patient_id, o.o_orderkey AS stay_id, c_acctbal AS age, c_mktsegment AS sex, "
+                           "o.o_orderpriority AS unit_admitted, o.o_orderdate AS admission_time, o.o_orderdate + INTERVAL 3 DAY AS outtime, "
+                           "CAST(3 AS DOUBLE) AS los, 'mimic_iv_demo' AS source_dataset FROM orders o "
+                           "LEFT JOIN (SELECT o_custkey AS s, o_orderkey AS h FROM orders WHERE o_orderkey % 5 <> 0) a ON a.s = o.o_custkey AND a.h = o.o_orderkey "
+                           "LEFT JOIN customer ON o.o_custkey = c_custkey")
+def stays_two_key(spark, d):
+    """Orders as stays and admissions, customers as patients."""
+    o = standin.table(spark, d, "orders")
+    stays = o.select(F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("hadm_id"), F.col("o_orderkey").alias("stay_id"),
+                     F.col("o_orderpriority").alias("first_careunit"), F.col("o_orderdate").alias("intime"),
+                     (F.col("o_orderdate") + F.expr("INTERVAL 3 DAY")).alias("outtime"), F.lit(3.0).alias("los"))
+    admissions = o.filter("o_orderkey % 5 != 0").select(F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("hadm_id"))
+    patients = standin.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("gender"), F.col("c_acctbal").alias("anchor_age"))
+    return conform.join_stays(stays, admissions, patients)
+
+
+@register("mapping_lists", S.with_(*MAP_SQL) + "SELECT v.channel, itemid, label, is_fahrenheit, itemid IS NOT NULL AS resolved FROM (VALUES "
+          + ", ".join(f"('{c}')" for c in vocab.CLINICAL_CHANNELS) + ") v(channel) LEFT JOIN map USING (channel)")
+def mapping_lists(spark, d):
+    """resolved and unresolved channels."""
+    return conform.mapping_lists(_mapping(spark, d))
+
+
 @register("unresolved_channels", S.with_(*MAP_SQL, "voc AS (SELECT * FROM (VALUES "
                                          + ", ".join(f"('{c}', {i})" for i, c in enumerate(vocab.CLINICAL_CHANNELS))
                                          + ") t(channel, position))")

@@ -153,20 +153,14 @@ MISS_CTE = "mr AS (SELECT * FROM (" + _union([
     "UNION ALL SELECT 'positive_rate', round(avg(ever_positive), 6), NULL FROM prof "
     "UNION ALL (SELECT 'top_missing_channel', round(pct, 6), channel FROM mr ORDER BY pct DESC, pos LIMIT 1) "
     "UNION ALL (SELECT 'top_correlated_pair', correlation, feature_a || ' / ' || feature_b FROM tp "
-    "ORDER BY abs(correlation) DESC, " + POS.format(x='feature_a') + ", " + POS.format(x='feature_b') + " LIMIT 1)"))
+    "ORDER BY abs(correlation) DESC, " + POS.format(x='feature_a') + ", " + POS.format(x='feature_b') + " LIMIT 1) "
+    "UNION ALL (SELECT 'top_important_channel', m, channel FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS channel, {i} AS pos, round(avg({S.q(c)}), 6) AS m FROM rw" for i, c in enumerate(CH))
+    + ") ORDER BY m DESC, pos LIMIT 1)"))
 def eda_summary(spark, d):
-    """F25 as a tall table (metric, num, text)."""
-    rw = reliable_checkpoint(_rw(spark, d))  # three statistics read the same readings
-    prof = eda.entity_profile(rw, KEY, LABEL)
-    base = prof.agg(F.sum("n_rows").cast("double").alias("n_rows"), F.count(F.lit(1)).cast("double").alias("n_patients"),
-                    r6(F.avg("ever_positive")).alias("positive_rate"))
-    nums = base.select(F.inline(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).alias("num"), F.lit(None).cast("string").alias("text"))
-        for m in ("n_rows", "n_patients", "positive_rate")])))
-    pos = F.create_map(*[x for i, c in enumerate(CH) for x in (F.lit(c), F.lit(i))])
-    miss = eda.missingness(rw, CH).orderBy(F.col("pct_missing").desc(), pos[F.col("channel")]).limit(1) \
-        .select(F.lit("top_missing_channel").alias("metric"), r6("pct_missing").alias("num"), F.col("channel").alias("text"))
-    tp = eda.top_pairs(eda.correlation_matrix(rw, CH), CH, 1) \
-        .select(F.lit("top_correlated_pair").alias("metric"), r6("correlation").alias("num"),
-                F.concat_ws(" / ", "feature_a", "feature_b").alias("text"))
-    return nums.unionByName(miss).unionByName(tp)
+    """F25 as a tall table (metric, num, text); the importance row ranks channels by their mean reading."""
+    rw = reliable_checkpoint(_rw(spark, d))  # four statistics read the same readings
+    ranking = rw.select(F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in CH]))) \
+        .groupBy("channel").agg(F.round(F.avg("v"), 6).alias("importance"))
+    pairs = eda.top_pairs(eda.correlation_matrix(rw, CH), CH, 1)
+    return round_doubles(eda.summary(rw, CH, KEY, LABEL, eda.missingness(rw, CH), pairs, ranking))

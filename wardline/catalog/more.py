@@ -280,6 +280,18 @@ def windows_dataset(spark, d):
         *IDS, "y", *[F.col("v")[i].cast("double").alias(c) for i, c in enumerate(CH)])
 
 
+@register("m1_written", _WX + "SELECT split, count(DISTINCT patient_id) AS n_patients, count(*) AS n_windows, (SELECT count(*) FROM sp WHERE sp.split = wx.split) "
+                                 "AS n_ids, round(avg(y), 6) AS positive_rate FROM wx WHERE step = 0 GROUP BY split")
+def m1_written(spark, d):
+    """M1 from readings to written windows, ids and metadata (B1, B2), read back."""
+    out = scratch_path(spark, "m1")
+    meta = preprocess.run(standin.readings_wide(spark, d), CH, out)
+    rows = meta.select(F.explode("counts").alias("split", "c"))
+    ids = spark.read.parquet(os.path.join(out, "patient_ids")).groupBy("split").agg(F.count(F.lit(1)).alias("n_ids"))
+    return rows.join(ids, "split").select("split", F.col("c")["n_patients"].cast("long").alias("n_patients"), F.col("c")["n_windows"].cast("long").alias("n_windows"),
+                                          "n_ids", F.round(F.col("c")["window_positive_rate"], 6).alias("positive_rate"))
+
+
 @register("csv_table", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def csv_table(spark, d):
     """B4 + A4: a statistic written as CSV and read with its schema."""

@@ -291,6 +291,26 @@ def _report_sql():
         "FROM pat p LEFT JOIN lp USING (patient_id) LEFT JOIN la USING (patient_id) LEFT JOIN rr USING (patient_id) LEFT JOIN lv USING (patient_id)")
 
 
+def _ids(src, ts, n, name):
+    return (f"{name} AS (SELECT patient_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY {ts} DESC, id DESC) AS ids FROM (SELECT * FROM {src} "
+            f"QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY {ts} DESC, id DESC) <= {n}) GROUP BY 1)")
+
+
+@register("patient_document", S.with_recursive(*ALERTS30, *S.PATIENTS, *S.VITALS, _ids("vit", "ts", 12, "dv"), _ids("preds", "created_at", 12, "dp"),
+                                               _ids("al", "created_at", 12, "da"),
+                                               "lp AS (SELECT patient_id, arg_max(id, (created_at, id)) AS id FROM preds GROUP BY 1)")
+          + "SELECT p.patient_id, p.current_status, dv.ids AS vitals, dp.ids AS predictions, da.ids AS alerts, e.event_type AS explanation FROM pat p "
+            "LEFT JOIN dv USING (patient_id) LEFT JOIN dp USING (patient_id) LEFT JOIN da USING (patient_id) LEFT JOIN lp USING (patient_id) "
+            "LEFT JOIN (SELECT * FROM events WHERE event_id % 3 <> 0) e ON e.event_id = lp.id")
+def patient_document(spark, d):
+    """Nested document per patient with lists of 12 and the latest explanation (ids shown)."""
+    expl = standin.table(spark, d, "events").filter("event_id % 3 != 0").select(F.col("event_id").alias("prediction_id"), F.col("event_type").alias("top"))
+    doc = report.patient_document(standin.patients(spark, d).select("patient_id", "current_status"), _vitals_flat(spark, d),
+                                  standin.predictions(spark, d), _alerts(spark, d), expl, 12, 12, 12)
+    ids = lambda c: F.array_join(F.transform(c, lambda r: r["id"].cast("string")), ",").alias(c)
+    return doc.select("patient_id", "current_status", ids("vitals"), ids("predictions"), ids("alerts"), F.col("explanation.top").alias("explanation"))
+
+
 @register("patient_report", _report_sql())
 def patient_report(spark, d):
     """One row per patient; every side pre-aggregated to one row per patient, then left-joined."""

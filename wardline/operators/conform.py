@@ -66,16 +66,27 @@ def combine_mappings(chart: DataFrame, lab: DataFrame) -> DataFrame:
 
 
 def conform_events(events: DataFrame, mapping: DataFrame, subject: str = "subject_id", time: str = "charttime",
-                   item: str = "itemid", value: str = "valuenum") -> DataFrame:
-    """E3 + C2 + D5: tall canonical readings; Fahrenheit items converted to Celsius.
+                   item: str = "itemid", value: str = "valuenum", dataset: str = vocab.CODED_DATASET) -> DataFrame:
+    """E3 + C2 + D5: tall canonical readings; Fahrenheit items converted to Celsius, time text parsed,
+    ``source`` the data set on all rows.
 
     The mapping has at most one row per channel, a proven bound for the broadcast.
     """
     j = events.filter(F.col(value).isNotNull()).join(
-        F.broadcast(mapping.select(F.col("itemid").alias(item), "channel", "source", "is_fahrenheit")), item)
+        F.broadcast(mapping.select(F.col("itemid").alias(item), "channel", "is_fahrenheit")), item)
+    at = F.col(time).cast("timestamp") if events.schema[time].dataType.simpleString() == "string" else F.col(time)
     v = F.when(F.col("is_fahrenheit"), (F.col(value) - 32) * 5 / 9).otherwise(F.col(value))
-    return j.select(F.col(subject).cast("string").alias("patient_id"), F.col(time).alias("charttime"),
-                    "channel", v.alias("value"), "source")
+    return j.select(F.col(subject).cast("string").alias("patient_id"), at.alias("charttime"),
+                    "channel", v.alias("value"), F.lit(dataset).alias("source"))
+
+
+def join_stays(stays: DataFrame, admissions: DataFrame, patients: DataFrame, dataset: str = vocab.CODED_DATASET) -> DataFrame:
+    """Stays with their admission (subject_id, hadm_id) and patient (subject_id), renamed to the patient table."""
+    j = stays.join(admissions.select("subject_id", "hadm_id"), ["subject_id", "hadm_id"], "left") \
+        .join(patients.select("subject_id", "gender", "anchor_age"), "subject_id", "left")
+    return j.select(F.col("subject_id").cast("string").alias("patient_id"), "stay_id", F.col("anchor_age").alias("age"),
+                    F.col("gender").alias("sex"), F.col("first_careunit").alias("unit_admitted"),
+                    F.col("intime").alias("admission_time"), "outtime", "los", F.lit(dataset).alias("source_dataset"))
 
 
 def unresolved(mapping: DataFrame, vocabulary: Sequence[str] = vocab.CLINICAL_CHANNELS) -> DataFrame:
@@ -96,6 +107,13 @@ def mapping_report(readings: DataFrame, mapping: DataFrame, vocabulary: Sequence
         .unionByName(u.select(F.lit("n_unresolved").alias("metric"), F.col("n_unresolved").alias("value")))
 
 
+def mapping_lists(mapping: DataFrame, vocabulary: Sequence[str] = vocab.CLINICAL_CHANNELS) -> DataFrame:
+    """every vocabulary channel with its resolved item, or none (one row per channel)."""
+    voc = mapping.sparkSession.createDataFrame([(c,) for c in vocabulary], "channel string")
+    return voc.join(mapping.select("channel", "itemid", "label", "is_fahrenheit"), "channel", "left") \
+        .withColumn("resolved", F.col("itemid").isNotNull())
+
+
 def empty_readings(spark: SparkSession) -> DataFrame:
     """Typed empty result when neither source resolves."""
     return spark.createDataFrame([], "patient_id string, charttime timestamp, channel string, value double, source string")

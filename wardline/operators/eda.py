@@ -133,6 +133,30 @@ def top_pairs(corr: DataFrame, channels: Sequence[str], top_n: int = 15) -> Data
         .select(F.col("channel_a").alias("feature_a"), F.col("channel_b").alias("feature_b"), F.col("corr").alias("correlation"))
 
 
+def summary(df: DataFrame, channels: Sequence[str], key: str, label: str, missing: DataFrame, pairs: DataFrame,
+            importance: DataFrame | None = None) -> DataFrame:
+    """F25 as a tall table (metric, num, text): rows, patients, prevalence, most missing channel, strongest pair and,
+    given a ranking of channels, the most important one."""
+    null = F.lit(None).cast("string")
+    base = entity_profile(df, key, label).agg(
+        F.sum("n_rows").cast("double").alias("n_rows"), F.count(F.lit(1)).cast("double").alias("n_patients"),
+        F.avg("ever_positive").alias("positive_rate"))
+    out = base.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("num"), null.alias("text"))
+                                         for m in ("n_rows", "n_patients", "positive_rate")])))
+    place = F.create_map(*[x for i, c in enumerate(channels) for x in (F.lit(c), F.lit(i))])
+    tops = [missing.orderBy(F.col("pct_missing").desc(), place[F.col("channel")]).limit(1)
+            .select(F.lit("top_missing_channel").alias("metric"), F.col("pct_missing").alias("num"), F.col("channel").alias("text")),
+            pairs.orderBy(F.abs("correlation").desc(), place[F.col("feature_a")], place[F.col("feature_b")]).limit(1)
+            .select(F.lit("top_correlated_pair").alias("metric"), F.col("correlation").alias("num"),
+                    F.concat_ws(" / ", "feature_a", "feature_b").alias("text"))]
+    if importance is not None:
+        tops.append(importance.orderBy(F.col("importance").desc(), place[F.col("channel")]).limit(1)
+                    .select(F.lit("top_important_channel").alias("metric"), F.col("importance").alias("num"), F.col("channel").alias("text")))
+    for t in tops:
+        out = out.unionByName(t)
+    return out
+
+
 def channel_coverage(tall: DataFrame, key: str = "patient_id", exact: bool = True) -> DataFrame:
     """readings and distinct entities per channel."""
     distinct = F.countDistinct(key) if exact else F.approx_count_distinct(key)

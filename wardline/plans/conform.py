@@ -31,7 +31,7 @@ def run_conform(spark: SparkSession, chart_items: DataFrame, lab_items: DataFram
     readings = conform.conform_events(chart_events, mapping.filter(F.col("source") == "chartevents")).unionByName(
         conform.conform_events(lab_events, mapping.filter(F.col("source") == "labevents")))
     out = {"mapping": mapping, "readings": readings, "report": conform.mapping_report(readings, mapping),
-           "unresolved": conform.unresolved(mapping)}
+           "unresolved": conform.unresolved(mapping), "mapping_lists": conform.mapping_lists(mapping)}
     if stays is not None:
         out["patients"] = stays
     if out_dir:
@@ -39,4 +39,5 @@ def run_conform(spark: SparkSession, chart_items: DataFrame, lab_items: DataFram
         if stays is not None:
             stays.write.mode("overwrite").parquet(os.path.join(out_dir, "patients"))
         files.write_json(out["report"], os.path.join(out_dir, "mapping_report"))
+        files.write_json(out["mapping_lists"], os.path.join(out_dir, "mapping_lists"))
     return out

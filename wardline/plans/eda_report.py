@@ -14,7 +14,7 @@ from wardline.sources import files
 
 
 def run_eda(readings: DataFrame, channels: Sequence[str], key: str = "patient_id", label: str = "SepsisLabel",
-            windows: DataFrame | None = None, out_dir: str | None = None, exact: bool = True) -> dict[str, DataFrame]:
+            windows: DataFrame | None = None, tall_readings: DataFrame | None = None, stays: DataFrame | None = None, out_dir: str | None = None, exact: bool = True) -> dict[str, DataFrame]:
     # every statistic below reads the same readings: materialise them once
     readings = reliable_checkpoint(readings)
     res = {
@@ -28,12 +28,18 @@ def run_eda(readings: DataFrame, channels: Sequence[str], key: str = "patient_id
     res["top_correlated_pairs"] = eda.top_pairs(res["correlation_matrix"], channels, 15)
     tall = readings.unpivot([key, label], list(channels), "channel", "value").filter(F.col("value").isNotNull())
     res["distributions_by_label"] = eda.label_histogram(tall, label)
+    if tall_readings is not None:
+        res["channel_coverage"] = eda.channel_coverage(tall_readings, key)
+    if stays is not None:
+        res["demographics"] = eda.demographics(stays)
     if windows is not None:
         train = windows.filter(F.col("split") == "train")
-        if not train.isEmpty():  # K2 is skipped when no train windows exist (as in the reference)
+        if train.limit(1).count():  # K2 is skipped when no train windows exist (as in the reference)
             lt = train.select(win.last_timestep(F.col("X")).alias("_v"), "y")
             res["feature_importance"] = ml.rf_importance(lt.select(*[F.col("_v")[i].alias(c) for i, c in enumerate(channels)], "y"),
                                                          channels, "y")
+    res["summary"] = eda.summary(readings, channels, key, label, res["missingness_report"], res["top_correlated_pairs"],
+                                 res.get("feature_importance"))
     if out_dir:
         for name, df in res.items():
             files.write_csv(df, os.path.join(out_dir, "stats", name))

@@ -6,6 +6,7 @@ the only collects. The split happens before any statistic (no leakage).
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wardline.operators import fill, impute, split as splitting, windows as win
 from wardline.session import reliable_checkpoint
+from wardline.sources import files
 
 
 @dataclass
@@ -59,12 +61,29 @@ def write_windows(windows: DataFrame, path: str, mode: str = "overwrite") -> Non
     windows.write.mode(mode).partitionBy("split").parquet(path)
 
 
-def metadata_row(prep: Prepared, params: dict) -> DataFrame:
-    """B2: one-row metadata table (params, medians, scaler); id lists stay in ``prep.split``."""
+def run(readings: DataFrame, channels: Sequence[str], out_dir: str, source: str = "physionet_2019", **params) -> DataFrame:
+    """M1 from readings to written windows (B1), the split's patient ids and the metadata (B2).
+
+    Patient ids are a table of their own, by split, because their number grows
+    with the input; the metadata row has the counts of each split.
+    """
+    prep = prepare(readings, channels, **params)
+    write_windows(prep.windows, os.path.join(out_dir, "windows"))
+    prep.split.select("patient_id", "split").write.mode("overwrite").partitionBy("split").parquet(os.path.join(out_dir, "patient_ids"))
+    # one row per split
+    counts = split_summary(readings.sparkSession.read.parquet(os.path.join(out_dir, "windows")))
+    counts = {r["split"]: {k: float(r[k]) for k in ("n_patients", "n_windows", "window_positive_rate")} for r in counts.collect()}
+    meta = metadata_row(prep, {"source": source, "channels": ",".join(channels), "n_channels": len(channels), **params}, counts)
+    files.write_json(meta, os.path.join(out_dir, "metadata"))
+    return meta
+
+
+def metadata_row(prep: Prepared, params: dict, counts: dict | None = None) -> DataFrame:
+    """B2: one-row metadata table (params, medians, scaler, counts by split); ids stay in ``prep.split``."""
     spark = prep.windows.sparkSession
     row = {"params": {k: str(v) for k, v in params.items()},
            "medians": {k: float(v) for k, v in prep.medians.items()},
            "scaler_mean": {k: float(v[0] or 0.0) for k, v in prep.scaler.items()},
-           "scaler_std": {k: float(v[1]) for k, v in prep.scaler.items()}}
-    return spark.createDataFrame([row], "params map<string,string>, medians map<string,double>, "
-                                        "scaler_mean map<string,double>, scaler_std map<string,double>")
+           "scaler_std": {k: float(v[1]) for k, v in prep.scaler.items()}, "counts": counts or {}}
+    return spark.createDataFrame([row], "params map<string,string>, medians map<string,double>, scaler_mean map<string,double>, "
+                                        "scaler_std map<string,double>, counts map<string,map<string,double>>")

@@ -43,6 +43,25 @@ def patient_report(patients: DataFrame, predictions: DataFrame, alerts: DataFram
         "recent_risk_levels", *[clinical.one_decimal(F.col(c)).alias(f"{c}_text") for c in vital_channels])
 
 
+def patient_document(patients: DataFrame, vitals: DataFrame, predictions: DataFrame, alerts: DataFrame,
+                     explanations: DataFrame | None = None, n_vitals: int = 200, n_predictions: int = 200,
+                     n_alerts: int = 100) -> DataFrame:
+    """One nested row per patient: newest vitals, predictions and alerts (bounded lists, newest first)
+    and the explanation of the latest prediction."""
+    def newest_list(df: DataFrame, order: Sequence[str], n: int, name: str) -> DataFrame:
+        rows = tables.last_n_per_key(df, KEY, order, n, "__rank")
+        item = F.struct(*[F.col(c) for c in df.columns if c != KEY]).alias("r")
+        return rows.groupBy(KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("__rank", item))), lambda x: x["r"]).alias(name))
+
+    doc = patients.join(newest_list(vitals, ["ts", "id"], n_vitals, "vitals"), KEY, "left") \
+        .join(newest_list(predictions, ["created_at", "id"], n_predictions, "predictions"), KEY, "left") \
+        .join(newest_list(alerts, ["created_at", "id"], n_alerts, "alerts"), KEY, "left")
+    if explanations is not None:
+        e = explanations.select(F.col("prediction_id").alias("__pid"), F.struct(*[c for c in explanations.columns if c != KEY]).alias("explanation"))
+        doc = doc.withColumn("__pid", F.get("predictions", F.lit(0))["id"]).join(e, "__pid", "left").drop("__pid")
+    return doc
+
+
 def unit_overview(patients: DataFrame, alerts: DataFrame, n_recent: int = 15) -> tuple[DataFrame, DataFrame]:
     """M8: KPI table (alert counts by risk, patient counts by status, zero-filled; F20)
     and the newest ``n_recent`` urgent unacknowledged alerts (D12 + H6)."""

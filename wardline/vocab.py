@@ -31,6 +31,7 @@ ALERT_COOLDOWN_MINUTES = 30
 
 VITALS_SOURCES = ("physionet_sim", "mimic_replay", "iot_sensor")
 PATIENT_SOURCE_DATASETS = ("physionet_2019", "mimic_iv_demo", "live")
+CODED_DATASET = "mimic_iv_demo"
 PATIENT_STATUSES = ("active", "discharged", "deceased")
 EXPLANATION_METHODS = ("shap", "lime")
 USER_ROLES = ("clinician", "admin")
