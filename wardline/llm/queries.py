@@ -146,7 +146,23 @@ def op4_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == text).alias("round_trip"))
 
 
-@_register("op6_suffix_dedup")
+# bytes as pairs of hex digits, so that positions count bytes
+@_register("op6_suffix_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, k, substr(h, 2 * k + 1, 100) AS s
+      FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS k FROM d WHERE len(h) >= 100)),
+hits AS (SELECT doc_id, k FROM (SELECT doc_id, k, doc_id > min(doc_id) OVER (PARTITION BY s) AS hit FROM w) WHERE hit),
+steps AS (SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 50 THEN 0 ELSE 1 END AS fresh FROM hits),
+runs AS (SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM steps),
+spans AS (SELECT doc_id, min(k) AS s, max(k) + 50 AS e FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS since FROM spans),
+kept AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans,
+                string_agg(substr(h, 2 * since + 1, 2 * (s - since)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS rest
+         FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""")
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wardline.llm.suffix_dedup import repeated_spans
     found = repeated_spans(table(spark, sf_dir, "documents"))
