@@ -32,10 +32,21 @@ def timeseries(df: DataFrame, entities: DataFrame, key: str, order: str, channel
 
 
 def probability_trend(preds: DataFrame, key: str = "patient_id", ts: str = "created_at", id_col: str = "id",
-                      prob: str = "sepsis_probability") -> DataFrame:
-    """Per-entity ascending trend with the change from the previous prediction."""
-    w = Window.partitionBy(key).orderBy(ts, id_col)
-    return preds.withColumn("delta", F.col(prob) - F.lag(prob).over(w))
+                      prob: str = "sepsis_probability", bucket: str = "day") -> DataFrame:
+    """Per-entity ascending trend with the change from the previous prediction.
+
+    A prediction's predecessor is in its own (entity, day) or is the last one of
+    the entity's day before, which comes from the table of days; no task holds an
+    entity's whole history.
+    """
+    days = preds.withColumn("_day", F.date_trunc(bucket, F.col(ts).cast("timestamp")))
+    within = Window.partitionBy(key, "_day").orderBy(ts, id_col)
+    rows = days.withColumn("_prev", F.lag(prob).over(within)).withColumn("_nth", F.row_number().over(within))
+    last = days.groupBy(F.col(key).alias("_k"), F.col("_day").alias("_d")).agg(F.max_by(prob, F.struct(ts, id_col)).alias("_last"))
+    carry = last.select("_k", "_d", F.lag("_last").over(Window.partitionBy("_k").orderBy("_d")).alias("_carry"))
+    joined = rows.join(carry, F.col(key).eqNullSafe(F.col("_k")) & F.col("_day").eqNullSafe(F.col("_d")), "left")
+    before = F.when(F.col("_nth") == 1, F.col("_carry")).otherwise(F.col("_prev"))
+    return joined.withColumn("delta", F.col(prob) - before).select(*preds.columns, "delta")
 
 
 def urgent_unacknowledged(alerts: DataFrame, levels: Sequence[str] = ("High", "Critical")) -> DataFrame:
