@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wardline.catalog import sql as S
+from wardline.catalog.metrics import PR
 from wardline.catalog.registry import r6, register, round_doubles
 from wardline.functions import clinical
 from wardline.operators import alerts as alerting
@@ -292,6 +293,35 @@ def m1_written(spark, d):
                                           "n_ids", F.round(F.col("c")["window_positive_rate"], 6).alias("positive_rate"))
 
 
+@register("metrics_sidecar", S.with_(*PR) + "SELECT round(threshold, 6) AS threshold, (SELECT count(*) FROM sc) AS n_samples FROM pr ORDER BY f1 DESC, threshold ASC LIMIT 1")
+def metrics_sidecar(spark, d):
+    """B5 + A8: the metrics file as evaluation writes it, and the threshold read from it."""
+    from wardline.plans import evaluate
+    path = scratch_path(spark, "metrics")
+    files.write_json(evaluate.metrics_row(standin.scored_lineitem(spark, d)), path)
+    threshold = files.load_threshold(spark, path)
+    return spark.read.json(path).select(F.round(F.lit(threshold), 6).alias("threshold"), "n_samples")
+
+
+@register("published_predictions", S.with_(*S.PRED) + "SELECT 'icu/' || CAST(patient_id AS VARCHAR) || '/prediction' AS topic, "
+          "round(sepsis_probability, 6) AS sepsis_probability, risk_level, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS timestamp FROM preds")
+def published_predictions(spark, d):
+    """The payload of every prediction, parsed again."""
+    frames = jobs.publish_frames(standin.predictions(spark, d))
+    v = frames.select("topic", F.from_json("value", "sepsis_probability double, risk_level string, timestamp string").alias("v"))
+    return v.select("topic", r6("v.sepsis_probability").alias("sepsis_probability"), "v.risk_level", "v.timestamp")
+
+
+@register("published_alerts", S.with_(*S.PRED) + "SELECT 'icu/' || CAST(patient_id AS VARCHAR) || '/alert' AS topic, risk_level, "
+          + S.message_sql("risk_level", "patient_id", "sepsis_probability", "''")
+          + " AS message, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS timestamp FROM preds WHERE risk_level = 'Critical'")
+def published_alerts(spark, d):
+    """The payload of every critical alert, parsed again."""
+    raised = alerting.enrich_alerts(standin.predictions(spark, d).filter("risk_level = 'Critical'"), F.lit(""))
+    v = jobs.alert_frames(raised).select("topic", F.from_json("value", "risk_level string, message string, timestamp string").alias("v"))
+    return v.select("topic", "v.risk_level", "v.message", "v.timestamp")
+
+
 @register("csv_table", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def csv_table(spark, d):
     """B4 + A4: a statistic written as CSV and read with its schema."""

@@ -88,10 +88,15 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
+    track_scratch(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def track_scratch(path: str) -> None:
+    """Have ``drop_scratch`` delete this folder too."""
     if not _written:
         atexit.register(drop_scratch)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch() -> None:
