@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.session import scratch_path
+from wardline.session import scratch_path, track_scratch
 
 # Numpy temporaries are about 60 times the bytes worked on at once, so a task
 # works through its Arrow batches in pieces of this many bytes.
@@ -48,7 +48,7 @@ def _shuffle_cleanup(spark: SparkSession):
 
 
 class Landed:
-    """A written intermediate table in the shared folder; ``drop()`` deletes its files."""
+    """A written intermediate table in the shared folder; ``drop()`` deletes its files (else the driver's exit does)."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
@@ -56,6 +56,7 @@ class Landed:
         schema = df.schema
         with _shuffle_cleanup(self.spark):
             df.write.mode("overwrite").parquet(self.path)
+        track_scratch(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
     def drop(self) -> None:
