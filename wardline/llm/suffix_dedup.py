@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,17 +98,13 @@ def _blocks(offsets: np.ndarray, data: np.ndarray):
 
 
 def _hash_lists(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Distinct anchor hashes of each text."""
+    """Anchor hashes of each text."""
     for texts in batches:
         data, offsets = string_buffers(texts)
         owners, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for rows, h, *_ in _blocks(offsets, data):
-            order = np.lexsort((h, rows))
-            rows, h = rows[order], h[order].view(np.int64)
-            new = np.ones(len(h), bool)
-            new[1:] = (rows[1:] != rows[:-1]) | (h[1:] != h[:-1])
-            owners.append(rows[new])
-            hashes.append(h[new])
+            owners.append(rows)
+            hashes.append(h.view(np.int64))
         cuts = np.searchsorted(np.concatenate(owners), np.arange(len(offsets)))
         yield pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(hashes)))
 
@@ -230,38 +227,43 @@ def _mask_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield finish(held)
 
 
-def _covered(spans: list[tuple[int, int]], size: int) -> np.ndarray:
-    """Bytes of a text covered by the strings of (start, bit mask) pairs."""
+def _covered(at: np.ndarray, mask: np.ndarray, size: int) -> np.ndarray:
+    """Bytes covered by the strings that start at ``at`` + t for every bit t set in ``mask``."""
     change = np.zeros(size + 1, np.int32)
-    if len(spans):
-        at, mask = (np.array(x, np.int64) for x in zip(*spans, strict=True))
-        for t in range(WIDTH):
-            starts = at[(mask >> t) & 1 == 1] + t
-            np.add.at(change, starts, 1)
-            np.add.at(change, np.minimum(starts + SPAN, size), -1)
+    run = (mask & (mask + 1)) == 0  # the bits from 0 on: one stretch
+    starts, ends = at[run], at[run] + np.bitwise_count(mask[run]) - 1 + SPAN
+    bits = np.flatnonzero(((mask[~run, None] >> np.arange(WIDTH)) & 1).ravel())
+    single = at[~run][bits // WIDTH] + bits % WIDTH
+    np.add.at(change, np.concatenate([starts, single]), 1)
+    np.add.at(change, np.concatenate([ends, single + SPAN]), -1)
     return np.cumsum(change[:-1]) > 0
 
 
 KEPT = "spans array<struct<start: int, end: int>>, kept binary"
-_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _keep(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for texts, repeats in (part for batch in batches for part in blocks_of(_PIECE, *batch)):
-        spans, kept = [], []
-        raw = texts.cast(pa.binary())
-        for k in range(len(raw)):
-            data = np.frombuffer(raw[k].as_py() or b"", np.uint8)
-            found = repeats[k].as_py()
-            if not found:
-                spans.append([])
-                kept.append(data.tobytes())
-                continue
-            gone = _covered([(r["at"], r["mask"]) for r in found], len(data))
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-            spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2], strict=True)])
-            kept.append(data[~gone].tobytes())
-        yield pa.StructArray.from_arrays([pa.array(spans, _SPANS), pa.array(kept, pa.binary())], ["spans", "kept"])
+        data, offsets = string_buffers(texts)
+        repeats = pc.fill_null(repeats, [])
+        listed, cuts = repeats.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(repeats).to_numpy())])
+        row = np.repeat(np.arange(len(texts)), np.diff(cuts))
+        at, mask = (listed.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        gone = _covered(at + offsets[row], mask, len(data))
+        # stretches end with their text
+        first, last = gone.copy(), gone.copy()
+        first[1:] &= ~gone[:-1]
+        last[:-1] &= ~gone[1:]
+        edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
+        first[edges], last[edges - 1] = gone[edges], gone[edges - 1]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        own = np.searchsorted(offsets, starts, side="right") - 1
+        pairs = pa.StructArray.from_arrays([pa.array(starts - offsets[own], pa.int32()), pa.array(ends - offsets[own], pa.int32())],
+                                           ["start", "end"])
+        spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(len(offsets))), pa.int32()), pairs)
+        stays = np.concatenate([[0], np.cumsum(~gone)])[offsets].astype(np.int32)
+        kept = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(stays), pa.py_buffer(data[~gone])])
+        yield pa.StructArray.from_arrays([spans, kept], ["spans", "kept"])
 
 
 _keep.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
