@@ -45,7 +45,7 @@ SPACE = "▁"
 N_BEST = 4
 UNKNOWN_PENALTY = 10.0
 LONGEST_BATCHED = 48
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 BLOCK_BYTES = 1 << 20
 _SLOTS_BITS = 18
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -273,7 +273,7 @@ class SegmentTable:
     def alternatives(self, segment: str, n: int) -> list[tuple[float, list[int]]]:
         key = (segment, n)
         if key not in self.lists:
-            if len(self.lists) >= 50_000:
+            if len(self.lists) >= 5_000:
                 self.lists.clear()
             self.lists[key] = n_best(self.vocab, _marked(segment), n)
         return self.lists[key]
@@ -341,8 +341,12 @@ _OTHERS = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(
 
 
 def encode_pieces(docs: DataFrame, model: bytes, text_col: str = "text", out: str = "pieces",
-                  n: int = N_BEST) -> DataFrame:
-    """``docs`` with a struct: ids of the best segmentation, n-best scores, and the alternatives' changes."""
+                  n: int = N_BEST, with_text: bool = False) -> DataFrame:
+    """``docs`` with a struct: ids of the best segmentation, n-best scores, and the alternatives' changes.
+
+    ``with_text`` adds the text that the ids spell, decoded in the same worker
+    (a second function in the plan would be a second worker per task).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -351,12 +355,15 @@ def encode_pieces(docs: DataFrame, model: bytes, text_col: str = "text", out: st
             for (texts,) in blocks_of(BLOCK_BYTES, batch):
                 ids, ends, scores, others = encode_block(table, texts.to_pylist(), n)
                 offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
-                yield pa.StructArray.from_arrays(
-                    [pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(scores, pa.list_(pa.float64())),
-                     pa.array(others, _OTHERS)], ["ids", "scores", "others"])
+                columns = {"ids": pa.ListArray.from_arrays(offsets, pa.array(ids)), "scores": pa.array(scores, pa.list_(pa.float64())),
+                           "others": pa.array(others, _OTHERS)}
+                if with_text:
+                    columns["decoded"] = pa.array(decode(table.vocab, ids.astype(np.int64), ends), pa.string())
+                yield pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
     encode.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.withColumn(out, F.arrow_udf(encode, SCHEMA)(F.col(text_col)))
+    schema = SCHEMA + ", decoded string" if with_text else SCHEMA
+    return docs.withColumn(out, F.arrow_udf(encode, schema)(F.col(text_col)))
 
 
 def decode_pieces(df: DataFrame, model: bytes, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

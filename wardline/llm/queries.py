@@ -135,11 +135,11 @@ def op4_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the best segmentation, the n best scores, what the alternatives change, and the decoded text's digest."""
     import public_tokenizers
 
-    from wardline.llm.piece_nbest import decode_pieces, encode_pieces
+    from wardline.llm.piece_nbest import encode_pieces
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
-    docs = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    docs = decode_pieces(docs.select("doc_id", "text", "pieces.*"), model)
+    docs = encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model, with_text=True)
+    docs = docs.select("doc_id", "text", "pieces.*")
     # U+2581 stands for a space in the vocabulary
     text = F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "scores", "others",
