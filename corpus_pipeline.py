@@ -15,7 +15,7 @@ from wardline.llm.common import Landed, crc32_mod3
 from wardline.llm.decontaminate import drop_contaminated
 from wardline.llm.exact_dedup import drop_exact_copies
 from wardline.llm.language_id import UNDETERMINED, language, train
-from wardline.llm.piece_nbest import decode_pieces, encode_pieces
+from wardline.llm.piece_nbest import encode_pieces
 from wardline.llm.simhash import keep_one_of_near
 from wardline.sources.tables import table
 
@@ -53,8 +53,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """doc_id, piece ids of the best segmentation, n-best scores, and whether decoding gives the text back."""
     with open(public_tokenizers.path(MODEL), "rb") as f:
         model = f.read()
-    encoded = encode_pieces(docs.select("doc_id", "text"), model)
-    decoded = decode_pieces(encoded.select("doc_id", "text", "pieces.ids", "pieces.scores"), model)
+    decoded = encode_pieces(docs.select("doc_id", "text"), model, with_text=True).select("doc_id", "text", "pieces.*")
     text = F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "scores",
                           (F.col("decoded") == text).alias("round_trip"))
