@@ -72,6 +72,13 @@ def test_null_id_does_not_name_a_component(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 7), (7, 7)]
 
 
+def test_unrelated_rows_without_an_id_or_with_one_id_all_stay(spark):
+    rows = [(None, "a b c d"), (None, "quite another text altogether"), (3, "one text of the third"),
+            (3, "some words that have nothing in common with it"), (8, "one text of the third"), (None, "one text of the third")]
+    kept = keep_one_of_near(table(spark, rows + rows[:1], True)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(rows[:4], key=repr)
+
+
 def test_no_link_is_missed(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(-2**63, 2**63 - 1, 150)

@@ -167,8 +167,8 @@ def components(pairs: DataFrame) -> DataFrame:
             return now.df.select("node", "label")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: id, fp (long), component_id (smallest id reachable), text_hash."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``near_groups`` as id, fp, component_id, text_hash, and the component's label (its smallest fp)."""
     hashed = docs.select(F.col(id_col).alias("id"), F.arrow_udf(_fingerprints, "long")(F.col(text_col)).alias("fp"),
                          F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     rows = Landed(hashed, "simhash-rows").df
@@ -178,8 +178,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     linked = first.join(label.withColumnRenamed("node", "fp"), "fp", "left")
     linked = linked.select("fp", "first", F.coalesce("label", "fp").alias("label"))
     smallest = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_print = Landed(linked.join(smallest, "label").select("fp", "component_id"), "simhash-components").df
-    return rows.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "text_hash")
+    by_print = Landed(linked.join(smallest, "label").select("fp", "component_id", "label"), "simhash-components").df
+    return rows.join(by_print, "fp").select("id", "fp", "component_id", "text_hash", "label")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document row: id, fp (long), component_id (smallest id reachable), text_hash."""
+    return _labelled(docs, id_col, text_col).select(F.col("id").alias(id_col), "fp", "component_id", "text_hash")
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -189,11 +194,13 @@ def hex_fingerprint(fp: Column) -> Column:
 def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of which one stays per group of near copies (the smallest id), with all columns.
 
-    Rows with a null id never win over others; rows of one id and several texts in a group stay once.
+    Groups go by their label: a component_id is null for all components without
+    an id, and one id with several texts may name several. Rows with a null id
+    never win over others; rows of one id and several texts in a group stay once.
     """
-    groups = near_groups(docs, id_col, text_col)
-    best = groups.groupBy("component_id").agg(F.min_by(F.struct(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th")),
-                                                       F.struct(F.col(id_col).isNull(), F.col(id_col), "text_hash")).alias("k"))
+    groups = _labelled(docs, id_col, text_col)
+    best = groups.groupBy("label").agg(F.min_by(F.struct(F.col("id").alias("__id"), F.col("text_hash").alias("__th")),
+                                                F.struct(F.col("id").isNull(), "id", "text_hash")).alias("k"))
     best = best.select("k.*")
     rows = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th"))
