@@ -68,6 +68,41 @@ def test_segments_against_all_segmentations():
         assert N.decode(vocab, ids, ends) == [text]
 
 
+def n_best_scores(vocab, text, n):
+    """The n best scores by a forward pass that keeps n scores a place."""
+    top = [[0.0]] + [[]] * len(text)
+    for j in range(1, len(text) + 1):
+        ways = []
+        for i in range(max(0, j - vocab.longest), j):
+            p = vocab.ids.get(text[i:j], -1)
+            if p >= 0 or i == j - 1:
+                ways += [s + (float(vocab.score[p]) if p >= 0 else vocab.unknown) for s in top[i]]
+        top[j] = sorted(ways, reverse=True)[:n]
+    return top[-1]
+
+
+def test_runs_of_one_character_have_bounded_search(monkeypatch):
+    vocab = N.Vocabulary(MODEL)
+    pops, pop = [0], N.heapq.heappop
+
+    def counted(agenda):
+        pops[0] += 1
+        assert pops[0] <= 200_000, "the search goes through tied hypotheses"
+        return pop(agenda)
+
+    monkeypatch.setattr(N.heapq, "heappop", counted)
+    for c in "#-=":
+        for size in (40, 1007, 2000, 5000):
+            pops[0], text = 0, N.SPACE + c * size
+            found = N.n_best(vocab, text, 4)
+            assert [s for s, _ in found] == n_best_scores(vocab, text, 4)
+            assert len({tuple(i) for _, i in found}) == 4
+            assert all("".join(vocab.pieces[i] for i in ids) == text and sum(vocab.score[ids]) == s for s, ids in found)
+            assert found[0][1] == N.best_two_long(vocab, text)[0]  # alternatives differ from the best segmentation
+    _, _, scores, others = N.encode_block(N.SegmentTable(vocab), ["a\n" + "#" * 2000 + "\nb " + "-" * 5000], 4)
+    assert len(scores[0]) == 4 and len(others[0]) == 3
+
+
 def test_alternatives_change_the_named_segments():
     vocab = N.Vocabulary(MODEL)
     table_ = N.SegmentTable(vocab)

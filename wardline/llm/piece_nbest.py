@@ -13,7 +13,12 @@ chain of small ones:
    change costs at least as much as n - 1 single ones);
 3. for these segments a backward A-star search from the end lists the n best:
    the forward score of a position is the exact best completion, so every
-   hypothesis that is popped lies on a segmentation of the list.
+   hypothesis that is popped lies on a segmentation as good as one of the list.
+   Of equally good ones the one nearest to the start is popped first, so the
+   first goal is the Viterbi segmentation, and no position is popped more than n
+   times (a worse way from there to the end is on none of the n best), so a run
+   of one character, with very many equally good segmentations, costs n pops a
+   place at most.
 
 A character that no piece covers becomes its byte pieces, at the library's
 unknown score (least score - 10). Ties prefer longer last pieces. Decoding puts
@@ -189,21 +194,27 @@ def best_two_long(vocab: Vocabulary, text: str) -> tuple[list[int], float, float
 
 def n_best(vocab: Vocabulary, text: str, n: int) -> list[tuple[float, list[int]]]:
     """The ``n`` best segmentations of one marked segment, by backward A-star search."""
-    size = len(text)
-    edges: list[list[tuple[int, int, float]]] = [[] for _ in range(size + 1)]
-    forward = [0.0] + [-np.inf] * size
-    for j in range(1, size + 1):
+    size, get, scores = len(text), vocab.ids.get, vocab.score
+
+    def edges(j: int) -> Iterator[tuple[int, int, float]]:
+        """(start, piece, score) of the pieces that end at ``j``."""
         for i in range(max(0, j - vocab.longest), j):
-            p = vocab.ids.get(text[i:j], -1)
+            p = get(text[i:j], -1)
             if p >= 0 or i == j - 1:
-                s = float(vocab.score[p]) if p >= 0 else vocab.unknown
-                edges[j].append((i, p, s))
-                forward[j] = max(forward[j], forward[i] + s)
-    # (-(forward score + score behind), order of arrival, position, score behind, pieces behind)
-    agenda: list[tuple] = [(-forward[size], 0, size, 0.0, None)]
+                yield i, p, float(scores[p]) if p >= 0 else vocab.unknown
+
+    forward = [0.0] + [-np.inf] * size
+    for j in range(1, size + 1):
+        forward[j] = max(forward[i] + s for i, _, s in edges(j))
+    # (-(forward score + score behind), position, order of arrival, score behind, pieces behind)
+    agenda: list[tuple] = [(-forward[size], size, 0, 0.0, None)]
     arrived, out = 1, []
+    popped = [0] * (size + 1)
     while agenda and len(out) < n:
-        _, _, at, behind, tail = heapq.heappop(agenda)
+        _, at, _, behind, tail = heapq.heappop(agenda)
+        if popped[at] == n:
+            continue
+        popped[at] += 1
         if at == 0:
             ids = []
             while tail is not None:
@@ -211,9 +222,10 @@ def n_best(vocab: Vocabulary, text: str, n: int) -> list[tuple[float, list[int]]
                 tail = tail[1]
             out.append((behind, vocab.spell(ids, text)))
             continue
-        for i, p, s in edges[at]:
-            heapq.heappush(agenda, (-(forward[i] + s + behind), arrived, i, behind + s, (p, tail)))
-            arrived += 1
+        for i, p, s in edges(at):
+            if popped[i] < n:
+                heapq.heappush(agenda, (-(forward[i] + s + behind), i, arrived, behind + s, (p, tail)))
+                arrived += 1
     return out
 
 
