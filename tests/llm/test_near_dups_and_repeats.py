@@ -174,3 +174,29 @@ def test_anchor_groups_cut_between_batches_or_too_large(monkeypatch):
     assert pa.Table.from_batches(suffix_dedup._mask_batches(iter(cut))).to_pylist() == want
     monkeypatch.setattr(suffix_dedup, "_STARTS_AT_ONCE", 2)
     assert pa.Table.from_batches(suffix_dedup._mask_batches(iter([whole]))).to_pylist() == want
+
+
+def test_anchors_of_many_contexts_are_no_group_of_a_task(spark, monkeypatch):
+    rnd = random.Random(9)
+    common = "a common phrase, of twenty-odd bytes"
+    some = ["".join(rnd.choice("abcd ") for _ in range(n)) for n in (25, 30, 35, 40)]
+    rows = [(n, rnd.choice(some) + common + rnd.choice(some) + f" end {n}") for n in range(40)]
+    rows += [(100 + n, f"start {n} " + common + rnd.choice(some)) for n in range(20)] + [(None, rows[3][1]), rows[5], (7, rows[9][1])]
+    sizes, masks = [], suffix_dedup._string_masks
+
+    def seen(contexts):
+        sizes.append(contexts.groupBy("h").count().agg({"count": "min"}).collect()[0][0])
+        return masks(contexts)
+
+    monkeypatch.setattr(suffix_dedup, "GROUP_CONTEXTS", 4)
+    monkeypatch.setattr(suffix_dedup, "_string_masks", seen)
+    got = repeated_spans(table(spark, rows)).collect()
+    assert sizes and sizes[0] > 4
+    assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest())
+                   for r in got), key=repr) == brute_repeats(rows)
+
+
+def test_held_batches_are_all_used():
+    whole = pa.RecordBatch.from_pydict({"h": [1, 1], "c": [1, 2], "first": [3, 4], "place": [5, 5], "bytes": [b"x" * 50] * 2})
+    parts = [whole.slice(0, 1), whole.slice(1, 1)]
+    assert [r["mask"] for b in suffix_dedup._mask_batches(iter(parts)) for r in b.to_pylist()] == [0, 1]

@@ -16,6 +16,9 @@ anchor serves a run of neighbouring string starts, about 16 of them.
    neighbours with a common prefix of SPAN bytes, the previous and next smaller
    id in suffix order tell whether the longest previous factor reaches SPAN.
    Occurrences in later documents than a context's first are repeats as a whole.
+   An anchor of more than GROUP_CONTEXTS contexts (a common GRAM bytes with
+   different surroundings) is no group of one task: its contexts' strings are
+   dealt out by (anchor, distance to it, string), with the smallest id of each.
 4. Repeats go back to their documents, where covered bytes are removed.
 
 Defined results: null and empty texts, and texts of fewer than SPAN bytes, lose
@@ -40,6 +43,7 @@ from wardline.llm.words_np import mix
 SPAN = 50
 GRAM = 20
 WIDTH = SPAN - GRAM + 1
+GROUP_CONTEXTS = 1 << 14
 _PLACE_BITS = np.uint64(22)
 _PLACE = np.uint64((1 << 22) - 1)
 _PIECE = 1 << 20
@@ -209,7 +213,7 @@ def _mask_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     held: list[pa.RecordBatch] = []
 
     def finish(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        batch = pa.concat_batches(parts)
         return pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), batch.column("first"), _masks(batch)], names)
 
     for batch in batches:
@@ -269,6 +273,18 @@ def _keep(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
 _keep.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
 
 
+def _string_masks(contexts: DataFrame) -> DataFrame:
+    """(h, c, first, mask) as ``_mask_batches`` gives them, without bringing an anchor's contexts together."""
+    starts = F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - SPAN)).alias("t")
+    strings = contexts.select("h", "c", "first", "place", "bytes", starts).select(
+        "h", "c", "first", "t", (F.col("place") - F.col("t")).alias("distance"),
+        F.xxhash64(F.expr(f"substring(bytes, t + 1, {SPAN})")).alias("s"))
+    strings = Landed(strings, "suffix-strings").df
+    least = strings.groupBy("h", "distance", "s").agg(F.min("first").alias("least"))
+    later = strings.join(least, ["h", "distance", "s"]).filter("first > least")
+    return later.groupBy("h", "c", "first").agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("mask"))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: id, n_bytes, removed spans (byte offsets) and the bytes that stay."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
@@ -292,12 +308,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted.drop()
     names = Landed(found.df.groupBy("h", "c").agg(F.min("id").alias("first")), "suffix-names")
     # only anchors with several contexts need the bytes, once more from the documents that have them first
-    several = names.df.groupBy("h").count().filter("count > 1").select("h")
-    asked = (names.df.join(several, "h", "left_semi").groupBy(F.col("first").alias("id"))
-             .agg(F.collect_set("h").alias("wanted")))
-    masks = (contexts(asked).select("h", "c", F.col("id").alias("first"), "place", "bytes")
+    several = Landed(names.df.groupBy("h").count().filter("count > 1"), "suffix-several")
+
+    def bytes_of(some: DataFrame) -> DataFrame:
+        """Contexts of the anchors ``some`` with their bytes."""
+        asked = (names.df.join(some.select("h"), "h", "left_semi").groupBy(F.col("first").alias("id"))
+                 .agg(F.collect_set("h").alias("wanted")))
+        return contexts(asked).select("h", "c", F.col("id").alias("first"), "place", "bytes")
+
+    # a task holds the contexts of one anchor, so their number is bounded
+    masks = (bytes_of(several.df.filter(F.col("count") <= GROUP_CONTEXTS))
              .repartition("h").sortWithinPartitions("h").mapInArrow(_mask_batches, "h long, c long, first long, mask long"))
+    large = several.df.filter(F.col("count") > GROUP_CONTEXTS)
+    if large.limit(1).count():
+        masks = masks.unionByName(_string_masks(bytes_of(large).distinct()))
     masks = Landed(masks.filter("mask != 0").distinct(), "suffix-masks")
+    several.drop()
     known = names.df.join(masks.df, ["h", "c", "first"], "left")
     mask = F.when(F.col("id") > F.col("first"), F.expr("shiftleft(1L, served) - 1")).otherwise(F.col("mask"))
     repeats = (found.df.join(known, ["h", "c"]).select("id", "th", "at", mask.alias("mask"))
