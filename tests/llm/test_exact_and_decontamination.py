@@ -5,6 +5,7 @@ from collections import defaultdict
 
 from helpers import empty, lower, table, unordered
 
+from wardline.llm import exact_dedup
 from wardline.llm.decontaminate import contamination, drop_contaminated
 from wardline.llm.exact_dedup import drop_exact_copies, exact_groups
 
@@ -74,3 +75,17 @@ def test_contamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert unordered(contamination(table(spark, [(1, "a b"), (2, None)]), bench)) == [(1, 2, 0, [], []), (2, 0, 0, [], [])]
     assert contamination(empty(spark), spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+
+
+def test_texts_that_no_other_can_equal_are_not_hashed(spark, monkeypatch):
+    sha2 = exact_dedup.F.sha2
+
+    def hashed(c, bits):
+        alone = exact_dedup.F.contains(c, exact_dedup.F.lit("alone"))
+        return exact_dedup.F.when(alone, exact_dedup.F.raise_error("hashed").cast("string")).otherwise(sha2(c, bits))
+
+    monkeypatch.setattr(exact_dedup.F, "sha2", hashed)
+    rows = [(1, "same"), (2, "Same"), (3, "all alone"), (None, "alone with no id"), (None, "alone again, with no id"),
+            (3, "alone, by the same id"), (4, "four"), (4, "four"), (None, "same"), (5, None), (6, "")]
+    kept = exact_dedup.drop_exact_copies(table(spark, rows, True)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([*rows[1:7], rows[10]], key=repr)

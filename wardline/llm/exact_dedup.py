@@ -19,7 +19,7 @@ an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import Landed, ascii_lower, broadcast_if_small
@@ -27,6 +27,15 @@ from wardline.llm.common import Landed, ascii_lower, broadcast_if_small
 PREFIX_CHARS = 64
 
 
+def _keyed(docs: DataFrame, text: Column) -> tuple[DataFrame, Landed]:
+    """``docs`` with length and prefix hash (__n, __p), and the written keys that two rows or more share."""
+    rows = docs.withColumns({"__n": F.octet_length(text), "__p": F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX_CHARS)))})
+    slim = rows.select("__n", "__p")
+    lengths = slim.groupBy("__n").count().filter("count > 1").select("__n")
+    return rows, Landed(slim.join(lengths, "__n", "left_semi").groupBy("__n", "__p").count().filter("count > 1")
+                        .select("__n", "__p", F.lit(True).alias("__shared")), "dedup-keys")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  digest_all: bool = False) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256.
@@ -34,17 +43,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``text_sha256`` is null for documents that no other can equal, whose content
     is then never read in full; ``digest_all`` fills it in for every document.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(
-        F.col(id_col).alias("id"), text.alias("t"), F.octet_length(text).alias("n"),
-        F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX_CHARS))).alias("p"))
-    slim = keyed.select("n", "p")
-    lengths = slim.groupBy("n").count().filter("count > 1").select("n")
-    keys = Landed(slim.join(lengths, "n", "left_semi").groupBy("n", "p").count().filter("count > 1")
-                  .select("n", "p", F.lit(True).alias("shared")), "dedup-keys")
+    keyed, keys = _keyed(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")), F.col("t"))
     # 32 bytes: two longs, a flag and the row header
-    marked = keyed.join(broadcast_if_small(keys.df, 32), ["n", "p"], "left")
-    shared = F.coalesce("shared", F.lit(False))
+    marked = keyed.join(broadcast_if_small(keys.df, 32), ["__n", "__p"], "left")
+    shared = F.coalesce("__shared", F.lit(False))
     digest = F.sha2(ascii_lower("t"), 256)
     marked = Landed(marked.select("id", shared.alias("shared"),
                                   (digest if digest_all else F.when(shared, digest)).alias("text_sha256")),
@@ -61,10 +63,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; repeated rows stay once."""
-    found = exact_groups(docs, id_col, text_col, digest_all=True)
-    kept = found.filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    digest = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    rows = docs.withColumn("__own", digest)
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    return rows.dropDuplicates([id_col, "__own"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns; repeated rows stay once.
+
+    Only rows that share (length, prefix) with another have their text hashed; the others stay as they are.
+    """
+    found = exact_groups(docs, id_col, text_col)
+    gone = found.filter("not kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed, keys = _keyed(docs, text)
+    rows = keyed.join(broadcast_if_small(keys.df, 32), ["__n", "__p"], "left")
+    rows = rows.withColumn("__own", F.when(F.col("__shared"), F.sha2(ascii_lower(text), 256)))
+    rows = rows.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_anti")
+    # a row without a digest is alone with its length and prefix
+    return rows.dropDuplicates([id_col, "__n", "__p", "__own"]).select(*docs.columns)
