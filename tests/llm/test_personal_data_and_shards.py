@@ -108,3 +108,18 @@ def test_a_group_larger_than_a_shard_is_split(spark):
     assert max(together.values()) >= 11  # a whole shard is theirs
     check_law(balanced_shards(table(spark, [(1, "a"), (2, "b")]), equal_text_links(empty(spark))).collect())
     assert balanced_shards(empty(spark), equal_text_links(empty(spark))).count() == 0
+
+
+def test_large_groups_touch_as_few_shards_as_their_size_allows(spark):
+    rows = ([(n, "same") for n in range(60)] + [(n, "also the same") for n in range(100, 120)]
+            + [(200 + n, f"pair {n // 3}") for n in range(12)] + [(300 + n, f"other {n}") for n in range(40)])
+    docs = table(spark, rows)
+    got = balanced_shards(docs, equal_text_links(docs)).collect()  # 132 rows, so 16 or 17 a shard
+    check_law(got)
+    assert len(got) == len(rows)
+    shards = defaultdict(set)
+    text = dict(rows)
+    for r in got:
+        shards[text[r.doc_id]].add(r.shard)
+    assert len(shards["same"]) == 4 and len(shards["also the same"]) == 2
+    assert all(len(shards[f"pair {n}"]) == 1 for n in range(4))

@@ -5,8 +5,14 @@ counts its neighbours' shards (a join and a count) and asks to move to the
 shard that most of them are in; in odd rounds the followers (documents with a
 neighbour of smaller id) may move, in even rounds the others, so that two
 neighbours do not change places. A shard admits movers up to its free room:
-those of largest gain first, the marginal gain by a hash draw. Each round is a
-written table of the linked documents.
+those of largest gain first, then those of small groups, the marginal groups by
+a hash draw for the whole group. Each round is a written table of the linked
+documents.
+
+A group of at least a shard's room is cut by rank before that: each full piece
+has a shard of its own, where no other group starts, and what is left of the
+group is a smaller star with its own leader. So it touches as few shards as its
+size allows, and the shards that others ask for are not full of it.
 
 The law is ``rows``: shard sizes differ by one row at most. Documents without
 links, and the few a full shard can't hold, are dealt out to the rest of the
@@ -35,15 +41,45 @@ def _draw(*cols):
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def propagate(edges: DataFrame, room: int, shards: int = SHARDS, rounds: int = ROUNDS) -> Landed:
+def cut_stars(edges: DataFrame, room: int, shards: int = SHARDS) -> tuple[DataFrame | None, DataFrame, int]:
+    """Full pieces (id, shard) of the stars ``edges`` with ``room`` documents or more, the other links, and how many
+    shards the pieces fill (the first ones)."""
+    # at most total / room groups have that size, so they are a bounded list
+    large = edges.groupBy("b").count().filter(F.col("count") + 1 >= room).collect() if room > 1 else []
+    if not large:
+        return None, edges, 0
+    sizes = {r["b"]: r["count"] + 1 for r in sorted(large, key=lambda r: (-r["count"], r["b"]))}
+    hubs = list(sizes)
+    followers = edges.filter(F.col("b").isin(hubs)).select(F.col("a").alias("id"), F.col("b").alias("hub"))
+    leaders = edges.sparkSession.createDataFrame([(h, h) for h in hubs], followers.schema)
+    members = ranked(followers.unionByName(leaders), "hub", ["id"], sum(sizes.values()))
+    members = members.withColumn("piece", F.floor(F.col("rank") / room).cast("int"))
+    shard, taken = F.lit(None).cast("int"), 0
+    for hub, size in sizes.items():
+        full = min(size // room, shards - taken)
+        shard = F.when((F.col("hub") == hub) & (F.col("piece") < full), F.col("piece") + taken).otherwise(shard)
+        taken += full
+    members = Landed(members.select("id", "hub", "piece", shard.alias("shard")), "shard-pieces").df
+    left = members.filter(F.col("shard").isNull())
+    least = left.groupBy("hub", "piece").agg(F.min("id").alias("b"))
+    stars = left.join(F.broadcast(least), ["hub", "piece"]).filter("id > b").select(F.col("id").alias("a"), "b")
+    others = edges.filter(~F.col("b").isin(hubs)).select("a", "b")
+    return members.filter(F.col("shard").isNotNull()).select("id", "shard"), others.unionByName(stars), taken
+
+
+def propagate(edges: DataFrame, room: int, shards: int = SHARDS, rounds: int = ROUNDS, taken: int = 0) -> Landed:
     """(id, shard) of every end of ``edges`` (columns a, b; links count both ways).
 
-    ``room`` is the number of documents that a shard may hold.
+    ``room`` is the number of documents that a shard may hold; the first ``taken`` shards are full.
     """
     both = Landed(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "shard-edges")
     nodes = both.df.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least"))
-    now = Landed(nodes.select("id", (F.col("least") < F.col("id")).alias("follower"),
-                              F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")), "shard-labels")
+    nodes = Landed(nodes.select("id", (F.col("least") < F.col("id")).alias("follower"), F.least("id", "least").alias("unit")),
+                   "shard-nodes")
+    sizes = nodes.df.groupBy("unit").agg(F.floor(F.log2(F.count(F.lit(1)))).cast("int").alias("class"))
+    start = F.pmod(F.xxhash64("id"), F.lit(shards - taken)).cast("int") + taken
+    now = Landed(nodes.df.join(sizes, "unit").select("id", "follower", "unit", "class", start.alias("shard")), "shard-labels")
+    nodes.drop()
     for turn in range(1, rounds + 1):
         votes = (both.df.join(now.df.select(F.col("id").alias("b"), "shard"), "b")
                  .groupBy(F.col("a").alias("id"), F.col("shard").alias("to")).agg(F.count(F.lit(1)).alias("n")))
@@ -53,21 +89,25 @@ def propagate(edges: DataFrame, room: int, shards: int = SHARDS, rounds: int = R
                 .withColumn("gain", F.col("n") - F.coalesce("here", F.lit(0)))
                 .withColumn("asks", (F.col("to") != F.col("shard")) & (F.col("gain") > 0)
                             & (F.col("follower") == F.lit(turn % 2 == 1))))
-        asked = Landed(asks.select("id", "follower", "shard", "to", "gain", "asks"), "shard-asks")
+        asked = Landed(asks.select("id", "follower", "unit", "class", "shard", "to", "gain", "asks"), "shard-asks")
         now.drop()
-        # one row per shard and gain class (powers of two), so a bounded table decides who is admitted
+        # one row per shard, gain class and group size class (powers of two), so a bounded table decides who is admitted
         level = F.floor(F.log2(F.col("gain"))).cast("int")
         held = {r["shard"]: r["count"] for r in asked.df.groupBy("shard").count().collect()}
-        want = asked.df.filter("asks").groupBy("to", level.alias("level")).count().collect()
+        want = asked.df.filter("asks").groupBy("to", level.alias("level"), "class").count().collect()
         admit, free = {}, {s: max(0, room - held.get(s, 0)) for s in range(shards)}
-        for r in sorted(want, key=lambda r: (r["to"], -r["level"])):
-            admit[r["to"], r["level"]] = min(1.0, free[r["to"]] / r["count"])
+        for r in sorted(want, key=lambda r: (r["to"], -r["level"], r["class"])):
+            admit[r["to"], r["level"], r["class"]] = min(1.0, free[r["to"]] / r["count"])
             free[r["to"]] = max(0, free[r["to"]] - r["count"])
         share = F.lit(0.0)
-        for (to, lev), part in admit.items():
-            share = F.when((F.col("to") == to) & (level == lev), F.lit(part)).otherwise(share)
-        moves = F.col("asks") & (_draw("id", F.lit(turn)) < share)
-        now = Landed(asked.df.select("id", "follower", F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard")),
+        for to in sorted({k[0] for k in admit}):
+            part = F.lit(0.0)
+            for (_, lev, size), p in [(k, p) for k, p in admit.items() if k[0] == to and p]:
+                part = F.when((level == lev) & (F.col("class") == size), F.lit(p)).otherwise(part)
+            share = F.when(F.col("to") == to, part).otherwise(share)
+        # the members of a group draw alike, so that it is admitted whole
+        moves = F.col("asks") & (_draw("unit", F.lit(turn)) < share)
+        now = Landed(asked.df.select("id", "follower", "unit", "class", F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard")),
                      "shard-labels")
         asked.drop()
         if turn > 1 and not want:
@@ -99,14 +139,22 @@ def equal_text_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def balanced_shards(docs: DataFrame, edges: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shards: int = SHARDS) -> DataFrame:
-    """One row per document row: id, size, text_crc32, shard and slot under the law ``rows``."""
+    """One row per document row: id, size, text_crc32, shard and slot under the law ``rows``.
+
+    ``edges`` are stars (from ``a`` to the smallest id ``b`` of its group), as ``equal_text_links`` makes them.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"),
                        F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("th"))
     rows = Landed(rows, "shard-rows").df
     total = rows.count()
-    labels = propagate(edges, total // shards, shards)
-    placed = rows.join(labels.df.select("id", "shard"), "id", "left")
+    room = total // shards
+    whole, links, taken = cut_stars(edges, room, shards)
+    labels = whole
+    if taken < shards:
+        spread = propagate(links, room, shards, taken=taken).df.select("id", "shard")
+        labels = spread if whole is None else whole.unionByName(spread)
+    placed = rows.join(labels, "id", "left")
     # part `shards` is the pool of rows without links
     placed = placed.withColumn("part", F.coalesce("shard", F.lit(shards)))
     placed = Landed(ranked(placed.drop("shard"), "part", ["id", "th"], total), "shard-ranks").df
