@@ -123,3 +123,16 @@ def test_held_out_flag(spark):
     from wardline.llm.common import crc32_mod3
     got = spark.range(50).select("id", crc32_mod3(F.col("id")).alias("m")).collect()
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 3 for r in got)
+
+
+def test_samples_are_bounded_in_rows_when_ids_repeat(spark, monkeypatch):
+    rows = [(n, f"words of document {n}", "en") for n in range(4)] + [(n, "words of the other kind", "de") for n in (10, 11, 12)]
+    docs = table(spark, rows + rows * 20 + [(0, "a second text of id zero", "en"), (None, "no id", "en")])
+    sizes = []
+    monkeypatch.setattr(language_id, "fit", lambda x, y, langs: sizes.append(np.bincount(y).tolist()))
+    monkeypatch.setattr(toxicity, "fit", lambda lists, y: sizes.append([int((y == 0).sum()), int((y == 1).sum())]))
+    monkeypatch.setattr(language_id, "SAMPLE_PER_LANG", 3)
+    language_id.train(docs)
+    labels = spark.createDataFrame([(n, int(n < 2)) for n in (0, 1, 2, 3, 10, 11, 12)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    assert sizes == [[3, 3], [4, 2]]  # documents by language (a window each), then by label

@@ -198,16 +198,18 @@ def has_letter(text):
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Fit on a bounded sample of labelled documents; None when there is none."""
-    texts = docs.filter(has_letter(F.col(text_col)) & F.col(lang_col).isNotNull())
-    texts = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
+    texts = docs.filter(has_letter(F.col(text_col)) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    texts = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"),
+                         F.xxhash64(text_col).alias("th"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     # the rank limit is applied within each task before the shuffle, so a hot language sends few rows
-    ids = texts.select("id", "lang").withColumn("rank", F.row_number().over(order))
-    ids = ids.filter(F.col("rank") <= SAMPLE_PER_LANG).select("id", "lang", "rank").toArrow()
+    # repeated rows of an id are one document: its least text hash
+    ids = texts.groupBy("id", "lang").agg(F.min("th").alias("th")).withColumn("rank", F.row_number().over(order))
+    ids = ids.filter(F.col("rank") <= SAMPLE_PER_LANG).select("id", "lang", "th", "rank").toArrow()
     if ids.num_rows == 0:
         return None
     chosen = F.broadcast(docs.sparkSession.createDataFrame(ids))
-    rows = (texts.join(chosen, ["id", "lang"])
+    rows = (texts.join(chosen, ["id", "lang", "th"]).dropDuplicates(["id", "lang"])
             .select("lang", "rank", "id", F.arrow_udf(_sample_windows, "binary")("t").alias("x")).toArrow())
     rows = rows.sort_by([("lang", "ascending"), ("rank", "ascending")]).to_pylist()
     langs = sorted({r["lang"] for r in rows})

@@ -120,17 +120,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on a bounded sample of labelled documents; None when a label is missing."""
     known = (labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("th"))
     texts = texts.filter(F.octet_length("t").between(1, SAMPLE_BYTES))
-    ids = texts.select("id").join(known, "id").withColumn("order", F.xxhash64("id"))
+    # repeated rows of an id are one document: its least text hash
+    ids = texts.select("id", "th").join(known, "id").groupBy("id", "y").agg(F.min("th").alias("th"))
+    ids = ids.withColumn("order", F.xxhash64("id"))
     first = [ids.filter(F.col("y") == y).orderBy("order", "id") for y in (0, 1)]
     toxic = first[1].limit(SAMPLE_TOXIC).toArrow()
     clean = first[0].limit(CLEAN_PER_TOXIC * toxic.num_rows).toArrow()
     if not (toxic.num_rows and clean.num_rows):
         return None
-    # at most (1 + CLEAN_PER_TOXIC) x SAMPLE_TOXIC rows of three numbers
+    # at most (1 + CLEAN_PER_TOXIC) x SAMPLE_TOXIC rows of four numbers
     chosen = docs.sparkSession.createDataFrame(pa.concat_tables([toxic, clean]))
-    sample = texts.join(F.broadcast(chosen), "id")
+    sample = texts.join(F.broadcast(chosen), ["id", "th"]).dropDuplicates(["id"])
     _bucket_lists.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     rows = sample.select("order", "id", "y", F.arrow_udf(_bucket_lists, "array<int>")("t").alias("x")).toArrow()
     rows = rows.sort_by([("order", "ascending"), ("id", "ascending")])
