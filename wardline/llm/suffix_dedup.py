@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by longest-previous-factor arrays over anchored suffixes.
+"""Removal of repeated byte strings by groups of equal strings over anchored suffixes.
 
 A byte goes when a string of SPAN bytes that covers it also starts in a
 document with a smaller id. No task can hold the suffix array of a corpus, so
@@ -12,9 +12,9 @@ anchor serves a run of neighbouring string starts, about 16 of them.
    it serves, named by a hash; equal contexts are one row with its smallest id,
    so a passage that stands in a third of all documents is a few rows.
 3. Anchors with several contexts bring these contexts' bytes together. Within an
-   anchor hash the suffixes of all contexts are sorted. Between
-   neighbours with a common prefix of SPAN bytes, the previous and next smaller
-   id in suffix order tell whether the longest previous factor reaches SPAN.
+   anchor hash the SPAN-byte strings of all contexts are sorted, and the least
+   id of each run of equal ones tells whether a string stands earlier. No longest
+   previous factors are computed: only whether they reach SPAN is asked for.
    Occurrences in later documents than a context's first are repeats as a whole.
    An anchor of more than GROUP_CONTEXTS contexts (a common GRAM bytes with
    different surroundings) is no group of one task: its contexts' strings are
@@ -146,10 +146,9 @@ _contexts.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "re
 
 
 def earlier_factors(data: np.ndarray, starts: np.ndarray, group: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether the suffix at each start has a longest previous factor of SPAN bytes or more.
+    """Whether the SPAN bytes at each start also stand in a document with a smaller id of the group.
 
-    Suffixes are sorted within their group. In a stretch of neighbours that share
-    SPAN bytes, a previous or next smaller id exists unless the id is the least.
+    The strings are sorted within their group; in a run of equal ones all but those of the least id do.
     """
     padded = np.concatenate([data, np.zeros(8 * WORDS, np.uint8)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 8 * WORDS)[starts].copy()
