@@ -168,3 +168,62 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
                         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# crc32 of a decimal number in SQL: the table of 256 remainders, folded over its digits
+_CRC = """
+step(b, c, k) AS (SELECT range, range, 0 FROM range(256)
+                  UNION ALL SELECT b, xor(c >> 1, (c & 1) * 3988292384), k + 1 FROM step WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY b) AS crcs FROM step WHERE k = 8)"""
+
+
+def _crc32_sql(number: str) -> str:
+    digits = f"list_transform(string_split({number}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], {digits}), lambda c, x: xor(c >> 8, crcs[1 + (xor(c, x) & 255)])), "
+            "4294967295)")
+
+
+@_register("op11_periodic_runs", f"""
+WITH RECURSIVE {_CRC},
+split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {_crc32_sql('doc_id')} AS h FROM documents, crcs),
+planted AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+        list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) END AS w
+      FROM planted),
+words AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS x FROM d),
+pairs AS (SELECT l.doc_id, r.i - l.i AS q, l.i
+          FROM words l JOIN words r ON l.doc_id = r.doc_id AND l.x = r.x AND r.i > l.i AND 3 * (r.i - l.i) <= l.n),
+steps AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+found AS (SELECT doc_id, min(i) AS s, count(*) + q AS l, q FROM steps GROUP BY doc_id, q, island
+          HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT doc_id, s, l, min(q) AS q FROM found GROUP BY doc_id, s, l),
+best AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q)) AS runs_sha256,
+                arg_min((s, l, q), (-l::DOUBLE / q, s, q)) AS r
+         FROM runs GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, r[1] AS start, r[2] AS length, r[3] AS period, 1000 * r[2] // r[3] AS exponent_milli,
+       coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text; where crc32 of the id ends in 0, what follows a word of the text is made periodic first (null id: no)."""
+    from wardline.llm.periodic_runs import periodic_runs
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    docs = docs.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)))
+    docs = docs.withColumn("n", F.size("w")).withColumn("a", F.expr("if(n > 0, h div 10 % n, 0)"))
+    docs = docs.withColumn("p", F.expr("1 + (n - a) div (3 + h div 10 % 8)"))
+    # the words before a, then the p words from a on over and over
+    periods = F.expr("flatten(array_repeat(slice(w, int(a) + 1, int(p)), int((n - a) div p) + 1))")
+    planted = F.array_join(F.slice(F.concat(F.expr("slice(w, 1, int(a))"), periods), F.lit(1), F.col("n")), " ")
+    text = F.when(F.col("n") > 0, planted).otherwise(F.col("text"))
+    found = periodic_runs(docs.select("doc_id", text.alias("text"))).select("doc_id", "periodic.*")
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    # runs stand by start and period, so of equal exponents the first stays
+    best = F.reduce("runs", none, lambda b, r: F.when(
+        b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
