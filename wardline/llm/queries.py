@@ -227,3 +227,50 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+_CONV_HEAD = 8  # a conversation shares at most this many first turns with its base
+
+
+@_register("op13_prefix_trie", f"""
+WITH RECURSIVE {_CRC},
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(r) || ':' || r || x)) - 1 AS k, r, x
+      FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+sizes AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+c AS (SELECT s.conv_id, s.conv_id - s.conv_id % 5 AS base, {_crc32_sql('s.conv_id')} % 9 AS h,
+             least({_crc32_sql('s.conv_id')} % 9, coalesce(b.n, 0)) AS lent
+      FROM sizes s LEFT JOIN sizes b ON b.conv_id = s.conv_id - s.conv_id % 5, crcs),
+rebuilt AS (SELECT c.conv_id, k + 1 AS d, r, x FROM c JOIN t ON t.conv_id = c.base AND k < lent
+            UNION ALL SELECT c.conv_id, lent + k - h + 1, r, x FROM c JOIN t ON t.conv_id = c.conv_id AND k >= h),
+keyed AS (SELECT conv_id, d, strlen(x) AS b, md5(string_agg(md5(strlen(r) || ':' || r || x), '' ORDER BY d)
+                 OVER (PARTITION BY conv_id ORDER BY d ROWS UNBOUNDED PRECEDING)) AS p FROM rebuilt
+          UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+named AS (SELECT conv_id, d, b, min(conv_id) OVER w AS name, count(*) OVER w AS n_convs,
+                 d = max(d) OVER (PARTITION BY conv_id) AS ends FROM keyed WINDOW w AS (PARTITION BY d, p)),
+nodes AS (SELECT name, d, max(b) AS b, max(n_convs) AS n_convs,
+                 sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+          FROM named GROUP BY name, d),
+edges AS (SELECT n.name, n.d, u.name AS parent FROM nodes n LEFT JOIN named u ON u.conv_id = n.name AND u.d = n.d - 1),
+kids AS (SELECT parent AS name, d - 1 AS d, count(*) AS n FROM edges WHERE parent IS NOT NULL GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, parent, coalesce(kids.n, 0) AS n_children
+               FROM nodes JOIN edges USING (name, d) LEFT JOIN kids USING (name, d)),
+sums AS (SELECT u.name, u.d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((f.n_convs - 1) * f.b) AS saved
+         FROM full_nodes f JOIN named u ON u.conv_id = f.name AND u.d <= f.d GROUP BY u.name, u.d)
+SELECT name AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM full_nodes JOIN sums USING (name, d)
+""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of the conversations after their first turns are replaced by those of the first conversation of their five."""
+    from wardline.llm.prefix_trie import conversation_trie, ordered_turns, with_shared_heads
+    turns = ordered_turns(table(spark, sf_dir, "conversations"))
+    head = F.crc32(F.col("conv_id").cast("string")) % (_CONV_HEAD + 1)
+    return conversation_trie(*with_shared_heads(turns, F.col("conv_id") - F.col("conv_id") % 5, head, _CONV_HEAD))
+
+
+@_register("op12_secret_scan")
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wardline.llm.secret_scan import scan_secrets
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "secrets.n_assign", "secrets.n_access", "secrets.n_hex",
+                        F.sha2("secrets.base", 256).alias("base_sha256"), "secrets.spans")
