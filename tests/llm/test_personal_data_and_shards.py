@@ -1,12 +1,15 @@
+import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
 from helpers import empty, table
 
 from wardline.llm import pii_crf
-from wardline.llm.sharding import balanced_shards, equal_text_links
+from wardline.llm.sharding import balanced_shards, cut_stars, equal_text_links, propagate
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -123,3 +126,75 @@ def test_large_groups_touch_as_few_shards_as_their_size_allows(spark):
         shards[text[r.doc_id]].add(r.shard)
     assert len(shards["same"]) == 4 and len(shards["also the same"]) == 2
     assert all(len(shards[f"pair {n}"]) == 1 for n in range(4))
+
+
+def test_ids_on_several_texts_keep_their_rows_and_the_law(spark):
+    cases = {
+        "two large, large and small": [(n, "same") for n in range(40)] + [(n, "also") for n in range(20, 60)]
+        + [(n, "pair") for n in (3, 80, 81)] + [(200 + n, f"o{n}") for n in range(40)],
+        "hub of one follows another": [(n, "same") for n in (0, 5, *range(10, 30))] + [(n, "also") for n in (5, *range(40, 70))],
+        "few rows": [(1, "a"), (2, "a"), (3, "a"), (3, "b"), (4, "b"), (3, "b"), (5, "c"), (6, "c"), (7, "d")],
+    }
+    for rows in cases.values():
+        docs = table(spark, rows)
+        got = balanced_shards(docs, equal_text_links(docs)).collect()
+        assert sorted((r.doc_id, r.size) for r in got) == sorted((i, len(t) + 1) for i, t in rows)
+        check_law(got)
+        links = equal_text_links(docs)
+        whole, others, _ = cut_stars(links, max(1, len(rows) // 8))
+        if whole is not None:
+            settled = [r.id for r in whole.collect()]
+            assert len(settled) == len(set(settled))
+            assert not {x for r in others.collect() for x in r} & set(settled)
+
+
+def hashed(*values):
+    """Spark's xxhash64: each value is hashed with the hash so far as seed."""
+    h = 42
+    for v, fmt in values:
+        h = xxhash.xxh64_intdigest(struct.pack(fmt, v), seed=h)
+    return h
+
+
+def plain_propagation(edges, room, shards=8, rounds=6):
+    near = defaultdict(list)
+    for a, b in edges:
+        near[a].append(b)
+        near[b].append(a)
+    follower = {i: min(n) < i for i, n in near.items()}
+    unit = {i: min(i, *n) for i, n in near.items()}
+    size = Counter(unit.values())
+    shard = {i: hashed((i, "<q")) % shards if hashed((i, "<q")) < 1 << 63 else (hashed((i, "<q")) - (1 << 64)) % shards for i in near}
+    for turn in range(1, rounds + 1):
+        asks = {}
+        for i, n in near.items():
+            votes = Counter(shard[x] for x in n)
+            to = max(votes, key=lambda s, v=votes: (v[s], -s))
+            gain = votes[to] - votes[shard[i]]
+            if to != shard[i] and gain > 0 and follower[i] == (turn % 2 == 1):
+                asks[i] = (to, int(math.log2(gain)), int(math.log2(size[unit[i]])))
+        want, free, share = Counter(asks.values()), {s: max(0, room - n) for s, n in Counter({s: 0 for s in range(shards)}).items()}, {}
+        for s, n in Counter(shard.values()).items():
+            free[s] = max(0, room - n)
+        for key in sorted(want, key=lambda k: (k[0], -k[1], k[2])):
+            share[key] = min(1.0, free[key[0]] / want[key])
+            free[key[0]] = max(0, free[key[0]] - want[key])
+        for i, key in asks.items():
+            h = hashed((unit[i], "<q"), (turn, "<i"))
+            if (h - (1 << 64) * (h >> 63)) % (1 << 40) / float(1 << 40) < share[key]:
+                shard[i] = key[0]
+        if turn > 1 and not want:
+            break
+    return shard
+
+
+def test_propagation_against_plain_python(spark):
+    rnd = random.Random(8)
+    for room in (9, 14, 40):
+        edges, at = [], 0
+        while at < 90:
+            n = rnd.randint(2, 9)
+            edges += [(at + k, at) for k in range(1, n)]
+            at += n
+        got = propagate(spark.createDataFrame(edges, "a long, b long"), room).df.collect()
+        assert {r.id: r.shard for r in got} == plain_propagation(edges, room)

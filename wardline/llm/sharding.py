@@ -12,7 +12,9 @@ documents.
 A group of at least a shard's room is cut by rank before that: each full piece
 has a shard of its own, where no other group starts, and what is left of the
 group is a smaller star with its own leader. So it touches as few shards as its
-size allows, and the shards that others ask for are not full of it.
+size allows, and the shards that others ask for are not full of it. An id that stands
+on several texts belongs to one large group; the links of documents whose shard is
+settled so no longer vote.
 
 The law is ``rows``: shard sizes differ by one row at most. Documents without
 links, and the few a full shard can't hold, are dealt out to the rest of the
@@ -43,28 +45,34 @@ def _draw(*cols):
 
 def cut_stars(edges: DataFrame, room: int, shards: int = SHARDS) -> tuple[DataFrame | None, DataFrame, int]:
     """Full pieces (id, shard) of the stars ``edges`` with ``room`` documents or more, the other links, and how many
-    shards the pieces fill (the first ones)."""
+    shards the pieces fill (the first ones). An id of several such stars belongs to that of the smallest leader."""
     # at most total / room groups have that size, so they are a bounded list
-    large = edges.groupBy("b").count().filter(F.col("count") + 1 >= room).collect() if room > 1 else []
+    large = [r["b"] for r in edges.groupBy("b").count().filter(F.col("count") + 1 >= room).collect()]
     if not large:
         return None, edges, 0
-    sizes = {r["b"]: r["count"] + 1 for r in sorted(large, key=lambda r: (-r["count"], r["b"]))}
-    hubs = list(sizes)
-    followers = edges.filter(F.col("b").isin(hubs)).select(F.col("a").alias("id"), F.col("b").alias("hub"))
-    leaders = edges.sparkSession.createDataFrame([(h, h) for h in hubs], followers.schema)
-    members = ranked(followers.unionByName(leaders), "hub", ["id"], sum(sizes.values()))
-    members = members.withColumn("piece", F.floor(F.col("rank") / room).cast("int"))
+    followers = edges.filter(F.col("b").isin(large)).select(F.col("a").alias("id"), F.col("b").alias("hub"))
+    leaders = edges.sparkSession.createDataFrame([(h, h) for h in large], followers.schema)
+    members = Landed(followers.unionByName(leaders).groupBy("id").agg(F.min("hub").alias("hub")), "shard-members")
+    counts = members.df.groupBy("hub").count().collect()
+    sizes = {r["hub"]: r["count"] for r in sorted(counts, key=lambda r: (-r["count"], r["hub"]))}
+    pieces = ranked(members.df, "hub", ["id"], sum(sizes.values()))
+    pieces = pieces.withColumn("piece", F.floor(F.col("rank") / room).cast("int"))
     shard, taken = F.lit(None).cast("int"), 0
     for hub, size in sizes.items():
         full = min(size // room, shards - taken)
         shard = F.when((F.col("hub") == hub) & (F.col("piece") < full), F.col("piece") + taken).otherwise(shard)
         taken += full
-    members = Landed(members.select("id", "hub", "piece", shard.alias("shard")), "shard-pieces").df
-    left = members.filter(F.col("shard").isNull())
+    pieces = Landed(pieces.select("id", "hub", "piece", shard.alias("shard")), "shard-pieces").df
+    members.drop()
+    left, whole = pieces.filter(F.col("shard").isNull()), pieces.filter(F.col("shard").isNotNull()).select("id", "shard")
     least = left.groupBy("hub", "piece").agg(F.min("id").alias("b"))
     stars = left.join(F.broadcast(least), ["hub", "piece"]).filter("id > b").select(F.col("id").alias("a"), "b")
-    others = edges.filter(~F.col("b").isin(hubs)).select("a", "b")
-    return members.filter(F.col("shard").isNotNull()).select("id", "shard"), others.unionByName(stars), taken
+    others = edges.filter(~F.col("b").isin(large)).select("a", "b").unionByName(stars)
+    # documents of full pieces have their shard
+    placed = whole.select("id")
+    others = (others.join(placed.withColumnRenamed("id", "a"), "a", "left_anti")
+              .join(placed.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
+    return whole, others, taken
 
 
 def propagate(edges: DataFrame, room: int, shards: int = SHARDS, rounds: int = ROUNDS, taken: int = 0) -> Landed:
@@ -148,7 +156,7 @@ def balanced_shards(docs: DataFrame, edges: DataFrame, id_col: str = "doc_id", t
                        F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("th"))
     rows = Landed(rows, "shard-rows").df
     total = rows.count()
-    room = total // shards
+    room = max(1, total // shards)
     whole, links, taken = cut_stars(edges, room, shards)
     labels = whole
     if taken < shards:
