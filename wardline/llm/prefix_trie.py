@@ -41,6 +41,8 @@ from wardline.llm.common import Landed
 BLOCK = 4096
 # Ids of a chunk of conversations that end at one node: 2 to this power.
 CHUNK_BITS = 16
+# Parts in which a component's path to its centroid is gathered.
+SALTS = 16
 
 
 def _block(place: Column) -> Column:
@@ -155,15 +157,17 @@ def subtree_sums(nodes: DataFrame, paths: DataFrame, values: list[str]) -> DataF
     at_top = (F.col("conv_id") == F.col("top_conv")) & (F.col("depth") == F.col("top_depth"))
     alone = at_top & (F.col("weight") == F.col("n_convs"))
     root = nodes.filter("depth = 0").select("conv_id").head()
-    state = nodes.select(*me, "n_convs", "weight", *values, F.lit(root and root[0]).cast("long").alias("top_conv"),
-                         F.lit(0).cast("long").alias("top_depth"))
+    state = nodes.select(*me, "n_convs", "weight", *values, F.when(F.col("conv_id").isNotNull(), F.lit(root and root[0])).cast("long").alias("top_conv"),
+                         F.when(F.col("depth").isNotNull(), F.lit(0)).cast("long").alias("top_depth"))
     steps = paths.select("conv_id", (F.col("depth") - 1).alias("cd"), F.col("node_conv_id").alias("child"), F.col("parent").alias("above"))
     rounds, single = [], [state.filter(alone).select(*me, *values)]
     state = state.filter(~alone)
     while not state.isEmpty():
         tops = state.filter(at_top).select(*top, F.col("weight").alias("all"))
         path = state.join(tops, top).filter(2 * F.col("weight") >= F.col("all"))
-        centroids = path.groupBy(*top).agg(F.max(F.struct("depth", "conv_id", "weight")).alias("c"), F.max("all").alias("all")).select(
+        # two steps, so that the rows of a large component need not stay together after the join
+        deepest = path.groupBy(*top, F.pmod("depth", F.lit(SALTS))).agg(F.max(F.struct("depth", "conv_id", "weight")).alias("c"), F.max("all").alias("all"))
+        centroids = deepest.groupBy(*top).agg(F.max("c").alias("c"), F.max("all").alias("all")).select(
             *top, "all", F.col("c.depth").alias("cd"), F.col("c.conv_id").alias("cc"), F.col("c.weight").alias("cw"))
         is_centroid = (F.col("conv_id") == F.col("cc")) & (F.col("depth") == F.col("cd"))
         cut = state.join(centroids, top).join(steps, ["conv_id", "cd"], "left")
