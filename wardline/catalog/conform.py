@@ -72,15 +72,15 @@ def stays_joined(spark, d):
 @register("stays_two_key", "SELECT CAST(o.o_custkey AS VARCHAR) AS patient_id, o.o_orderkey AS stay_id, c_acctbal AS age, c_mktsegment AS sex, "
                            "o.o_orderpriority AS unit_admitted, o.o_orderdate AS admission_time, o.o_orderdate + INTERVAL 3 DAY AS outtime, "
                            "CAST(3 AS DOUBLE) AS los, 'mimic_iv_demo' AS source_dataset FROM orders o "
-                           "LEFT JOIN (SELECT o_custkey AS s, o_orderkey AS h FROM orders WHERE o_orderkey % 5 <> 0) a ON a.s = o.o_custkey AND a.h = o.o_orderkey "
+                           "LEFT JOIN (SELECT o_custkey AS s, o_orderkey AS h FROM orders WHERE o_orderstatus <> 'P') a ON a.s = o.o_custkey AND a.h = o.o_orderkey "
                            "LEFT JOIN customer ON o.o_custkey = c_custkey")
 def stays_two_key(spark, d):
-    """Orders as stays and admissions, customers as patients."""
+    """Orders as stays, those not pending as admissions, customers as patients."""
     o = standin.table(spark, d, "orders")
     stays = o.select(F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("hadm_id"), F.col("o_orderkey").alias("stay_id"),
                      F.col("o_orderpriority").alias("first_careunit"), F.col("o_orderdate").alias("intime"),
                      (F.col("o_orderdate") + F.expr("INTERVAL 3 DAY")).alias("outtime"), F.lit(3.0).alias("los"))
-    admissions = o.filter("o_orderkey % 5 != 0").select(F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("hadm_id"))
+    admissions = o.filter("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("hadm_id"))
     patients = standin.table(spark, d, "customer").select(
         F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("gender"), F.col("c_acctbal").alias("anchor_age"))
     return conform.join_stays(stays, admissions, patients)

@@ -115,11 +115,11 @@ def table_rows(spark, d):
 
 @register("latest_explanation", S.with_(*S.PRED) + "SELECT l.id, l.patient_id, round(l.sepsis_probability, 6) AS sepsis_probability, "
           "e.event_type AS explanation_top FROM (SELECT * FROM preds QUALIFY row_number() OVER (PARTITION BY patient_id "
-          "ORDER BY created_at DESC, id DESC) = 1) l LEFT JOIN (SELECT * FROM events WHERE event_id % 3 <> 0) e ON e.event_id = l.id")
+          "ORDER BY created_at DESC, id DESC) = 1) l LEFT JOIN (SELECT * FROM events WHERE event_type <> 'signup') e ON e.event_id = l.id")
 def latest_explanation(spark, d):
-    """Latest prediction with its explanation, where there is one."""
-    history = table(spark, d, "events").filter("event_id % 3 != 0").select(F.col("event_id").alias("prediction_id"),
-                                                                          F.col("event_type").alias("top"))
+    """Latest prediction with its explanation, where there is one (events but sign-ups have one)."""
+    history = table(spark, d, "events").filter("event_type <> 'signup'").select(F.col("event_id").alias("prediction_id"),
+                                                                              F.col("event_type").alias("top"))
     out = tables.latest_with_explanation(standin.predictions(spark, d), history)
     return out.select("id", KEY, r6("sepsis_probability").alias("sepsis_probability"), "explanation_top")
 
@@ -146,11 +146,11 @@ def audit_trail(spark, d):
 
 @register("acknowledge_audit", S.with_(*S.PRED) + "SELECT 'alert_acknowledged:' || CAST(p.id AS VARCHAR) AS id, min_by(e.u, (e.at, e.u)) AS actor FROM "
           "(SELECT * FROM preds WHERE risk_level = 'Critical') p JOIN (SELECT event_id AS id, 'user_' || CAST(user_id % 7 AS VARCHAR) AS u, ts AS at "
-          "FROM events WHERE event_id % 2 = 0) e USING (id) GROUP BY 1")
+          "FROM events WHERE event_type IN ('view', 'click')) e USING (id) GROUP BY 1")
 def acknowledge_audit(spark, d):
-    """L4: audit rows of the acknowledgements that met an alert."""
+    """L4: audit rows of the acknowledgements (views and clicks) that met an alert."""
     found = standin.predictions(spark, d).filter("risk_level = 'Critical'")
-    acks = table(spark, d, "events").filter("event_id % 2 = 0").select(
+    acks = table(spark, d, "events").filter("event_type IN ('view', 'click')").select(
         F.col("event_id").alias("id"), F.concat(F.lit("user_"), (F.col("user_id") % 7).cast("string")).alias("acknowledged_by"),
         F.col("ts").alias("acknowledged_at"))
     return tables.acknowledge_audit(found, acks).select("id", "actor")

@@ -301,10 +301,10 @@ def _ids(src, ts, n, name):
                                                "lp AS (SELECT patient_id, arg_max(id, (created_at, id)) AS id FROM preds GROUP BY 1)")
           + "SELECT p.patient_id, p.current_status, dv.ids AS vitals, dp.ids AS predictions, da.ids AS alerts, e.event_type AS explanation FROM pat p "
             "LEFT JOIN dv USING (patient_id) LEFT JOIN dp USING (patient_id) LEFT JOIN da USING (patient_id) LEFT JOIN lp USING (patient_id) "
-            "LEFT JOIN (SELECT * FROM events WHERE event_id % 3 <> 0) e ON e.event_id = lp.id")
+            "LEFT JOIN (SELECT * FROM events WHERE event_type <> 'signup') e ON e.event_id = lp.id")
 def patient_document(spark, d):
     """Nested document per patient with lists of 12 and the latest explanation (ids shown)."""
-    expl = standin.table(spark, d, "events").filter("event_id % 3 != 0").select(F.col("event_id").alias("prediction_id"), F.col("event_type").alias("top"))
+    expl = standin.table(spark, d, "events").filter("event_type <> 'signup'").select(F.col("event_id").alias("prediction_id"), F.col("event_type").alias("top"))
     doc = report.patient_document(standin.patients(spark, d).select("patient_id", "current_status"), _vitals_flat(spark, d),
                                   standin.predictions(spark, d), _alerts(spark, d), expl, 12, 12, 12)
     ids = lambda c: F.array_join(F.transform(c, lambda r: r["id"].cast("string")), ",").alias(c)
