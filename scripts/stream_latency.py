@@ -60,8 +60,9 @@ def measure(spark: SparkSession, base: str, channels, medians, mean, std, model,
     # single-reading micro-batch small
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
-    q = (scored.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-         .trigger(processingTime="50 milliseconds").outputMode("append").start())
+    with state.typed_state(spark):
+        q = (scored.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+             .trigger(processingTime="50 milliseconds").outputMode("append").start())
     spark.conf.set("spark.sql.shuffle.partitions", old)
 
     def last_batch() -> int:

@@ -112,7 +112,7 @@ def _python_fold(rows, cd_min):
     return out
 
 
-def test_cooldown_matches_python_fold_on_both_paths(spark):
+def test_cooldown_matches_python_fold(spark):
     import random
     rnd = random.Random(7)
     rows, rid = [], 0
@@ -126,7 +126,7 @@ def test_cooldown_matches_python_fold_on_both_paths(spark):
                                "id long, patient_id string, created_at timestamp, risk_level string, sepsis_probability double")
     exp = _python_fold(rows, 30)
     assert {r.id for r in alerts.cooldown_alerts(df, 30).collect()} == exp
-    assert {r.id for r in alerts.cooldown_alerts(df, 30, max_fold=0).collect()} == exp  # pointer-doubling path
+    assert {r.id for r in alerts.cooldown_alerts(df, 30, segment=2, fan=3).collect()} == exp  # functions composed in rounds
 
 
 def test_asof_carries_across_days(spark):
@@ -173,4 +173,42 @@ def test_cooldown_with_existing_alerts_matches_python_fold(spark):
     ex = spark.createDataFrame([(p, T0 + dt.timedelta(minutes=m), lvl) for p, m, lvl in manual],
                                "patient_id string, created_at timestamp, risk_level string")
     assert {r.id for r in alerts.cooldown_alerts(df, 30, existing=ex).collect()} == exp
-    assert {r.id for r in alerts.cooldown_alerts(df, 30, existing=ex, max_fold=0).collect()} == exp
+    assert {r.id for r in alerts.cooldown_alerts(df, 30, existing=ex, segment=1, fan=2).collect()} == exp
+
+
+def test_transfer_functions_equal_following_the_rows():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from wardline.operators import cooldown as C
+    rnd = random.Random(3)
+    for _ in range(300):
+        cd, span, rows = 10, 40, []
+        for k in range(rnd.randint(1, 5)):
+            times = sorted(rnd.randrange(40) for _ in range(rnd.randint(1, 14)))
+            rows += [(k, 7, 280 + t, int(rnd.random() < 0.1), rnd.randint(0, 3)) for t in times]
+        rows.sort(key=lambda r: (r[0], r[2], -r[3]))
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        columns = zip(*[(str(r[0]), *r[1:]) for r in rows], strict=True)
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["_k", "_s", "_us", "_m", "_rank"])
+        cut = rnd.randint(0, len(rows))
+        functions = {}
+        for out in C._functions(iter([batch.slice(0, cut), batch.slice(cut)]), cd, span):
+            for r in out.to_pylist():
+                functions.setdefault(r["_k"], C.Function()).add(r["rank"], r["upto"], None if r["us"] is None else (r["us"], r["to_rank"]))
+        for k in {r[0] for r in rows}:
+            for state in [None, *[(280 - d, r) for d in range(1, 14) for r in range(4)]]:
+                last, changed, raised = state, False, []
+                for i, (key, _, us, manual, rank) in enumerate(rows):
+                    if key == k and (manual or last is None or rank > last[1] or us - last[0] >= cd):
+                        last, changed = (us, rank), True
+                        raised += [] if manual else [i]
+                assert functions[str(k)](state, cd) == (last if changed else None)
+                with_state = batch.append_column("_in_us", pa.array([state and state[0]] * len(rows), pa.int64())) \
+                    .append_column("_in_rank", pa.array([state and state[1]] * len(rows), pa.int32())) \
+                    .append_column("i", pa.array(np.arange(len(rows))))
+                if state is None or rnd.random() < 0.1:
+                    got = [r["i"] for out in C._raised(iter([with_state]), cd, span, ["_k", "i"]) for r in out.to_pylist() if r["_k"] == str(k)]
+                    assert got == raised

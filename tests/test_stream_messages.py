@@ -121,3 +121,61 @@ def test_payload_encoding_nulls_and_hours(spark):
     out = [json.loads(r.value) for r in messages.encode_payloads(df, ["HR", "Temp"], time_col="first_seen").orderBy("ICULOS").collect()]
     assert out[0]["channels"] == {"HR": 80.0, "Temp": None} and out[1]["channels"] == {"HR": None, "Temp": 37.0}
     assert out[0]["timestamp"].startswith("2024-01-01T05:00:00") and out[1]["timestamp"].startswith("2024-01-01T06:00:00")
+
+
+def _state(spark, ckpt, name):
+    return spark.read.format("statestore").option("stateVarName", name).load(ckpt)
+
+
+def test_state_is_typed_and_idle_patients_leave(spark):
+    base = tempfile.mkdtemp(prefix="wl-idle-")
+    src, out, ckpt = (os.path.join(base, x) for x in ("src", "out", "ckpt"))
+    t0 = pd.Timestamp("2024-01-01")
+
+    def run(rows, idle_ms):
+        _write_events(src, rows)
+        s = spark.readStream.schema("patient_id string, message_id long, timestamp timestamp_ntz, HR double, Temp double").parquet(src) \
+            .withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+        w = state.stream_windows(s, ["HR", "Temp"], {"HR": 83.0, "Temp": 37.0}, {"HR": 84.0, "Temp": 37.0}, {"HR": 17.0, "Temp": 1.0}, 4,
+                                 idle_ms=idle_ms)
+        jobs.run_available(w, out, ckpt)
+
+    run([("p", 0, t0, 101.0, None), ("p", 1, t0 + pd.Timedelta(hours=1), None, 38.0), ("q", 2, t0, 90.0, None)], 1)
+    with state.typed_state(spark):
+        known = {r.key[0]: r.value[0] for r in _state(spark, ckpt, "last_known").collect()}
+    assert known == {"p": [101.0, 38.0], "q": [90.0, None]}
+    # both timers are over when the next micro-batch comes: q leaves, p starts anew
+    run([("p", 3 + k, t0 + pd.Timedelta(hours=2 + k), 70.0, None) for k in range(3)], 3_600_000)
+    run([("p", 6, t0 + pd.Timedelta(hours=6), None, None)], 3_600_000)
+    with state.typed_state(spark):
+        known = {r.key[0]: r.value[0] for r in _state(spark, ckpt, "last_known").collect()}
+        held = _state(spark, ckpt, "recent").count()
+    assert "q" not in known and held == 3
+    assert [r.message_id for r in spark.read.parquet(out).collect()] != []
+
+
+def test_cooldown_state_survives_restart_and_expires(spark):
+    base = tempfile.mkdtemp(prefix="wl-cool-")
+    src, schema = os.path.join(base, "src"), "patient_id string, id long, created_at timestamp_ntz, risk_level string, sepsis_probability double"
+    os.makedirs(src)
+    t0 = pd.Timestamp("2024-01-01")
+
+    def run(name, rows, idle_ms=None):
+        pd.DataFrame(rows, columns=["patient_id", "id", "created_at", "risk_level", "sepsis_probability"]).to_parquet(
+            os.path.join(src, f"part-{rows[0][1]}.parquet"), coerce_timestamps="us")
+        s = spark.readStream.schema(schema).parquet(src)
+        out = os.path.join(base, name)
+        jobs.run_available(state.stream_alerts(s, 30, idle_ms=idle_ms), out, os.path.join(base, f"ckpt-{name}"))
+        return sorted(r.id for r in spark.read.parquet(out).collect())
+
+    first = [("p", 1, t0, "High", 0.7), ("p", 2, t0 + pd.Timedelta(minutes=10), "High", 0.7), ("q", 3, t0, "Low", 0.1)]
+    assert run("kept", first) == [1]
+    later = [("p", 4, t0 + pd.Timedelta(minutes=20), "High", 0.7), ("p", 5, t0 + pd.Timedelta(minutes=21), "Critical", 0.9)]
+    assert run("kept", later) == [1, 5]
+    with state.typed_state(spark):
+        assert {r.key[0]: r.value[1] for r in _state(spark, os.path.join(base, "ckpt-kept"), "last_alert").collect()} == {"p": 3}
+    # the same with a state that lives for a millisecond: the cooldown is forgotten between two runs
+    src = os.path.join(base, "src2")
+    os.makedirs(src)
+    assert run("brief", first, 1) == [1]
+    assert run("brief", later[:1], 1) == [1, 4]

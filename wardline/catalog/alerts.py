@@ -63,8 +63,8 @@ def alerts_cooldown_long(spark, d):
 
 @register("alerts_cooldown_pointers", S.with_recursive(*S.PRED, *cooldown_sql(720)) + "SELECT patient_id, id, created_at, risk_level FROM fold WHERE raised")
 def alerts_cooldown_pointers(spark, d):
-    """J8 with every piece of two or more rows on the next-raise pointers (the path of very long pieces)."""
-    return alerts.cooldown_alerts(_preds(spark, d), 720, max_fold=1)
+    """J8 with segments of one cooldown whose functions are composed in pairs: log2 rounds up and down."""
+    return alerts.cooldown_alerts(_preds(spark, d), 720, segment=1, fan=2)
 
 
 ASOF_SQL = ("SELECT p.id, p.patient_id, p.created_at, v.id AS v_id, v.ts AS v_timestamp FROM "

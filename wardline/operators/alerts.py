@@ -26,7 +26,8 @@ def triggered(preds: DataFrame, levels: Sequence[str] = vocab.ALERT_TRIGGER_LEVE
 def cooldown_alerts(preds: DataFrame, cooldown_minutes: float = vocab.ALERT_COOLDOWN_MINUTES,
                     levels: Sequence[str] = vocab.ALERT_TRIGGER_LEVELS, key: str = "patient_id",
                     ts: str = "created_at", id_col: str = "id", risk: str = "risk_level",
-                    existing: DataFrame | None = None, carry: Sequence[str] = (), max_fold: int = cooldown.MAX_FOLD) -> DataFrame:
+                    existing: DataFrame | None = None, carry: Sequence[str] = (),
+                    segment: int = cooldown.SEGMENT, fan: int = cooldown.FAN) -> DataFrame:
     """Raised alerts: (key, id, ts, risk, *carry) for each triggered prediction that is not suppressed.
 
     A prediction is raised if the entity has no earlier alert, if its rank is
@@ -35,7 +36,7 @@ def cooldown_alerts(preds: DataFrame, cooldown_minutes: float = vocab.ALERT_COOL
     ``existing`` alerts (key, ts, risk; e.g. manual ones) take part in the
     state but are not emitted (Q17). See ``wardline.operators.cooldown``.
     """
-    return cooldown.cooldown_alerts(preds, cooldown_minutes, levels, key, ts, id_col, risk, existing, carry, max_fold)
+    return cooldown.cooldown_alerts(preds, cooldown_minutes, levels, key, ts, id_col, risk, existing, carry, segment, fan)
 
 
 def asof_latest(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, right_id: str,

@@ -17,13 +17,15 @@ from wardline.functions import clinical
 from wardline.operators import messages, tables
 from wardline.session import checkpoint_dir
 from wardline.sources import files
+from wardline.streaming.state import typed_state
 
 
 def run_available(query_df: DataFrame, out_path: str, ckpt: str, fmt: str = "parquet", mode: str = "append") -> None:
     """Run a streaming DataFrame over everything currently available, then stop."""
-    q = (query_df.writeStream.format(fmt).option("path", out_path).option("checkpointLocation", ckpt)
-         .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with typed_state(query_df.sparkSession):
+        q = (query_df.writeStream.format(fmt).option("path", out_path).option("checkpointLocation", ckpt)
+             .outputMode(mode).trigger(availableNow=True).start())
+        q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
 

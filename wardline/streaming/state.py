@@ -1,25 +1,47 @@
-"""Keyed streaming state (J4, J5, J8) with ``applyInPandasWithState``.
-
-State lives in Spark's state store and is checkpointed, so a restarted query
-resumes where it stopped. Rows of one key inside one micro-batch are ordered
-by the job's clock before they are applied (Q12); the micro-batch size is
-bounded by the source's ``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``.
+"""Keyed streaming state (J4, J5, J8) with ``transformWithState``.
+
+State lives in Spark's state store as typed variables and is checkpointed, so a
+restarted query resumes where it stopped and the state reader
+(``spark.read.format("statestore")``) shows each variable as a table. Rows of
+one key inside one micro-batch are ordered by the job's clock before they are
+applied (Q12); the micro-batch size is bounded by the source's
+``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``.
+
+With an idle time, a patient without rows for so long leaves: a processing-time
+timer, moved on by every micro-batch that has rows of the patient, clears the
+state; the cooldown's state expires by itself (time to live).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wardline import vocab
 
-WINDOW_STATE = "last_known array<double>, recent array<array<double>>"
-COOLDOWN_STATE = "last_us long, last_rank int"
+# transformWithState keeps its variables as column families of this store.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def typed_state(spark: SparkSession):
+    """Queries started inside keep their state in the store that typed variables need."""
+    old = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, old)
 
 
 def _rows(pdfs: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
@@ -27,56 +49,83 @@ def _rows(pdfs: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
     return pd.concat(list(pdfs), ignore_index=True).sort_values(list(order), kind="stable")
 
 
-def window_processor(channels: Sequence[str], medians: Mapping[str, float], mean: Mapping[str, float],
-                     std: Mapping[str, float], window_size: int = vocab.STREAM_WINDOW_SIZE,
-                     order: Sequence[str] = ("timestamp", "message_id"), idle_ms: int | None = None):
+class WindowProcessor(StatefulProcessor):
     """J4 + J5: causal impute (last known value, else train median) + z-score;
     emits one full window per reading once ``window_size`` readings are held.
     No back-fill and no padding: the first ``window_size - 1`` readings give no window (Q13).
-    With a window go the reading's own values, for the alert's reason (E10)."""
-    n = len(channels)
-    med = np.array([float(medians.get(c, 0.0) or 0.0) for c in channels])
-    mu = np.array([float(mean[c] or 0.0) for c in channels])
-    sd = np.array([float(std[c]) for c in channels])
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            last_known, recent = state.get
-            last = np.array([np.nan if v is None else v for v in last_known], dtype=float)
-            recent = np.array(recent, dtype=float).reshape(-1, n)
-        else:
-            last = np.full(n, np.nan)
-            recent = np.zeros((0, n))
-        batch = _rows(pdfs, order)
-        vals = batch[list(channels)].to_numpy(dtype=float)
+    With a window go the reading's own values, for the alert's reason (E10).
+
+    State: ``last_known`` (a value), each channel's last value; ``recent`` (a list), the last
+    ``window_size - 1`` standardised readings, oldest first.
+    """
+
+    def __init__(self, channels: Sequence[str], medians: Mapping[str, float], mean: Mapping[str, float], std: Mapping[str, float],
+                 window_size: int = vocab.STREAM_WINDOW_SIZE, order: Sequence[str] = ("timestamp", "message_id"),
+                 idle_ms: int | None = None, key: str = "patient_id"):
+        self.channels, self.window_size, self.order, self.idle_ms, self.key = list(channels), window_size, list(order), idle_ms, key
+        self.medians = np.array([float(medians.get(c, 0.0) or 0.0) for c in channels])
+        self.mean = np.array([float(mean[c] or 0.0) for c in channels])
+        self.std = np.array([float(std[c]) for c in channels])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last_known = handle.getValueState("last_known", "values array<double>")
+        self.recent = handle.getListState("recent", "z array<float>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, size = len(self.channels), self.window_size
+        known = self.last_known.get()
+        last = np.array([np.nan if v is None else v for v in known[0]], float) if known else np.full(n, np.nan)
+        held = np.array([r[0] for r in self.recent.get()], np.float32).reshape(-1, n)
+        batch = _rows(rows, self.order)
+        values = batch[self.channels].to_numpy(dtype=float)
         # causal fill, vectorised: carried last-known values first, then forward fill, then medians
-        filled = pd.DataFrame(np.vstack([last[None, :], vals])).ffill().to_numpy()[1:]
-        raw = np.where(np.isnan(filled), med, filled)
-        z = ((raw - mu) / sd).astype(np.float32)
-        seq = np.vstack([recent.astype(np.float32), z])
-        k = len(recent)
-        out = {}
-        if len(seq) >= window_size:
-            wins = np.lib.stride_tricks.sliding_window_view(seq, (window_size, n))[:, 0]  # (len-w+1, w, n)
-            ends = np.arange(window_size - 1, len(seq))  # end positions in seq
-            keep = ends >= k  # windows that end on a reading of this batch
-            idx = ends[keep] - k
-            out = {"message_id": batch["message_id"].to_numpy()[idx], "window_end": batch["timestamp"].to_numpy()[idx],
-                   "created_at": batch[order[0]].to_numpy()[idx],
-                   "X": list(wins[keep].reshape(-1, window_size * n)),
-                   "reading": [[None if np.isnan(v) else float(v) for v in r] for r in vals[idx]]}
-        new_last = filled[-1] if len(filled) else last
-        held = seq[-(window_size - 1):].astype(float).tolist() if window_size > 1 else []
-        state.update(([None if np.isnan(v) else float(v) for v in new_last], held))
-        if idle_ms is not None:
-            state.setTimeoutDuration(idle_ms)
-        if out and len(out["message_id"]):
-            yield pd.DataFrame({"patient_id": [key[0]] * len(out["message_id"]), **out})
-
-    return fn
+        filled = pd.DataFrame(np.vstack([last[None, :], values])).ffill().to_numpy()[1:]
+        raw = np.where(np.isnan(filled), self.medians, filled)
+        seq = np.vstack([held, ((raw - self.mean) / self.std).astype(np.float32)])
+        self.last_known.update(([None if np.isnan(v) else float(v) for v in filled[-1]],))
+        self._hold(seq, len(held))
+        _restart_timer(self.handle, timerValues, self.idle_ms)
+        if len(seq) < size:
+            return
+        windows = np.lib.stride_tricks.sliding_window_view(seq, (size, n))[:, 0]  # (len - size + 1, size, n)
+        ends = np.arange(size - 1, len(seq)) - len(held)
+        here = ends >= 0  # windows that end on a reading of this batch
+        at = ends[here]
+        yield pd.DataFrame({
+            self.key: [key[0]] * len(at), "message_id": batch["message_id"].to_numpy()[at],
+            "window_end": batch["timestamp"].to_numpy()[at], "created_at": batch[self.order[0]].to_numpy()[at],
+            "X": list(windows[here].reshape(-1, size * n)),
+            "reading": [[None if np.isnan(v) else float(v) for v in r] for r in values[at]]})
+
+    def _hold(self, seq: np.ndarray, held: int) -> None:
+        """Append what is new while the list is not full, else put the newest readings in its place."""
+        keep = self.window_size - 1
+        if len(seq) <= keep:
+            self.recent.appendList([(r.tolist(),) for r in seq[held:]])
+        elif keep:
+            self.recent.put([(r.tolist(),) for r in seq[-keep:]])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last_known.clear()
+        self.recent.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _restart_timer(handle: StatefulProcessorHandle, timers, idle_ms: int | None) -> None:
+    """The key's only timer ends ``idle_ms`` from now."""
+    if idle_ms is None:
+        return
+    for old in list(handle.listTimers()):
+        handle.deleteTimer(old)
+    handle.registerTimer(timers.getCurrentProcessingTimeInMs() + idle_ms)
+
+
+def _time_mode(idle_ms: int | None) -> str:
+    return "None" if idle_ms is None else "ProcessingTime"
 
 
 def stream_windows(readings: DataFrame, channels: Sequence[str], medians, mean, std,
@@ -90,9 +139,8 @@ def stream_windows(readings: DataFrame, channels: Sequence[str], medians, mean,
     """
     schema = (f"{key} {readings.schema[key].dataType.simpleString()}, message_id long, window_end timestamp, "
               "created_at timestamp, X array<float>, reading array<double>")
-    fn = window_processor(channels, medians, mean, std, window_size, order, idle_ms)
-    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return readings.groupBy(key).applyInPandasWithState(fn, schema, WINDOW_STATE, "append", timeout)
+    processor = WindowProcessor(channels, medians, mean, std, window_size, order, idle_ms, key)
+    return readings.groupBy(key).transformWithStateInPandas(processor, schema, "append", _time_mode(idle_ms))
 
 
 def raised_positions(us: np.ndarray, rank: np.ndarray, cd_us: int, last_us: int | None, last_rank: int | None) -> list[int]:
@@ -115,48 +163,44 @@ def raised_positions(us: np.ndarray, rank: np.ndarray, cd_us: int, last_us: int
     return keep
 
 
-def cooldown_processor(cooldown_minutes: float = vocab.ALERT_COOLDOWN_MINUTES,
-                       levels: Sequence[str] = vocab.ALERT_TRIGGER_LEVELS, carry: Sequence[str] = (), idle_ms: int | None = None):
-    """J8 in streaming form: state = (time, rank) of the entity's last alert.
+class CooldownProcessor(StatefulProcessor):
+    """J8 in streaming form: state = time and rank of the entity's last alert (``last_alert``, a value).
 
     The clock is ``created_at``, the time a prediction was made, which only
     grows from one micro-batch to the next: how rows are dealt to micro-batches
     then does not matter. A row that is older than the last alert is inside its
-    cooldown unless its rank is higher.
+    cooldown unless its rank is higher. With ``idle_ms`` the state expires so long after it was written.
     """
-    cd_us = int(round(cooldown_minutes * 60 * 1_000_000))
-    rank = vocab.RISK_RANK
-    trig = set(levels)
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
+    def __init__(self, columns: Sequence[str], cooldown_minutes: float = vocab.ALERT_COOLDOWN_MINUTES,
+                 levels: Sequence[str] = vocab.ALERT_TRIGGER_LEVELS, idle_ms: int | None = None):
+        self.columns, self.levels, self.idle_ms = list(columns), set(levels), idle_ms
+        self.cooldown_us = int(round(cooldown_minutes * 60 * 1_000_000))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last_alert = handle.getValueState("last_alert", "us long, rank int", self.idle_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = _rows(rows, ["created_at", "id"])
+        batch = batch[batch["risk_level"].isin(self.levels)]
+        if not len(batch):
             return
-        last_us, last_rank = state.get if state.exists else (None, None)
-        batch = _rows(pdfs, ["created_at", "id"])
-        batch = batch[batch["risk_level"].isin(trig)]
         us = batch["created_at"].astype("datetime64[us]").astype("int64").to_numpy()
-        ranks = np.array([rank.get(level, 0) for level in batch["risk_level"]], dtype=int)
-        keep = raised_positions(us, ranks, cd_us, last_us, last_rank)
-        if keep:
-            last_us, last_rank = int(us[keep[-1]]), int(ranks[keep[-1]])
-        if last_us is not None:
-            state.update((last_us, last_rank))
-            if idle_ms is not None:
-                state.setTimeoutDuration(idle_ms)
+        ranks = np.array([vocab.RISK_RANK.get(level, 0) for level in batch["risk_level"]], dtype=int)
+        keep = raised_positions(us, ranks, self.cooldown_us, *(self.last_alert.get() or (None, None)))
         if keep:
-            yield batch.iloc[keep][["patient_id", "id", "created_at", "risk_level", "sepsis_probability", *carry]]
+            self.last_alert.update((int(us[keep[-1]]), int(ranks[keep[-1]])))
+            yield batch.iloc[keep][self.columns]
 
-    return fn
+    def close(self) -> None:
+        pass
 
 
 def stream_alerts(preds: DataFrame, cooldown_minutes: float = vocab.ALERT_COOLDOWN_MINUTES,
                   levels: Sequence[str] = vocab.ALERT_TRIGGER_LEVELS, carry: Sequence[str] = (),
                   idle_ms: int | None = None) -> DataFrame:
-    """Predictions stream → raised alerts (same rule as the batch fold), with the columns in ``carry``."""
+    """Predictions stream → raised alerts (same rule as the batch form), with the columns in ``carry``."""
     p = preds.select("patient_id", "id", F.col("created_at").cast("timestamp").alias("created_at"), "risk_level",
                      "sepsis_probability", *carry)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.schema.fields)
-    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return p.groupBy("patient_id").applyInPandasWithState(cooldown_processor(cooldown_minutes, levels, carry, idle_ms), schema,
-                                                         COOLDOWN_STATE, "append", timeout)
+    processor = CooldownProcessor(p.columns, cooldown_minutes, levels, idle_ms)
+    return p.groupBy("patient_id").transformWithStateInPandas(processor, p.schema, "append", _time_mode(idle_ms))
