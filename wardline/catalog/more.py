@@ -19,7 +19,7 @@ from wardline.session import scratch_path, write_scratch
 from wardline.sources import files, standin
 from wardline.sources.standin import CHANNELS as CH
 from wardline.sources.tables import table
-from wardline.streaming import jobs
+from wardline.streaming import jobs, once
 
 KEY = "patient_id"
 IDS = [KEY, "window_end_idx"]
@@ -352,22 +352,21 @@ def event_batches(spark, d):
 @register("alert_ids_once", S.with_(*S.PRED) + "SELECT id, patient_id, risk_level FROM preds")
 def alert_ids_once(spark, d):
     """A stream that delivers every alert twice lands each id once, late ones too."""
-    return _twice(spark, d, standin.predictions(spark, d).select("id", KEY, "created_at", "risk_level"), jobs.dedup_alert_ids).select("id", KEY, "risk_level")
+    return _twice(spark, d, standin.predictions(spark, d).select("id", KEY, "created_at", "risk_level"), ["id"]).select("id", KEY, "risk_level")
 
 
 @register("readings_once", "SELECT DISTINCT user_id AS patient_id, ts AS timestamp FROM events")
 def readings_once(spark, d):
     """At-least-once delivery of readings, once per (patient, timestamp)."""
     ev = table(spark, d, "events").select(F.col("user_id").alias(KEY), F.col("ts").alias("timestamp"))
-    return _twice(spark, d, ev, jobs.dedup_readings)
+    return _twice(spark, d, ev, [KEY, "timestamp"])
 
 
-def _twice(spark, d, rows, dedup):
+def _twice(spark, d, rows, keys):
+    """Deliver ``rows`` twice, the second time in later micro-batches, where the state has forgotten the first."""
     base = scratch_path(spark, "twice")
     src = os.path.join(base, "src")
     for _ in range(2):
         rows.write.mode("append").parquet(src)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(src)
-    jobs.run_available(dedup(stream), os.path.join(base, "out"), os.path.join(base, "checkpoint"))
-    return spark.read.parquet(os.path.join(base, "out"))
-
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    return once.land_once(stream, keys, os.path.join(base, "out"), os.path.join(base, "checkpoint"), horizon="0 seconds")

@@ -157,12 +157,16 @@ def insert_if_absent(spark, d):
 def patch(spark, d):
     """L2: status patched from each patient's latest order; updated_at bumped on matched rows only."""
     base = standin.patients(spark, d).select(KEY, "current_status", F.col("created_at").alias("updated_at"))
+    return tables.apply_patch(base, status_changes(spark, d), KEY, ["current_status"], updated_at=F.col("updated_at"))
+
+
+def status_changes(spark, d):
+    """Patches of a patient's status by the latest order."""
     o = standin.table(spark, d, "orders").select(F.col("o_custkey").alias(KEY), "o_orderstatus", "o_orderdate", "o_orderkey")
     last = tables.latest_per_key(o, KEY, ["o_orderdate", "o_orderkey"])
     status = F.coalesce(*[F.when(F.col("o_orderstatus") == k, F.lit(v)) for k, v in standin.STATUS_BY_ORDER.items()])
-    ch = last.select(KEY, status.alias("current_status"), F.col("o_orderdate").alias("updated_at"),
-                     F.array(F.lit("current_status")).alias("set_fields"))
-    return tables.apply_patch(base, ch, KEY, ["current_status"], updated_at=F.col("updated_at"))
+    return last.select(KEY, status.alias("current_status"), F.col("o_orderdate").alias("updated_at"),
+                       F.array(F.lit("current_status")).alias("set_fields"))
 
 
 @register("delete_by_key", S.with_(*S.PATIENTS) + (
@@ -170,9 +174,13 @@ def patch(spark, d):
     "(SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')"))
 def delete_by_key(spark, d):
     """L3: delete patients named by a key table (customers with a finished urgent order)."""
-    keys = standin.table(spark, d, "orders").filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F")) \
+    return tables.delete_by_key(standin.patients(spark, d).select(KEY, "current_status"), discharged_keys(spark, d), KEY)
+
+
+def discharged_keys(spark, d):
+    """Patients with a finished urgent order."""
+    return standin.table(spark, d, "orders").filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F")) \
         .select(F.col("o_custkey").alias(KEY))
-    return tables.delete_by_key(standin.patients(spark, d).select(KEY, "current_status"), keys, KEY)
 
 
 @register("acknowledge", S.with_recursive(*ALERTS30, *S.PATIENTS) + (
@@ -182,11 +190,15 @@ def delete_by_key(spark, d):
 def acknowledge(spark, d):
     """L4: owners acknowledge every Critical prediction 10 minutes later; only ids that are alerts match."""
     al = alerting.enrich_alerts(_alerts(spark, d), F.lit(""))
+    out = tables.acknowledge(al, owner_acks(spark, d))
+    return out.select("id", KEY, "risk_level", "acknowledged", "acknowledged_by", "acknowledged_at")
+
+
+def owner_acks(spark, d):
+    """Acknowledgements of Critical predictions by the patients' owners."""
     pr = standin.predictions(spark, d).filter(F.col("risk_level") == "Critical")
-    acks = tables.with_owner(pr, standin.patients(spark, d)).select(
+    return tables.with_owner(pr, standin.patients(spark, d)).select(
         "id", F.col("owner").alias("acknowledged_by"), (F.col("created_at") + F.expr("INTERVAL 10 MINUTES")).alias("acknowledged_at"))
-    out = tables.acknowledge(al, acks)
-    return out.select("id", KEY, "risk_level", "acknowledged", "acknowledged_by", "acknowledged_at")
 
 
 _JS = lambda c: f"'\"' || {c} || '\"'"

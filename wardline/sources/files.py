@@ -91,6 +91,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def topic_source(spark: SparkSession, path: str, schema: str = "topic string, value string, arrival_ts timestamp",
                  fmt: str = "json", max_files: int = 100) -> DataFrame:
     """A (topic, value, arrival time) stream from files; Kafka gives the same columns in production."""
