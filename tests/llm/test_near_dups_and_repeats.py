@@ -196,6 +196,37 @@ def test_anchors_of_many_contexts_are_no_group_of_a_task(spark, monkeypatch):
                    for r in got), key=repr) == brute_repeats(rows)
 
 
+def test_longest_previous_factors_against_brute_force():
+    rnd = np.random.default_rng(10)
+    for _ in range(150):
+        n, span = int(rnd.integers(1, 40)), suffix_dedup.SPAN
+        stems = [rnd.integers(97, 99, span + 30).astype(np.uint8) for _ in range(3)]
+        texts = []
+        for _ in range(n):
+            t = stems[rnd.integers(3)].copy()
+            if rnd.random() < 0.8:
+                t[rnd.integers(len(t))] = rnd.integers(97, 124)
+            texts.append(t)
+        data, starts = np.concatenate(texts), np.arange(n) * (span + 30) + rnd.integers(0, 3, n)
+        group, ids = np.sort(rnd.integers(0, 3, n)), rnd.integers(0, 12, n)
+        got = suffix_dedup.longest_previous(data, starts, group, ids)
+        for i in range(n):
+            best = 0
+            for j in range(n):
+                if group[i] == group[j] and ids[j] < ids[i]:
+                    a, b = data[starts[i]:starts[i] + span], data[starts[j]:starts[j] + span]
+                    best = max(best, span if (a == b).all() else int((a != b).argmax()))
+            assert got[i] == best
+
+
+def test_copies_go_whole_and_repeated_rows_are_one_source(spark):
+    line = "the same line of some fifty bytes or a little more than that\n"
+    rows = [(5, line * 40), (9, line * 40), (2, line * 40), (9, line * 40), (7, line), (2, line * 40), (1, "x" + line), (None, line * 40)]
+    got = repeated_spans(table(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest())
+                   for r in got), key=repr) == brute_repeats(rows)
+
+
 def test_held_batches_are_all_used():
     whole = pa.RecordBatch.from_pydict({"h": [1, 1], "c": [1, 2], "first": [3, 4], "place": [5, 5], "bytes": [b"x" * 50] * 2})
     parts = [whole.slice(0, 1), whole.slice(1, 1)]

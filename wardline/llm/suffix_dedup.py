@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by groups of equal strings over anchored suffixes.
+"""Removal of repeated byte strings by longest-previous-factor arrays over anchored suffixes.
 
 A byte goes when a string of SPAN bytes that covers it also starts in a
 document with a smaller id. No task can hold the suffix array of a corpus, so
@@ -6,20 +6,23 @@ suffixes are dealt out by an anchor that equal strings share: the smallest hash
 among the GRAM-byte grams of the SPAN-byte string (its leftmost place). One
 anchor serves a run of neighbouring string starts, about 16 of them.
 
-1. Anchors: (anchor hash, id) of every document; hashes of two or more
+1. Copies: of rows with one text the smallest id stands for all; the others go as a whole.
+2. Anchors: the anchor hashes of every text are written once; hashes of two or more
    documents are kept (aggregates with map-side combine).
-2. Contexts: the bytes around each kept anchor, i.e. all SPAN-byte strings that
-   it serves, named by a hash; equal contexts are one row with its smallest id,
-   so a passage that stands in a third of all documents is a few rows.
-3. Anchors with several contexts bring these contexts' bytes together. Within an
-   anchor hash the SPAN-byte strings of all contexts are sorted, and the least
-   id of each run of equal ones tells whether a string stands earlier. No longest
-   previous factors are computed: only whether they reach SPAN is asked for.
+3. Contexts: the bytes around each kept anchor, i.e. all SPAN-byte strings that
+   it serves, named by a hash made where the text is; equal contexts are one row with its
+   smallest id, so a passage that stands in a third of all documents is a few rows.
    Occurrences in later documents than a context's first are repeats as a whole.
+4. Anchors with several contexts bring these contexts' bytes together, each context once. Within an
+   anchor the suffixes (up to SPAN bytes) are put in suffix order with the common prefixes of
+   neighbours. From each place the previous and the next smaller position, which are the nearest places with a
+   smaller id, are found by jumping over larger ones, the least common prefix on the way kept;
+   the larger of both is the longest previous factor. A string whose factor reaches SPAN
+   stands earlier.
    An anchor of more than GROUP_CONTEXTS contexts (a common GRAM bytes with
    different surroundings) is no group of one task: its contexts' strings are
    dealt out by (anchor, distance to it, string), with the smallest id of each.
-4. Repeats go back to their documents, where covered bytes are removed.
+5. Repeats go back to their documents, where covered bytes are removed.
 
 Defined results: null and empty texts, and texts of fewer than SPAN bytes, lose
 nothing; rows of one id do not count as earlier for each other; a row with a
@@ -37,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import Landed, blocks_of, row_blocks, string_buffers
+from wardline.llm.common import Landed, blocks_of, broadcast_if_small, row_blocks, string_buffers
 from wardline.llm.words_np import mix
 
 SPAN = 50
@@ -49,6 +52,23 @@ _PLACE = np.uint64((1 << 22) - 1)
 _PIECE = 1 << 20
 _BASE, _BASE2, _BASE4, _BASE8 = (np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8))
 WORDS = -(-SPAN // 8)
+# bytes as 64-bit numbers for the names of contexts
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_PIECE + SPAN, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POW, _INV = _powers(int(_BASE)), _powers(pow(int(_BASE), -1, 1 << 64))
+
+
+def _context_names(data: np.ndarray, place: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes from ``first`` to ``end`` and of the anchor's place in them."""
+    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _POW[:len(data)])])
+    return mix(mix((before[end] - before[first]) * _INV[first]) + ((place - first) << 8 | (end - first)).astype(np.uint64))
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -89,8 +109,8 @@ def _anchors_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h[place[first]], place[first], starts[first], starts[last]
 
 
-def _blocks(offsets: np.ndarray, data: np.ndarray):
-    """(byte offset, anchors with the row of each) over blocks of rows and pieces of long rows."""
+def _blocks(offsets: np.ndarray, data: np.ndarray, named: bool = False):
+    """Anchors with the row of each (and the names of their contexts) over blocks of rows and pieces of long rows."""
     for lo, hi in row_blocks(offsets, _PIECE):
         start, end = int(offsets[lo]), int(offsets[hi])
         rows = np.repeat(np.arange(lo, hi), np.diff(offsets[lo:hi + 1]))
@@ -98,7 +118,8 @@ def _blocks(offsets: np.ndarray, data: np.ndarray):
             b = min(a + _PIECE + SPAN - 1, end)
             ends = offsets[rows[a - start:b - start] + 1] - a
             h, place, first, last = _anchors_of(data[a:b], ends)
-            yield rows[first + a - start], h, place + a, first + a, last + a
+            names = (_context_names(data[a:b], place, first, last + SPAN).view(np.int64),) if named else ()
+            yield rows[first + a - start], h, place + a, first + a, last + a, *names
 
 
 def _hash_lists(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -115,56 +136,111 @@ def _hash_lists(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 _hash_lists.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
 
-CONTEXT = "array<struct<h: long, at: int, place: int, bytes: binary>>"
-_CONTEXT = pa.struct([("h", pa.int64()), ("at", pa.int32()), ("place", pa.int32()), ("bytes", pa.binary())])
+CONTEXT = "array<struct<h: long, c: long, at: int, served: int>>"
+BYTES = "array<struct<h: long, c: long, place: int, bytes: binary>>"
+_KEYS = [("h", pa.int64()), ("c", pa.int64())]
+
+
+def _wanted_contexts(texts: pa.Array, wanted: pa.Array, once: bool):
+    """(bytes, row offsets, then row, anchor hash, name, anchor place, first and last string start of each wanted
+    context); ``once``: of equal contexts of a text the first only."""
+    data, offsets = string_buffers(texts)
+    w_off, w = wanted.offsets.to_numpy(), wanted.values.to_numpy()  # offsets of a slice point into all values
+    parts = []
+    for rows, h, place, first, last, c in _blocks(offsets, data, True):
+        signed = h.view(np.int64)
+        for row in np.unique(rows).tolist():
+            lo, hi = np.searchsorted(rows, [row, row + 1])
+            live = lo + np.flatnonzero(np.isin(signed[lo:hi], w[w_off[row]:w_off[row + 1]]))
+            parts.append((np.full(len(live), row), signed[live], c[live], place[live], first[live], last[live]))
+    found = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 6
+    if once and len(found[0]):
+        order = np.lexsort((found[2], found[1], found[0]))
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in found[:3]], axis=0)
+        found = [x[order[new]] for x in found]
+    return data, offsets, *found
 
 
 def _contexts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """Contexts of the wanted anchors of each text: string start, place of the anchor in it, bytes."""
+    """Contexts of the wanted anchors of each text: anchor, name, string start, number of strings."""
     for texts, wanted in (part for batch in batches for part in blocks_of(_PIECE, *batch)):
-        data, offsets = string_buffers(texts)
-        w_off, w = wanted.offsets.to_numpy(), wanted.values.to_numpy()  # offsets of a slice point into all values
-        parts = []
-        for rows, h, place, first, last in _blocks(offsets, data):
-            signed = h.view(np.int64)
-            for row in np.unique(rows).tolist():
-                lo, hi = np.searchsorted(rows, [row, row + 1])
-                live = lo + np.flatnonzero(np.isin(signed[lo:hi], w[w_off[row]:w_off[row + 1]]))
-                parts.append((np.full(len(live), row), signed[live], first[live] - offsets[row],
-                              place[live] - first[live], first[live], last[live] + SPAN))
-        row, h, at, place, a, b = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 6
-        sizes = b - a
+        _, offsets, row, h, c, _, first, last = _wanted_contexts(texts, wanted, False)
+        items = pa.StructArray.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(first - offsets[row], pa.int32()),
+                                            pa.array(last - first + 1, pa.int32())], ["h", "c", "at", "served"])
+        yield pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(offsets))), pa.int32()), items)
+
+
+def _context_bytes(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Different contexts of the wanted anchors of each text: anchor, name, place of the anchor, bytes."""
+    for texts, wanted in (part for batch in batches for part in blocks_of(_PIECE, *batch)):
+        data, offsets, row, h, c, place, first, last = _wanted_contexts(texts, wanted, True)
+        sizes = last - first + SPAN
         stops = np.concatenate([[0], np.cumsum(sizes)])
-        flat = data[np.arange(stops[-1]) + np.repeat(a - stops[:-1], sizes)]
+        flat = data[np.arange(stops[-1]) + np.repeat(first - stops[:-1], sizes)]
         raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(stops.astype(np.int32)), pa.py_buffer(flat)])
-        items = pa.StructArray.from_arrays([pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(place, pa.int32()), raw],
-                                           fields=list(_CONTEXT))
+        items = pa.StructArray.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(place - first, pa.int32()), raw],
+                                           ["h", "c", "place", "bytes"])
         yield pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(offsets))), pa.int32()), items)
 
 
-_contexts.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+for _f in (_contexts, _context_bytes):
+    _f.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
 
 
-def earlier_factors(data: np.ndarray, starts: np.ndarray, group: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether the SPAN bytes at each start also stand in a document with a smaller id of the group.
+def _common_prefixes(words: np.ndarray) -> np.ndarray:
+    """Bytes that each of the sorted strings (big-endian words) shares with the one before it, up to SPAN; 0 for the first."""
+    out = np.zeros(len(words), np.int64)
+    if len(words) < 2:
+        return out
+    differ = words[1:] ^ words[:-1]
+    word = (differ != 0).argmax(axis=1)
+    x = differ[np.arange(len(differ)), word]
+    lead = sum((x < np.uint64(1 << b)).astype(np.int64) for b in range(8, 64, 8))
+    out[1:] = np.minimum(np.where(x == 0, SPAN, word * 8 + lead), SPAN)
+    return out
+
+
+def _to_smaller(ids: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Common prefix of each place with the nearest place before it that has a smaller id (0: none shares a byte).
 
-    The strings are sorted within their group; in a run of equal ones all but those of the least id do.
+    ``shared``: common prefix with the place before. A place jumps to where the place it looks at already looks;
+    all places between have ids that are no smaller.
     """
+    low, to = shared.copy(), np.arange(len(ids)) - 1
+    live = np.flatnonzero(low > 0)
+    live = live[ids[to[live]] >= ids[live]]
+    while len(live):
+        via = to[live]
+        low[live] = np.minimum(low[live], low[via])
+        to[live] = to[via]
+        live = live[low[live] > 0]
+        live = live[ids[to[live]] >= ids[live]]
+    return low
+
+
+def longest_previous(data: np.ndarray, starts: np.ndarray, group: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Longest previous factors: how many of the SPAN bytes at each start begin, at the same
+    distance to the anchor, a suffix of the group in a document with a smaller id."""
     padded = np.concatenate([data, np.zeros(8 * WORDS, np.uint8)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 8 * WORDS)[starts].copy()
     words[:, SPAN:] = 0
     words = np.ascontiguousarray(words).view(">u8").astype(np.uint64)
     order = np.lexsort((*words.T[::-1], group))
     words, g, i = words[order], group[order], ids[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (g[1:] != g[:-1]) | (words[1:] != words[:-1]).any(axis=1)
-    stretch = np.cumsum(new) - 1
-    least = np.minimum.reduceat(i, np.flatnonzero(new)) if len(i) else i
-    out = np.zeros(len(order), bool)
-    out[order] = i > least[stretch]
+    shared = _common_prefixes(words)
+    shared[1:][g[1:] != g[:-1]] = 0
+    back = np.append(shared[1:], 0)[::-1]
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.maximum(_to_smaller(i, shared), _to_smaller(i[::-1], back)[::-1])
     return out
 
 
+def earlier_factors(data: np.ndarray, starts: np.ndarray, group: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether the SPAN bytes at each start also stand in a document with a smaller id of the group."""
+    return longest_previous(data, starts, group, ids) >= SPAN
+
+
 _STARTS_AT_ONCE = 1 << 18
 
 
@@ -252,7 +328,11 @@ def _keep(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         listed, cuts = repeats.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(repeats).to_numpy())])
         row = np.repeat(np.arange(len(texts)), np.diff(cuts))
         at, mask = (listed.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        copies, some = row[at < 0], at >= 0
+        at, mask, row = at[some], mask[some], row[some]
         gone = _covered(at + offsets[row], mask, len(data))
+        for k in copies.tolist():
+            gone[offsets[k]:offsets[k + 1]] = True
         # stretches end with their text
         first, last = gone.copy(), gone.copy()
         first[1:] &= ~gone[:-1]
@@ -284,26 +364,34 @@ def _string_masks(contexts: DataFrame) -> DataFrame:
     return later.groupBy("h", "c", "first").agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("mask"))
 
 
+def _later_copies(rows: DataFrame) -> Landed:
+    """(id, th) of texts that equal the text of a smaller id (two 64-bit hashes and the length tell)."""
+    named = rows.select("id", "th", F.octet_length("t").alias("n"), F.xxhash64(F.lit(1), "t").alias("again"))
+    least = named.groupBy("th", "n", "again").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead < last")
+    least = Landed(least, "suffix-leads")
+    later = named.join(broadcast_if_small(least.df, 40), ["th", "n", "again"]).filter("id > lead")
+    out = Landed(later.select("id", "th").distinct(), "suffix-copies")
+    least.drop()
+    return out
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: id, n_bytes, removed spans (byte offsets) and the bytes that stay."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    long_rows = rows.filter(F.col("id").isNotNull() & (F.octet_length("t") >= SPAN))
-    anchors = long_rows.select("id", F.explode(F.arrow_udf(_hash_lists, "array<long>")("t")).alias("h"))
+    long_rows = rows.filter(F.col("id").isNotNull() & (F.octet_length("t") >= SPAN)).withColumn("th", F.xxhash64("t"))
+    copies = _later_copies(long_rows)
+    texts = long_rows.join(broadcast_if_small(copies.df, 24), ["id", "th"], "left_anti")
+    lists = Landed(texts.select("id", F.arrow_udf(_hash_lists, "array<long>")("t").alias("hs")), "suffix-anchors")
+    anchors = lists.df.select("id", F.explode("hs").alias("h"))
     shared = (anchors.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
               .filter("lo < hi").select("h"))
     shared = Landed(shared, "suffix-shared")
     wanted = anchors.join(shared.df, "h", "left_semi").groupBy("id").agg(F.collect_list("h").alias("wanted"))
     wanted = Landed(wanted, "suffix-wanted")
     shared.drop()
-
-    def contexts(asked: DataFrame) -> DataFrame:
-        """Contexts of the asked anchors (id, wanted); ``c`` names a context by its bytes and the anchor's place."""
-        rows = long_rows.join(asked, "id").select(
-            "id", F.xxhash64("t").alias("th"), F.explode(F.arrow_udf(_contexts, CONTEXT)("t", "wanted")).alias("x"))
-        return rows.select("id", "th", "x.*", F.xxhash64("x.place", "x.bytes").alias("c"))
-
-    found = contexts(wanted.df).select("id", "th", "h", "c", "at", (F.octet_length("bytes") - SPAN + 1).alias("served"))
-    found = Landed(found, "suffix-contexts")
+    lists.drop()
+    found = texts.join(wanted.df, "id").select("id", "th", F.explode(F.arrow_udf(_contexts, CONTEXT)("t", "wanted")).alias("x"))
+    found = Landed(found.select("id", "th", "x.*"), "suffix-contexts")
     wanted.drop()
     names = Landed(found.df.groupBy("h", "c").agg(F.min("id").alias("first")), "suffix-names")
     # only anchors with several contexts need the bytes, once more from the documents that have them first
@@ -313,22 +401,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Contexts of the anchors ``some`` with their bytes."""
         asked = (names.df.join(some.select("h"), "h", "left_semi").groupBy(F.col("first").alias("id"))
                  .agg(F.collect_set("h").alias("wanted")))
-        return contexts(asked).select("h", "c", F.col("id").alias("first"), "place", "bytes")
+        rows = texts.join(asked, "id").select("id", F.explode(F.arrow_udf(_context_bytes, BYTES)("t", "wanted")).alias("x"))
+        # each context once, also where rows of its first document repeat
+        return (rows.select("x.h", "x.c", F.col("id").alias("first"), "x.place", "x.bytes")
+                .repartition("h").dropDuplicates(["h", "c", "first"]))
 
     # a task holds the contexts of one anchor, so their number is bounded
     masks = (bytes_of(several.df.filter(F.col("count") <= GROUP_CONTEXTS))
-             .repartition("h").sortWithinPartitions("h").mapInArrow(_mask_batches, "h long, c long, first long, mask long"))
+             .sortWithinPartitions("h").mapInArrow(_mask_batches, "h long, c long, first long, mask long"))
     large = several.df.filter(F.col("count") > GROUP_CONTEXTS)
     if large.limit(1).count():
-        masks = masks.unionByName(_string_masks(bytes_of(large).distinct()))
+        masks = masks.unionByName(_string_masks(bytes_of(large)))
     masks = Landed(masks.filter("mask != 0").distinct(), "suffix-masks")
     several.drop()
     known = names.df.join(masks.df, ["h", "c", "first"], "left")
     mask = F.when(F.col("id") > F.col("first"), F.expr("shiftleft(1L, served) - 1")).otherwise(F.col("mask"))
     repeats = (found.df.join(known, ["h", "c"]).select("id", "th", "at", mask.alias("mask"))
                .filter("mask != 0").groupBy("id", "th").agg(F.collect_list(F.struct("at", "mask")).alias("repeats")))
-    repeats = Landed(repeats, "suffix-repeats")
-    for table in (found, names, masks):
+    whole = copies.df.select("id", "th", F.array(F.struct(F.lit(-1).alias("at"), F.lit(-1).cast("long").alias("mask"))).alias("repeats"))
+    repeats = Landed(repeats.unionByName(whole), "suffix-repeats")
+    for table in (found, names, masks, copies):
         table.drop()
     keyed = rows.withColumn("th", F.xxhash64("t"))
     out = keyed.join(repeats.df, ["id", "th"], "left").withColumn("x", F.arrow_udf(_keep, KEPT)("t", "repeats"))
