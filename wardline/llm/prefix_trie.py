@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.common import Landed
+from wardline.llm.common import Landed, broadcast_if_small
 
 # Turns of a conversation that are numbered or summed in one task.
 BLOCK = 4096
@@ -43,6 +43,7 @@ BLOCK = 4096
 CHUNK_BITS = 16
 # Parts in which a component's path to its centroid is gathered.
 SALTS = 16
+CENTROID_BYTES = 64
 
 
 def _block(place: Column) -> Column:
@@ -169,8 +170,9 @@ def subtree_sums(nodes: DataFrame, paths: DataFrame, values: list[str]) -> DataF
         deepest = path.groupBy(*top, F.pmod("depth", F.lit(SALTS))).agg(F.max(F.struct("depth", "conv_id", "weight")).alias("c"), F.max("all").alias("all"))
         centroids = deepest.groupBy(*top).agg(F.max("c").alias("c"), F.max("all").alias("all")).select(
             *top, "all", F.col("c.depth").alias("cd"), F.col("c.conv_id").alias("cc"), F.col("c.weight").alias("cw"))
+        centroids = Landed(centroids, "trie-centroids")
         is_centroid = (F.col("conv_id") == F.col("cc")) & (F.col("depth") == F.col("cd"))
-        cut = state.join(centroids, top).join(steps, ["conv_id", "cd"], "left")
+        cut = state.join(broadcast_if_small(centroids.df, CENTROID_BYTES), top).join(steps, ["conv_id", "cd"], "left")
         under = F.coalesce((F.col("depth") > F.col("cd")) & (F.col("above") == F.col("cc")), F.lit(False))
         cut = cut.select(*me, "n_convs", "weight", *values, *top, F.lit(len(rounds)).alias("round"), "cw", is_centroid.alias("centroid"),
                          (2 * F.col("weight") >= F.col("all")).alias("on_path"), (is_centroid | under).alias("below"),
@@ -178,6 +180,7 @@ def subtree_sums(nodes: DataFrame, paths: DataFrame, values: list[str]) -> DataF
                          F.when(under, F.col("cd") + 1).otherwise(F.col("top_depth")).alias("next_depth"))
         landed = Landed(cut, "trie-round")
         rounds.append(landed)
+        centroids.drop()
         left = F.col("weight") - F.when(F.col("on_path"), F.col("cw")).otherwise(0)
         state = landed.df.filter(~F.col("centroid")).select(
             *me, "n_convs", left.alias("weight"), *values, F.col("next_conv").alias("top_conv"), F.col("next_depth").alias("top_depth"))
