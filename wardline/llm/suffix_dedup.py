@@ -49,7 +49,8 @@ WIDTH = SPAN - GRAM + 1
 GROUP_CONTEXTS = 1 << 14
 _PLACE_BITS = np.uint64(22)
 _PLACE = np.uint64((1 << 22) - 1)
-_PIECE = 1 << 20
+# Bytes worked on at once: their 64-bit temporaries stay in a core's cache.
+_PIECE = 1 << 18
 _BASE, _BASE2, _BASE4, _BASE8 = (np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8))
 WORDS = -(-SPAN // 8)
 # bytes as 64-bit numbers for the names of contexts
@@ -141,18 +142,22 @@ BYTES = "array<struct<h: long, c: long, place: int, bytes: binary>>"
 _KEYS = [("h", pa.int64()), ("c", pa.int64())]
 
 
+def _of_row(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """One number for an anchor hash of a row; two that are alike by chance only bring a context that is not asked for."""
+    return mix(h ^ (row.astype(np.uint64) * _BASE))
+
+
 def _wanted_contexts(texts: pa.Array, wanted: pa.Array, once: bool):
     """(bytes, row offsets, then row, anchor hash, name, anchor place, first and last string start of each wanted
     context); ``once``: of equal contexts of a text the first only."""
     data, offsets = string_buffers(texts)
     w_off, w = wanted.offsets.to_numpy(), wanted.values.to_numpy()  # offsets of a slice point into all values
+    asked = np.sort(_of_row(w[w_off[0]:w_off[-1]].view(np.uint64), np.repeat(np.arange(len(texts)), np.diff(w_off))))
     parts = []
-    for rows, h, place, first, last, c in _blocks(offsets, data, True):
-        signed = h.view(np.int64)
-        for row in np.unique(rows).tolist():
-            lo, hi = np.searchsorted(rows, [row, row + 1])
-            live = lo + np.flatnonzero(np.isin(signed[lo:hi], w[w_off[row]:w_off[row + 1]]))
-            parts.append((np.full(len(live), row), signed[live], c[live], place[live], first[live], last[live]))
+    for rows, h, place, first, last, c in _blocks(offsets, data, True) if len(asked) else ():
+        keys = _of_row(h, rows)
+        live = asked[np.minimum(np.searchsorted(asked, keys), len(asked) - 1)] == keys
+        parts.append([x[live] for x in (rows, h.view(np.int64), c, place, first, last)])
     found = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 6
     if once and len(found[0]):
         order = np.lexsort((found[2], found[1], found[0]))
