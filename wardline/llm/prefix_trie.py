@@ -35,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.common import Landed, broadcast_if_small
+from wardline.llm.common import BROADCAST_BYTES, Landed, broadcast_if_small
 
 # Turns of a conversation that are numbered or summed in one task.
 BLOCK = 4096
 # Ids of a chunk of conversations that end at one node: 2 to this power.
 CHUNK_BITS = 16
-# Parts in which a component's path to its centroid is gathered.
-SALTS = 16
+# Widths of a row of a broadcast table of centroids, and of path steps.
 CENTROID_BYTES = 64
+STEP_BYTES = 48
 
 
 def _block(place: Column) -> Column:
@@ -161,18 +161,19 @@ def subtree_sums(nodes: DataFrame, paths: DataFrame, values: list[str]) -> DataF
     state = nodes.select(*me, "n_convs", "weight", *values, F.when(F.col("conv_id").isNotNull(), F.lit(root and root[0])).cast("long").alias("top_conv"),
                          F.when(F.col("depth").isNotNull(), F.lit(0)).cast("long").alias("top_depth"))
     steps = paths.select("conv_id", (F.col("depth") - 1).alias("cd"), F.col("node_conv_id").alias("child"), F.col("parent").alias("above"))
+    steps = broadcast_if_small(steps, STEP_BYTES)
     rounds, single = [], [state.filter(alone).select(*me, *values)]
     state = state.filter(~alone)
     while not state.isEmpty():
         tops = state.filter(at_top).select(*top, F.col("weight").alias("all"))
-        path = state.join(tops, top).filter(2 * F.col("weight") >= F.col("all"))
-        # two steps, so that the rows of a large component need not stay together after the join
-        deepest = path.groupBy(*top, F.pmod("depth", F.lit(SALTS))).agg(F.max(F.struct("depth", "conv_id", "weight")).alias("c"), F.max("all").alias("all"))
-        centroids = deepest.groupBy(*top).agg(F.max("c").alias("c"), F.max("all").alias("all")).select(
-            *top, "all", F.col("c.depth").alias("cd"), F.col("c.conv_id").alias("cc"), F.col("c.weight").alias("cw"))
-        centroids = Landed(centroids, "trie-centroids")
+        few = tops.count() * CENTROID_BYTES <= BROADCAST_BYTES  # as many centroids as tops
+        path = state.join(F.broadcast(tops) if few else tops, top).filter(2 * F.col("weight") >= F.col("all"))
+        # grouped by a key of its own, so that the rows of a large component need not stay together after a join
+        centroids = path.groupBy(F.struct(*top).alias("t")).agg(F.max(F.struct("depth", "conv_id", "weight")).alias("c"), F.max("all").alias("all")).select(
+            "t.*", "all", F.col("c.depth").alias("cd"), F.col("c.conv_id").alias("cc"), F.col("c.weight").alias("cw"))
+        centroids = F.broadcast(centroids) if few else Landed(centroids, "trie-centroids").df
         is_centroid = (F.col("conv_id") == F.col("cc")) & (F.col("depth") == F.col("cd"))
-        cut = state.join(broadcast_if_small(centroids.df, CENTROID_BYTES), top).join(steps, ["conv_id", "cd"], "left")
+        cut = state.join(centroids, top).join(steps, ["conv_id", "cd"], "left")
         under = F.coalesce((F.col("depth") > F.col("cd")) & (F.col("above") == F.col("cc")), F.lit(False))
         cut = cut.select(*me, "n_convs", "weight", *values, *top, F.lit(len(rounds)).alias("round"), "cw", is_centroid.alias("centroid"),
                          (2 * F.col("weight") >= F.col("all")).alias("on_path"), (is_centroid | under).alias("below"),
@@ -180,7 +181,6 @@ def subtree_sums(nodes: DataFrame, paths: DataFrame, values: list[str]) -> DataF
                          F.when(under, F.col("cd") + 1).otherwise(F.col("top_depth")).alias("next_depth"))
         landed = Landed(cut, "trie-round")
         rounds.append(landed)
-        centroids.drop()
         left = F.col("weight") - F.when(F.col("on_path"), F.col("cw")).otherwise(0)
         state = landed.df.filter(~F.col("centroid")).select(
             *me, "n_convs", left.alias("weight"), *values, F.col("next_conv").alias("top_conv"), F.col("next_depth").alias("top_depth"))
