@@ -13,7 +13,7 @@ from wardline.catalog.alerts import cooldown_sql
 from wardline.catalog.registry import register
 from wardline.catalog.tables import VALID
 from wardline.session import scratch_path
-from wardline.sources import standin
+from wardline.sources import files, standin
 from wardline.sources.standin import CHANNELS as CH
 from wardline.functions import clinical
 from wardline.streaming import jobs, state
@@ -23,8 +23,11 @@ W = 8
 
 def _events_stream(spark, d, files_per_batch: int = 1):
     schema = standin.table(spark, d, "events").schema
-    # the pattern reads a single file and a folder of part files alike
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(os.path.join(d, "events.parque[t]"))
+    path = os.path.join(d, "events.parquet")
+    if not files.is_folder(spark, path):  # a stream reads folders: that of the file, and of its files this one
+        return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "events.parquet")
+                .parquet(d))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def _train_stats(spark, d):

@@ -8,8 +8,8 @@ difference when it joins, averaged over the two walks. The walks start from
 the all-background window and end at the real window, so
 base + sum(contributions) = prediction exactly.
 
-Work per window is 2 x (C + 1) scored variants, one array per window inside
-an Arrow batch; nothing is shuffled.
+Work per window is 2 x (C + 1) scored variants; the windows of an Arrow batch are
+stacked into blocks of bounded size, one call of the model each. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -17,18 +17,21 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import clinical
 
+BLOCK_VALUES = 1 << 22  # of the variants that are scored in one call
+
 
 def explain_windows(windows: DataFrame, channels: Sequence[str], fill, id_cols: Sequence[str],
                     predict: Callable[[np.ndarray], np.ndarray], seed: int = 0) -> DataFrame:
     """K5 and K7: one row per window with base value, prediction, contributions and observed values by channel.
 
-    All coalitions of a window are one array, scored in the Arrow batch that
-    holds the window; contributions are differences inside the row. Nothing is
+    All coalitions of a block of windows are one array, scored in the Arrow batch that
+    holds the windows; contributions are differences inside the row. Nothing is
     shuffled. ``predict`` maps (n, steps, channels) to n probabilities.
     """
     C = len(channels)
@@ -37,14 +40,22 @@ def explain_windows(windows: DataFrame, channels: Sequence[str], fill, id_cols:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.select(*id_cols).schema.fields)
 
     def run(batches):
-        for pdf in batches:
-            out = [score_walks(np.stack([np.asarray(r, float) for r in x]), np.asarray(o, int), np.asarray(f, float), predict)
-                   for x, o, f in zip(pdf["X"], pdf["_order"], pdf["_fill"], strict=True)]
-            keep = pdf[list(id_cols)].reset_index(drop=True)
-            yield keep.assign(base_value=[r[0] for r in out], prediction=[r[1] for r in out], _c=[r[2] for r in out],
-                              observed=[[float(v) for v in x[-1]] for x in pdf["X"]])
-
-    scored = rows.mapInPandas(run, f"{schema}, base_value double, prediction double, _c array<double>, observed array<double>")
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            steps = batch.column("X").flatten()
+            x = steps.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, len(steps) // n, C)
+            walk, background = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(n, C) for k in ("_order", "_fill"))
+            at_once = max(1, BLOCK_VALUES // (2 * (C + 1) * x[0].size))
+            parts = [score_windows(x[i:i + at_once], walk[i:i + at_once], background[i:i + at_once].astype(float), predict)
+                     for i in range(0, n, at_once)]
+            base, prediction, contribution = (np.concatenate(p) for p in zip(*parts, strict=True))
+            lists = [pa.ListArray.from_arrays(np.arange(0, n * C + 1, C, dtype=np.int32), pa.array(v.reshape(-1))) for v in (contribution, x[:, -1])]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in id_cols], pa.array(base), pa.array(prediction), *lists],
+                                             [*id_cols, "base_value", "prediction", "_c", "observed"])
+
+    scored = rows.mapInArrow(run, f"{schema}, base_value double, prediction double, _c array<double>, observed array<double>")
     names = F.array(*[F.lit(c) for c in channels])
     return scored.select(*id_cols, "base_value", "prediction", F.map_from_arrays(names, "_c").alias("shap_values"),
                          F.map_from_arrays(names, "observed").alias("observed_values"))
@@ -57,21 +68,22 @@ def channel_order(wid: Column, n_channels: int) -> Column:
     return F.transform(F.array_sort(hashed), lambda s: s["j"])
 
 
+def score_windows(x: np.ndarray, order: np.ndarray, fill: np.ndarray, predict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, prediction, contributions) of windows (n, steps, channels) with their orders and backgrounds (n, channels)."""
+    n, C = order.shape
+    ahead = np.argsort(order, axis=1)  # place of each channel in the walk
+    place = np.stack([ahead, C - 1 - ahead], axis=1)
+    keep = place[:, :, None, :] < np.arange(C + 1)[None, None, :, None]
+    variants = np.where(keep[:, :, :, None, :], x[:, None, None], fill[:, None, None, None])
+    p = np.asarray(predict(variants.reshape(-1, *x.shape[1:])), float).reshape(n, 2, C + 1)
+    contribution = np.take_along_axis(np.diff(p, axis=2), place, axis=2).mean(axis=1)
+    return p[:, :, 0].mean(axis=1), p[:, :, -1].mean(axis=1), contribution
+
+
 def score_walks(x: np.ndarray, order: np.ndarray, fill: np.ndarray, predict) -> tuple[float, float, list[float]]:
     """(base, prediction, contribution by channel) of one window (steps, channels)."""
-    C = len(order)
-    walks = np.stack([order, order[::-1]])
-    keep = np.zeros((2, C + 1, C), bool)
-    for w in range(2):
-        for k in range(C):
-            keep[w, k + 1:, walks[w, k]] = True
-    variants = np.where(keep[:, :, None, :], x[None, None], fill[None, None, None])
-    p = np.asarray(predict(variants.reshape(-1, *x.shape)), float).reshape(2, C + 1)
-    joined = np.diff(p, axis=1)
-    contribution = np.zeros(C)
-    for w in range(2):
-        contribution[walks[w]] += joined[w] / 2
-    return float(p[:, 0].mean()), float(p[:, -1].mean()), contribution.tolist()
+    base, prediction, contribution = score_windows(x[None], order[None], fill[None], predict)
+    return float(base[0]), float(prediction[0]), contribution[0].tolist()
 
 
 def additivity_gap(expl: DataFrame) -> DataFrame:

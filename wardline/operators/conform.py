@@ -27,26 +27,15 @@ def item_counts(events: DataFrame, item: str = "itemid") -> DataFrame:
     return events.groupBy(item).agg(F.count(F.lit(1)).alias("n"))
 
 
-def resolve_source(dictionary: DataFrame, counts: DataFrame, cands: DataFrame,
-                   fahrenheit_labels: Sequence[str] = ()) -> DataFrame:
-    """G7 + E2: per channel, the matching item with the most events (ties → lowest id); zero-volume dropped."""
-    m = dictionary.join(F.broadcast(cands), F.lower(F.col("label")) == F.col("cand")) \
-        .join(counts, "itemid", "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
-    best = m.groupBy("channel", "source").agg(
-        F.max_by(F.struct("itemid", "label", "n"), F.struct(F.col("n"), -F.col("itemid"))).alias("b"))
-    out = best.select("channel", "source", "b.itemid", "b.label", F.col("b.n").alias("n_events")).filter(F.col("n_events") > 0)
-    return out.withColumn("is_fahrenheit", F.col("label").isin(list(fahrenheit_labels)) if fahrenheit_labels else F.lit(False))
-
-
 def resolve_mapping(dictionary: DataFrame, counts: DataFrame, cands: DataFrame, priority: Sequence[str],
                     fahrenheit: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """G7 + E2 + E4 in one pass: ``dictionary`` (itemid, label, kind) against candidates
-    (channel, source, cand) with ``kind == source``; one event count for all sources; per
-    channel the earliest source in ``priority`` wins. The result (at most one row per
+    (channel, source, cand) with ``kind == source``; one event count for all sources, or one
+    for each (``counts`` with a column ``kind``); per channel the earliest source in ``priority`` wins. The result (at most one row per
     channel) is checkpointed so every consumer reads it instead of recomputing it.
     """
     m = dictionary.join(F.broadcast(cands), (F.col("kind") == F.col("source")) & (F.lower(F.col("label")) == F.col("cand"))) \
-        .join(counts, "itemid", "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
+        .join(counts, ["itemid", "kind"] if "kind" in counts.columns else "itemid", "left").withColumn("n", F.coalesce(F.col("n"), F.lit(0)))
     best = m.groupBy("channel", "source").agg(
         F.max_by(F.struct("itemid", "label", "n"), F.struct(F.col("n"), -F.col("itemid"))).alias("b")) \
         .filter(F.col("b.n") > 0)
@@ -60,11 +49,6 @@ def resolve_mapping(dictionary: DataFrame, counts: DataFrame, cands: DataFrame,
     return reliable_checkpoint(out)
 
 
-def combine_mappings(chart: DataFrame, lab: DataFrame) -> DataFrame:
-    """Chart mapping wins over lab mapping for the same channel."""
-    return chart.unionByName(lab.join(chart.select("channel"), "channel", "left_anti"))
-
-
 def conform_events(events: DataFrame, mapping: DataFrame, subject: str = "subject_id", time: str = "charttime",
                    item: str = "itemid", value: str = "valuenum", dataset: str = vocab.CODED_DATASET) -> DataFrame:
     """E3 + C2 + D5: tall canonical readings; Fahrenheit items converted to Celsius, time text parsed,
@@ -112,8 +96,3 @@ def mapping_lists(mapping: DataFrame, vocabulary: Sequence[str] = vocab.CLINICAL
     voc = mapping.sparkSession.createDataFrame([(c,) for c in vocabulary], "channel string")
     return voc.join(mapping.select("channel", "itemid", "label", "is_fahrenheit"), "channel", "left") \
         .withColumn("resolved", F.col("itemid").isNotNull())
-
-
-def empty_readings(spark: SparkSession) -> DataFrame:
-    """Typed empty result when neither source resolves."""
-    return spark.createDataFrame([], "patient_id string, charttime timestamp, channel string, value double, source string")

@@ -77,9 +77,10 @@ def rejection_reason(raw: Column, max_bytes: int = vocab.MAX_PAYLOAD_BYTES,
 
 def validate_messages(msgs: DataFrame, raw: str = "value", topic: str | None = "topic",
                       max_bytes: int = vocab.MAX_PAYLOAD_BYTES, sources: Sequence[str] = vocab.VITALS_SOURCES,
-                      vocabulary: Sequence[str] | None = None) -> DataFrame:
+                      vocabulary: Sequence[str] | None = None, decode: Sequence[str] | None = None) -> DataFrame:
     """Adds ``reason`` and ``accepted``; topics outside ``icu/+/vitals`` are not subscribed.
     With ``vocabulary`` a message with an unknown channel is rejected as well (D9).
+    With ``decode``, names of channels, the values of the message are added from the same parse.
 
     The payload is parsed once into a staged column that every rule reads
     (rules inside CASE branches would otherwise parse it again).
@@ -94,8 +95,22 @@ def validate_messages(msgs: DataFrame, raw: str = "value", topic: str | None = "
         unknown = F.array_sort(F.array_except(names, F.array(*[F.lit(c) for c in vocabulary])))
         reason = F.coalesce(reason, F.when(F.size(unknown) > 0, F.concat(
             F.lit("unknown channel '"), F.get(unknown, F.lit(0)), F.lit("'"))))
-    out = staged.withColumn("reason", reason).drop("_v")
-    return out.withColumn("accepted", F.col("reason").isNull())
+    out = staged.withColumn("reason", reason)
+    if decode is not None:
+        out = out.select("*", *_values(F.col("_v"), decode), _topic_patient(out, topic))
+    return out.drop("_v").withColumn("accepted", F.col("reason").isNull())
+
+
+def _values(v: Column, channels: Sequence[str]) -> list[Column]:
+    """Patient, time, source and channels (as doubles; booleans as 1/0) of a parsed message."""
+    return [F.try_variant_get(v, "$.patient_id", "string").alias("patient_id"),
+            F.try_to_timestamp(F.try_variant_get(v, "$.timestamp", "string")).alias("timestamp"),
+            F.try_variant_get(v, "$.source", "string").alias("source"),
+            F.struct(*[F.try_variant_get(v, f"$.channels.{c}", "double").alias(c) for c in channels]).alias("channels")]
+
+
+def _topic_patient(df: DataFrame, topic: str | None) -> Column:
+    return (clinical.topic_patient(F.col(topic)) if topic in df.columns else F.lit(None).cast("string")).alias("topic_patient")
 
 
 def payload_patient(raw: Column) -> Column:
@@ -105,16 +120,8 @@ def payload_patient(raw: Column) -> Column:
 
 def decode_accepted(validated: DataFrame, channels: Sequence[str], raw: str = "value") -> DataFrame:
     """Typed reading rows from accepted messages (channels as doubles; booleans as 1/0)."""
-    v = F.parse_json(F.col(raw))
-    base = validated.drop("patient_id", "timestamp", "source", "channels", "topic_patient")
-    return base.filter("accepted").select(
-        "*",
-        F.variant_get(v, "$.patient_id", "string").alias("patient_id"),
-        F.try_to_timestamp(F.variant_get(v, "$.timestamp", "string")).alias("timestamp"),
-        F.variant_get(v, "$.source", "string").alias("source"),
-        F.struct(*[F.try_variant_get(v, f"$.channels.{c}", "double").alias(c) for c in channels]).alias("channels"),
-        clinical.topic_patient(F.col("topic")).alias("topic_patient") if "topic" in base.columns else F.lit(None).alias("topic_patient"),
-    )
+    base = validated.drop("patient_id", "timestamp", "source", "channels", "topic_patient").filter("accepted")
+    return base.select("*", *_values(F.parse_json(F.col(raw)), channels), _topic_patient(base, "topic"))
 
 
 def dead_letters(validated: DataFrame, id_col: str = "message_id", topic: str = "topic", ts: Column | None = None) -> DataFrame:

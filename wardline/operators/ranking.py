@@ -22,7 +22,7 @@ def score_histogram(df: DataFrame, y: str = "y", score: str = "score") -> DataFr
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
 
 
-def cumulative_desc(hist: DataFrame, num_partitions: int | None = None) -> DataFrame:
+def cumulative_desc(hist: DataFrame, num_partitions: int | None = None, keep_part: bool = False) -> DataFrame:
     """Adds cum_pos / cum_neg = counts at scores >= this score."""
     spark = hist.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -42,7 +42,7 @@ def cumulative_desc(hist: DataFrame, num_partitions: int | None = None) -> DataF
     return j.select("score", "pos", "neg",
                     (F.col("_op") + F.sum("pos").over(w)).alias("cum_pos"),
                     (F.col("_on") + F.sum("neg").over(w)).alias("cum_neg"),
-                    F.lit(acc_p).alias("P"), F.lit(acc_n).alias("N"))
+                    F.lit(acc_p).alias("P"), F.lit(acc_n).alias("N"), *(["_part"] if keep_part else []))
 
 
 def auroc_auprc(cum: DataFrame) -> DataFrame:
@@ -75,6 +75,25 @@ def roc_points(cum: DataFrame) -> DataFrame:
     return start.unionByName(pts)
 
 
+def sparse_roc_points(hist: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """F16 without the points whose step equals the next one's (Q11): a point goes when the next threshold adds as many
+    positives and negatives as its own did; the first and the last stay.
+
+    Thresholds are range-partitioned; a partition learns the first step of the next one from a table of
+    one row a partition.
+    """
+    cum = cumulative_desc(hist, num_partitions, keep_part=True)
+    step = F.struct("pos", "neg")
+    heads = sorted((r["_part"], r["h"]["pos"], r["h"]["neg"]) for r in cum.groupBy("_part").agg(F.max_by(step, "score").alias("h")).collect())
+    after = [(a[0], *b[1:]) for a, b in zip(heads, heads[1:], strict=False)]
+    follow = hist.sparkSession.createDataFrame(after, "_part int, _next_pos long, _next_neg long")
+    w = Window.partitionBy("_part").orderBy(F.col("score").desc())
+    rows = cum.withColumns({"_n": F.lead(step).over(w), "_first": F.row_number().over(w) == 1}).join(F.broadcast(follow), "_part", "left")
+    pos, neg = F.coalesce("_n.pos", "_next_pos"), F.coalesce("_n.neg", "_next_neg")
+    first = F.col("_first") & (F.col("_part") == F.lit(heads[0][0] if heads else 0))
+    return roc_points(rows.filter(first | pos.isNull() | (pos != F.col("pos")) | (neg != F.col("neg"))))
+
+
 def pr_points(cum: DataFrame) -> DataFrame:
     """Precision / recall / F1 at every distinct threshold (zero division → 0)."""
     tp, fp = F.col("cum_pos"), F.col("cum_neg")

@@ -17,6 +17,12 @@ def _row_vector(channels: Sequence[str], cell_type: str) -> Column:
     return F.when(any_null, F.raise_error(F.lit(MISSING_MSG))).otherwise(vec)
 
 
+def unimputed(df: DataFrame, channels: Sequence[str], key: str = "patient_id", order: str = "ICULOS") -> DataFrame:
+    """D10 as rows: the readings that ``build_windows`` refuses, with their missing channels and its message."""
+    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in channels]), lambda c: c.isNotNull())
+    return df.select(key, order, missing.alias("missing")).filter(F.size("missing") > 0).withColumn("error", F.lit(MISSING_MSG))
+
+
 def build_windows(df: DataFrame, channels: Sequence[str], window_size: int = 8, stride: int = 1,
                   key: str = "patient_id", order: str = "ICULOS", label: str = "SepsisLabel",
                   cell_type: str = "float", extra: Sequence[str] = (), bucket_width: int | None = None) -> DataFrame:

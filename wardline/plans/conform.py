@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from wardline import vocab
 from wardline.operators import conform
-from wardline.session import reliable_checkpoint
 from wardline.sources import files
 
 
@@ -18,16 +17,16 @@ def run_conform(spark: SparkSession, chart_items: DataFrame, lab_items: DataFram
                 lab_events: DataFrame, stays: DataFrame | None = None,
                 chart_candidates: Mapping[str, Sequence[str]] = vocab.CHART_LABEL_CANDIDATES,
                 lab_candidates: Mapping[str, Sequence[str]] = vocab.LAB_LABEL_CANDIDATES,
-                out_dir: str | None = None) -> dict[str, DataFrame]:
+                out_dir: str | None = None, fahrenheit: Sequence[str] = (vocab.FAHRENHEIT_LABEL,)) -> dict[str, DataFrame]:
     """Dictionaries: (itemid, label, linksto | fluid); events: (subject_id, charttime, itemid, valuenum)."""
-    chart_dict = chart_items.filter(F.col("linksto") == vocab.CHART_SOURCE_KIND).select("itemid", "label")  # D6
-    lab_dict = lab_items.filter(F.col("fluid") == vocab.LAB_FLUID).select("itemid", "label")
-    chart_map = conform.resolve_source(chart_dict, conform.item_counts(chart_events.select("itemid")),
-                                       conform.candidates_frame(spark, chart_candidates, "chartevents"), [vocab.FAHRENHEIT_LABEL])
-    lab_map = conform.resolve_source(lab_dict, conform.item_counts(lab_events.select("itemid")),
-                                     conform.candidates_frame(spark, lab_candidates, "labevents"))
-    # at most one row per channel, read by every step below: materialise once
-    mapping = reliable_checkpoint(conform.combine_mappings(chart_map, lab_map))
+    chart, lab = F.lit("chartevents").alias("kind"), F.lit("labevents").alias("kind")
+    dictionary = chart_items.filter(F.col("linksto") == vocab.CHART_SOURCE_KIND).select("itemid", "label", chart).unionByName(  # D6
+        lab_items.filter(F.col("fluid") == vocab.LAB_FLUID).select("itemid", "label", lab))
+    counts = conform.item_counts(chart_events.select("itemid")).select("*", chart).unionByName(
+        conform.item_counts(lab_events.select("itemid")).select("*", lab))
+    candidates = conform.candidates_frame(spark, chart_candidates, "chartevents").unionByName(
+        conform.candidates_frame(spark, lab_candidates, "labevents"))
+    mapping = conform.resolve_mapping(dictionary, counts, candidates, ["chartevents", "labevents"], {"chartevents": list(fahrenheit)})
     readings = conform.conform_events(chart_events, mapping.filter(F.col("source") == "chartevents")).unionByName(
         conform.conform_events(lab_events, mapping.filter(F.col("source") == "labevents")))
     out = {"mapping": mapping, "readings": readings, "report": conform.mapping_report(readings, mapping),

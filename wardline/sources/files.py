@@ -26,17 +26,21 @@ def _cell(m: Column, name: str, dtype: str) -> Column:
 
 def read_patient_files(spark: SparkSession, root: str, set_names: Sequence[str], limit: int | None = None,
                        columns: Sequence[str] = vocab.ALL_COLUMNS, key: str = vocab.PATIENT_ID_COLUMN,
-                       time: str = vocab.TIME_COLUMN, label: str = vocab.LABEL_COLUMN, suffix: str = ".psv") -> DataFrame:
-    """A1-A3 + I1: every ``root/<set>/*.psv`` file, patient_id = file stem, bound by header name.
+                       time: str = vocab.TIME_COLUMN, label: str = vocab.LABEL_COLUMN, suffix: str = ".psv",
+                       key_pattern: str | None = None) -> DataFrame:
+    """A1-A3 + I1: every ``root/<set>/*.psv`` file, bound by header name, sorted by patient and time.
 
-    A missing set folder or an empty input is an error; so is an expected
-    column absent from every file. ``limit`` keeps the first N files in the
-    order of their full paths (A2). NaN text becomes NULL (C1).
+    The patient id is the file's stem, or what ``key_pattern`` finds in its path. A missing set folder or an
+    empty input is an error; so is an expected column absent from every file. ``limit`` keeps the first N files
+    in the order of their full paths (A2); no other file is opened. NaN text becomes NULL (C1).
     """
     paths = [os.path.join(root, s) for s in set_names]
-    raw = spark.read.text(paths, wholetext=True, pathGlobFilter=f"*{suffix}") \
+    if limit is not None:  # a listing, without contents
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).load(paths)
+        paths = [r[0] for r in listed.select("path").orderBy("path").limit(limit).collect()] or paths
+    raw = spark.read.text(paths, wholetext=True, pathGlobFilter=f"*{suffix}", recursiveFileLookup=True) \
         .select(F.col("value"), F.col("_metadata.file_path").alias("_path"))
-    stem = F.regexp_extract(F.col("_path"), r"([^/]+)" + suffix.replace(".", r"\.") + "$", 1)
+    stem = F.regexp_extract(F.col("_path"), key_pattern or r"([^/]+)" + suffix.replace(".", r"\.") + "$", 1)
     lines = F.filter(F.split(F.regexp_replace(F.col("value"), "\r", ""), "\n"), lambda s: F.trim(s) != "")
     files = raw.select(stem.alias(key), F.split(lines[0], r"\|").alias("_header"), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))).alias("_rows"), "_path")
     present = files.agg(F.array_distinct(F.flatten(F.collect_set("_header"))).alias("h")).collect()
@@ -46,9 +50,6 @@ def read_patient_files(spark: SparkSession, root: str, set_names: Sequence[str],
     missing = [c for c in columns if c != key and c not in header]
     if missing:
         raise ValueError(f"missing expected columns: {missing}")
-    if limit is not None:
-        keep = files.select("_path").distinct().orderBy("_path").limit(limit)
-        files = files.join(keep, "_path", "left_semi")
     rows = files.select(key, "_header", F.explode("_rows").alias("_line"))
     m = F.map_from_arrays(F.col("_header"), F.split(F.col("_line"), r"\|"))
     out = rows.select(key, m.alias("_m"))
@@ -60,7 +61,20 @@ def read_patient_files(spark: SparkSession, root: str, set_names: Sequence[str],
             cols.append(_cell(F.col("_m"), c, "double").cast("int").alias(c))
         else:
             cols.append(_cell(F.col("_m"), c, "double").alias(c))
-    return out.select(*cols)
+    out = out.select(*cols)
+    return out.orderBy(*[c for c in (key, time) if c in out.columns])
+
+
+def write_patient_files(df: DataFrame, root: str, columns: Sequence[str], set_col: str = "set", key: str = vocab.PATIENT_ID_COLUMN,
+                        time: str = vocab.TIME_COLUMN) -> None:
+    """One pipe-separated file with a header for each patient, below ``root/<set_col>=<set>/<key>=<patient>``; NULL as NaN.
+
+    A file holds one patient's stay, which bounds the text made for it.
+    """
+    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NaN")) for c in columns])
+    stays = df.groupBy(set_col, key).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), line.alias("line")))).alias("rows"))
+    text = F.concat_ws("\n", F.lit("|".join(columns)), F.transform("rows", lambda r: r["line"]))
+    stays.select(set_col, key, text.alias("value")).write.mode("overwrite").partitionBy(set_col, key).text(root)
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -91,6 +105,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory())
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder or file, if it is there."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

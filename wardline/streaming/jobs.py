@@ -17,13 +17,16 @@ from wardline.functions import clinical
 from wardline.operators import messages, tables
 from wardline.session import checkpoint_dir
 from wardline.sources import files
+from wardline.sources.tables import table_or_empty
 from wardline.streaming.state import typed_state
 
 
-def run_available(query_df: DataFrame, out_path: str, ckpt: str, fmt: str = "parquet", mode: str = "append") -> None:
+def run_available(query_df: DataFrame, out_path: str, ckpt: str, fmt: str = "parquet", mode: str = "append",
+                  partition_by: Sequence[str] = ()) -> None:
     """Run a streaming DataFrame over everything currently available, then stop."""
     with typed_state(query_df.sparkSession):
-        q = (query_df.writeStream.format(fmt).option("path", out_path).option("checkpointLocation", ckpt)
+        writer = query_df.writeStream.partitionBy(*partition_by) if partition_by else query_df.writeStream
+        q = (writer.format(fmt).option("path", out_path).option("checkpointLocation", ckpt)
              .outputMode(mode).trigger(availableNow=True).start())
         q.awaitTermination()
     if q.exception() is not None:
@@ -51,11 +54,8 @@ def rejected_sink(rejected_path: str, patients_path: str | None = None) -> Calla
             return
         spark = batch.sparkSession
         ids = batch.filter("accepted").select("patient_id", F.col("arrival_ts").alias("created_at"), "message_id")
-        if files.path_exists(spark, patients_path):
-            # only earlier batches count: a replayed batch must reproduce its own output
-            existing = spark.read.parquet(patients_path).filter(F.col("batch_id") < batch_id).select("patient_id")
-        else:
-            existing = spark.createDataFrame([], "patient_id string")
+        # only earlier batches count: a replayed batch must reproduce its own output
+        existing = table_or_empty(spark, patients_path, "patient_id string, batch_id long").filter(F.col("batch_id") < batch_id).select("patient_id")
         res = tables.insert_if_absent(ids, existing, "patient_id", ["created_at", "message_id"])
         new = res.inserted.select("patient_id", "created_at", F.lit("live").alias("source_dataset"),
                                   F.lit("active").alias("current_status"), F.lit(vocab.INGEST_ACTOR).alias("created_by"))
@@ -64,25 +64,37 @@ def rejected_sink(rejected_path: str, patients_path: str | None = None) -> Calla
     return sink
 
 
+def run_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], ckpt: str) -> None:
+    """Hand every micro-batch of what is available to ``sink``, then stop."""
+    with typed_state(stream.sparkSession):
+        q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+        q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
+
+
 def ingest(spark: SparkSession, messages_df: DataFrame, name: str = "ingest", base: str | None = None,
-           vocabulary: Sequence[str] | None = None) -> dict:
-    """Validate a message stream and land accepted / rejected rows and new patients.
+           vocabulary: Sequence[str] | None = None, channels: Sequence[str] = vocab.CLINICAL_CHANNELS) -> dict:
+    """Validate a message stream once and derive accepted rows, dead letters and new patients.
 
     The patient is the payload's, as in the reference; the topic only
-    subscribes. Accepted rows go through Spark's file sink, whose log makes a
-    replayed batch invisible to the stages that read them as a stream.
+    subscribes. One query reads and parses the messages and lands all of them, validated and decoded
+    (``channels``), by verdict; the rest is derived from that table. It goes through Spark's file sink, whose
+    log makes a replayed batch invisible to the stages that read it as a stream.
     """
     base = base or os.path.join(checkpoint_dir(spark), "streams", name)
-    v = messages.validate_messages(messages_df, "value", "topic", vocabulary=vocabulary) \
-        .withColumn("patient_id", messages.payload_patient(F.col("value")))
-    paths = {k: os.path.join(base, k) for k in ("accepted", "rejected", "patients")}
-    run_available(v.filter("accepted"), paths["accepted"], os.path.join(base, "checkpoint_accepted"))
-    q = (v.writeStream.foreachBatch(rejected_sink(paths["rejected"], paths["patients"]))
-         .option("checkpointLocation", os.path.join(base, "checkpoint")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
-    return paths
+    paths = {k: os.path.join(base, k) for k in ("validated", "rejected", "patients")}
+    v = messages.validate_messages(messages_df, "value", "topic", vocabulary=vocabulary, decode=channels)
+    run_available(v, paths["validated"], os.path.join(base, "checkpoint_validated"), partition_by=["accepted"])
+    run_batches(validated_stream(spark, paths["validated"]), rejected_sink(paths["rejected"], paths["patients"]), os.path.join(base, "checkpoint"))
+    return {**paths, "accepted": os.path.join(paths["validated"], "accepted=true")}
+
+
+def validated_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The landed table of validated messages as a stream."""
+    # a folder's name gives text
+    schema = spark.read.parquet(path).withColumn("accepted", F.col("accepted").cast("boolean")).schema
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def publish_frames(scored: DataFrame) -> DataFrame:
@@ -144,11 +156,10 @@ def realtime(spark: SparkSession, messages_df: DataFrame, channels: Sequence[str
              idle_ms: int | None = None) -> dict:
     """M6 end to end as checkpointed streams chained through landed tables.
 
-    1. messages → validation (unknown channels too, D9) → accepted / dead letters / provisioned patients (J1-J3)
+    1. messages → validation (unknown channels too, D9), landed once → dead letters / provisioned patients (J1-J3)
     2. accepted readings → keyed causal impute + count windows (J4, J5) → ``score`` (J6) → label and
-       risk (J7) → predictions (B6) and their published frames (B7)
-    3. predictions → keyed cooldown state (J8) → reason of the reading, message, dispatch (J9) → alerts,
-       alert frames (B8) and audit rows (L5)
+       risk (J7) → keyed cooldown state (J8). Each micro-batch is landed once and gives predictions (B6), their published
+       frames (B7), alerts with the reason of the reading, message and dispatch (J9), alert frames (B8) and audit rows (L5)
 
     The clock is arrival: within a patient readings and predictions are taken
     in the order (arrival_ts, message_id), and a source must deliver micro-batches
@@ -156,12 +167,10 @@ def realtime(spark: SparkSession, messages_df: DataFrame, channels: Sequence[str
     messages are dealt to files. ``vital_names`` maps the names of the reason
     rules to channels (by default their own names).
     """
-    from wardline.operators import alerts as alerting
     from wardline.streaming import state
 
-    paths = ingest(spark, messages_df, base=os.path.join(base, "ingest"), vocabulary=channels)
-    acc = spark.readStream.schema(spark.read.parquet(paths["accepted"]).schema).parquet(paths["accepted"])
-    readings = messages.decode_accepted(acc, channels).select(
+    paths = ingest(spark, messages_df, base=os.path.join(base, "ingest"), vocabulary=channels, channels=channels)
+    readings = validated_stream(spark, paths["validated"]).filter("accepted").select(
         "patient_id", "message_id", "timestamp", "arrival_ts", *[F.col(f"channels.{c}").alias(c) for c in channels])
     windows = state.stream_windows(readings, channels, medians, mean, std, window_size, order=("arrival_ts", "message_id"),
                                    idle_ms=idle_ms)
@@ -171,20 +180,29 @@ def realtime(spark: SparkSession, messages_df: DataFrame, channels: Sequence[str
         clinical.window_start(F.col("window_end"), window_size).alias("window_start"), "sepsis_probability", "reading",
         clinical.predicted_label(p, threshold).alias("predicted_label"), clinical.risk_level(p, threshold).alias("risk_level"),
         F.lit(model_version).alias("model_version"))
-    out = {k: os.path.join(base, k) for k in ("predictions", "published", "alerts", "alert_frames", "audit")}
-
-    def land(df: DataFrame, name: str) -> DataFrame:
-        run_available(df, out[name], os.path.join(base, f"ckpt_{name}"))
-        return spark.readStream.schema(spark.read.parquet(out[name]).schema).parquet(out[name])
-
-    pred_stream = land(preds, "predictions")
-    land(publish_frames(pred_stream), "published")
-    raised = state.stream_alerts(pred_stream, cooldown_minutes, carry=["reading"], idle_ms=idle_ms)
+    carry = ["window_end", "window_start", "reading", "predicted_label", "model_version"]
+    flagged = state.flag_alerts(preds, cooldown_minutes, carry=carry, idle_ms=idle_ms)
     named = vital_names or {c: c for c in channels}
     reason = clinical.abnormal_reason({v: F.col("reading")[channels.index(c)] for v, c in named.items() if c in channels})
-    alert_stream = land(alerting.enrich_alerts(raised, reason), "alerts")
-    land(alert_frames(alert_stream), "alert_frames")
-    land(tables.audit_rows(alert_stream, "system", "alert_dispatched", "alert", "id",
-                           {"patient_id": F.col("patient_id"), "risk_level": F.col("risk_level"),
-                            "dispatch_status": F.to_json("dispatch_status")}, "created_at"), "audit")
+    out = {k: os.path.join(base, k) for k in ("predictions", "published", "alerts", "alert_frames", "audit")}
+    run_batches(flagged, results_sink(out, reason), os.path.join(base, "ckpt_results"))
     return {**paths, **out}
+
+
+def results_sink(out: Mapping[str, str], reason) -> Callable[[DataFrame, int], None]:
+    """One micro-batch of flagged predictions, landed once, to all tables that follow from it."""
+    from wardline.operators import alerts as alerting
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        files.append_batch(batch, out["predictions"], batch_id)
+        landed = batch.sparkSession.read.schema(batch.schema).parquet(os.path.join(out["predictions"], f"batch_id={batch_id}"))
+        files.append_batch(publish_frames(landed), out["published"], batch_id)
+        raised = alerting.enrich_alerts(landed.filter("raised").select("patient_id", "id", "created_at", "risk_level", "sepsis_probability", "reading"), reason)
+        files.append_batch(raised, out["alerts"], batch_id)
+        alerts = batch.sparkSession.read.schema(raised.schema).parquet(os.path.join(out["alerts"], f"batch_id={batch_id}"))
+        files.append_batch(alert_frames(alerts), out["alert_frames"], batch_id)
+        files.append_batch(tables.audit_rows(alerts, "system", "alert_dispatched", "alert", "id",
+                                             {"patient_id": F.col("patient_id"), "risk_level": F.col("risk_level"),
+                                              "dispatch_status": F.to_json("dispatch_status")}, "created_at"), out["audit"], batch_id)
+
+    return sink

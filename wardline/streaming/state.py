@@ -170,6 +170,7 @@ class CooldownProcessor(StatefulProcessor):
     grows from one micro-batch to the next: how rows are dealt to micro-batches
     then does not matter. A row that is older than the last alert is inside its
     cooldown unless its rank is higher. With ``idle_ms`` the state expires so long after it was written.
+    Every row comes out again with ``raised``.
     """
 
     def __init__(self, columns: Sequence[str], cooldown_minutes: float = vocab.ALERT_COOLDOWN_MINUTES,
@@ -182,25 +183,33 @@ class CooldownProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = _rows(rows, ["created_at", "id"])
-        batch = batch[batch["risk_level"].isin(self.levels)]
-        if not len(batch):
-            return
-        us = batch["created_at"].astype("datetime64[us]").astype("int64").to_numpy()
-        ranks = np.array([vocab.RISK_RANK.get(level, 0) for level in batch["risk_level"]], dtype=int)
-        keep = raised_positions(us, ranks, self.cooldown_us, *(self.last_alert.get() or (None, None)))
-        if keep:
-            self.last_alert.update((int(us[keep[-1]]), int(ranks[keep[-1]])))
-            yield batch.iloc[keep][self.columns]
+        raised = np.zeros(len(batch), bool)
+        triggered = np.flatnonzero(batch["risk_level"].isin(self.levels))
+        if len(triggered):
+            us = batch["created_at"].astype("datetime64[us]").astype("int64").to_numpy()[triggered]
+            ranks = np.array([vocab.RISK_RANK.get(level, 0) for level in batch["risk_level"].iloc[triggered]], dtype=int)
+            keep = raised_positions(us, ranks, self.cooldown_us, *(self.last_alert.get() or (None, None)))
+            if keep:
+                self.last_alert.update((int(us[keep[-1]]), int(ranks[keep[-1]])))
+                raised[triggered[keep]] = True
+        yield batch[self.columns].assign(raised=raised)
 
     def close(self) -> None:
         pass
 
 
-def stream_alerts(preds: DataFrame, cooldown_minutes: float = vocab.ALERT_COOLDOWN_MINUTES,
-                  levels: Sequence[str] = vocab.ALERT_TRIGGER_LEVELS, carry: Sequence[str] = (),
-                  idle_ms: int | None = None) -> DataFrame:
-    """Predictions stream → raised alerts (same rule as the batch form), with the columns in ``carry``."""
+def flag_alerts(preds: DataFrame, cooldown_minutes: float = vocab.ALERT_COOLDOWN_MINUTES,
+                levels: Sequence[str] = vocab.ALERT_TRIGGER_LEVELS, carry: Sequence[str] = (), idle_ms: int | None = None) -> DataFrame:
+    """Predictions stream with ``raised``: whether the prediction raises an alert (same rule as the batch form)."""
     p = preds.select("patient_id", "id", F.col("created_at").cast("timestamp").alias("created_at"), "risk_level",
                      "sepsis_probability", *carry)
     processor = CooldownProcessor(p.columns, cooldown_minutes, levels, idle_ms)
-    return p.groupBy("patient_id").transformWithStateInPandas(processor, p.schema, "append", _time_mode(idle_ms))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.schema.fields)
+    return p.groupBy("patient_id").transformWithStateInPandas(processor, f"{schema}, raised boolean", "append", _time_mode(idle_ms))
+
+
+def stream_alerts(preds: DataFrame, cooldown_minutes: float = vocab.ALERT_COOLDOWN_MINUTES,
+                  levels: Sequence[str] = vocab.ALERT_TRIGGER_LEVELS, carry: Sequence[str] = (),
+                  idle_ms: int | None = None) -> DataFrame:
+    """Predictions stream → raised alerts, with the columns in ``carry``."""
+    return flag_alerts(preds, cooldown_minutes, levels, carry, idle_ms).filter("raised").drop("raised")

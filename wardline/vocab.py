@@ -33,9 +33,6 @@ VITALS_SOURCES = ("physionet_sim", "mimic_replay", "iot_sensor")
 PATIENT_SOURCE_DATASETS = ("physionet_2019", "mimic_iv_demo", "live")
 CODED_DATASET = "mimic_iv_demo"
 PATIENT_STATUSES = ("active", "discharged", "deceased")
-EXPLANATION_METHODS = ("shap", "lime")
-USER_ROLES = ("clinician", "admin")
-AUDIT_ACTIONS = ("prediction_run", "alert_dispatched", "alert_acknowledged", "vitals_rejected", "login")
 
 MAX_PAYLOAD_BYTES = 4096
 STREAM_WINDOW_SIZE = 8
@@ -64,7 +61,6 @@ REJECT_NO_PATIENT = "missing required field: patient_id"
 REJECT_NO_TIMESTAMP = "missing required field: timestamp"
 REJECT_BAD_SOURCE = "source must be one of ['iot_sensor', 'mimic_replay', 'physionet_sim']"
 REJECT_CHANNELS_NOT_OBJECT = "channels must be an object"
-REJECT_CHANNEL_TYPE = "channel '{name}' must be a number or null, got {type}"
 INGEST_ACTOR = "ingestion_service"
 FAHRENHEIT_LABEL = "Temperature Fahrenheit"
 
