@@ -66,7 +66,10 @@ CORR_CTE = "cm AS (SELECT * FROM (" + _union([
     f"SELECT '{a}' AS channel_a, '{b}' AS channel_b, {_corr_cell(a, b)} AS corr FROM rw" for a in CH for b in CH]) + "))"
 
 
-@register("corr_matrix", S.with_(*S.RW, CORR_CTE) + "SELECT channel_a, channel_b, CASE WHEN isnan(corr) THEN NULL ELSE corr END AS corr FROM cm")
+ORACLE_CORR = S.with_(*S.RW, CORR_CTE) + "SELECT channel_a, channel_b, CASE WHEN isnan(corr) THEN NULL ELSE corr END AS corr FROM cm"
+
+
+@register("corr_matrix", ORACLE_CORR)
 def corr_matrix(spark, d):
     return round_doubles(eda.correlation_matrix(_rw(spark, d), CH))
 

@@ -14,7 +14,7 @@ from wardline.catalog import metrics as M
 from wardline.catalog import more
 from wardline.catalog import sql as S
 from wardline.catalog.registry import r6, register, round_doubles
-from wardline.operators import focal, ml, ranking
+from wardline.operators import focal, ml, moments, ranking
 from wardline.operators import windows as win
 from wardline.plans import conform as conform_plan
 from wardline.plans import eda_report, explain
@@ -172,3 +172,30 @@ def focal_classifier(spark, d):
     model, _ = focal.train_focal_classifier(windows, max_iter=8)
     test = windows.filter("split = 'test'").select(KEY, "window_end_idx", "y", "X")
     return ml.score(test, model).select(KEY, "window_end_idx", "y", r6("probability").alias("probability"))
+
+
+# --- statistics kept up to date ---------------------------------------------------------------------
+
+def _daily(spark, d):
+    """Moments by day in three additions, the last of which brings the second one's first day again."""
+    rw = standin.readings_wide(spark, d).withColumn("day", F.to_date("hr"))
+    rw = write_scratch(rw, "readings-by-day")
+    days = [r[0] for r in rw.select("day").distinct().orderBy("day").collect()]
+    path = scratch_path(spark, "moments")
+    third = max(1, len(days) // 3)
+    for lo, hi in ((0, third), (third, 2 * third), (third, third + 1), (2 * third, len(days))):
+        if days[lo:hi]:
+            moments.add_days(rw.filter(F.col("day").isin(days[lo:hi])), CH, "day", path)
+    return spark.read.parquet(path)
+
+
+@register("corr_by_day", E.ORACLE_CORR)
+def corr_by_day(spark, d):
+    """F6 from daily moments."""
+    return round_doubles(moments.correlation(_daily(spark, d)))
+
+
+@register("stats_by_day", f"SELECT channel, count, mean, std, pct_missing FROM ({E.DESC_SQL})")
+def stats_by_day(spark, d):
+    """F2 + F4 from daily moments."""
+    return round_doubles(moments.channel_statistics(_daily(spark, d)))

@@ -90,24 +90,25 @@ def correlation_matrix(df: DataFrame, channels: Sequence[str], min_periods: int
     """pairwise-complete Pearson, null when fewer than ``min_periods`` joint observations.
 
     Sufficient statistics of all pairs are matrix products within an Arrow batch
-    (values less their column's mean, so that squares do not cancel); batches add
-    up by pair with map-side combine. Output is tall (channel_a, channel_b, corr)
+    (values less their column's mean, so that squares do not cancel); a task adds up its
+    batches before it emits a row for each pair. The columns are written once for both passes. Output is tall (channel_a, channel_b, corr)
     for every ordered pair.
     """
     channels = list(channels)
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in channels])
+    values = reliable_checkpoint(df.select(*[F.col(c).cast("double").alias(c) for c in channels]))
     means = values.agg(*[F.coalesce(F.avg(F.nanvl(c, F.lit(None).cast("double"))), F.lit(0.0)).alias(c) for c in channels]).first()
     centre = np.array([means[c] for c in channels])
     upper = np.triu_indices(len(channels))
 
     def products(batches):
+        total = np.zeros((6, len(channels), len(channels)))
         for pdf in batches:
             x = pdf.to_numpy(float) - centre
             m = np.isfinite(x)
             x = np.where(m, x, 0.0)
-            m = m.astype(float)
-            sums = {"n": m.T @ m, "sx": x.T @ m, "sy": m.T @ x, "sxx": (x * x).T @ m, "syy": m.T @ (x * x), "sxy": x.T @ x}
-            yield pd.DataFrame({"a": upper[0], "b": upper[1], **{k: v[upper] for k, v in sums.items()}})
+            m, xx = m.astype(float), x * x
+            total += [m.T @ m, x.T @ m, m.T @ x, xx.T @ m, m.T @ xx, x.T @ x]
+        yield pd.DataFrame({"a": upper[0], "b": upper[1], **{k: v[upper] for k, v in zip(names, total, strict=True)}})
 
     names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
     part = values.mapInPandas(products, "a int, b int, " + ", ".join(f"{k} double" for k in names))
