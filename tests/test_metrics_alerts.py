@@ -184,7 +184,7 @@ def test_transfer_functions_equal_following_the_rows():
 
     from wardline.operators import cooldown as C
     rnd = random.Random(3)
-    for _ in range(300):
+    for _ in range(100):
         cd, span, rows = 10, 40, []
         for k in range(rnd.randint(1, 5)):
             times = sorted(rnd.randrange(40) for _ in range(rnd.randint(1, 14)))
