@@ -81,3 +81,14 @@ def test_once_only_landing_keeps_late_rows_and_bounds_its_state(spark):
     last = int(batches[-1].split("=")[1])
     assert [r.id for r in once.new_rows(again, out, last, ["id"], 4).collect()] in ([4], [])
     assert [r.id for r in once.new_rows(again, out, last + 1, ["id"], 4).collect()] == []
+
+
+def test_once_only_landing_begins_with_an_empty_file(spark):
+    from wardline.streaming import once
+    base = tempfile.mkdtemp(prefix="wl-once-empty-")
+    src, schema = os.path.join(base, "src"), "id long, note string"
+    for rows in ([], [(1, "a"), (2, "b"), (None, "c")], [(2, "b"), (3, "d")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = once.land_once(s, ["id"], os.path.join(base, "out"), os.path.join(base, "ckpt"), horizon="0 seconds")
+    assert sorted(got.collect(), key=str) == sorted([(1, "a"), (2, "b"), (3, "d"), (None, "c")], key=str)

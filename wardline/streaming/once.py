@@ -36,7 +36,10 @@ def new_rows(batch: DataFrame, path: str, batch_id: int, keys: Sequence[str], bu
     if not files.path_exists(spark, path):
         return batch
     touched = [r[0] for r in batch.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
-    landed = spark.read.parquet(path).filter((F.col("_batch") < batch_id) & F.col("_bucket").isin(touched))
+    # the schema is given: after micro-batches without rows (an empty file) the table has folders but no files
+    columns = [f"`{k}` {batch.schema[k].dataType.simpleString()}" for k in keys]
+    landed = (spark.read.schema(", ".join([*columns, "_batch long", "_bucket int"])).parquet(path)
+              .filter((F.col("_batch") < batch_id) & F.col("_bucket").isin(touched)))
     known = landed.select(F.col("_bucket").alias("_b"), *[F.col(k).alias(f"_k_{k}") for k in keys])
     same = F.col("_bucket") == F.col("_b")
     for k in keys:
