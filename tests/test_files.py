@@ -76,6 +76,22 @@ def test_limit_goes_by_full_path(spark):
     assert {r.patient_id for r in got.collect()} == {"p000009"}
 
 
+def test_patient_files_are_opened_once(spark):
+    root = tempfile.mkdtemp(prefix="wl-once-open-")
+    conf = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism")}
+    df = spark.createDataFrame([("p1", "A", 1, 80.0, 0), ("p1", "A", 2, None, 1), ("p2", "B", 1, 70.0, 0)],
+                               "patient_id string, set string, ICULOS int, HR double, SepsisLabel int")
+    files.write_patient_files(df, root, ["HR", "ICULOS", "SepsisLabel"])
+    got = files.read_patient_files(spark, root, ["set=A", "set=B"], None, ["patient_id", "HR", "ICULOS", "SepsisLabel"],
+                                   suffix=".txt", key_pattern="patient_id=([^/]+)/")
+    for folder, _, names in os.walk(root):
+        for name in names:
+            with open(os.path.join(folder, name), "w") as f:
+                f.write("changed")
+    assert [tuple(r) for r in got.collect()] == [("p1", 80.0, 1, 0), ("p1", None, 2, 1), ("p2", 70.0, 1, 0)]
+    assert {k: spark.conf.get(k) for k in conf} == conf
+
+
 def test_csv_table_and_topic_stream(spark):
     d = tempfile.mkdtemp(prefix="wl-csv-")
     with open(os.path.join(d, "d_items.csv"), "w") as f:

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline import vocab
+from wardline.session import write_scratch
 
 
 def _cell(m: Column, name: str, dtype: str) -> Column:
@@ -34,7 +36,26 @@ def read_patient_files(spark: SparkSession, root: str, set_names: Sequence[str],
     empty input is an error; so is an expected column absent from every file. ``limit`` keeps the first N files
     in the order of their full paths (A2); no other file is opened. NaN text becomes NULL (C1).
     """
-    paths = [os.path.join(root, s) for s in set_names]
+    with _small_files(spark):
+        return _read_patient_files(spark, [os.path.join(root, s) for s in set_names], limit, columns, key, time, label, suffix, key_pattern)
+
+
+@contextmanager
+def _small_files(spark: SparkSession):
+    """Scans inside take some thousand small files a task, not some dozens, and a task lists many folders, not one."""
+    new = {"spark.sql.files.openCostInBytes": "65536",
+           "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism)}
+    old = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def _read_patient_files(spark, paths, limit, columns, key, time, label, suffix, key_pattern) -> DataFrame:
     if limit is not None:  # a listing, without contents
         listed = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", True).load(paths)
         paths = [r[0] for r in listed.select("path").orderBy("path").limit(limit).collect()] or paths
@@ -42,7 +63,8 @@ def read_patient_files(spark: SparkSession, root: str, set_names: Sequence[str],
         .select(F.col("value"), F.col("_metadata.file_path").alias("_path"))
     stem = F.regexp_extract(F.col("_path"), key_pattern or r"([^/]+)" + suffix.replace(".", r"\.") + "$", 1)
     lines = F.filter(F.split(F.regexp_replace(F.col("value"), "\r", ""), "\n"), lambda s: F.trim(s) != "")
-    files = raw.select(stem.alias(key), F.split(lines[0], r"\|").alias("_header"), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))).alias("_rows"), "_path")
+    files = raw.select(stem.alias(key), F.split(lines[0], r"\|").alias("_header"), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))).alias("_rows"))
+    files = write_scratch(files, "patient-rows")  # each file is opened once, not by every job
     present = files.agg(F.array_distinct(F.flatten(F.collect_set("_header"))).alias("h")).collect()
     if not present or present[0]["h"] is None:
         raise FileNotFoundError(f"no {suffix} files under {paths}")
@@ -74,7 +96,9 @@ def write_patient_files(df: DataFrame, root: str, columns: Sequence[str], set_co
     line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NaN")) for c in columns])
     stays = df.groupBy(set_col, key).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), line.alias("line")))).alias("rows"))
     text = F.concat_ws("\n", F.lit("|".join(columns)), F.transform("rows", lambda r: r["line"]))
-    stays.select(set_col, key, text.alias("value")).write.mode("overwrite").partitionBy(set_col, key).text(root)
+    # tasks put their files in place themselves: version 1 has the driver move one after the other
+    (stays.select(set_col, key, text.alias("value")).write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+     .partitionBy(set_col, key).text(root))
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | str, columns: Sequence[str] | None = None) -> DataFrame:
