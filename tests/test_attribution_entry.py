@@ -57,6 +57,18 @@ def test_rf_importance_ranks_informative_first(spark):
     assert imp[0].channel == "informative" and abs(sum(r.importance for r in imp) - 1) < 1e-9
 
 
+def test_rf_importance_of_many_rows_comes_from_several_forests(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    inf, noise = rng.normal(size=500), rng.normal(size=500)
+    df = spark.createDataFrame([(float(a), float(b), int(a > 0)) for a, b in zip(inf, noise)], "informative double, noise double, y int")
+    monkeypatch.setattr(ml, "FOREST_COUNTS", 500 * 4)
+    fits, fit = [], ml.RandomForestClassifier.fit
+    monkeypatch.setattr(ml.RandomForestClassifier, "fit", lambda self, data: fits.append((self.getNumTrees(), self.getSeed())) or fit(self, data))
+    imp = ml.rf_importance(df, ["informative", "noise"], "y", num_trees=10, max_depth=4).collect()
+    assert [n for n, _ in fits] == [4, 4, 2] and len({s for _, s in fits}) == 3
+    assert imp[0].channel == "informative" and abs(sum(r.importance for r in imp) - 1) < 1e-9
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
