@@ -113,6 +113,39 @@ def test_ingest_lands_accepted_rejected_and_provisions_once(spark):
     assert sorted(r.patient_id for r in spark.read.parquet(paths["patients"]).collect()) == ["p1", "p3"]
 
 
+def test_parts_of_several_files_are_landed_one_after_the_other(spark):
+    base = tempfile.mkdtemp(prefix="wl-parts-")
+    src, schema = os.path.join(base, "src"), "message_id long, topic string, value string, arrival_ts timestamp"
+    os.makedirs(src)
+    value = json.dumps({"patient_id": "p1", "timestamp": "2024-01-01T00:00:00Z", "source": "iot_sensor", "channels": {"HR": 80}})
+    for part in range(2):
+        for j in range(2):
+            with open(os.path.join(src, f"m{part}{j}.json"), "w") as f:
+                f.write(json.dumps({"message_id": part * 10 + j, "topic": "icu/p1/vitals", "value": value, "arrival_ts": f"2024-01-01T0{part}:00:00Z"}))
+        jobs.land_validated(spark.readStream.schema(schema).json(src), os.path.join(base, "out"))
+    assert len([f for f in os.listdir(os.path.join(base, "out", "checkpoint_validated", "commits")) if f.isdigit()]) == 2
+    paths = jobs.ingest(spark, spark.readStream.schema(schema).json(src), base=os.path.join(base, "out"))
+    assert sorted(r.message_id for r in spark.read.parquet(paths["accepted"]).collect()) == [0, 1, 10, 11]
+
+
+def test_state_partitions_are_bounded_and_rows_ordered(spark):
+    import numpy as np
+    name, old = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(name, "1000")
+    with state.typed_state(spark):
+        assert int(spark.conf.get(name)) == state.STORES_PER_CORE * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(name) == "1000"
+    spark.conf.set(name, old)
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n = int(rng.integers(1, 30))
+        df = pd.DataFrame({"t": rng.choice([1.0, 2.0, np.nan], n), "id": rng.integers(0, 3, n), "x": np.where(rng.random(n) < 0.5, rng.random(n), np.nan)})
+        got = state._rows(iter([df.iloc[:n // 2], df.iloc[n // 2:]]), ["t", "id"])
+        assert got.equals(df.sort_values(["t", "id"], kind="stable"))
+        values = np.vstack([[np.nan, 1.0], df[["x", "t"]].to_numpy()])
+        assert np.array_equal(state._forward_filled(values), pd.DataFrame(values).ffill().to_numpy(), equal_nan=True)
+
+
 def test_payload_encoding_nulls_and_hours(spark):
     df = spark.createDataFrame([("p1", 1, pd.Timestamp("2024-01-01 05:00").to_pydatetime(), 80.0, float("nan")), ("p1", 2, pd.Timestamp("2024-01-01 09:00").to_pydatetime(), None, 37.0)],
                                "patient_id string, ICULOS int, first_seen timestamp, HR double, Temp double")

@@ -105,15 +105,15 @@ LINEAR_INTERCEPT = -0.6
 VITAL_CHANNELS = {v: c for v, c in standin.VITAL_STANDIN.items() if c in LINEAR_CHANNELS}
 
 
-def _realtime(spark, messages, channels, medians, mean, std, score, version):
-    return jobs.realtime(spark, messages, channels, medians, mean, std, score, scratch_path(spark, "realtime"), version,
+def _realtime(spark, messages, channels, medians, mean, std, score, version, base=None):
+    return jobs.realtime(spark, messages, channels, medians, mean, std, score, base or scratch_path(spark, "realtime"), version,
                          cooldown_minutes=30, vital_names=standin.VITAL_STANDIN)
 
 
-def _linear_alerts(spark, d, messages):
+def _linear_alerts(spark, d, messages, base=None):
     med, mean, std = _train_stats(spark, d)
     return _realtime(spark, messages, LINEAR_CHANNELS, med, mean, std,
-                     jobs.linear_probability(LINEAR_WEIGHTS, LINEAR_INTERCEPT), "declared_linear")
+                     jobs.linear_probability(LINEAR_WEIGHTS, LINEAR_INTERCEPT), "declared_linear", base)
 
 
 def _linear_sql() -> str:
@@ -155,10 +155,10 @@ def stream_messages_alerts(spark, d):
 
 @register("stream_messages_alerts_batches", _linear_sql())
 def stream_messages_alerts_batches(spark, d):
-    """The same over micro-batches: the messages arrive in five files, one after the other."""
+    """The same over micro-batches: the messages arrive in five parts, one after the other, and each is landed before the next arrives."""
     msgs = standin.messages(spark, d)
     lo, hi = msgs.agg(F.min("arrival_ts").alias("lo"), F.max("arrival_ts").alias("hi")).first()
-    src = scratch_path(spark, "arrivals")
+    src, base = scratch_path(spark, "arrivals"), scratch_path(spark, "realtime")
     cuts = [lo + (hi - lo) * k / 5 for k in range(1, 5)]
     for k in range(5):
         part = msgs
@@ -166,9 +166,11 @@ def stream_messages_alerts_batches(spark, d):
             part = part.filter(F.col("arrival_ts") >= F.lit(cuts[k - 1]).cast("timestamp_ntz"))
         if k < 4:
             part = part.filter(F.col("arrival_ts") < F.lit(cuts[k]).cast("timestamp_ntz"))
-        part.coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(msgs.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    return _alert_rows(spark, _linear_alerts(spark, d, stream))
+        part.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(msgs.schema).parquet(src)
+        # all files of a part are one micro-batch, so that they need not be a single one
+        jobs.land_validated(stream, os.path.join(base, "ingest"), LINEAR_CHANNELS, LINEAR_CHANNELS)
+    return _alert_rows(spark, _linear_alerts(spark, d, stream, base))
 
 
 _AUDIT_SQL = _linear_sql().rsplit("SELECT a.patient_id", 1)[0] + (

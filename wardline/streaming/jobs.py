@@ -83,13 +83,19 @@ def ingest(spark: SparkSession, messages_df: DataFrame, name: str = "ingest", ba
     log makes a replayed batch invisible to the stages that read it as a stream.
     """
     base = base or os.path.join(checkpoint_dir(spark), "streams", name)
+    land_validated(messages_df, base, vocabulary, channels)
     paths = {k: os.path.join(base, k) for k in ("validated", "rejected", "patients")}
-    v = messages.validate_messages(messages_df, "value", "topic", vocabulary=vocabulary, decode=channels)
-    run_available(v, paths["validated"], os.path.join(base, "checkpoint_validated"), partition_by=["accepted"])
     run_batches(validated_stream(spark, paths["validated"]), rejected_sink(paths["rejected"], paths["patients"]), os.path.join(base, "checkpoint"))
     return {**paths, "accepted": os.path.join(paths["validated"], "accepted=true")}
 
 
+def land_validated(messages_df: DataFrame, base: str, vocabulary: Sequence[str] | None = None,
+                   channels: Sequence[str] = vocab.CLINICAL_CHANNELS) -> None:
+    """The first step of ``ingest``: validate and land what is available."""
+    v = messages.validate_messages(messages_df, "value", "topic", vocabulary=vocabulary, decode=channels)
+    run_available(v, os.path.join(base, "validated"), os.path.join(base, "checkpoint_validated"), partition_by=["accepted"])
+
+
 def validated_stream(spark: SparkSession, path: str) -> DataFrame:
     """The landed table of validated messages as a stream."""
     # a folder's name gives text

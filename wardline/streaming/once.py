@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from wardline.session import scratch_path
 from wardline.sources import files
+from wardline.streaming.state import state_conf
 
 BUCKETS = 16
 
@@ -66,8 +67,9 @@ def land_once(stream: DataFrame, keys: Sequence[str], path: str, ckpt: str, arri
          .parquet(os.path.join(path, f"_batch={batch_id}")))
         files.delete_path(batch.sparkSession, staged)
 
-    q = fresh.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with state_conf(stream.sparkSession):
+        q = fresh.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+        q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
     spark = stream.sparkSession

@@ -30,23 +30,58 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# Each partition of a state store is opened, committed and uploaded in every micro-batch.
+STORES_PER_CORE = 4
+
+
 @contextmanager
-def typed_state(spark: SparkSession):
-    """Queries started inside keep their state in the store that typed variables need."""
-    old = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKSDB)
+def state_conf(spark: SparkSession, settings: Mapping[str, str] | None = None):
+    """Queries started inside for the first time have no more state partitions than a few for each core."""
+    shuffle = "spark.sql.shuffle.partitions"
+    most = STORES_PER_CORE * spark.sparkContext.defaultParallelism
+    new = {shuffle: str(min(int(spark.conf.get(shuffle)), most)), **(settings or {})}
+    old = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if old is None:
-            spark.conf.unset(STORE)
-        else:
-            spark.conf.set(STORE, old)
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def typed_state(spark: SparkSession):
+    """Queries started inside keep their state in the store that typed variables need."""
+    return state_conf(spark, {STORE: ROCKSDB})
 
 
 def _rows(pdfs: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
     """A key's rows of one micro-batch in the order of the job's clock."""
-    return pd.concat(list(pdfs), ignore_index=True).sort_values(list(order), kind="stable")
+    parts = list(pdfs)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    keys = [rows[c].to_numpy() for c in reversed(order)]
+    if any(k.dtype == object for k in keys):
+        return rows.sort_values(list(order), kind="stable")
+    at = np.lexsort(keys)  # nulls come last
+    return rows if (at[1:] > at[:-1]).all() else rows.take(at)
+
+
+def _micros(c: str):
+    """A time as a number: pandas converts times one series at a time, which for a few rows costs more than the rows."""
+    return F.unix_micros(F.col(c).cast("timestamp")).alias(c)
+
+
+def _forward_filled(values: np.ndarray) -> np.ndarray:
+    """Each column's last value up to each row; NaN before the first."""
+    at = np.where(np.isnan(values), 0, np.arange(len(values))[:, None])
+    return values[np.maximum.accumulate(at, axis=0), np.arange(values.shape[1])]
+
+
+def _or_none(values: np.ndarray) -> list:
+    return np.where(np.isnan(values), None, values).tolist()
 
 
 class WindowProcessor(StatefulProcessor):
@@ -80,10 +115,10 @@ class WindowProcessor(StatefulProcessor):
         batch = _rows(rows, self.order)
         values = batch[self.channels].to_numpy(dtype=float)
         # causal fill, vectorised: carried last-known values first, then forward fill, then medians
-        filled = pd.DataFrame(np.vstack([last[None, :], values])).ffill().to_numpy()[1:]
+        filled = _forward_filled(np.vstack([last[None, :], values]))[1:]
         raw = np.where(np.isnan(filled), self.medians, filled)
         seq = np.vstack([held, ((raw - self.mean) / self.std).astype(np.float32)])
-        self.last_known.update(([None if np.isnan(v) else float(v) for v in filled[-1]],))
+        self.last_known.update((_or_none(filled[-1]),))
         self._hold(seq, len(held))
         _restart_timer(self.handle, timerValues, self.idle_ms)
         if len(seq) < size:
@@ -96,7 +131,7 @@ class WindowProcessor(StatefulProcessor):
             self.key: [key[0]] * len(at), "message_id": batch["message_id"].to_numpy()[at],
             "window_end": batch["timestamp"].to_numpy()[at], "created_at": batch[self.order[0]].to_numpy()[at],
             "X": list(windows[here].reshape(-1, size * n)),
-            "reading": [[None if np.isnan(v) else float(v) for v in r] for r in values[at]]})
+            "reading": _or_none(values[at])})
 
     def _hold(self, seq: np.ndarray, held: int) -> None:
         """Append what is new while the list is not full, else put the newest readings in its place."""
@@ -137,10 +172,13 @@ def stream_windows(readings: DataFrame, channels: Sequence[str], medians, mean,
     ``order``, the job's clock. With ``idle_ms`` the state of a patient without
     readings for so long is dropped.
     """
-    schema = (f"{key} {readings.schema[key].dataType.simpleString()}, message_id long, window_end timestamp, "
-              "created_at timestamp, X array<float>, reading array<double>")
+    schema = (f"{key} {readings.schema[key].dataType.simpleString()}, message_id long, window_end long, "
+              "created_at long, X array<float>, reading array<double>")
     processor = WindowProcessor(channels, medians, mean, std, window_size, order, idle_ms, key)
-    return readings.groupBy(key).transformWithStateInPandas(processor, schema, "append", _time_mode(idle_ms))
+    times = dict.fromkeys(["timestamp", order[0]])
+    numbered = readings.select(key, "message_id", *[_micros(c) for c in times], *channels)
+    windows = numbered.groupBy(key).transformWithStateInPandas(processor, schema, "append", _time_mode(idle_ms))
+    return windows.withColumns({c: F.timestamp_micros(c) for c in ("window_end", "created_at")})
 
 
 def raised_positions(us: np.ndarray, rank: np.ndarray, cd_us: int, last_us: int | None, last_rank: int | None) -> list[int]:
@@ -163,10 +201,13 @@ def raised_positions(us: np.ndarray, rank: np.ndarray, cd_us: int, last_us: int
     return keep
 
 
+NO_TIME = np.iinfo(np.int64).min
+
+
 class CooldownProcessor(StatefulProcessor):
     """J8 in streaming form: state = time and rank of the entity's last alert (``last_alert``, a value).
 
-    The clock is ``created_at``, the time a prediction was made, which only
+    The clock is ``created_at``, the time a prediction was made in microseconds, which only
     grows from one micro-batch to the next: how rows are dealt to micro-batches
     then does not matter. A row that is older than the last alert is inside its
     cooldown unless its rank is higher. With ``idle_ms`` the state expires so long after it was written.
@@ -184,15 +225,17 @@ class CooldownProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = _rows(rows, ["created_at", "id"])
         raised = np.zeros(len(batch), bool)
-        triggered = np.flatnonzero(batch["risk_level"].isin(self.levels))
+        levels = batch["risk_level"].tolist()
+        triggered = np.array([i for i, level in enumerate(levels) if level in self.levels], dtype=int)
         if len(triggered):
-            us = batch["created_at"].astype("datetime64[us]").astype("int64").to_numpy()[triggered]
-            ranks = np.array([vocab.RISK_RANK.get(level, 0) for level in batch["risk_level"].iloc[triggered]], dtype=int)
+            us = batch["created_at"].fillna(NO_TIME).to_numpy().astype("int64")[triggered]
+            ranks = np.array([vocab.RISK_RANK.get(levels[i], 0) for i in triggered], dtype=int)
             keep = raised_positions(us, ranks, self.cooldown_us, *(self.last_alert.get() or (None, None)))
             if keep:
                 self.last_alert.update((int(us[keep[-1]]), int(ranks[keep[-1]])))
                 raised[triggered[keep]] = True
-        yield batch[self.columns].assign(raised=raised)
+        batch = batch if list(batch.columns) == self.columns else batch[self.columns]
+        yield batch.assign(raised=raised)
 
     def close(self) -> None:
         pass
@@ -203,9 +246,12 @@ def flag_alerts(preds: DataFrame, cooldown_minutes: float = vocab.ALERT_COOLDOWN
     """Predictions stream with ``raised``: whether the prediction raises an alert (same rule as the batch form)."""
     p = preds.select("patient_id", "id", F.col("created_at").cast("timestamp").alias("created_at"), "risk_level",
                      "sepsis_probability", *carry)
-    processor = CooldownProcessor(p.columns, cooldown_minutes, levels, idle_ms)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.schema.fields)
-    return p.groupBy("patient_id").transformWithStateInPandas(processor, f"{schema}, raised boolean", "append", _time_mode(idle_ms))
+    times = [f.name for f in p.schema.fields if f.dataType.typeName() == "timestamp"]
+    numbered = p.withColumns({c: _micros(c) for c in times})
+    processor = CooldownProcessor(numbered.columns, cooldown_minutes, levels, idle_ms)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema.fields)
+    flagged = numbered.groupBy("patient_id").transformWithStateInPandas(processor, f"{schema}, raised boolean", "append", _time_mode(idle_ms))
+    return flagged.withColumns({c: F.timestamp_micros(c) for c in times})
 
 
 def stream_alerts(preds: DataFrame, cooldown_minutes: float = vocab.ALERT_COOLDOWN_MINUTES,
