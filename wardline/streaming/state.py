@@ -55,7 +55,8 @@ def state_conf(spark: SparkSession, settings: Mapping[str, str] | None = None):
 
 def typed_state(spark: SparkSession):
     """Queries started inside keep their state in the store that typed variables need."""
-    return state_conf(spark, {STORE: ROCKSDB})
+    # a query with timers would run micro-batches without data for ever, and never have done all that is available
+    return state_conf(spark, {STORE: ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"})
 
 
 def _rows(pdfs: Iterator[pd.DataFrame], order: Sequence[str]) -> pd.DataFrame:
