@@ -231,3 +231,41 @@ def test_held_batches_are_all_used():
     whole = pa.RecordBatch.from_pydict({"h": [1, 1], "c": [1, 2], "first": [3, 4], "place": [5, 5], "bytes": [b"x" * 50] * 2})
     parts = [whole.slice(0, 1), whole.slice(1, 1)]
     assert [r["mask"] for b in suffix_dedup._mask_batches(iter(parts)) for r in b.to_pylist()] == [0, 1]
+
+
+def test_shared_anchors_come_from_packed_lists(spark, monkeypatch):
+    rnd = random.Random(11)
+    common = "a common phrase, of twenty-odd bytes"
+    rows = [(n // 2, "".join(rnd.choice("abcd ") for _ in range(60)) + common * rnd.randint(0, 2)) for n in range(80)]
+    ids, texts = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows])
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", 400)
+    lists = list(suffix_dedup._hash_lists(iter([pa.RecordBatch.from_arrays([ids, texts], ["id", "t"])])))
+    assert len(lists) > 5
+    pairs = {}
+    data, offsets = suffix_dedup.string_buffers(texts)
+    for own, h, *_ in suffix_dedup._blocks(offsets, data):
+        for r, x in zip(own.tolist(), h.view(np.int64).tolist(), strict=True):
+            pairs.setdefault(x, set()).add(rows[r][0])
+    whole = pa.Table.from_batches(lists).append_column("chunk", pa.array(range(len(lists)), pa.int64()))
+    # a list sends at most two entries of a hash, however many documents have it
+    for batch in suffix_dedup._ranges(6)(iter(whole.combine_chunks().to_batches())):
+        for packed in batch.column("hs"):
+            assert np.unique(suffix_dedup._numbers(packed)[0], return_counts=True)[1].max() <= 2
+    want = {}
+    for x, owners in pairs.items():
+        for i in owners if len(owners) > 1 else ():
+            want.setdefault(i, set()).add(x)
+    df = spark.createDataFrame(whole.to_pandas())
+    got = {r.id: set(np.concatenate([np.frombuffer(w, np.int64) for w in r.wanted]).tolist()) for r in suffix_dedup._wanted(df).collect()}
+    assert want and got == want
+
+
+def test_suffix_keys_of_many_groups_keep_their_order():
+    # groups beyond 16 bits and bytes above 127 stand in their order
+    rnd = np.random.default_rng(12)
+    span = suffix_dedup.SPAN
+    text = rnd.integers(250, 256, span).astype(np.uint8)
+    data = np.concatenate([text, text, text, text])
+    starts, ids = np.arange(4) * span, np.array([1, 2, 3, 4])
+    got = suffix_dedup.longest_previous(data, starts, np.array([1 << 16, 1, 1 << 16, 1 << 33]), ids)
+    assert got.tolist() == [0, 0, span, 0]

@@ -7,8 +7,10 @@ among the GRAM-byte grams of the SPAN-byte string (its leftmost place). One
 anchor serves a run of neighbouring string starts, about 16 of them.
 
 1. Copies: of rows with one text the smallest id stands for all; the others go as a whole.
-2. Anchors: the anchor hashes of every text are written once; hashes of two or more
-   documents are kept (aggregates with map-side combine).
+2. Anchors: the anchor hashes are written once, in sorted lists of some _CHUNK bytes of texts.
+   The lists are cut by hash range and ranges brought together; hashes of two or more documents
+   are kept. A hash stands at most twice in what a list sends (its least and its greatest id), so
+   a common one is no large group.
 3. Contexts: the bytes around each kept anchor, i.e. all SPAN-byte strings that
    it serves, named by a hash made where the text is; equal contexts are one row with its
    smallest id, so a passage that stands in a third of all documents is a few rows.
@@ -49,8 +51,9 @@ WIDTH = SPAN - GRAM + 1
 GROUP_CONTEXTS = 1 << 14
 _PLACE_BITS = np.uint64(22)
 _PLACE = np.uint64((1 << 22) - 1)
-# Bytes worked on at once: their 64-bit temporaries stay in a core's cache.
+# Bytes of a block of texts, and those whose 64-bit temporaries stay in a core's cache.
 _PIECE = 1 << 18
+_CACHED = 1 << 15
 _BASE, _BASE2, _BASE4, _BASE8 = (np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8))
 WORDS = -(-SPAN // 8)
 # bytes as 64-bit numbers for the names of contexts
@@ -82,60 +85,158 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(sixteen[:-4] * _BASE4 + four[16:])
 
 
-def _anchors_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of consecutive texts (``ends``: where each place's text ends).
-
-    Returns anchor hash, anchor place, first and last string start that it serves.
-    """
+def _lowest_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gram hash of each place, and for each string start the lowest of its grams (hash with the place in its last bits)."""
     n = len(data) - SPAN + 1
-    if n < 1:
-        empty = np.zeros(0, np.int64)
-        return empty.astype(np.uint64), empty, empty, empty
-    h = _gram_hashes(data)
-    low = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
-    size = 1
-    while size * 2 <= WIDTH:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
-    if size < WIDTH:
-        low = np.minimum(low[:len(low) - (WIDTH - size)], low[WIDTH - size:])
-    starts = np.flatnonzero(ends[:n] - np.arange(n) >= SPAN)
-    place = (low[starts] & _PLACE).astype(np.int64)
-    if not len(starts):
-        return h[:0], place, starts, starts
-    new = np.ones(len(starts), bool)
-    new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(starts)) - 1
-    return h[place[first]], place[first], starts[first], starts[last]
+    hashes, lowest = np.empty(n + WIDTH - 1, np.uint64), np.empty(n, np.uint64)
+    for a in range(0, n, _CACHED):
+        b = min(a + _CACHED, n)
+        h = hashes[a:b + WIDTH - 1]
+        h[:] = _gram_hashes(data[a:b + SPAN - 1])
+        low = (h & ~_PLACE) | np.arange(a, a + len(h), dtype=np.uint64)
+        size = 1
+        while size * 2 <= WIDTH:
+            low = np.minimum(low[:-size], low[size:])
+            size *= 2
+        lowest[a:b] = np.minimum(low[:b - a], low[WIDTH - size:][:b - a])
+    return hashes, lowest
+
+
+def _anchors_of(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Anchors of consecutive texts, each of SPAN bytes at least (``begin``, ``stop``: where each begins and stops).
+
+    Returns text, anchor hash, anchor place, first and last string start that it serves.
+    """
+    hashes, lowest = _lowest_grams(data)
+    cut = np.flatnonzero(lowest[1:] != lowest[:-1]) + 1
+    text = np.searchsorted(begin, cut, side="right") - 1
+    cut = cut[(text >= 0) & (cut > begin[text]) & (cut <= stop[text] - SPAN)]
+    first = np.sort(np.concatenate([begin, cut]))
+    text = np.searchsorted(begin, first, side="right") - 1
+    last = np.minimum(np.append(first[1:], len(data)) - 1, stop[text] - SPAN)
+    place = (lowest[first] & _PLACE).astype(np.int64)
+    return text, hashes[place], place, first, last
 
 
 def _blocks(offsets: np.ndarray, data: np.ndarray, named: bool = False):
     """Anchors with the row of each (and the names of their contexts) over blocks of rows and pieces of long rows."""
     for lo, hi in row_blocks(offsets, _PIECE):
         start, end = int(offsets[lo]), int(offsets[hi])
-        rows = np.repeat(np.arange(lo, hi), np.diff(offsets[lo:hi + 1]))
         for a in range(start, max(end - SPAN + 1, start), _PIECE):
             b = min(a + _PIECE + SPAN - 1, end)
-            ends = offsets[rows[a - start:b - start] + 1] - a
-            h, place, first, last = _anchors_of(data[a:b], ends)
+            begin, stop = (np.clip(x, a, b) - a for x in (offsets[lo:hi], offsets[lo + 1:hi + 1]))
+            rows = np.flatnonzero(stop - begin >= SPAN)
+            if not len(rows):
+                continue
+            text, h, place, first, last = _anchors_of(data[a:b], begin[rows], stop[rows])
             names = (_context_names(data[a:b], place, first, last + SPAN).view(np.int64),) if named else ()
-            yield rows[first + a - start], h, place + a, first + a, last + a, *names
+            yield rows[text] + lo, h, place + a, first + a, last + a, *names
 
 
-def _hash_lists(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Anchor hashes of each text."""
-    for texts in batches:
-        data, offsets = string_buffers(texts)
-        owners, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for rows, h, *_ in _blocks(offsets, data):
-            owners.append(rows)
-            hashes.append(h.view(np.int64))
-        cuts = np.searchsorted(np.concatenate(owners), np.arange(len(offsets)))
-        yield pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(hashes)))
+def _group_starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a row of sorted keys differs from the one before it."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _packed(cuts: np.ndarray, values: np.ndarray) -> pa.BinaryArray:
+    """Stretches of 64-bit numbers as bytes, which Spark moves without looking at each number."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 8).astype(np.int32)),
+                                                              pa.py_buffer(np.ascontiguousarray(values, np.int64))])
+
 
+def _numbers(*packed: pa.Scalar) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.int64) for x in packed]
+
+
+ANCHORS = "n long, hs binary, ids binary"
+# bytes of text in one list of anchors, and anchors that come together in one range of hashes
+_CHUNK = 1 << 22
+_RANGE = 1 << 19
+
+
+def _hash_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every _CHUNK bytes of texts: the different pairs of anchor hash and id, in their order."""
+    for batch in batches:
+        for ids, texts in ((i, t) for t, i in blocks_of(_CHUNK, batch.column("t"), batch.column("id"))):
+            data, offsets = string_buffers(texts)
+            parts = [(h.view(np.int64), rows) for rows, h, *_ in _blocks(offsets, data)]
+            if not parts:
+                continue
+            h, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+            own = ids.to_numpy()[own]
+            order = np.lexsort((own, h))
+            h, own = h[order], own[order]
+            pick = _group_starts(h, own)
+            h, own = h[pick], own[pick]
+            cuts = np.array([0, len(h)])
+            yield pa.RecordBatch.from_arrays([pa.array(cuts[1:]), _packed(cuts, h), _packed(cuts, own)], ["n", "hs", "ids"])
+
+
+def _ranges(bits: int):
+    """Lists cut into 2 ** ``bits`` ranges of hashes; of a hash's ids the least and the greatest stay."""
+    edges = np.arange(-(1 << bits - 1), (1 << bits - 1) + 1)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, hs, ids in zip(*(batch.column(k) for k in ("chunk", "hs", "ids")), strict=True):
+                h, own = _numbers(hs, ids)
+                ends = np.zeros(len(h), bool)
+                first = _group_starts(h)
+                ends[first] = True
+                ends[np.append(first[1:], len(h)) - 1] = True
+                h, own = h[ends], own[ends]
+                cuts = np.searchsorted(h >> 64 - bits, edges)
+                some = np.flatnonzero(np.diff(cuts))
+                cuts = np.append(cuts[some], len(h))
+                yield pa.RecordBatch.from_arrays([pa.array(edges[some]), pa.repeat(chunk, len(some)), _packed(cuts, h), _packed(cuts, own)],
+                                                 ["part", "chunk", "hs", "ids"])
+
+    return cut
+
+
+def _shared_hashes(part: pa.Table) -> pa.Table:
+    """For each list with hashes in a range: those that stand in two or more documents."""
+    lists = [_numbers(*x) for x in zip(part.column("hs"), part.column("ids"), strict=True)]
+    h, own = (np.concatenate(x) for x in zip(*lists, strict=True))
+    order = np.argsort(h)
+    first = _group_starts(h[order])
+    own = own[order]
+    several = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
+    keep = np.zeros(len(h), bool)
+    keep[order] = np.repeat(several, np.diff(np.append(first, len(h))))
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x, _ in lists])])
+    stays = np.concatenate([[0], np.cumsum(keep)])[cuts]
+    out = pa.table([part.column("chunk"), _packed(stays, h[keep])], ["chunk", "hs"])
+    return out.filter(pa.array(np.diff(stays) > 0))
+
+
+def _wanted_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each id of a list: its hashes among the shared ones."""
+    for batch in batches:
+        for hs, ids, shared in zip(*(batch.column(k) for k in ("hs", "ids", "shared")), strict=True):
+            h, own = _numbers(hs, ids)
+            asked = np.sort(np.concatenate(_numbers(*shared.values)))
+            live = asked[np.minimum(np.searchsorted(asked, h), len(asked) - 1)] == h
+            h, own = h[live], own[live]
+            order = np.argsort(own, kind="stable")
+            h, own = h[order], own[order]
+            first = _group_starts(own)
+            yield pa.RecordBatch.from_arrays([pa.array(own[first]), _packed(np.append(first, len(h)), h)], ["id", "wanted"])
+
+
+def _wanted(lists: DataFrame) -> DataFrame:
+    """(id, wanted): the anchor hashes of each id that stand in two or more documents."""
+    total = lists.agg(F.sum("n")).first()[0] or 0
+    bits = max(6, (total // _RANGE).bit_length())
+    parts = lists.select("chunk", "hs", "ids").mapInArrow(_ranges(bits), "part long, chunk long, hs binary, ids binary")
+    shared = parts.groupBy("part").applyInArrow(_shared_hashes, "chunk long, hs binary")
+    shared = shared.groupBy("chunk").agg(F.collect_list("hs").alias("shared"))
+    found = lists.select("chunk", "hs", "ids").join(shared, "chunk").select("hs", "ids", "shared")
+    found = found.mapInArrow(_wanted_hashes, "id long, wanted binary")
+    return found.groupBy("id").agg(F.collect_list("wanted").alias("wanted"))
 
-_hash_lists.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
 
 CONTEXT = "array<struct<h: long, c: long, at: int, served: int>>"
 BYTES = "array<struct<h: long, c: long, place: int, bytes: binary>>"
@@ -151,8 +252,11 @@ def _wanted_contexts(texts: pa.Array, wanted: pa.Array, once: bool):
     """(bytes, row offsets, then row, anchor hash, name, anchor place, first and last string start of each wanted
     context); ``once``: of equal contexts of a text the first only."""
     data, offsets = string_buffers(texts)
-    w_off, w = wanted.offsets.to_numpy(), wanted.values.to_numpy()  # offsets of a slice point into all values
-    asked = np.sort(_of_row(w[w_off[0]:w_off[-1]].view(np.uint64), np.repeat(np.arange(len(texts)), np.diff(w_off))))
+    own, w = np.repeat(np.arange(len(texts)), pc.list_value_length(wanted).to_numpy(zero_copy_only=False)), wanted.flatten()
+    if pa.types.is_binary(w.type):  # packed
+        own = np.repeat(own, pc.binary_length(w).to_numpy(zero_copy_only=False) // 8)
+        w = np.concatenate([np.zeros(0, np.int64), *_numbers(*w)])
+    asked = np.sort(_of_row(np.asarray(w).view(np.uint64), own))
     parts = []
     for rows, h, place, first, last, c in _blocks(offsets, data, True) if len(asked) else ():
         keys = _of_row(h, rows)
@@ -230,8 +334,11 @@ def longest_previous(data: np.ndarray, starts: np.ndarray, group: np.ndarray, id
     padded = np.concatenate([data, np.zeros(8 * WORDS, np.uint8)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 8 * WORDS)[starts].copy()
     words[:, SPAN:] = 0
-    words = np.ascontiguousarray(words).view(">u8").astype(np.uint64)
-    order = np.lexsort((*words.T[::-1], group))
+    # 16 bits a key, for which stable sorting takes time in proportion
+    keys = words[:, :SPAN + SPAN % 2].view(">u2").T.astype(np.uint16)
+    groups = [(group >> k & 0xFFFF).astype(np.uint16) for k in range(0, max(int(group.max(initial=0)).bit_length(), 1), 16)]
+    order = np.lexsort((*keys[::-1], *groups))
+    words = words.view(">u8").astype(np.uint64)
     words, g, i = words[order], group[order], ids[order]
     shared = _common_prefixes(words)
     shared[1:][g[1:] != g[:-1]] = 0
@@ -386,14 +493,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long_rows = rows.filter(F.col("id").isNotNull() & (F.octet_length("t") >= SPAN)).withColumn("th", F.xxhash64("t"))
     copies = _later_copies(long_rows)
     texts = long_rows.join(broadcast_if_small(copies.df, 24), ["id", "th"], "left_anti")
-    lists = Landed(texts.select("id", F.arrow_udf(_hash_lists, "array<long>")("t").alias("hs")), "suffix-anchors")
-    anchors = lists.df.select("id", F.explode("hs").alias("h"))
-    shared = (anchors.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-              .filter("lo < hi").select("h"))
-    shared = Landed(shared, "suffix-shared")
-    wanted = anchors.join(shared.df, "h", "left_semi").groupBy("id").agg(F.collect_list("h").alias("wanted"))
-    wanted = Landed(wanted, "suffix-wanted")
-    shared.drop()
+    lists = texts.select("id", "t").mapInArrow(_hash_lists, ANCHORS)
+    lists = Landed(lists.withColumn("chunk", F.monotonically_increasing_id()), "suffix-anchors")
+    wanted = Landed(_wanted(lists.df), "suffix-wanted")
     lists.drop()
     found = texts.join(wanted.df, "id").select("id", "th", F.explode(F.arrow_udf(_contexts, CONTEXT)("t", "wanted")).alias("x"))
     found = Landed(found.select("id", "th", "x.*"), "suffix-contexts")
