@@ -152,7 +152,7 @@ def _numbers(*packed: pa.Scalar) -> list[np.ndarray]:
 
 ANCHORS = "n long, hs binary, ids binary"
 # bytes of text in one list of anchors, and anchors that come together in one range of hashes
-_CHUNK = 1 << 22
+_CHUNK = 1 << 23
 _RANGE = 1 << 19
 
 
