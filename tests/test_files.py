@@ -92,6 +92,24 @@ def test_patient_files_are_opened_once(spark):
     assert {k: spark.conf.get(k) for k in conf} == conf
 
 
+def test_tasks_write_patient_files_themselves(spark):
+    root, spark_root = (os.path.join(tempfile.mkdtemp(prefix="wl-stays-"), "files") for _ in range(2))
+    keys = ["p1", "p 2", "a/b:c=d%e'f\"g#h*i?j\\k{l}[m]^n\u007fo\u0001é", None, ""]
+    df = spark.createDataFrame([(k, "A", t, 80.0 + t) for k in keys for t in (2, 1)], "patient_id string, set string, ICULOS int, HR double")
+    for _ in range(2):  # a second time in place of the first
+        files.write_patient_files(df, root, ["HR", "ICULOS"])
+    df.select("set", "patient_id", "HR").write.partitionBy("set", "patient_id").parquet(spark_root)
+    folders = sorted(os.listdir(os.path.join(root, "set=A")))
+    assert folders == sorted(os.listdir(os.path.join(spark_root, "set=A"))) and len(folders) == 4
+    for name in folders:  # one file a patient and nothing beside it: no checksum file, for which Hadoop starts a process
+        assert os.listdir(os.path.join(root, "set=A", name)) == ["part-00000.txt"]
+    with open(os.path.join(root, "set=A", "patient_id=p1", "part-00000.txt")) as f:
+        assert f.read() == "HR|ICULOS\n81.0|1\n82.0|2\n"
+    assert "_SUCCESS" in os.listdir(root)
+    got = files.read_patient_files(spark, root, ["set=A"], None, ["patient_id", "HR", "ICULOS"], suffix=".txt", key_pattern="patient_id=([^/]+)/")
+    assert got.count() == 10
+
+
 def test_csv_table_and_topic_stream(spark):
     d = tempfile.mkdtemp(prefix="wl-csv-")
     with open(os.path.join(d, "d_items.csv"), "w") as f:

@@ -9,9 +9,12 @@ every file by the first file's header (Q3).
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+import re
+import uuid
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,14 +94,53 @@ def write_patient_files(df: DataFrame, root: str, columns: Sequence[str], set_co
                         time: str = vocab.TIME_COLUMN) -> None:
     """One pipe-separated file with a header for each patient, below ``root/<set_col>=<set>/<key>=<patient>``; NULL as NaN.
 
-    A file holds one patient's stay, which bounds the text made for it.
+    A file holds one patient's stay, which bounds the text made for it. In a folder that is mounted (``file:``) the
+    tasks write the files themselves: Hadoop's local file system starts a process for every file and folder it makes.
     """
     line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NaN")) for c in columns])
-    stays = df.groupBy(set_col, key).agg(F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), line.alias("line")))).alias("rows"))
-    text = F.concat_ws("\n", F.lit("|".join(columns)), F.transform("rows", lambda r: r["line"]))
-    # tasks put their files in place themselves: version 1 has the driver move one after the other
-    (stays.select(set_col, key, text.alias("value")).write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-     .partitionBy(set_col, key).text(root))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), line.alias("line")))).alias("rows")
+    text = F.concat_ws("\n", F.lit("|".join(columns)), F.transform("rows", lambda r: r["line"])).alias("value")
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = fs.makeQualified(path).toUri()
+    if uri.getScheme() != "file":
+        stays = df.groupBy(set_col, key).agg(rows)
+        # tasks put their files in place themselves: version 1 has the driver move one after the other
+        (stays.select(set_col, key, text).write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+         .partitionBy(set_col, key).text(root))
+        return
+    fs.delete(path, True)
+    fs.mkdirs(path)
+    # null and empty keys share a folder, and so a file
+    folders = [F.nullif(F.col(c).cast("string"), F.lit("")).alias(f"_folder{k}") for k, c in enumerate((set_col, key))]
+    stays = df.groupBy(*folders).agg(rows).select("_folder0", "_folder1", text)
+    stays.mapInArrow(_stay_writer(uri.getPath(), set_col, key), "n long").agg(F.sum("n")).collect()
+    fs.create(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")).close()
+
+
+def _folder(column: str, value: str | None) -> str:
+    """Name of a partition folder as Spark writes it."""
+    if value is None:
+        return f"{column}=__HIVE_DEFAULT_PARTITION__"
+    return f"{column}=" + re.sub(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def _stay_writer(root: str, set_col: str, key: str):
+    """Writes a file a row (set, key, text). Each is put in place whole under one name, so a task that runs again changes nothing."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, patient, text in zip(*batch.columns, strict=True):
+                folder = os.path.join(root, _folder(set_col, part.as_py()), _folder(key, patient.as_py()))
+                os.makedirs(folder, exist_ok=True)
+                hidden = os.path.join(folder, f".{uuid.uuid4().hex}")
+                with open(hidden, "wb") as f:
+                    f.write(text.as_buffer())
+                    f.write(b"\n")
+                os.replace(hidden, os.path.join(folder, "part-00000.txt"))
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    return write
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | str, columns: Sequence[str] | None = None) -> DataFrame:
