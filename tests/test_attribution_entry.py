@@ -69,6 +69,28 @@ def test_rf_importance_of_many_rows_comes_from_several_forests(spark, monkeypatc
     assert imp[0].channel == "informative" and abs(sum(r.importance for r in imp) - 1) < 1e-9
 
 
+def test_rf_importance_keeps_nodes_and_sorts_rows_of_several_forests(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    inf, noise = rng.integers(0, 20, 400) / 4, rng.normal(size=400)
+    df = spark.createDataFrame([(float(a), float(b), int(a > 2)) for a, b in zip(inf, noise)], "informative double, noise double, y int").coalesce(1)
+    seen, fit = [], ml.RandomForestClassifier.fit
+
+    def kept(self, data):
+        seen.append((self.getCacheNodeIds(), [r.features[0] for r in data.select("features").collect()]))
+        return fit(self, data)
+
+    monkeypatch.setattr(ml.RandomForestClassifier, "fit", kept)
+    one = ml.rf_importance(df, ["informative", "noise"], "y", num_trees=6, max_depth=4, balanced=False).collect()
+    assert [k for k, _ in seen] == [True]
+    monkeypatch.setattr(ml.RandomForestClassifier, "fit", lambda self, data: fit(self.setCacheNodeIds(False), data))
+    assert one == ml.rf_importance(df, ["informative", "noise"], "y", num_trees=6, max_depth=4, balanced=False).collect()
+    monkeypatch.setattr(ml.RandomForestClassifier, "fit", kept)
+    monkeypatch.setattr(ml, "FOREST_COUNTS", 400 * 3)
+    imp = ml.rf_importance(df, ["informative", "noise"], "y", num_trees=6, max_depth=4, balanced=False).collect()
+    assert [k for k, _ in seen[1:]] == [True, True] and all(rows == sorted(inf.tolist()) for _, rows in seen[1:])
+    assert imp[0].channel == "informative" and abs(sum(r.importance for r in imp) - 1) < 1e-9
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
