@@ -233,6 +233,32 @@ def test_held_batches_are_all_used():
     assert [r["mask"] for b in suffix_dedup._mask_batches(iter(parts)) for r in b.to_pylist()] == [0, 1]
 
 
+def test_ranges_of_anchor_hashes_are_alike_in_size():
+    rng = np.random.default_rng(5)
+    texts = pa.array(rng.integers(97, 123, (400, 600), dtype=np.uint8).tobytes().decode()[600 * k:600 * k + 600] for k in range(400))
+    ids = pa.array(range(400), pa.int64())
+    lists = list(suffix_dedup._hash_lists(iter([pa.RecordBatch.from_arrays([ids, texts], ["id", "t"])])))
+    whole = pa.Table.from_batches(lists).append_column("chunk", pa.array(range(len(lists)), pa.int64()))
+    sizes = [len(suffix_dedup._numbers(x)[0]) for b in suffix_dedup._ranges(6)(iter(whole.combine_chunks().to_batches())) for x in b.column("hs")]
+    assert len(sizes) == 64 and sum(sizes) > 10_000
+    assert max(sizes) < 2 * sum(sizes) / 64  # a third of all came together in the first range
+
+
+def test_names_of_contexts_tell_them_apart(monkeypatch):
+    rnd = random.Random(12)
+    shared = "".join(rnd.choice("ab") for _ in range(3000))
+    texts = pa.array([shared[rnd.randrange(2500):][:rnd.randrange(400)] for _ in range(60)] + [shared])
+    data, offsets = suffix_dedup.string_buffers(texts)
+    for piece in (1 << 18, 300):
+        monkeypatch.setattr(suffix_dedup, "_PIECE", piece)
+        _, h, place, first, last, names = (np.concatenate(x) for x in zip(*suffix_dedup._blocks(offsets, data, True), strict=True))
+        assert (last - first).max() + suffix_dedup.SPAN <= 4 * suffix_dedup.GRAM
+        contexts = [(data[a:b + suffix_dedup.SPAN].tobytes(), p - a) for a, b, p in zip(first.tolist(), last.tolist(), place.tolist(), strict=True)]
+        assert len(set(zip(names.tolist(), contexts, strict=True))) == len(set(names.tolist())) == len(set(contexts)) < len(contexts)
+        grams = {(x, data[p:p + suffix_dedup.GRAM].tobytes()) for x, p in zip(h.tolist(), place.tolist(), strict=True)}
+        assert len(grams) == len({x for x, _ in grams}) == len({g for _, g in grams})
+
+
 def test_shared_anchors_come_from_packed_lists(spark, monkeypatch):
     rnd = random.Random(11)
     common = "a common phrase, of twenty-odd bytes"

@@ -54,35 +54,35 @@ _PLACE = np.uint64((1 << 22) - 1)
 # Bytes of a block of texts, and those whose 64-bit temporaries stay in a core's cache.
 _PIECE = 1 << 18
 _CACHED = 1 << 15
-_BASE, _BASE2, _BASE4, _BASE8 = (np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8))
+_BASE, _BASE2, _BASE3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
+_HALF = np.uint64(32)
 WORDS = -(-SPAN // 8)
-# bytes as 64-bit numbers for the names of contexts
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.full(_PIECE + SPAN, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _context_names(hashes: np.ndarray, place: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes from ``first`` to ``end`` and of the anchor's place in them.
 
-
-_POW, _INV = _powers(int(_BASE)), _powers(pow(int(_BASE), -1, 1 << 64))
-
-
-def _context_names(data: np.ndarray, place: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes from ``first`` to ``end`` and of the anchor's place in them."""
-    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * _POW[:len(data)])])
-    return mix(mix((before[end] - before[first]) * _INV[first]) + ((place - first) << 8 | (end - first)).astype(np.uint64))
+    Two grams (``hashes``) at either end cover a context, which has at most 4 * GRAM bytes.
+    """
+    out = ((place - first) << 8 | (end - first)).astype(np.uint64)
+    for at in (first, first + GRAM, end - 2 * GRAM, end - GRAM):
+        out = mix(out * _BASE + hashes[at])
+    return out
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Mixed hash of the GRAM (20) bytes at each place."""
-    one = data.astype(np.uint64) + np.uint64(1)
-    two = one[:-1] * _BASE + one[1:]
-    four = two[:-2] * _BASE2 + two[2:]
-    eight = four[:-4] * _BASE4 + four[4:]
-    sixteen = eight[:-8] * _BASE8 + eight[8:]
-    return mix(sixteen[:-4] * _BASE4 + four[16:])
+    """Mixed hash of the GRAM (20) bytes at each place: of its words of 8 bytes from byte 0, 8 and 12 on."""
+    n = len(data) - GRAM + 1
+    words = np.ndarray((n + GRAM - 8,), "<u8", data, strides=(1,)).copy()
+    out = words[:n] * _BASE
+    high = out >> _HALF
+    for at, factor in ((8, _BASE2), (12, _BASE3)):
+        out ^= high
+        out += words[at:at + n]
+        out *= factor
+        np.right_shift(out, _HALF, out=high)
+    out ^= high
+    return out
 
 
 def _lowest_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,17 +105,19 @@ def _lowest_grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _anchors_of(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
     """Anchors of consecutive texts, each of SPAN bytes at least (``begin``, ``stop``: where each begins and stops).
 
-    Returns text, anchor hash, anchor place, first and last string start that it serves.
+    Returns text of each anchor, gram hashes, anchor place, first and last string start that it serves.
     """
     hashes, lowest = _lowest_grams(data)
     cut = np.flatnonzero(lowest[1:] != lowest[:-1]) + 1
-    text = np.searchsorted(begin, cut, side="right") - 1
-    cut = cut[(text >= 0) & (cut > begin[text]) & (cut <= stop[text] - SPAN)]
-    first = np.sort(np.concatenate([begin, cut]))
-    text = np.searchsorted(begin, first, side="right") - 1
+    # texts are few beside cuts: they are looked up among the cuts
+    text = np.repeat(np.arange(-1, len(begin)), np.diff(np.searchsorted(cut, begin), prepend=0, append=len(cut)))
+    inside = (text >= 0) & (cut > begin[text]) & (cut <= stop[text] - SPAN)
+    cut, text = cut[inside], text[inside]
+    at = np.searchsorted(cut, begin)
+    first, text = np.insert(cut, at, begin), np.insert(text, at, np.arange(len(begin)))
     last = np.minimum(np.append(first[1:], len(data)) - 1, stop[text] - SPAN)
     place = (lowest[first] & _PLACE).astype(np.int64)
-    return text, hashes[place], place, first, last
+    return text, hashes, place, first, last
 
 
 def _blocks(offsets: np.ndarray, data: np.ndarray, named: bool = False):
@@ -128,9 +130,10 @@ def _blocks(offsets: np.ndarray, data: np.ndarray, named: bool = False):
             rows = np.flatnonzero(stop - begin >= SPAN)
             if not len(rows):
                 continue
-            text, h, place, first, last = _anchors_of(data[a:b], begin[rows], stop[rows])
-            names = (_context_names(data[a:b], place, first, last + SPAN).view(np.int64),) if named else ()
-            yield rows[text] + lo, h, place + a, first + a, last + a, *names
+            text, hashes, place, first, last = _anchors_of(data[a:b], begin[rows], stop[rows])
+            names = (_context_names(hashes, place, first, last + SPAN).view(np.int64),) if named else ()
+            # mixed anew: an anchor is the lowest hash around, so low ones would crowd the first range of hashes
+            yield rows[text] + lo, mix(hashes[place]), place + a, first + a, last + a, *names
 
 
 def _group_starts(*keys: np.ndarray) -> np.ndarray:
@@ -140,6 +143,17 @@ def _group_starts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _order(h: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Order by ``h``, then ``own``; the latter is looked at only where hashes are equal."""
+    order = np.argsort(h)
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = h[order[1:]] == h[order[:-1]]
+    ties = np.flatnonzero(same[1:] | same[:-1])
+    tied = order[ties]
+    order[ties] = tied[np.lexsort((own[tied], h[tied]))]
+    return order
+
+
 def _packed(cuts: np.ndarray, values: np.ndarray) -> pa.BinaryArray:
     """Stretches of 64-bit numbers as bytes, which Spark moves without looking at each number."""
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 8).astype(np.int32)),
@@ -166,7 +180,7 @@ def _hash_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             h, own = (np.concatenate(x) for x in zip(*parts, strict=True))
             own = ids.to_numpy()[own]
-            order = np.lexsort((own, h))
+            order = _order(h, own)
             h, own = h[order], own[order]
             pick = _group_starts(h, own)
             h, own = h[pick], own[pick]
@@ -504,23 +518,30 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # only anchors with several contexts need the bytes, once more from the documents that have them first
     several = Landed(names.df.groupBy("h").count().filter("count > 1"), "suffix-several")
 
-    def bytes_of(some: DataFrame) -> DataFrame:
-        """Contexts of the anchors ``some`` with their bytes."""
-        asked = (names.df.join(some.select("h"), "h", "left_semi").groupBy(F.col("first").alias("id"))
-                 .agg(F.collect_set("h").alias("wanted")))
+    def asked_of(some: DataFrame) -> DataFrame:
+        """(id, wanted): the anchors ``some`` of each document that has a context of them first."""
+        return (names.df.join(some.select("h"), "h", "left_semi").groupBy(F.col("first").alias("id"))
+                .agg(F.collect_set("h").alias("wanted")))
+
+    def bytes_of(asked: DataFrame) -> DataFrame:
+        """Contexts of the anchors in ``asked`` with their bytes."""
         rows = texts.join(asked, "id").select("id", F.explode(F.arrow_udf(_context_bytes, BYTES)("t", "wanted")).alias("x"))
         # each context once, also where rows of its first document repeat
         return (rows.select("x.h", "x.c", F.col("id").alias("first"), "x.place", "x.bytes")
                 .repartition("h").dropDuplicates(["h", "c", "first"]))
 
     # a task holds the contexts of one anchor, so their number is bounded
-    masks = (bytes_of(several.df.filter(F.col("count") <= GROUP_CONTEXTS))
+    masks = (bytes_of(asked_of(several.df.filter(F.col("count") <= GROUP_CONTEXTS)))
              .sortWithinPartitions("h").mapInArrow(_mask_batches, "h long, c long, first long, mask long"))
     large = several.df.filter(F.col("count") > GROUP_CONTEXTS)
-    if large.limit(1).count():
-        masks = masks.unionByName(_string_masks(bytes_of(large)))
+    scratch = [several]
+    if n := large.count():
+        # few anchors and, as a rule, few documents: those are looked for where the texts are
+        scratch.append(Landed(asked_of(large), "suffix-asked"))
+        masks = masks.unionByName(_string_masks(bytes_of(broadcast_if_small(scratch[-1].df, 32 + 8 * n))))
     masks = Landed(masks.filter("mask != 0").distinct(), "suffix-masks")
-    several.drop()
+    for table in scratch:
+        table.drop()
     known = names.df.join(masks.df, ["h", "c", "first"], "left")
     mask = F.when(F.col("id") > F.col("first"), F.expr("shiftleft(1L, served) - 1")).otherwise(F.col("mask"))
     repeats = (found.df.join(known, ["h", "c"]).select("id", "th", "at", mask.alias("mask"))
